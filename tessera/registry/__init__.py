@@ -3,3 +3,4 @@ DuckDB SQL in ``ORACLE[name]`` (absent for operators that SQL cannot express).""
 
 from tessera.registry.base import ORACLE, QUERIES  # noqa: F401
 from tessera.registry import cleaning  # noqa: F401,E402
+from tessera.registry import repair  # noqa: F401,E402
