@@ -55,7 +55,7 @@ def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], prob
     column). NULLs are skipped; a variable with no values yields no rows."""
     by = list(by)
     exprs = _as_exprs(df, columns)
-    probs = [float(p) for p in probs]
+    probs = list(dict.fromkeys(float(p) for p in probs))
     counts = df.agg(*[F.count(e).alias(n) for n, e in exprs.items()]).first().asDict()
     if max(counts.values(), default=0) <= single_task_limit:
         return _quantiles_small(df, exprs, probs, by)
