@@ -5,3 +5,4 @@ from tessera.registry.base import ORACLE, QUERIES  # noqa: F401
 from tessera.registry import cleaning  # noqa: F401,E402
 from tessera.registry import repair  # noqa: F401,E402
 from tessera.registry import descriptive  # noqa: F401,E402
+from tessera.registry import stats  # noqa: F401,E402
