@@ -7,3 +7,4 @@ from tessera.registry import repair  # noqa: F401,E402
 from tessera.registry import descriptive  # noqa: F401,E402
 from tessera.registry import stats  # noqa: F401,E402
 from tessera.registry import discriminant  # noqa: F401,E402
+from tessera.registry import multivariate  # noqa: F401,E402
