@@ -1,18 +1,17 @@
-"""Correlation matrices (Pearson from one moments job, Spearman by MLlib's
-distributed rank correlation) and category codes."""
+"""Correlation matrices (Pearson from one moments job; Spearman as Pearson of
+average ranks from a distributed rank table) and category codes."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import numeric_columns, text_columns
 from tessera.operators.moments import moments
+from tessera.operators.quantiles import value_ranks
 
 
 def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -27,6 +26,18 @@ def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataF
     return out.withColumn(name or column, F.coalesce(F.col("_code"), F.lit(-1)).cast("long")).drop("_lvl", "_code")
 
 
+def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace each column by its average rank (ties share the mean rank): one
+    distributed rank table, joined back per column (Spark broadcasts the small
+    ones and shuffle-joins the large ones)."""
+    ranks = value_ranks(df, columns)
+    out = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    for c in columns:
+        r = ranks.where(F.col("variable") == c).select(F.col("value").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
+        out = out.join(r, out[c] == r[f"_v_{c}"]).drop(c, f"_v_{c}").withColumnRenamed(f"_r_{c}", c)
+    return out.select(*columns)
+
+
 def _prepare(df: DataFrame, columns: Sequence[str] | None, include_categorical: bool) -> tuple[DataFrame, list[str]]:
     if include_categorical:
         for c in text_columns(df):
@@ -47,14 +58,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
     if method == "pearson":
         return cols, moments(data, cols).corr()
     if method == "spearman":
-        vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(data).select("_features")
-        m = Correlation.corr(vec, "_features", "spearman").first()[0].toArray()
-        sd = data.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
-        const = [i for i, c in enumerate(cols) if not sd[c]]
-        for i in const:
-            m[i, :] = np.nan
-            m[:, i] = np.nan
-        return cols, m
+        return cols, moments(rank_columns(data, cols), cols).corr()
     raise ValueError(f"unsupported correlation method {method!r}")
 
 

@@ -73,10 +73,11 @@ def _quantiles_small(df: DataFrame, exprs: Mapping[str, Column], probs: list[flo
                        "value"))
 
 
-def _quantiles_bucketed(df: DataFrame, exprs: Mapping[str, Column], probs: list[float],
-                        by: list[str], counts: Mapping[str, int], max_buckets: int) -> DataFrame:
+def _bucketed_counts(df: DataFrame, exprs: Mapping[str, Column], by: list[str],
+                     counts: Mapping[str, int], max_buckets: int) -> DataFrame:
+    """Distinct ``(by..., variable, bucket, value, cnt)`` with buckets from per-variable
+    approximate split points (one sketch job; Bucketizer does a JVM binary search)."""
     names = list(exprs)
-    # 1. split points per variable from a bounded sketch (small: variables x buckets)
     n_max = max(counts.values())
     buckets = int(min(max_buckets, max(2, math.ceil(n_max / TARGET_BUCKET_ROWS))))
     grid = [i / buckets for i in range(1, buckets)]
@@ -94,9 +95,14 @@ def _quantiles_bucketed(df: DataFrame, exprs: Mapping[str, Column], probs: list[
                       F.col(f"_b{i}").cast("int").alias("bucket")) for i, n in enumerate(names)]
     long = (wide.select(*by, F.explode(F.array(*items)).alias("_kv")).select(*by, "_kv.*")
                 .where(F.col("value").isNotNull()))
+    return long.groupBy(*by, "variable", "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _quantiles_bucketed(df: DataFrame, exprs: Mapping[str, Column], probs: list[float],
+                        by: list[str], counts: Mapping[str, int], max_buckets: int) -> DataFrame:
+    # 1-2. distinct values with counts per (variable, bucket); map-side combine absorbs hot values
+    vc = _bucketed_counts(df, exprs, by, counts, max_buckets)
     keys = by + ["variable"]
-    # 2. distinct values with counts (map-side combine absorbs hot values)
-    vc = long.groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
     # 3. bucket totals -> rank offsets (at most variables x buckets rows per group)
     totals = vc.groupBy(*keys, "bucket").agg(F.sum("cnt").alias("bucket_n"))
     wk = Window.partitionBy(*keys).orderBy("bucket")
@@ -152,3 +158,26 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     vc = long.groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy(*by, "variable").orderBy(F.desc("count"), F.asc("value"))
     return vc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def value_ranks(df: DataFrame, columns: Sequence[str], single_task_limit: int = SINGLE_TASK_LIMIT,
+                max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """Average (tie-aware, 1-based) rank of every distinct value of each column
+    -> ``(variable, value, rank)``. Small columns: cumulative counts over a window
+    per variable. Large ones: the same per (variable, value bucket) plus bucket
+    offsets, so no task sorts a whole column."""
+    exprs = _as_exprs(df, columns)
+    counts = df.agg(*[F.count(e).alias(n) for n, e in exprs.items()]).first().asDict()
+    if max(counts.values(), default=0) <= single_task_limit:
+        vc = _long(df, exprs, []).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        w = Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        below = F.coalesce(F.sum("cnt").over(w), F.lit(0))
+        return vc.select("variable", "value", (below + (F.col("cnt") + 1) / 2.0).alias("rank"))
+    vb = _bucketed_counts(df, exprs, [], counts, max_buckets)
+    totals = vb.groupBy("variable", "bucket").agg(F.sum("cnt").alias("bucket_n"))
+    wk = Window.partitionBy("variable").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("variable", "bucket", F.coalesce(F.sum("bucket_n").over(wk), F.lit(0)).alias("start"))
+    wb = Window.partitionBy("variable", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (vb.join(F.broadcast(offsets), ["variable", "bucket"])  # <= variables x buckets rows
+                .withColumn("_below", F.col("start") + F.coalesce(F.sum("cnt").over(wb), F.lit(0))))
+    return ranked.select("variable", "value", (F.col("_below") + (F.col("cnt") + 1) / 2.0).alias("rank"))
