@@ -47,6 +47,11 @@ def prepare_clusters(df: DataFrame, columns: Sequence[str] | None = None, persis
     data = clean.select("*", *zcols)
     data = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(cols))], outputCol=FEATURES).transform(data)
     data = data.drop(*[f"_z{i}" for i in range(len(cols))])
+    parallelism = data.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < parallelism:
+        # few large input splits (small tables): spread rows once so every core
+        # works on each k-means iteration; large inputs already have more splits
+        data = data.repartition(parallelism)
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     return Prepared(cols, scaler, data)

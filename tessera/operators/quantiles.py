@@ -64,6 +64,16 @@ def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], prob
 
 def _quantiles_small(df: DataFrame, exprs: Mapping[str, Column], probs: list[float],
                      by: list[str]) -> DataFrame:
+    """Every variable fits one task: distinct values are counted by a codegen'd hash
+    aggregation, then ranked with one window per variable (one bucket)."""
+    vc = (_long(df, exprs, by).groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
+          .withColumn("bucket", F.lit(0)))
+    return _quantiles_from_counts(vc, by, probs, only_needed=False)
+
+
+def _quantiles_percentile(df: DataFrame, exprs: Mapping[str, Column], probs: list[float],
+                          by: list[str]) -> DataFrame:
+    """Reference path: Spark's exact ``percentile`` aggregate (value -> count map)."""
     long = _long(df, exprs, by)
     agg = long.groupBy(*by, "variable").agg(
         F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q"))
@@ -102,6 +112,12 @@ def _quantiles_bucketed(df: DataFrame, exprs: Mapping[str, Column], probs: list[
                         by: list[str], counts: Mapping[str, int], max_buckets: int) -> DataFrame:
     # 1-2. distinct values with counts per (variable, bucket); map-side combine absorbs hot values
     vc = _bucketed_counts(df, exprs, by, counts, max_buckets)
+    return _quantiles_from_counts(vc, by, probs, only_needed=True)
+
+
+def _quantiles_from_counts(vc: DataFrame, by: list[str], probs: list[float], only_needed: bool) -> DataFrame:
+    """Exact quantiles from distinct ``(by..., variable, bucket, value, cnt)`` rows;
+    with ``only_needed`` only buckets holding a target rank are sorted."""
     keys = by + ["variable"]
     # 3. bucket totals -> rank offsets (at most variables x buckets rows per group)
     totals = vc.groupBy(*keys, "bucket").agg(F.sum("cnt").alias("bucket_n"))
@@ -119,7 +135,7 @@ def _quantiles_bucketed(df: DataFrame, exprs: Mapping[str, Column], probs: list[
     tg = tg.select(*keys, "bucket", "start", "prob", "h", "rank").distinct()
     needed = tg.select(*keys, "bucket").distinct()
     # 5. sort only the needed buckets
-    part = vc.join(F.broadcast(needed), keys + ["bucket"], "left_semi")
+    part = vc.join(F.broadcast(needed), keys + ["bucket"], "left_semi") if only_needed else vc
     wb = Window.partitionBy(*keys, "bucket").orderBy("value")
     part = part.withColumn("below", F.coalesce(F.sum("cnt").over(
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
