@@ -8,7 +8,7 @@ from tessera.operators import encode as E
 from tessera.operators import profile as P
 from tessera.operators.repair import fit_impute
 from tessera.plans.cleaning import CleaningConfig, fit_cleaning
-from tessera.registry.base import fixture, register, rounded, table, with_fixtures
+from tessera.registry.base import ORACLE, fixture, register, rounded, table, with_fixtures
 from tessera.registry.cleaning import _flag_sql, _iqr_sql
 from tessera.sources.io import page
 
@@ -209,3 +209,18 @@ def q_zscore(spark, sf_dir):
 @register("page", with_fixtures("select * from survey order by user_id limit 200 offset 400", "survey"))
 def q_page(spark, sf_dir):
     return page(fixture(spark, sf_dir, "survey"), 3, 200, order_by="user_id")
+
+
+# ---------------------------------------------------------------- streaming
+
+@register("stream_clean_events", ORACLE["neutralize_outliers"])
+def q_stream_clean_events(spark, sf_dir):
+    """The events table read as a file stream and cleaned by a plan fitted on the
+    batch table: flagged cells neutralised, nothing else to repair."""
+    from tessera.streaming.quality import clean_stream, parquet_stream, run_to_table
+    cols = ["event_id", "user_id", "event_type", "value"]
+    ev = table(spark, sf_dir, "events").select(*cols)
+    plan = fit_cleaning(ev, CleaningConfig(id_columns=("event_id",), impute=False))
+    path = f"{sf_dir}/events.parquet"
+    stream = parquet_stream(spark, path, spark.read.parquet(path).schema).select(*cols)
+    return run_to_table(clean_stream(plan, stream), name="clean-events")
