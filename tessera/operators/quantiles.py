@@ -197,3 +197,31 @@ def value_ranks(df: DataFrame, columns: Sequence[str], single_task_limit: int =
     ranked = (vb.join(F.broadcast(offsets), ["variable", "bucket"])  # <= variables x buckets rows
                 .withColumn("_below", F.col("start") + F.coalesce(F.sum("cnt").over(wb), F.lit(0))))
     return ranked.select("variable", "value", (F.col("_below") + (F.col("cnt") + 1) / 2.0).alias("rank"))
+
+
+def grouped_below(cells: DataFrame, keys: Sequence[str], single_task_limit: int = SINGLE_TASK_LIMIT,
+                  max_buckets: int = MAX_BUCKETS, largest_group: int | None = None) -> DataFrame:
+    """For distinct ``(keys..., value, cnt)`` rows add ``below`` = total ``cnt`` of
+    smaller values in the same key group. Groups are sorted whole when the largest
+    has at most ``single_task_limit`` distinct values; otherwise values are cut into
+    global buckets (approximate split points), each (group, bucket) is sorted on its
+    own and bucket offsets come from per-bucket totals."""
+    keys = list(keys)
+    biggest = largest_group if largest_group is not None else (
+        cells.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+    if biggest <= single_task_limit:
+        w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return cells.withColumn("below", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+    buckets = int(min(max_buckets, max(2, math.ceil(biggest / TARGET_BUCKET_ROWS))))
+    grid = [i / buckets for i in range(1, buckets)]
+    sk = cells.agg(F.percentile_approx("value", grid, 4 * buckets)).first()[0] or []
+    splits = [-math.inf] + sorted(set(x for x in sk if x is not None and math.isfinite(x))) + [math.inf]
+    b = Bucketizer(splits=splits, inputCol="value", outputCol="_bk", handleInvalid="keep")
+    vb = b.transform(cells)
+    totals = vb.groupBy(*keys, "_bk").agg(F.sum("cnt").alias("_bn"))
+    wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_bk", F.coalesce(F.sum("_bn").over(wk), F.lit(0)).alias("_start"))
+    wb = Window.partitionBy(*keys, "_bk").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return (vb.join(offsets, keys + ["_bk"])
+              .withColumn("below", F.col("_start") + F.coalesce(F.sum("cnt").over(wb), F.lit(0)))
+              .drop("_bk", "_start"))

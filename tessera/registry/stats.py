@@ -81,3 +81,34 @@ def q_shapiro_wilk(spark, sf_dir):
 @register("normality_verdict")
 def q_normality_verdict(spark, sf_dir):
     return N.normality(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+def _kendall_sql(a: str, b: str) -> str:
+    return f"""
+select '{a}' as x, '{b}' as y, round(s / sqrt((n0 - tx) * (n0 - ty)), 6) as r from
+  (select sum(sign(p.u - q.u) * sign(p.v - q.v)) as s from kd_{a}_{b} p join kd_{a}_{b} q on p.rid < q.rid),
+  (select count(*) * (count(*) - 1) / 2.0 as n0 from kd_{a}_{b}),
+  (select coalesce(sum(t * (t - 1) / 2.0), 0) as tx from (select count(*) as t from kd_{a}_{b} group by u)),
+  (select coalesce(sum(t * (t - 1) / 2.0), 0) as ty from (select count(*) as t from kd_{a}_{b} group by v))"""
+
+
+_KCOLS = ["p_size", "p_retailprice", "p_partkey"]
+_KPAIRS = [(a, b) for i, a in enumerate(_KCOLS) for b in _KCOLS[i + 1:]]
+_KENDALL_SQL = "with " + ",\n".join(
+    f"kd_{a}_{b} as (select row_number() over () as rid, {a} as u, {b} as v from part "
+    f"where {' and '.join(f'{c} is not null' for c in _KCOLS)})" for a, b in _KPAIRS) + "\n" + "\nunion all\n".join(
+    [_kendall_sql(a, b) for a, b in _KPAIRS] +
+    [f"select '{b}', '{a}', r from ({_kendall_sql(a, b)}) z" for a, b in _KPAIRS] +
+    [f"select '{c}', '{c}', 1.0" for c in _KCOLS])
+
+
+@register("correlation_kendall", _KENDALL_SQL)
+def q_correlation_kendall(spark, sf_dir):
+    return rounded(C.correlation(table(spark, sf_dir, "part"), _KCOLS, "kendall"))
+
+
+@register("correlation_kendall_lineitem")
+def q_correlation_kendall_lineitem(spark, sf_dir):
+    """Whole lineitem table; SQL brute force over all pairs is too slow here, the
+    algorithm is checked against brute force in the tests and on ``part``."""
+    return rounded(C.correlation(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], "kendall"))

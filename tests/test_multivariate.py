@@ -89,3 +89,23 @@ def test_kmeans_elbow_and_hierarchical(spark):
     h = K.hierarchical(prep, 3, "ward", micro=30)
     assert h.labelled.count() == n and len(h.merges) == 29
     assert {r["cluster"] for r in h.labelled.select("cluster").distinct().collect()} == {"1", "2", "3"}
+
+
+def _kendall_brute(xs, ys):
+    from collections import Counter
+    n = len(xs)
+    s = sum(np.sign(xs[i] - xs[j]) * np.sign(ys[i] - ys[j]) for i in range(n) for j in range(i + 1, n))
+    n0 = n * (n - 1) / 2
+    tx = sum(t * (t - 1) / 2 for t in Counter(xs).values())
+    ty = sum(t * (t - 1) / 2 for t in Counter(ys).values())
+    return s / math.sqrt((n0 - tx) * (n0 - ty))
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_kendall_matches_brute_force(spark, limit):
+    from tessera.operators.correlation import kendall_tau_b
+    rng = np.random.default_rng(11)
+    xs = [float(v) for v in rng.integers(0, 9, 150)]
+    ys = [float(a + b) for a, b in zip(xs, rng.integers(0, 4, 150))]
+    df = spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+    assert math.isclose(kendall_tau_b(df, "x", "y", single_task_limit=limit), _kendall_brute(xs, ys), rel_tol=1e-12)
