@@ -130,7 +130,9 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     q = q.withColumn("lower_fence", F.col("q1") - 1.5 * iqr).withColumn("upper_fence", F.col("q3") + 1.5 * iqr)
     x = F.col(column).cast("double")
     joined = df.where(x.isNotNull()).select(*by, x.alias("_x"))
-    joined = joined.join(F.broadcast(q), by, "inner") if by else joined.crossJoin(F.broadcast(q))
+    # one fence row per group: a plain join (Spark broadcasts it when small); without
+    # groups it is a single row
+    joined = joined.join(q, by, "inner") if by else joined.crossJoin(F.broadcast(q))
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
     agg = joined.groupBy(*by, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
         F.count(F.lit(1)).alias("n"),

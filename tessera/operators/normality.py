@@ -1,5 +1,5 @@
 """Normality tests: Kolmogorov-Smirnov against N(mean, sample sd) on every value
-(MLlib's distributed test), Shapiro-Wilk on a seeded sample of at most 5000 values
+(all series in one distributed plan), Shapiro-Wilk on a seeded sample of at most 5000 values
 per series (Royston's approximation, computed per series with ``applyInPandas`` on
 the bounded sample), and the combined verdict."""
 
@@ -10,15 +10,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.distributions import normal_ppf, normal_sf
 
 SHAPIRO_MAX = 5000      # fixed: Shapiro-Wilk sample size cap
 ALPHA = 0.05            # fixed: significance level of the verdict
-MAX_SERIES = 1000       # guard for per-series KS jobs
 PARAMETRIC = "parametric"
 NON_PARAMETRIC = "non-parametric"
 
@@ -90,10 +89,12 @@ def shapiro_wilk(df: DataFrame, column: str, by: Sequence[str] = (), seed: int =
     x = F.col(column).cast("double")
     cols = list(key) if key else df.columns
     h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols])
-    w = Window.partitionBy(*by).orderBy("_h") if by else Window.orderBy("_h")
-    sample = (df.where(x.isNotNull()).select(*by, x.alias("_x"), h.alias("_h"))
-                .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_n)
-                .select(*by, "_x"))
+    base = df.where(x.isNotNull()).select(*by, x.alias("_x"), h.alias("_h"))
+    if by:  # per-series top-k: partial WindowGroupLimit before the shuffle
+        w = Window.partitionBy(*by).orderBy("_h")
+        sample = base.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_n).select(*by, "_x")
+    else:   # global top-k: TakeOrderedAndProject (each partition keeps max_n)
+        sample = base.orderBy("_h").limit(max_n).select("_x")
     schema = ", ".join([f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by] +
                        ["n_tested long", "shapiro_w double", "shapiro_p double"])
 
@@ -108,31 +109,67 @@ def shapiro_wilk(df: DataFrame, column: str, by: Sequence[str] = (), seed: int =
     return sample.groupBy(F.lit(0).alias("_g")).applyInPandas(_test, schema)
 
 
+def ks_pvalue(d: float, n: int) -> float:
+    """Two-sided KS p-value, asymptotic Kolmogorov distribution with Stephens'
+    small-sample scaling of the statistic."""
+    if d is None or n is None or n < 1 or math.isnan(d):
+        return float("nan")
+    sq = math.sqrt(n)
+    lam = (sq + 0.12 + 0.11 / sq) * d
+    if lam < 1e-3:
+        return 1.0
+    total = 0.0
+    for k in range(1, 101):
+        term = 2.0 * (-1) ** (k - 1) * math.exp(-2.0 * k * k * lam * lam)
+        total += term
+        if abs(term) < 1e-16:
+            break
+    return min(1.0, max(0.0, total))
+
+
+@F.pandas_udf(T.DoubleType())
+def _normal_cdf(z: pd.Series) -> pd.Series:
+    """Standard normal CDF on an Arrow batch (Spark SQL has no erf)."""
+    return pd.Series(0.5 * _erfc(-z.to_numpy(dtype=float) / math.sqrt(2.0)))
+
+
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+@F.pandas_udf(T.DoubleType())
+def _ks_p(d: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([ks_pvalue(a, int(b)) for a, b in zip(d, n)], dtype=float)
+
+
 def ks_normal(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., n, mean, std, ks_statistic, ks_p)``: one-sample two-sided KS test of
-    all values against N(mean, sample sd), one distributed MLlib test per series."""
+    every value against N(mean, sample sd), all series in one distributed plan.
+
+    Distinct values are counted per series, the empirical CDF just below / at each
+    value comes from a grouped "values below" count (``grouped_below``: windows per
+    series, bucketed when a series is large), and D is the largest gap to the
+    normal CDF. No series is collected or scanned separately."""
+    from tessera.operators.quantiles import grouped_below
     by = list(by)
+    keys = by if by else ["_series"]
     x = F.col(column).cast("double")
-    stats = df.where(x.isNotNull()).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"),
-                                                     F.stddev_samp(x).alias("std")).collect()
-    if len(stats) > MAX_SERIES:
-        raise ValueError(f"too many series for per-series KS tests: {len(stats)}")
-    rows = []
-    for s in stats:
-        sub = df
-        for b in by:
-            sub = sub.where(F.col(b).eqNullSafe(s[b]))
-        sub = sub.where(x.isNotNull()).select(x.alias("_x"))
-        if s["std"] is None or s["std"] == 0:
-            stat, p = float("nan"), float("nan")
-        else:
-            r = KolmogorovSmirnovTest.test(sub, "_x", "norm", float(s["mean"]), float(s["std"])).first()
-            stat, p = float(r["statistic"]), float(r["pValue"])
-        rows.append(tuple(s[b] for b in by) + (int(s["n"]), float(s["mean"]),
-                                                  None if s["std"] is None else float(s["std"]), stat, p))
-    schema = ", ".join([f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by] +
-                       ["n long", "mean double", "std double", "ks_statistic double", "ks_p double"])
-    return df.sparkSession.createDataFrame(rows, schema)
+    base = df.where(x.isNotNull()).select(*by, x.alias("value"))
+    if not by:
+        base = base.withColumn("_series", F.lit(0))
+    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
+                                    F.stddev_samp("value").alias("std"))
+    cells = base.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = grouped_below(cells, keys).join(stats, keys)
+    cdf = _normal_cdf((F.col("value") - F.col("mean")) / F.col("std"))
+    gaps = ranked.select(*keys, "n", "mean", "std",
+                         F.greatest((F.col("below") + F.col("cnt")) / F.col("n") - cdf,
+                                    cdf - F.col("below") / F.col("n")).alias("_gap"))
+    d = gaps.groupBy(*keys, "n", "mean", "std").agg(F.max("_gap").alias("ks_statistic"))
+    valid = F.col("std").isNotNull() & (F.col("std") > 0)
+    d = d.select(*keys, "n", "mean", "std",
+                 F.when(valid, F.col("ks_statistic")).alias("ks_statistic"))
+    d = d.withColumn("ks_p", F.when(valid, _ks_p(F.col("ks_statistic"), F.col("n"))))
+    return d.select(*by, "n", "mean", "std", "ks_statistic", "ks_p")
 
 
 def normality(df: DataFrame, column: str, by: Sequence[str] = (), alpha: float = ALPHA, **kw) -> DataFrame:

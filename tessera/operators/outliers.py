@@ -94,7 +94,7 @@ def neutralize_outliers(df: DataFrame, bounds: IqrBounds, rows: DataFrame | None
     """Set flagged cells to NULL (every flagged row, or only ``rows`` ids)."""
     selected = F.lit(True)
     if rows is not None:
-        df = df.join(F.broadcast(rows.select(F.col(id_col), F.lit(True).alias("_sel"))), id_col, "left")
+        df = df.join(rows.select(F.col(id_col), F.lit(True).alias("_sel")), id_col, "left")
         selected = F.coalesce(F.col("_sel"), F.lit(False))
     out = df.withColumns({c: F.when(selected & bounds.flag(c), F.lit(None)).otherwise(F.col(f"`{c}`"))
                           for c in bounds.columns})

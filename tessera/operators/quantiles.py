@@ -71,18 +71,6 @@ def _quantiles_small(df: DataFrame, exprs: Mapping[str, Column], probs: list[flo
     return _quantiles_from_counts(vc, by, probs, only_needed=False)
 
 
-def _quantiles_percentile(df: DataFrame, exprs: Mapping[str, Column], probs: list[float],
-                          by: list[str]) -> DataFrame:
-    """Reference path: Spark's exact ``percentile`` aggregate (value -> count map)."""
-    long = _long(df, exprs, by)
-    agg = long.groupBy(*by, "variable").agg(
-        F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    probs_arr = F.array(*[F.lit(p) for p in probs])
-    return (agg.select(*by, "variable", F.posexplode("_q").alias("_i", "value"))
-               .select(*by, "variable", F.element_at(probs_arr, F.col("_i") + 1).alias("prob"),
-                       "value"))
-
-
 def _bucketed_counts(df: DataFrame, exprs: Mapping[str, Column], by: list[str],
                      counts: Mapping[str, int], max_buckets: int) -> DataFrame:
     """Distinct ``(by..., variable, bucket, value, cnt)`` with buckets from per-variable
@@ -135,11 +123,12 @@ def _quantiles_from_counts(vc: DataFrame, by: list[str], probs: list[float], onl
     tg = tg.select(*keys, "bucket", "start", "prob", "h", "rank").distinct()
     needed = tg.select(*keys, "bucket").distinct()
     # 5. sort only the needed buckets
-    part = vc.join(F.broadcast(needed), keys + ["bucket"], "left_semi") if only_needed else vc
+    # ``needed``/``tg`` have (groups x probs) rows: Spark broadcasts them when small (AQE)
+    part = vc.join(needed, keys + ["bucket"], "left_semi") if only_needed else vc
     wb = Window.partitionBy(*keys, "bucket").orderBy("value")
     part = part.withColumn("below", F.coalesce(F.sum("cnt").over(
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    hit = part.join(F.broadcast(tg), keys + ["bucket"]).where(
+    hit = part.join(tg, keys + ["bucket"]).where(
         (F.col("rank") >= F.col("start") + F.col("below")) &
         (F.col("rank") < F.col("start") + F.col("below") + F.col("cnt")))
     res = hit.groupBy(*keys, "prob").agg(
