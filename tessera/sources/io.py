@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import CSV_NULL_TOKENS, nan_to_null
@@ -47,8 +47,18 @@ def read_csv(spark: SparkSession, path: str, infer_types: bool = True,
     return nan_to_null(cleaned.select(*out))
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(path))
+def load_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+               where: str | None = None) -> DataFrame:
+    """Parquet with NaN mapped to NULL. ``columns`` / ``where`` are applied to the raw
+    scan, beneath the NaN projection, so they reach Parquet as ReadSchema and
+    PushedFilters (a filter written on a float column *after* the projection is
+    evaluated after the scan; filters on other types push down either way)."""
+    raw = spark.read.parquet(path)
+    if where is not None:
+        raw = raw.where(where)
+    if columns is not None:
+        raw = raw.select(*columns)
+    return nan_to_null(raw)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -61,14 +71,22 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Attach a stable ``_row_id``. With a unique ``key`` column it is a rename;
-    otherwise the dense index comes from ``zipWithIndex`` (stable for a fixed
-    input, unlike monotonically_increasing_id which depends on partitioning)."""
+    """Attach a dense 0-based ``_row_id`` in partition order.
+
+    With a unique ``key`` column it is a cast copy of it. Otherwise every partition's
+    row count (one small aggregation: one row per input partition) gives its offset,
+    and the id is offset + position inside the partition - JVM-only, no row passes
+    through Python. The id is stable as long as the input is deterministic (a file
+    scan); checkpoint or write a non-deterministic input first."""
     if key is not None:
         return df.withColumn(ROW_ID, F.col(key).cast("long"))
-    schema = df.schema.add(ROW_ID, "long", False)
-    rdd = df.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_pid", "_base", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
+    out = tagged.join(F.broadcast(offsets), "_pid")  # bounded by the number of input partitions
+    return out.withColumn(ROW_ID, F.col("_start") + F.col("_mid") - F.col("_base")).drop(
+        "_pid", "_mid", "_base", "_start")
 
 
 def page(df: DataFrame, number: int, size: int = 200, order_by: str = ROW_ID,
