@@ -183,3 +183,34 @@ def mixed_type_rows(df: DataFrame, columns: Sequence[str], id_col: str) -> DataF
 def integral_columns(df: DataFrame) -> list[str]:
     prof = profile(df, exact=False)
     return [r["variable"] for r in prof.where("all_integral and n_non_null > 0").collect()]
+
+
+# Value-type names reported per Spark type family (the Python type a
+# cell would have).
+_TYPE_NAMES = {"integral": "int", "fractional": "float", "text": "str", "boolean": "bool",
+               "timestamp": "Timestamp", "date": "date"}
+
+
+def _type_name(dt: T.DataType) -> str:
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return _TYPE_NAMES["integral"]
+    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return _TYPE_NAMES["fractional"]
+    if isinstance(dt, T.BooleanType):
+        return _TYPE_NAMES["boolean"]
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return _TYPE_NAMES["timestamp"]
+    if isinstance(dt, T.DateType):
+        return _TYPE_NAMES["date"]
+    return _TYPE_NAMES["text"] if is_text_type(dt) else dt.simpleString()
+
+
+def sample_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Count of non-null cells per value type: ``(variable, value_type, n)``. Spark
+    columns hold one type, so each column has one row (none when all NULL)."""
+    cols = list(columns or df.columns)
+    fields = {f.name: f for f in df.schema.fields}
+    one = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
+    items = [F.struct(F.lit(c).alias("variable"), F.lit(_type_name(fields[c].dataType)).alias("value_type"),
+                      F.col(f"c{i}").alias("n")) for i, c in enumerate(cols)]
+    return one.select(F.inline(F.array(*items))).where(F.col("n") > 0)

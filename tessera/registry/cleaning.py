@@ -246,3 +246,21 @@ def q_straightliners(spark, sf_dir):
 def q_drop_straightliners(spark, sf_dir):
     sv = fixture(spark, sf_dir, "survey")
     return O.drop_straightliners(sv, O.fit_scale_groups(sv, exclude=["user_id"]))
+
+
+@register("sample_types", with_fixtures("select * from (" + "\nunion all\n".join(
+    f"select '{c}' as variable, '{t}' as value_type, count({c}) as n from orders_holes"
+    for c, t in [("o_orderkey", "int"), ("price", "float"), ("qty", "int"), ("status", "str"),
+                 ("empty_col", "float"), ("sparse_col", "float"), ("flag01", "int")]) + ") t where n > 0",
+    "orders_holes"))
+def q_sample_types(spark, sf_dir):
+    return P.sample_types(fixture(spark, sf_dir, "orders_holes"))
+
+
+@register("integral_columns", with_fixtures("select * from (" + "\nunion all\n".join(
+    f"select '{c}' as variable from orders_holes having count({c}) > 0 and "
+    f"bool_and({c} is null or cast({c} as double) % 1 = 0)"
+    for c in ["o_orderkey", "price", "qty", "empty_col", "sparse_col", "flag01"]) + ") t", "orders_holes"))
+def q_integral_columns(spark, sf_dir):
+    h = fixture(spark, sf_dir, "orders_holes")
+    return spark.createDataFrame([(c,) for c in P.integral_columns(h)], "variable string")
