@@ -34,14 +34,9 @@ def _as_exprs(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> d
     return {c: F.col(c).cast("double") for c in columns}
 
 
-def _long(df: DataFrame, exprs: Mapping[str, Column], by: Sequence[str],
-          extra: Mapping[str, Column] | None = None) -> DataFrame:
-    items = []
-    for name, e in exprs.items():
-        fields = [F.lit(name).alias("variable"), e.alias("value")]
-        for k, x in (extra or {}).items():
-            fields.append(x[name].alias(k) if isinstance(x, Mapping) else x.alias(k))
-        items.append(F.struct(*fields))
+def _long(df: DataFrame, exprs: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
+    """Wide -> ``(by..., variable, value)`` by exploding an array of structs (no shuffle)."""
+    items = [F.struct(F.lit(name).alias("variable"), e.alias("value")) for name, e in exprs.items()]
     return (df.select(*by, F.explode(F.array(*items)).alias("_kv"))
               .select(*by, "_kv.*").where(F.col("value").isNotNull()))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tessera.functions.columns import NUMBER_PATTERN, INFINITY_WORDS, to_number
 from tessera.operators import outliers as O

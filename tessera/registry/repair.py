@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tessera.operators import encode as E
 from tessera.operators import profile as P
