@@ -50,6 +50,8 @@ def fit_iqr_bounds(df: DataFrame, columns: Sequence[str] | None = None, **kw) ->
     cols = list(columns) if columns is not None else numeric_columns(df)
     if not cols:
         return IqrBounds({})
+    if "counts" in kw and kw["counts"] is not None:
+        kw["counts"] = {c: kw["counts"][c] for c in cols}
     q = quantile_map(df, cols, [0.25, 0.75], **kw)
     out = {}
     for c in cols:
@@ -143,12 +145,23 @@ def fit_scale_groups(df: DataFrame, columns: Sequence[str] | None = None,
                      exclude: Sequence[str] = ()) -> ScaleGroups:
     """Group numeric columns by their (min, max) truncated to integers; keep groups of
     at least 3 columns (survey item blocks). One aggregation job."""
+    return fit_groups_and_counts(df, columns, exclude)[0]
+
+
+def fit_groups_and_counts(df: DataFrame, columns: Sequence[str] | None = None,
+                          exclude: Sequence[str] = ()) -> tuple[ScaleGroups, dict[str, int]]:
+    """Scale groups plus the non-null count of every numeric column (the sizing input
+    of exact quantiles), from one aggregation job."""
+    every = numeric_columns(df)
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=exclude)
     cols = [c for c in cols if c not in set(exclude)]
-    if not cols:
-        return ScaleGroups({})
-    row = df.agg(*[F.min(c).cast("double").alias(f"a{i}") for i, c in enumerate(cols)],
-                 *[F.max(c).cast("double").alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    aggs = [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(every)]
+    aggs += [F.min(c).cast("double").alias(f"a{i}") for i, c in enumerate(cols)]
+    aggs += [F.max(c).cast("double").alias(f"b{i}") for i, c in enumerate(cols)]
+    if not aggs:
+        return ScaleGroups({}), {}
+    row = df.agg(*aggs).first()
+    counts = {c: int(row[f"n{i}"]) for i, c in enumerate(every)}
     groups: dict[str, list[str]] = {}
     for i, c in enumerate(cols):
         lo, hi = row[f"a{i}"], row[f"b{i}"]
@@ -156,7 +169,7 @@ def fit_scale_groups(df: DataFrame, columns: Sequence[str] | None = None,
             continue
         label = f"range_{int(lo)}_{int(hi)}"
         groups.setdefault(label, []).append(c)
-    return ScaleGroups({k: tuple(v) for k, v in groups.items() if len(v) >= MIN_SCALE_ITEMS})
+    return ScaleGroups({k: tuple(v) for k, v in groups.items() if len(v) >= MIN_SCALE_ITEMS}), counts
 
 
 def row_variance_at_most(columns: Sequence[str], threshold: float = 0.0) -> Column:

@@ -214,3 +214,29 @@ def sample_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     items = [F.struct(F.lit(c).alias("variable"), F.lit(_type_name(fields[c].dataType)).alias("value_type"),
                       F.col(f"c{i}").alias("n")) for i, c in enumerate(cols)]
     return one.select(F.inline(F.array(*items))).where(F.col("n") > 0)
+
+
+def structure_report(df: DataFrame) -> tuple[dict[str, str], list[str]]:
+    """One aggregation giving both structural findings: ``({column: 'empty' |
+    'sparse'}, [mixed-type text columns])``."""
+    fields = df.schema.fields
+    text = [f.name for f in fields if _family(f.dataType) != "numeric"]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"z{i}") for i, f in enumerate(fields)]
+    for i, c in enumerate(text):
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}"), F.count(to_number(f"`{c}`")).alias(f"p{i}")]
+    row = df.agg(*aggs).first()
+    n = row["_n"]
+    issues = {}
+    for i, f in enumerate(fields):
+        share = row[f"z{i}"] / n if n else 0.0
+        if share == 1.0:
+            issues[f.name] = "empty"
+        elif share >= SPARSE_SHARE:
+            issues[f.name] = "sparse"
+    mixed = []
+    for i, c in enumerate(text):
+        nn, parsed = row[f"c{i}"], row[f"p{i}"]
+        if parsed > 0 and parsed / nn > MIXED_SUCCESS and parsed < nn:
+            mixed.append(c)
+    return issues, mixed

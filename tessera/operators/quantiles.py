@@ -43,15 +43,17 @@ def _long(df: DataFrame, exprs: Mapping[str, Column], by: Sequence[str]) -> Data
 
 def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float],
               by: Sequence[str] = (), single_task_limit: int = SINGLE_TASK_LIMIT,
-              max_buckets: int = MAX_BUCKETS) -> DataFrame:
+              max_buckets: int = MAX_BUCKETS, counts: Mapping[str, int] | None = None) -> DataFrame:
     """Exact quantiles -> DataFrame ``(by..., variable, prob, value)``.
 
     ``columns`` may map output names to column expressions (e.g. filtered views of a
-    column). NULLs are skipped; a variable with no values yields no rows."""
+    column). NULLs are skipped; a variable with no values yields no rows. ``counts``
+    (non-null values per variable, if already known) saves the sizing job."""
     by = list(by)
     exprs = _as_exprs(df, columns)
     probs = list(dict.fromkeys(float(p) for p in probs))
-    counts = df.agg(*[F.count(e).alias(n) for n, e in exprs.items()]).first().asDict()
+    if counts is None:
+        counts = df.agg(*[F.count(e).alias(n) for n, e in exprs.items()]).first().asDict()
     if max(counts.values(), default=0) <= single_task_limit:
         return _quantiles_small(df, exprs, probs, by)
     return _quantiles_bucketed(df, exprs, probs, by, counts, max_buckets)

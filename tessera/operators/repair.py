@@ -50,67 +50,66 @@ def fit_impute(df: DataFrame, strategy: str = "mean", per_column: Mapping[str, s
                columns: Sequence[str] | None = None) -> ImputePlan:
     """Learn fill values. ``strategy`` is the default (mean / median); ``per_column``
     maps a column to mean / median / drop / leave / default. Text columns are filled
-    with their mode (smallest value on ties) whatever the numeric strategy."""
+    with their mode (smallest value on ties) whatever the numeric strategy.
+
+    Columns are visited in order and a "drop rows" column removes rows from the
+    statistics of every later column. A drop column without NULLs removes nothing,
+    so each column's statistic can be conditioned on *all* earlier drop-configured
+    columns up front: NULL counts, means and the all-whole check come from one
+    aggregation; medians and modes (only if requested) from one more job each."""
     if strategy not in ("mean", "median"):
         raise ValueError("strategy must be 'mean' or 'median'")
     per_column = dict(per_column or {})
     cols = list(columns or df.columns)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    order = [c for i, c in enumerate(cols) if nulls[f"n{i}"] > 0]
-    drops: list[str] = []
-    mean_exprs: dict[str, Column] = {}
-    median_exprs: dict[str, Column] = {}
-    integral_exprs: dict[str, Column] = {}
-    text_exprs: dict[str, Column] = {}
-    for c in order:
-        action = per_column.get(c, "default")
-        if action not in ACTIONS:
-            raise ValueError(f"unknown imputation action {action!r} for {c}")
-        if action == "default":
-            action = strategy
-        if action == "drop":
-            drops.append(c)
-            continue
-        if action == "leave":
+    actions = {}
+    for c in cols:
+        a = per_column.get(c, "default")
+        if a not in ACTIONS:
+            raise ValueError(f"unknown imputation action {a!r} for {c}")
+        actions[c] = strategy if a == "default" else a
+    alive, earlier_drops = {}, []
+    for c in cols:
+        alive[c] = all_not_null(earlier_drops) if earlier_drops else F.lit(True)
+        if actions[c] == "drop":
+            earlier_drops.append(c)
+    fillable = [c for c in cols if actions[c] in ("mean", "median")]
+    numeric = [c for c in fillable if is_numeric_type(kinds[c])]
+    aggs = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
+    for i, c in enumerate(numeric):
+        x = F.when(alive[c], F.col(f"`{c}`").cast("double"))
+        aggs.append(F.avg(x).alias(f"m{i}"))
+        aggs.append(F.coalesce(F.bool_and(F.when(x.isNotNull(), x % 1 == 0)), F.lit(True)).alias(f"w{i}"))
+    row = df.agg(*aggs).first()
+    order = [c for i, c in enumerate(cols) if row[f"n{i}"] > 0]
+    drops = [c for c in order if actions[c] == "drop"]
+    stats, rounding = {}, []
+    median_cols = [c for c in numeric if c in order and actions[c] == "median"]
+    for i, c in enumerate(numeric):
+        if c not in order:
             continue
-        alive = all_not_null(drops) if drops else F.lit(True)
-        x = F.when(alive, F.col(f"`{c}`"))
-        dt = kinds[c]
-        if is_numeric_type(dt):
-            (mean_exprs if action == "mean" else median_exprs)[c] = x.cast("double")
-            integral_exprs[c] = x.cast("double")
-        else:
-            text_exprs[c] = x
-    stats = {}
-    aggs = []
-    for i, (c, e) in enumerate(mean_exprs.items()):
-        aggs.append(F.avg(e).alias(f"m{i}"))
-    for i, (c, e) in enumerate(integral_exprs.items()):
-        aggs.append(F.coalesce(F.bool_and(F.when(e.isNotNull(), e % 1 == 0)), F.lit(True)).alias(f"w{i}"))
-    row = df.agg(*aggs).first() if aggs else None
-    for i, c in enumerate(mean_exprs):
-        stats[c] = row[f"m{i}"]
-    if median_exprs:
-        med = quantile_map(df, median_exprs, [0.5])
-        for c in median_exprs:
+        if actions[c] == "mean":
+            stats[c] = row[f"m{i}"]
+        if row[f"w{i}"]:
+            rounding.append(c)
+    if median_cols:
+        med = quantile_map(df, {c: F.when(alive[c], F.col(f"`{c}`")) for c in median_cols}, [0.5])
+        for c in median_cols:
             stats[c] = med[c][0]
-    if text_exprs:
-        sel = df.select(*[e.alias(c) for c, e in text_exprs.items()])
-        found = {r["variable"]: r["value"] for r in modes(sel, list(text_exprs)).collect()}
-        for c in text_exprs:
+    text = [c for c in fillable if c in order and c not in numeric]
+    if text:
+        sel = df.select(*[F.when(alive[c], F.col(f"`{c}`")).alias(c) for c in text])
+        found = {r["variable"]: r["value"] for r in modes(sel, text).collect()}
+        for c in text:
             stats[c] = found.get(c)
-    fills, rounding = {}, []
+    fills = {}
     for c in order:
         if c not in stats:
             continue
         if stats[c] is None:
             raise ValueError(f"column {c!r} has no values to impute from")
         fills[c] = stats[c]
-    for i, c in enumerate(integral_exprs):
-        if row[f"w{i}"] and c in fills:
-            rounding.append(c)
-    return ImputePlan(tuple(order), tuple(drops), fills, tuple(rounding))
+    return ImputePlan(tuple(order), tuple(drops), fills, tuple(c for c in rounding if c in fills))
 
 
 def impute(df: DataFrame, strategy: str = "mean", per_column: Mapping[str, str] | None = None) -> DataFrame:

@@ -85,8 +85,8 @@ class CleaningPlan:
         """One row: rows / null cells / outlier cells / straight-liners before and
         after, plus deltas. "Before" uses bounds and groups fitted on the raw frame;
         an outlier remains when its row survived with the original value."""
-        raw_bounds = O.fit_iqr_bounds(df)
-        raw_groups = O.fit_scale_groups(df, exclude=self.config.id_columns)
+        raw_groups, counts = O.fit_groups_and_counts(df, exclude=self.config.id_columns)
+        raw_bounds = O.fit_iqr_bounds(df, counts=counts)
         nulls = F.lit(0).cast("long")
         for c in df.columns:
             nulls = nulls + F.col(f"`{c}`").isNull().cast("long")
@@ -142,15 +142,16 @@ def fit_cleaning(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> Cl
     cfg = config
     drop_cols: list[str] = list(cfg.extra_drop)
     coerce_cols: list[str] = []
-    if cfg.structural:
-        issues = {r["variable"]: r["issue"] for r in P.structural_columns(df).collect()}
+    if cfg.structural:  # job 1: empty / sparse / mixed-type columns
+        issues, mixed = P.structure_report(df)
         drop_cols += [c for c, i in issues.items() if i == "empty" or (i == "sparse" and cfg.drop_sparse)]
         if cfg.coerce_mixed:
-            coerce_cols = [r["variable"] for r in P.mixed_type_columns(df).collect() if r["variable"] not in drop_cols]
+            coerce_cols = [c for c in mixed if c not in drop_cols]
     plan = CleaningPlan(cfg, list(df.columns), drop_cols, coerce_cols, O.IqrBounds({}), O.ScaleGroups({}), None)
     st = plan.structural(df)
-    plan.bounds = O.fit_iqr_bounds(st, numeric_columns(st))
-    plan.groups = O.fit_scale_groups(st, exclude=cfg.id_columns)
+    # job 2: scale groups + value counts; job 3: exact quartiles of every numeric column
+    plan.groups, counts = O.fit_groups_and_counts(st, exclude=cfg.id_columns)
+    plan.bounds = O.fit_iqr_bounds(st, numeric_columns(st), counts=counts)
     if cfg.impute:
         staged = CleaningPlan(cfg, plan.columns, drop_cols, coerce_cols, plan.bounds, plan.groups, None)
         pre = staged.transform(df)
