@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.quantiles import modes, quantiles
+from tessera.operators.quantiles import (SINGLE_TASK_LIMIT, _as_exprs, _long, _quantiles_from_counts, modes,
+                                        quantiles)
 
 DECILES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 # Shape interpretation thresholds and labels.
@@ -38,13 +39,26 @@ def _wide_to_long(df: DataFrame, columns: Sequence[str], by: Sequence[str],
 
 def central_tendency(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(by..., variable, mean, median, mode)`` over non-null values; the mode is
-    the smallest of the most frequent values."""
+    the smallest of the most frequent values.
+
+    When every variable fits the single-task limit, median and mode both come from
+    one distinct-value count table (one shuffle, reused by both); otherwise the
+    median uses the bucketed exact-quantile plan."""
     by = list(by)
     means = _wide_to_long(df, columns, by, {"mean": F.avg})
+    exprs = _as_exprs(df, columns)
+    counts = df.agg(*[F.count(e).alias(n) for n, e in exprs.items()]).first().asDict()
+    keys = by + ["variable"]
+    if max(counts.values(), default=0) <= SINGLE_TASK_LIMIT:
+        vc = _long(df, exprs, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+        med = (_quantiles_from_counts(vc.withColumn("bucket", F.lit(0)), by, [0.5], only_needed=False)
+               .select(*keys, F.col("value").alias("median")))
+        w = Window.partitionBy(*keys).orderBy(F.desc("cnt"), F.asc("value"))
+        mo = vc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*keys, F.col("value").alias("mode"))
+        return means.join(med, keys, "left").join(mo, keys, "left").select(*keys, "mean", "median", "mode")
     med = (quantiles(df, columns, [0.5], by=by)
            .select(*by, "variable", F.col("value").alias("median")))
     mo = modes(df, columns, by=by, value_type="double").select(*by, "variable", F.col("value").alias("mode"))
-    keys = by + ["variable"]
     return means.join(med, keys, "left").join(mo, keys, "left").select(*keys, "mean", "median", "mode")
 
 
