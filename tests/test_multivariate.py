@@ -109,3 +109,33 @@ def test_kendall_matches_brute_force(spark, limit):
     ys = [float(a + b) for a, b in zip(xs, rng.integers(0, 4, 150))]
     df = spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
     assert math.isclose(kendall_tau_b(df, "x", "y", single_task_limit=limit), _kendall_brute(xs, ys), rel_tol=1e-12)
+
+
+def _naive_ward(points):
+    clusters = {i: [i] for i in range(len(points))}
+    heights = []
+    while len(clusters) > 1:
+        best = None
+        keys = sorted(clusters)
+        for ia, a in enumerate(keys):
+            for b in keys[ia + 1:]:
+                pa, pb = points[clusters[a]], points[clusters[b]]
+                na, nb = len(pa), len(pb)
+                delta = na * nb / (na + nb) * np.sum((pa.mean(0) - pb.mean(0)) ** 2)
+                if best is None or delta < best[0]:
+                    best = (delta, a, b)
+        delta, a, b = best
+        heights.append(math.sqrt(2 * delta))
+        clusters[a] = clusters[a] + clusters.pop(b)
+    return heights
+
+
+def test_lance_williams_ward_matches_naive():
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(25, 3))
+    merges, history = K._agglomerate(pts, np.ones(len(pts)), "ward")
+    assert np.allclose([m[2] for m in merges], _naive_ward(pts), rtol=1e-10)
+    assert len(history[-1]) == 1 and sorted(next(iter(history[-1].values()))) == list(range(25))
+    # weighted points: merging two coincident unit points equals one point of weight 2
+    w_merges, _ = K._agglomerate(np.array([[0.0], [3.0]]), np.array([2.0, 1.0]), "ward")
+    assert math.isclose(w_merges[0][2], math.sqrt(2 * (2 * 1 / 3) * 9.0))
