@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import numeric_columns
 from tessera.functions.distributions import chi2_sf, normal_sf
-from tessera.operators.moments import moments
+from tessera.operators.moments import SALTS, moments
 
 COLLINEAR = 0.95        # fixed: |r| above this drops the later column
 EDGE_THRESHOLD = 0.4    # fixed: path-diagram edges at |loading| >= 0.4
@@ -253,7 +253,11 @@ def bootstrap_moments(df: DataFrame, columns: Sequence[str], fill: dict, replica
     aggs += [F.sum(F.col("_w") * F.col(f"_x{i}")).alias(f"s{i}") for i in range(p)]
     aggs += [F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"q{i}_{j}")
              for i in range(p) for j in range(i, p)]
-    rows = exploded.groupBy("_b").agg(*aggs).collect()
+    # two levels (replicate x partition salt, then replicate) so no single task
+    # receives every partition's partial buffer for a replicate
+    exploded = exploded.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    level1 = exploded.groupBy("_b", "_salt").agg(*aggs)
+    rows = level1.groupBy("_b").agg(*[F.sum(c).alias(c) for c in level1.columns if c not in ("_b", "_salt")]).collect()
     out = {}
     for r in rows:
         n = r["n"]

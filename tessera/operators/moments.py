@@ -1,9 +1,9 @@
-"""Grouped first and second moments in one aggregation job.
+"""Grouped first and second moments.
 
 Factor analysis, LDA, Box's M and Pearson correlation all need only ``n``, the mean
-vector and the covariance matrix of each group. Spark computes them with
-``avg``/``covar_samp`` (stable pairwise-merge co-moments, partial aggregation before
-the shuffle); the p x p algebra afterwards runs on the driver."""
+vector and the covariance matrix of each group. Spark computes count, sums and
+cross-product sums of mean-shifted values (shifting keeps the sums accurate) in a
+two-level aggregation; the p x p algebra afterwards runs on the driver."""
 
 from __future__ import annotations
 
@@ -35,41 +35,69 @@ class Moments:
         return r
 
 
-def _aggs(columns: Sequence[str]):
-    p = len(columns)
-    xs = [F.col(f"`{c}`").cast("double") for c in columns]
-    out = [F.count(F.lit(1)).alias("_n")]
-    out += [F.avg(x).alias(f"_m{i}") for i, x in enumerate(xs)]
-    for i in range(p):
-        for j in range(i, p):
-            out.append(F.covar_samp(xs[i], xs[j]).alias(f"_c{i}_{j}"))
-    return out
+SALTS = 64  # first-level groups of the two-level aggregation
 
 
-def _to_moments(row, columns: Sequence[str]) -> Moments:
+def _sums(df: DataFrame, columns: Sequence[str], by: Sequence[str], shift: Sequence[float]):
+    """Count, sums and cross-product sums of (x - shift), aggregated in two levels:
+    first per (by..., partition salt) so partial buffers spread over ``SALTS``
+    reducers, then per group over at most ``SALTS`` rows. A plain global aggregate
+    would send every partition's p(p+1)/2-wide buffer to a single task."""
+    p = len(columns)
+    dx = [F.col(f"`{c}`").cast("double") - F.lit(float(s)) for c, s in zip(columns, shift)]
+    base = df.select(*by, *[d.alias(f"_d{i}") for i, d in enumerate(dx)],
+                     F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"))
+    names = ["_n"] + [f"_s{i}" for i in range(p)] + [f"_q{i}_{j}" for i in range(p) for j in range(i, p)]
+    exprs = [F.count(F.lit(1))] + [F.sum(f"_d{i}") for i in range(p)] + [
+        F.sum(F.col(f"_d{i}") * F.col(f"_d{j}")) for i in range(p) for j in range(i, p)]
+    level1 = base.groupBy(*by, "_salt").agg(*[e.alias(n) for e, n in zip(exprs, names)],
+                                            *[F.min(f"_d{i}").alias(f"_lo{i}") for i in range(p)],
+                                            *[F.max(f"_d{i}").alias(f"_hi{i}") for i in range(p)])
+    return level1.groupBy(*by).agg(*[F.sum(n).alias(n) for n in names],
+                                   *[F.min(f"_lo{i}").alias(f"_lo{i}") for i in range(p)],
+                                   *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in range(p)])
+
+
+def _to_moments(row, columns: Sequence[str], shift: Sequence[float]) -> Moments:
     p = len(columns)
     n = int(row["_n"])
-    mean = np.array([row[f"_m{i}"] if row[f"_m{i}"] is not None else np.nan for i in range(p)], dtype=float)
-    cov = np.full((p, p), np.nan)
+    s = np.array([row[f"_s{i}"] for i in range(p)], dtype=float)
+    q = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
-            v = row[f"_c{i}_{j}"]
-            cov[i, j] = cov[j, i] = np.nan if v is None else v
+            q[i, j] = q[j, i] = row[f"_q{i}_{j}"]
+    mean = np.asarray(shift, dtype=float) + s / n
+    cov = (q - np.outer(s, s) / n) / (n - 1) if n > 1 else np.full((p, p), np.nan)
+    for i in range(p):  # a constant column has exactly zero (co)variance
+        if n > 1 and row[f"_lo{i}"] == row[f"_hi{i}"]:
+            cov[i, :] = 0.0
+            cov[:, i] = 0.0
     return Moments(list(columns), n, mean, cov)
 
 
+def _shift(clean: DataFrame, columns: Sequence[str]) -> list[float]:
+    row = clean.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return [row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i in range(len(columns))]
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
-    """Moments over rows complete in ``columns``."""
+    """Moments over rows complete in ``columns`` (two jobs: a mean shift for accuracy,
+    then the shifted sums)."""
     clean = df.dropna(subset=list(columns))
-    return _to_moments(clean.agg(*_aggs(columns)).first(), columns)
+    shift = _shift(clean, columns)
+    row = _sums(clean, columns, [], shift).first()
+    if row is None or not row["_n"]:
+        return Moments(list(columns), 0, np.full(len(columns), np.nan), np.full((len(columns),) * 2, np.nan))
+    return _to_moments(row, columns, shift)
 
 
 def grouped_moments(df: DataFrame, columns: Sequence[str], by: str) -> dict:
-    """``{group: Moments}`` over rows complete in ``columns`` and ``by`` (one job; the
-    result has one row per group)."""
+    """``{group: Moments}`` over rows complete in ``columns`` and ``by`` (the result
+    has one row per group)."""
     clean = df.dropna(subset=list(columns) + [by])
-    rows = clean.groupBy(by).agg(*_aggs(columns)).collect()
-    return {r[by]: _to_moments(r, columns) for r in rows}
+    shift = _shift(clean, columns)
+    rows = _sums(clean, columns, [by], shift).collect()
+    return {r[by]: _to_moments(r, columns, shift) for r in rows}
 
 
 def pooled(groups: dict) -> Moments:

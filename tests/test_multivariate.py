@@ -139,3 +139,13 @@ def test_lance_williams_ward_matches_naive():
     # weighted points: merging two coincident unit points equals one point of weight 2
     w_merges, _ = K._agglomerate(np.array([[0.0], [3.0]]), np.array([2.0, 1.0]), "ward")
     assert math.isclose(w_merges[0][2], math.sqrt(2 * (2 * 1 / 3) * 9.0))
+
+
+def test_moments_exact_zero_variance_for_awkward_constant(spark):
+    from tessera.operators.moments import grouped_moments, moments
+    df = spark.createDataFrame([(0.1, float(i), "a" if i % 2 else "b") for i in range(7)], "c double, x double, g string")
+    m = moments(df, ["c", "x"])
+    assert m.cov[0, 0] == 0.0 and m.cov[0, 1] == 0.0 and math.isclose(m.cov[1, 1], np.var(range(7), ddof=1))
+    assert math.isnan(m.corr()[0, 1])
+    g = grouped_moments(df, ["c", "x"], "g")
+    assert g["a"].cov[0, 0] == 0.0 and g["a"].n == 3
