@@ -18,12 +18,16 @@ from tessera.operators.quantiles import value_ranks
 
 def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Replace a text column by the index of its value in the sorted list of distinct
-    values (NULL -> -1). The code table comes from a distributed sort and
-    ``zipWithIndex`` and is joined back (Spark broadcasts it when it is small)."""
-    spark = df.sparkSession
-    levels = df.select(F.col(column).alias("_lvl")).where(F.col("_lvl").isNotNull()).distinct().orderBy("_lvl")
-    codes = spark.createDataFrame(levels.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])),
-                                  f"_lvl {df.schema[column].dataType.simpleString()}, _code long")
+    values (NULL -> -1). Distinct values are range-sorted by Spark and checkpointed
+    (the range bounds come from sampling, so the sorted order is pinned before it is
+    numbered); the dense index is the JVM-only partition-offset numbering of
+    ``with_row_id``. The code table is joined back (broadcast when small)."""
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources.io import ROW_ID, with_row_id
+    ensure_checkpoint_dir(df.sparkSession)
+    levels = (df.select(F.col(column).alias("_lvl")).where(F.col("_lvl").isNotNull()).distinct()
+                .orderBy("_lvl").checkpoint(eager=True))
+    codes = with_row_id(levels).withColumnRenamed(ROW_ID, "_code")
     out = df.join(codes, df[column].eqNullSafe(codes["_lvl"]), "left")
     return out.withColumn(name or column, F.coalesce(F.col("_code"), F.lit(-1)).cast("long")).drop("_lvl", "_code")
 
