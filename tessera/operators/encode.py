@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ class OneHotModel:
 
 
 def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> OneHotModel:
-    """Learn the sorted distinct values of each column (one aggregation; each set is
-    bounded by the low-cardinality rule, checked against ``MAX_DUMMY_LEVELS``)."""
+    """Learn the sorted distinct values of each column: a size guard, then one
+    distributed ``distinct`` whose result is bounded by ``MAX_DUMMY_LEVELS`` per column."""
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return OneHotModel({})
@@ -40,8 +41,18 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> OneHotModel:
     big = [c for c, n in guard.items() if n > MAX_DUMMY_LEVELS]
     if big:
         raise ValueError(f"too many levels to one-hot encode: {big}")
-    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
-    return OneHotModel({c: tuple(row[c]) for c in cols})
+    # distinct levels by a distributed group-by (a global collect_set would merge one
+    # set per partition in a single task); the result is bounded by the guard above
+    # levels travel as text with the typed value beside them (one row per level)
+    items = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("level"),
+                      F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias("typed"))
+             for c in cols]
+    found = (df.select(F.explode(F.array(*items)).alias("_kv")).select("_kv.*")
+               .where(F.col("level").isNotNull()).distinct().collect())
+    levels: dict[str, list] = {c: [] for c in cols}
+    for r in found:
+        levels[r["variable"]].append(json.loads(r["typed"])["v"])
+    return OneHotModel({c: tuple(sorted(levels[c])) for c in cols})
 
 
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None,

@@ -26,6 +26,16 @@ from pyspark.sql import functions as F
 SINGLE_TASK_LIMIT = 5_000_000
 MAX_BUCKETS = 4096
 TARGET_BUCKET_ROWS = 1_000_000
+SPLIT_SAMPLE_ROWS = 400_000   # rows sampled to place bucket boundaries (balance only)
+
+
+def _split_sample(df: DataFrame, n_rows: int) -> DataFrame:
+    """Seeded Bernoulli sample of about ``SPLIT_SAMPLE_ROWS`` rows. Split points only
+    balance the buckets (exactness never depends on them), and sketching a bounded
+    sample keeps every partition's partial sketch tiny - a global sketch over the
+    full data would merge one large buffer per partition in a single task."""
+    frac = min(1.0, SPLIT_SAMPLE_ROWS / max(1, n_rows))
+    return df if frac >= 1.0 else df.sample(withReplacement=False, fraction=frac, seed=17)
 
 
 def _as_exprs(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> dict[str, Column]:
@@ -76,8 +86,8 @@ def _bucketed_counts(df: DataFrame, exprs: Mapping[str, Column], by: list[str],
     n_max = max(counts.values())
     buckets = int(min(max_buckets, max(2, math.ceil(n_max / TARGET_BUCKET_ROWS))))
     grid = [i / buckets for i in range(1, buckets)]
-    sketch = df.agg(*[F.percentile_approx(e, grid, 4 * buckets).alias(n)
-                      for n, e in exprs.items()]).first().asDict()
+    sketch = _split_sample(df, n_max).agg(*[F.percentile_approx(e, grid, 4 * buckets).alias(n)
+                                            for n, e in exprs.items()]).first().asDict()
     splits = []
     for n in names:
         inner = sorted(set(x for x in (sketch[n] or []) if x is not None and math.isfinite(x)))
@@ -200,7 +210,7 @@ def grouped_below(cells: DataFrame, keys: Sequence[str], single_task_limit: int
         return cells.withColumn("below", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
     buckets = int(min(max_buckets, max(2, math.ceil(biggest / TARGET_BUCKET_ROWS))))
     grid = [i / buckets for i in range(1, buckets)]
-    sk = cells.agg(F.percentile_approx("value", grid, 4 * buckets)).first()[0] or []
+    sk = _split_sample(cells, biggest).agg(F.percentile_approx("value", grid, 4 * buckets)).first()[0] or []
     splits = [-math.inf] + sorted(set(x for x in sk if x is not None and math.isfinite(x))) + [math.inf]
     b = Bucketizer(splits=splits, inputCol="value", outputCol="_bk", handleInvalid="keep")
     vb = b.transform(cells)
