@@ -152,11 +152,10 @@ def box_points(df: DataFrame, column: str, key: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
-    """Deterministic sample of ``n`` rows: order by a seeded hash and take the first
-    ``n`` (planned as a distributed top-k, each partition keeps at most ``n``)."""
-    cols = list(key) if key else df.columns
-    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols])
-    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")
+    """Deterministic sample of ``n`` rows: the first ``n`` by a seeded row hash
+    (a distributed top-k, each partition keeps at most ``n``)."""
+    from tessera.operators.sampling import first_k
+    return first_k(df, n, seed, key)
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, n: int = 3000, seed: int = 42,

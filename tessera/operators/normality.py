@@ -83,18 +83,15 @@ def shapiro_w(x: np.ndarray) -> tuple[float, float]:
 def shapiro_wilk(df: DataFrame, column: str, by: Sequence[str] = (), seed: int = 42,
                  max_n: int = SHAPIRO_MAX, key: Sequence[str] | None = None) -> DataFrame:
     """``(by..., n_tested, shapiro_w, shapiro_p)`` per series. The sample is the first
-    ``max_n`` values by a seeded row hash (a WindowGroupLimit top-k, so no series
-    is ever collected whole)."""
+    ``max_n`` values by a seeded row hash (``sampling.first_k``: thinned by a hash
+    threshold before the per-series window, so no series is sorted whole); the test
+    itself runs per series on that bounded sample."""
+    from tessera.operators.sampling import first_k
     by = list(by)
     x = F.col(column).cast("double")
     cols = list(key) if key else df.columns
-    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols])
-    base = df.where(x.isNotNull()).select(*by, x.alias("_x"), h.alias("_h"))
-    if by:  # per-series top-k: partial WindowGroupLimit before the shuffle
-        w = Window.partitionBy(*by).orderBy("_h")
-        sample = base.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_n).select(*by, "_x")
-    else:   # global top-k: TakeOrderedAndProject (each partition keeps max_n)
-        sample = base.orderBy("_h").limit(max_n).select("_x")
+    base = df.where(x.isNotNull()).select(*dict.fromkeys(by + cols), x.alias("_x"))
+    sample = first_k(base, max_n, seed, cols, by).select(*by, "_x")
     schema = ", ".join([f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by] +
                        ["n_tested long", "shapiro_w double", "shapiro_p double"])
 

@@ -149,3 +149,16 @@ def test_moments_exact_zero_variance_for_awkward_constant(spark):
     assert math.isnan(m.corr()[0, 1])
     g = grouped_moments(df, ["c", "x"], "g")
     assert g["a"].cov[0, 0] == 0.0 and g["a"].n == 3
+
+
+def test_first_k_thinning_is_exact(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tessera.operators.sampling import first_k, hash_key
+    df = spark.range(0, 5000).select("id", (F.col("id") % 3).alias("g"))
+    got = first_k(df, 700, 42, ["id"], by=["g"])
+    keyed = df.withColumn("_u", hash_key(42, ["id"])).withColumn("_h", F.xxhash64(F.lit(43), F.col("id")))
+    w = Window.partitionBy("g").orderBy("_u", "_h")
+    want = keyed.withColumn("rn", F.row_number().over(w)).where("rn <= 700").select("id", "g")
+    assert sorted(map(tuple, got.select("id", "g").collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 2100
