@@ -176,3 +176,33 @@ def q_box_m_embeddings(spark, sf_dir):
     res = D.box_m_test(emb, "label", EMB)
     return spark.createDataFrame([(res["statistic_m"], res["df"], res["p_value"], res["interpretation"])],
                                  "statistic_m double, df double, p_value double, interpretation string")
+
+
+# ---------------------------------------------------------------- 2-predictor closed forms
+
+@register("lda_eigenvalues_lineitem", _LDA_CTE + """
+, ws as (select sum((n - 1) * vx) as a, sum((n - 1) * cxy) as b, sum((n - 1) * vy) as d from gs),
+bs as (select sum(gs.n * (mx - xb) * (mx - xb)) as e, sum(gs.n * (mx - xb) * (my - yb)) as f,
+              sum(gs.n * (my - yb) * (my - yb)) as h from gs, tot),
+m as (select (d * e - b * f) / (a * d - b * b) as m11, (d * f - b * h) / (a * d - b * b) as m12,
+             (-b * e + a * f) / (a * d - b * b) as m21, (-b * f + a * h) / (a * d - b * b) as m22 from ws, bs),
+ev as (select (m11 + m22) / 2 + sqrt(((m11 + m22) / 2) * ((m11 + m22) / 2) - (m11 * m22 - m12 * m21)) as l1,
+              (m11 + m22) / 2 - sqrt(((m11 + m22) / 2) * ((m11 + m22) / 2) - (m11 * m22 - m12 * m21)) as l2 from m)
+select 1 as function, round(l1, 9) as eigenvalue, round(l1 / (l1 + l2), 9) as explained_variance from ev
+union all
+select 2, round(l2, 9), round(l2 / (l1 + l2), 9) from ev""")
+def q_lda_eigenvalues_lineitem(spark, sf_dir):
+    model, _ = _scored(spark, sf_dir)
+    t = model.eigen_table(spark)
+    return t.select(F.col("function").cast("int").alias("function"), F.round("eigenvalue", 9).alias("eigenvalue"),
+                    F.round("explained_variance", 9).alias("explained_variance"))
+
+
+@register("predictor_importance_lineitem", _LDA_CTE + """
+, imp as (select 'l_quantity' as variable, abs(avg(cx)) as importance from cls
+          union all select 'l_discount', abs(avg(cy)) from cls)
+select cast(row_number() over (order by importance desc) as integer) as rank, variable,
+       round(importance, 6) as importance from imp""")
+def q_predictor_importance_lineitem(spark, sf_dir):
+    model, _ = _scored(spark, sf_dir)
+    return rounded(model.importance(spark))
