@@ -157,7 +157,7 @@ def ks_normal(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
                                     F.stddev_samp("value").alias("std"))
     cells = base.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = grouped_below(cells, keys).join(stats, keys)
-    cdf = _normal_cdf((F.col("value") - F.col("mean")) / F.col("std"))
+    cdf = _normal_cdf(F.try_divide(F.col("value") - F.col("mean"), F.col("std")))  # std 0 / NULL -> NULL
     gaps = ranked.select(*keys, "n", "mean", "std",
                          F.greatest((F.col("below") + F.col("cnt")) / F.col("n") - cdf,
                                     cdf - F.col("below") / F.col("n")).alias("_gap"))

@@ -180,9 +180,9 @@ def row_variance_at_most(columns: Sequence[str], threshold: float = 0.0) -> Colu
     if threshold == 0.0:
         return enough & (F.array_min(a) == F.array_max(a))
     n = F.size(a).cast("double")
-    mean = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / n
+    mean = F.try_divide(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x), n)
     ss = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return enough & (ss / (n - 1) <= F.lit(threshold))
+    return enough & F.coalesce(F.try_divide(ss, n - 1) <= F.lit(threshold), F.lit(False))
 
 
 def straightliners(df: DataFrame, groups: ScaleGroups, threshold: float = 0.0) -> DataFrame:

@@ -167,7 +167,7 @@ def mixed_type_columns(df: DataFrame, columns: Sequence[str] | None = None) -> D
     items = [F.struct(F.lit(c).alias("variable"), F.col(f"c{i}").alias("n_non_null"),
                       F.col(f"p{i}").alias("n_numeric")) for i, c in enumerate(cols)]
     out = one.select(F.inline(F.array(*items)))
-    out = out.withColumn("success_rate", F.col("n_numeric") / F.col("n_non_null"))
+    out = out.withColumn("success_rate", F.try_divide(F.col("n_numeric"), F.col("n_non_null")))
     return out.where((F.col("n_numeric") > 0) & (F.col("success_rate") > MIXED_SUCCESS) &
                      (F.col("n_numeric") < F.col("n_non_null")))
 

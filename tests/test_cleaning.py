@@ -104,3 +104,17 @@ def test_mixed_type_detection_guarded_parse(spark):
     assert r["n_non_null"] == 7 and r["n_numeric"] == 5
     bad = {x["value"] for x in P.mixed_type_rows(df, ["t"], "id").collect()}
     assert bad == {"12d", "n/d"}
+
+
+def test_degenerate_inputs_do_not_divide_by_zero(spark):
+    from tessera.operators import discriminant as D
+    from tessera.operators.normality import ks_normal
+    const = spark.createDataFrame([("a", 5.0), ("a", 5.0), ("b", 1.0), ("b", 2.0)], "g string, x double")
+    ks = {r["g"]: r for r in ks_normal(const, "x", ["g"]).collect()}
+    assert ks["a"]["ks_statistic"] is None and ks["b"]["ks_statistic"] is not None
+    empty_text = spark.createDataFrame([(1, None), (2, None)], "id long, t string")
+    assert P.mixed_type_columns(empty_text).count() == 0
+    cents = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 1.0)], "group string, variable string, mean double")
+    assert [r["scaled"] for r in D.centroid_profile(cents).collect()] == [None, None]
+    rows = spark.createDataFrame([(1, 3.0, None, None)], "id long, q1 double, q2 double, q3 double")
+    assert O.straightliners(rows, O.ScaleGroups({"g": ("q1", "q2", "q3")}), threshold=0.5).count() == 0
