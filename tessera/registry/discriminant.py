@@ -206,3 +206,27 @@ select cast(row_number() over (order by importance desc) as integer) as rank, va
 def q_predictor_importance_lineitem(spark, sf_dir):
     model, _ = _scored(spark, sf_dir)
     return rounded(model.importance(spark))
+
+
+def _box_by_flag_sql(c: str) -> str:
+    return f"""
+select '{c}' as variable, l_returnflag, count(*) as n, round(q1, 6) as q1, round(median, 6) as median,
+  round(q3, 6) as q3, round(lf, 6) as lower_fence, round(uf, 6) as upper_fence,
+  round(min({c}) filter (where {c} >= lf and {c} <= uf), 6) as whisker_low,
+  round(max({c}) filter (where {c} >= lf and {c} <= uf), 6) as whisker_high,
+  count(*) filter (where {c} < lf or {c} > uf) as n_outliers
+from lineitem join (
+  select l_returnflag, q1, median, q3, q1 - 1.5 * (q3 - q1) as lf, q3 + 1.5 * (q3 - q1) as uf from (
+    select l_returnflag, quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as median,
+           quantile_cont({c}, 0.75) as q3 from lineitem
+    where l_returnflag is not null and l_quantity is not null and l_discount is not null group by l_returnflag)
+) f using (l_returnflag)
+where l_quantity is not null and l_discount is not null
+group by l_returnflag, q1, median, q3, lf, uf"""
+
+
+@register("discriminant_boxes", "\nunion all\n".join(_box_by_flag_sql(c) for c in PRED))
+def q_discriminant_boxes(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(*KEYS, TARGET, *PRED)
+    model = D.fit_lda(li, TARGET, PRED)
+    return rounded(D.predictor_boxes(model, li))
