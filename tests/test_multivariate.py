@@ -162,3 +162,12 @@ def test_first_k_thinning_is_exact(spark):
     want = keyed.withColumn("rn", F.row_number().over(w)).where("rn <= 700").select("id", "g")
     assert sorted(map(tuple, got.select("id", "g").collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == 2100
+
+
+def test_lda_scalings_whiten_within_and_compat_eigenvalues(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select("l_returnflag", "l_quantity", "l_discount", "l_tax")
+    m = D.fit_lda(li, "l_returnflag", ["l_quantity", "l_discount", "l_tax"])
+    s = m.scalings
+    assert np.allclose(s.T @ m.within @ s, np.eye(s.shape[1]), atol=1e-8)  # unit within-class variance
+    ev = [r["eigenvalue"] for r in m.eigen_table(spark, compat=True).collect()]
+    assert len(ev) == 2 and ev[0] >= ev[1] > 0
