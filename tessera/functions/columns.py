@@ -22,6 +22,11 @@ CSV_NULL_TOKENS = ["", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None",
                    "#NA", "-nan", "-NaN", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN", "#N/A N/A"]
 
 
+def col(name: str) -> Column:
+    """Column by exact name (quoted, so dots, spaces and backticks are literal)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_numeric_type(dt: T.DataType, include_bool: bool = False) -> bool:
     if include_bool and isinstance(dt, T.BooleanType):
         return True
@@ -60,7 +65,7 @@ def to_number(c: Column | str) -> Column:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Map NaN to NULL on every float column (missing values are one thing)."""
-    fixes = {f.name: F.when(F.isnan(f.name), F.lit(None).cast(f.dataType)).otherwise(F.col(f.name))
+    fixes = {f.name: F.when(F.isnan(col(f.name)), F.lit(None).cast(f.dataType)).otherwise(col(f.name))
              for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     return df.withColumns(fixes) if fixes else df
 
@@ -68,7 +73,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def long_format(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
                 value_type: str = "double", drop_nulls: bool = True) -> DataFrame:
     """Wide -> (keep..., variable, value) without a shuffle (explode of structs)."""
-    items = [F.struct(F.lit(c).alias("variable"), F.col(c).cast(value_type).alias("value"))
+    items = [F.struct(F.lit(c).alias("variable"), col(c).cast(value_type).alias("value"))
              for c in columns]
     out = df.select(*keep, F.explode(F.array(*items)).alias("_kv")).select(*keep, "_kv.variable",
                                                                           "_kv.value")
@@ -78,14 +83,14 @@ def long_format(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
 def any_null(columns: Sequence[str]) -> Column:
     cond = F.lit(False)
     for c in columns:
-        cond = cond | F.col(c).isNull()
+        cond = cond | col(c).isNull()
     return cond
 
 
 def all_not_null(columns: Sequence[str]) -> Column:
     cond = F.lit(True)
     for c in columns:
-        cond = cond & F.col(c).isNotNull()
+        cond = cond & col(c).isNotNull()
     return cond
 
 

@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns
+from tessera.functions.columns import col, numeric_columns
 from tessera.operators.encode import ZScoreModel, fit_zscore
 
 K_MAX = 10            # fixed: elbow curve k = 1..10
@@ -209,7 +209,7 @@ def hierarchical(prep: Prepared, k: int, linkage: str = "ward", micro: int = MIC
 def cluster_profiles(labelled: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
     """Mean of each original variable per cluster, long form ordered by numeric
     cluster then variable: ``(cluster, variable, mean)``."""
-    means = labelled.groupBy(label).agg(*[F.avg(c).alias(c) for c in columns])
+    means = labelled.groupBy(label).agg(*[F.avg(col(c)).alias(c) for c in columns])
     long = means.select(F.col(label).cast("string").alias("cluster"),
                         F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double")
                                                     .alias("mean")) for c in columns])))

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns, text_columns
+from tessera.functions.columns import col, numeric_columns, text_columns
 from tessera.operators.moments import moments
 from tessera.operators.quantiles import value_ranks
 
@@ -67,7 +67,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
         return cols, moments(rank_columns(data, cols), cols).corr()
     if method == "kendall":
         m = np.eye(len(cols))
-        sd = data.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
+        sd = data.agg(*[F.stddev_pop(col(c)).alias(c) for c in cols]).first()
         for i in range(len(cols)):
             for j in range(i + 1, len(cols)):
                 m[i, j] = m[j, i] = kendall_tau_b(data, cols[i], cols[j])

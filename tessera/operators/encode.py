@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import is_numeric_type, numeric_columns
+from tessera.functions.columns import col, is_numeric_type, numeric_columns
 
 MAX_DUMMY_LEVELS = 1000  # guard: one-hot is meant for low-cardinality columns
 
@@ -37,7 +37,7 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> OneHotModel:
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return OneHotModel({})
-    guard = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict()
+    guard = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in cols]).first().asDict()
     big = [c for c, n in guard.items() if n > MAX_DUMMY_LEVELS]
     if big:
         raise ValueError(f"too many levels to one-hot encode: {big}")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns
+from tessera.functions.columns import col, numeric_columns
 from tessera.functions.distributions import chi2_sf, normal_sf
 from tessera.operators.moments import SALTS, moments
 
@@ -40,9 +40,9 @@ def prepare_factor_input(df: DataFrame, columns: Sequence[str] | None = None) ->
     """Numeric columns, all-null ones dropped, NULL -> column mean, constant columns
     dropped; at least two must remain (one aggregation job)."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.min(c).cast("double").alias(f"a{i}") for i, c in enumerate(cols)],
-                 *[F.max(c).cast("double").alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.min(col(c)).cast("double").alias(f"a{i}") for i, c in enumerate(cols)],
+                 *[F.max(col(c)).cast("double").alias(f"b{i}") for i, c in enumerate(cols)]).first()
     keep, means = [], {}
     for i, c in enumerate(cols):
         if row[f"m{i}"] is None or row[f"a{i}"] == row[f"b{i}"]:

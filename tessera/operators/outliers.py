@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns
+from tessera.functions.columns import col, numeric_columns
 from tessera.operators.quantiles import quantile_map
 
 IQR_FACTOR = 1.5        # fixed: fences at Q1 - 1.5 IQR and Q3 + 1.5 IQR
@@ -156,8 +156,8 @@ def fit_groups_and_counts(df: DataFrame, columns: Sequence[str] | None = None,
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=exclude)
     cols = [c for c in cols if c not in set(exclude)]
     aggs = [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(every)]
-    aggs += [F.min(c).cast("double").alias(f"a{i}") for i, c in enumerate(cols)]
-    aggs += [F.max(c).cast("double").alias(f"b{i}") for i, c in enumerate(cols)]
+    aggs += [F.min(col(c)).cast("double").alias(f"a{i}") for i, c in enumerate(cols)]
+    aggs += [F.max(col(c)).cast("double").alias(f"b{i}") for i, c in enumerate(cols)]
     if not aggs:
         return ScaleGroups({}), {}
     row = df.agg(*aggs).first()

@@ -23,6 +23,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import col
+
 SINGLE_TASK_LIMIT = 5_000_000
 MAX_BUCKETS = 4096
 TARGET_BUCKET_ROWS = 1_000_000
@@ -41,7 +43,7 @@ def _split_sample(df: DataFrame, n_rows: int) -> DataFrame:
 def _as_exprs(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> dict[str, Column]:
     if isinstance(columns, Mapping):
         return {k: v.cast("double") for k, v in columns.items()}
-    return {c: F.col(c).cast("double") for c in columns}
+    return {c: col(c).cast("double") for c in columns}
 
 
 def _long(df: DataFrame, exprs: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
@@ -166,7 +168,7 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     filter that Spark plans as a partial WindowGroupLimit before the shuffle."""
     by = list(by)
     vt = value_type or "string"
-    long = _long(df, {c: F.col(c).cast(vt) for c in columns}, by)
+    long = _long(df, {c: col(c).cast(vt) for c in columns}, by)
     vc = long.groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy(*by, "variable").orderBy(F.desc("count"), F.asc("value"))
     return vc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

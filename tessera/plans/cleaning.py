@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import is_numeric_type, numeric_columns
+from tessera.functions.columns import col, is_numeric_type, numeric_columns
 from tessera.operators import outliers as O
 from tessera.operators import profile as P
 from tessera.operators.repair import ImputePlan, coerce_numeric, drop_columns, fit_impute
@@ -54,8 +54,8 @@ class CleaningPlan:
 
     def _marked(self, df: DataFrame) -> DataFrame:
         """Structural frame + hidden original values and flags (before any change)."""
-        st = self.structural(df.select(*[F.col(f"`{c}`") for c in df.columns],
-                                       *[F.col(f"`{c}`").alias(f"{_HIDDEN}o_{c}") for c in self.bounds.columns]))
+        st = self.structural(df.select(*[col(c) for c in df.columns],
+                                       *[col(c).alias(f"{_HIDDEN}o_{c}") for c in self.bounds.columns]))
         extra = {f"{_HIDDEN}f_{c}": self.bounds.flag(c) for c in self.bounds.columns}
         extra[f"{_HIDDEN}sl"] = self.groups.flag(self.config.straightline_threshold)
         extra[f"{_HIDDEN}any"] = self.bounds.any_flag()
@@ -66,19 +66,19 @@ class CleaningPlan:
         out = self._marked(df)
         if cfg.outliers and cfg.outlier_action != "ignore":
             if cfg.outlier_action == "drop":
-                out = out.where(~F.col(f"{_HIDDEN}any"))
+                out = out.where(~col(f"{_HIDDEN}any"))
             else:
-                out = out.withColumns({c: F.when(F.col(f"{_HIDDEN}f_{c}"), F.lit(None)).otherwise(F.col(f"`{c}`"))
+                out = out.withColumns({c: F.when(col(f"{_HIDDEN}f_{c}"), F.lit(None)).otherwise(col(c))
                                        for c in self.bounds.columns})
         if cfg.straightline and cfg.straightline_action == "drop":
-            out = out.where(~F.col(f"{_HIDDEN}sl"))
+            out = out.where(~col(f"{_HIDDEN}sl"))
         if cfg.impute and self.impute_plan is not None:
             out = self.impute_plan.transform(out)
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self._apply(df)
-        return out.select(*[F.col(f"`{c}`") for c in out.columns if not c.startswith(_HIDDEN)])
+        return out.select(*[col(c) for c in out.columns if not c.startswith(_HIDDEN)])
 
     # -- reporting ------------------------------------------------------------
     def report(self, df: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ class CleaningPlan:
         raw_bounds = O.fit_iqr_bounds(df, counts=counts)
         nulls = F.lit(0).cast("long")
         for c in df.columns:
-            nulls = nulls + F.col(f"`{c}`").isNull().cast("long")
+            nulls = nulls + col(c).isNull().cast("long")
         outs = F.lit(0).cast("long")
         for c in raw_bounds.columns:
             outs = outs + raw_bounds.flag(c).cast("long")
@@ -101,16 +101,16 @@ class CleaningPlan:
         types = {f.name: f.dataType for f in df.schema.fields}
         null_after = F.lit(0).cast("long")
         for c in visible:
-            null_after = null_after + F.col(f"`{c}`").isNull().cast("long")
+            null_after = null_after + col(c).isNull().cast("long")
         remain = F.lit(0).cast("long")
         for c in self.bounds.columns:
             if c not in visible or c in self.coerce_cols or not is_numeric_type(types[c]):
                 continue
-            same = F.coalesce(F.col(f"`{c}`").cast("double") == F.col(f"{_HIDDEN}o_{c}").cast("double"), F.lit(False))
-            remain = remain + (F.col(f"{_HIDDEN}f_{c}") & same).cast("long")
+            same = F.coalesce(col(c).cast("double") == col(f"{_HIDDEN}o_{c}").cast("double"), F.lit(False))
+            remain = remain + (col(f"{_HIDDEN}f_{c}") & same).cast("long")
         after = final.agg(F.count(F.lit(1)).alias("rows_after"), F.sum(null_after).cast("long").alias("nulls_after"),
                           F.coalesce(F.sum(remain), F.lit(0)).cast("long").alias("outliers_after"),
-                          F.count_if(F.col(f"{_HIDDEN}sl")).alias("straightliners_after"))
+                          F.count_if(col(f"{_HIDDEN}sl")).alias("straightliners_after"))
         both = before.crossJoin(after)  # two single-row aggregates
         return both.select(
             "rows_before", "rows_after", (F.col("rows_after") - F.col("rows_before")).alias("rows_delta"),
@@ -127,12 +127,12 @@ class CleaningPlan:
         visible = [c for c in final.columns if not c.startswith(_HIDDEN) and c != id_col]
         items = []
         for c in visible:
-            state = F.when(F.col(f"`{c}`").isNull(), F.lit("null"))
+            state = F.when(col(c).isNull(), F.lit("null"))
             if c in self.bounds.columns and c not in self.coerce_cols:
-                same = F.coalesce(F.col(f"`{c}`").cast("double") == F.col(f"{_HIDDEN}o_{c}").cast("double"),
+                same = F.coalesce(col(c).cast("double") == col(f"{_HIDDEN}o_{c}").cast("double"),
                                   F.lit(False))
-                state = state.when(F.col(f"{_HIDDEN}f_{c}") & same, F.lit("outlier"))
-            state = state.when(F.col(f"{_HIDDEN}sl"), F.lit("straightline"))
+                state = state.when(col(f"{_HIDDEN}f_{c}") & same, F.lit("outlier"))
+            state = state.when(col(f"{_HIDDEN}sl"), F.lit("straightline"))
             items.append(F.struct(F.lit(c).alias("variable"), state.alias("state")))
         long = final.select(F.col(id_col), F.explode(F.array(*items)).alias("_kv")).select(id_col, "_kv.*")
         return long.where(F.col("state").isNotNull())

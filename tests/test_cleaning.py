@@ -118,3 +118,16 @@ def test_degenerate_inputs_do_not_divide_by_zero(spark):
     assert [r["scaled"] for r in D.centroid_profile(cents).collect()] == [None, None]
     rows = spark.createDataFrame([(1, 3.0, None, None)], "id long, q1 double, q2 double, q3 double")
     assert O.straightliners(rows, O.ScaleGroups({"g": ("q1", "q2", "q3")}), threshold=0.5).count() == 0
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "a"), (2.0, 1.0, "b"), (3.0, 9.0, None), (50.0, 4.0, "a")],
+                               "`unit price` double, `qty.sold` double, `seg ment` string")
+    from tessera.operators.quantiles import quantile_map
+    q = quantile_map(df, ["unit price", "qty.sold"], [0.5])
+    assert q["unit price"][0] == 2.5 and q["qty.sold"][0] == 3.0
+    plan = fit_cleaning(df, CleaningConfig())
+    out = plan.transform(df)
+    assert out.columns == ["unit price", "qty.sold", "seg ment"] and out.count() == 4
+    assert P.profile_dict(df)["seg ment"]["kind"] == "categorical_low"
+    assert E.fit_zscore(df).stats.keys() == {"unit price", "qty.sold"}
