@@ -64,7 +64,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
     if method == "pearson":
         return cols, moments(data, cols).corr()
     if method == "spearman":
-        return cols, moments(rank_columns(data, cols), cols).corr()
+        # the ranked frame feeds two jobs (mean shift, sums): keep it instead of
+        # recomputing the rank table and its joins
+        ranked = rank_columns(data, cols).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return cols, moments(ranked, cols).corr()
+        finally:
+            ranked.unpersist()
     if method == "kendall":
         m = np.eye(len(cols))
         sd = data.agg(*[F.stddev_pop(col(c)).alias(c) for c in cols]).first()
