@@ -124,7 +124,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, single_task_limit: int | None =
     tx = cells.groupBy("x").agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
     ty = cells.groupBy("y").agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
     n0 = n * (n - 1) / 2
-    big = None if n > lim else n  # every group is at most n distinct values
+    big = n  # every group holds at most n values: sizes the path without a count job per level
     parts = []
     levels = max(1, int(st["amax"]).bit_length())
     for lvl in range(levels):
