@@ -307,3 +307,15 @@ def bootstrap_table(res: FactorResult, spark) -> DataFrame:
     rows = [(c, f"factor_{f + 1}", float(b["loadings"][j, f]), float(b["se"][j, f]), float(b["z"][j, f]),
              float(b["p"][j, f])) for j, c in enumerate(res.columns) for f in range(res.n_factors)]
     return spark.createDataFrame(rows, "variable string, factor string, loading double, se double, z double, p double")
+
+
+def scree(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Eigenvalues of the correlation matrix of the prepared, non-collinear input
+    (descending): ``(factor, eigenvalue)``. Two aggregation jobs; no loadings fit."""
+    prep = prepare_factor_input(df, columns)
+    m = moments(prep.transform(df), prep.columns)
+    r_all = m.corr()
+    keep = drop_collinear(prep.columns, r_all)
+    eig = np.sort(np.linalg.eigvalsh(r_all[np.ix_(keep, keep)]))[::-1]
+    return df.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(eig)],
+                                           "factor int, eigenvalue double")

@@ -159,3 +159,14 @@ def q_kmeans_profiles(spark, sf_dir):
 def q_cluster_profiles(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("cluster", F.col("l_linenumber").cast("string"))
     return rounded(K.cluster_profiles(li, LI_COLS))
+
+
+@register("scree_lineitem", """
+with r as (select abs(corr(l_quantity, l_discount)) as a from lineitem
+           where l_quantity is not null and l_discount is not null)
+select 1 as factor, round(1 + a, 9) as eigenvalue from r
+union all
+select 2, round(1 - a, 9) from r""")
+def q_scree_lineitem(spark, sf_dir):
+    s = A.scree(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"])
+    return s.select("factor", F.round("eigenvalue", 9).alias("eigenvalue"))
