@@ -171,3 +171,16 @@ def test_lda_scalings_whiten_within_and_compat_eigenvalues(spark):
     assert np.allclose(s.T @ m.within @ s, np.eye(s.shape[1]), atol=1e-8)  # unit within-class variance
     ev = [r["eigenvalue"] for r in m.eigen_table(spark, compat=True).collect()]
     assert len(ev) == 2 and ev[0] >= ev[1] > 0
+
+
+def test_composed_analyses(spark):
+    from tessera.plans.analysis import cluster_report, discriminant_analysis, factor_report
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    lda = discriminant_analysis(li, "l_returnflag", ["l_quantity", "l_discount", "l_tax"], key=["l_orderkey", "l_linenumber"])
+    s = lda["summary"].first()
+    assert s["n_groups"] == 3 and s["n_cases"] == li.count() and 0 < s["accuracy"] <= 1
+    assert lda["confusion"].count() == 9 and lda["map_sample"].count() <= 1500
+    fa = factor_report(li, ["l_quantity", "l_discount", "l_tax"], bootstrap=3)
+    assert fa["loadings"].count() == 3 * fa["n_factors"] and fa["scores"].count() == li.count()
+    cr = cluster_report(li, ["l_quantity", "l_discount"], 3, method="hierarchical")
+    assert cr["labelled"].count() == li.count() and cr["profiles"].count() == 6
