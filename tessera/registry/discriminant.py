@@ -230,3 +230,15 @@ def q_discriminant_boxes(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(*KEYS, TARGET, *PRED)
     model = D.fit_lda(li, TARGET, PRED)
     return rounded(D.predictor_boxes(model, li))
+
+
+@register("lda_summary", _LDA_CTE + """
+select 'l_returnflag' as target, (select count(*) from gs)::integer as n_groups,
+       greatest(1, (select count(*) from gs) - 1)::integer as n_functions,
+       count(*) as n_cases, cast(sum((l_returnflag = prediction)::int) as bigint) as n_correct,
+       cast(count(*) - sum((l_returnflag = prediction)::int) as bigint) as n_wrong,
+       round(avg((l_returnflag = prediction)::int), 6) as accuracy from pred""")
+def q_lda_summary(spark, sf_dir):
+    from tessera.plans.analysis import discriminant_analysis
+    li = table(spark, sf_dir, "lineitem").select(*KEYS, TARGET, *PRED)
+    return rounded(discriminant_analysis(li, TARGET, PRED, key=KEYS)["summary"])
