@@ -21,26 +21,26 @@ EDGE_ADJUST = 0.001            # fixed: first edge lowered by 0.1 % of the range
 def category_frequencies(df: DataFrame, column: str, top_n: int = 20) -> DataFrame:
     """Non-null counts, most frequent first (ties by value); categories past
     ``top_n`` are summed into one ``Other`` row placed last.
-    -> ``(position, category, frequency, relative_frequency, cumulative_frequency)``"""
+    -> ``(position, category, frequency, relative_frequency, cumulative_frequency)``
+
+    Counting is a distributed group-by; the top ``top_n`` is a distributed top-k;
+    the grand total is one scalar aggregate. The result has at most top_n + 1 rows."""
     vc = (df.where(F.col(column).isNotNull())
             .groupBy(F.col(column).cast("string").alias("category"))
             .agg(F.count(F.lit(1)).alias("frequency")))
-    top = vc.orderBy(F.desc("frequency"), F.asc("category")).limit(top_n)  # distributed top-k
-    totals = vc.agg(F.sum("frequency").alias("_total"), F.count(F.lit(1)).alias("_levels"))
-    top_sum = top.agg(F.sum("frequency").alias("_top"))
-    other = (totals.crossJoin(top_sum)  # single-row aggregates
-                   .where(F.col("_levels") > top_n)
-                   .select(F.lit(OTHER_LABEL).alias("category"),
-                           (F.col("_total") - F.col("_top")).alias("frequency"),
-                           F.lit(top_n + 1).alias("position")))
+    st = vc.agg(F.sum("frequency").alias("total"), F.count(F.lit(1)).alias("levels")).first()
+    total, levels = int(st["total"] or 0), int(st["levels"] or 0)
+    top = vc.orderBy(F.desc("frequency"), F.asc("category")).limit(top_n)  # TakeOrderedAndProject
     w = Window.orderBy(F.desc("frequency"), F.asc("category"))  # over <= top_n rows
-    ranked = top.withColumn("position", F.row_number().over(w))
-    table = ranked.unionByName(other)
-    wc = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return (table.crossJoin(totals.select("_total"))
-                 .select("position", "category", "frequency",
-                         (F.col("frequency") / F.col("_total")).alias("relative_frequency"),
-                         F.sum("frequency").over(wc).alias("cumulative_frequency")))
+    table = top.withColumn("position", F.row_number().over(w))
+    if levels > top_n:
+        other = table.agg((F.lit(total) - F.sum("frequency")).alias("frequency")).select(
+            F.lit(OTHER_LABEL).alias("category"), "frequency", F.lit(top_n + 1).alias("position"))
+        table = table.unionByName(other)
+    wc = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # <= top_n + 1 rows
+    return table.select("position", "category", "frequency",
+                        (F.col("frequency") / F.lit(total)).alias("relative_frequency"),
+                        F.sum("frequency").over(wc).alias("cumulative_frequency"))
 
 
 def bar_data(freq_table: DataFrame) -> DataFrame:
@@ -123,16 +123,22 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     whisker_low, whisker_high, n_outliers)``."""
     from tessera.operators.quantiles import quantiles
     by = list(by)
-    q = (quantiles(df, [column], [0.25, 0.5, 0.75], by=by)
-         .groupBy(*by).pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value")))
-    q = q.toDF(*by, "q1", "median", "q3")
-    iqr = F.col("q3") - F.col("q1")
-    q = q.withColumn("lower_fence", F.col("q1") - 1.5 * iqr).withColumn("upper_fence", F.col("q3") + 1.5 * iqr)
     x = F.col(column).cast("double")
     joined = df.where(x.isNotNull()).select(*by, x.alias("_x"))
-    # one fence row per group: a plain join (Spark broadcasts it when small); without
-    # groups it is a single row
-    joined = joined.join(q, by, "inner") if by else joined.crossJoin(F.broadcast(q))
+    if by:  # one fence row per group, joined on the group keys (broadcast when small)
+        q = (quantiles(df, [column], [0.25, 0.5, 0.75], by=by)
+             .groupBy(*by).pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value")))
+        q = q.toDF(*by, "q1", "median", "q3")
+        iqr = F.col("q3") - F.col("q1")
+        q = q.withColumn("lower_fence", F.col("q1") - 1.5 * iqr).withColumn("upper_fence", F.col("q3") + 1.5 * iqr)
+        joined = joined.join(q, by, "inner")
+    else:  # three scalars: literals
+        q1, med, q3 = quantile_map(df, [column], [0.25, 0.5, 0.75])[column]
+        if q1 is None:
+            raise ValueError(f"column {column!r} has no values")
+        joined = joined.select("_x", F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"),
+                               F.lit(q1 - 1.5 * (q3 - q1)).alias("lower_fence"),
+                               F.lit(q3 + 1.5 * (q3 - q1)).alias("upper_fence"))
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
     agg = joined.groupBy(*by, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
         F.count(F.lit(1)).alias("n"),

@@ -174,7 +174,10 @@ def normality(df: DataFrame, column: str, by: Sequence[str] = (), alpha: float =
     by = list(by)
     ks = ks_normal(df, column, by)
     sw = shapiro_wilk(df, column, by, **kw)
-    out = ks.join(sw, by, "inner") if by else ks.crossJoin(sw)
+    if by:
+        out = ks.join(sw, by, "inner")
+    else:  # one row each
+        out = ks.withColumn("_one", F.lit(1)).join(sw.withColumn("_one", F.lit(1)), "_one").drop("_one")
     normal_sw = F.coalesce(F.col("shapiro_p") > alpha, F.lit(False))
     normal_ks = F.coalesce(F.col("ks_p") > alpha, F.lit(False))
     return out.select(*by, "n", "shapiro_w", "shapiro_p", "ks_statistic", "ks_p",

@@ -111,7 +111,7 @@ class CleaningPlan:
         after = final.agg(F.count(F.lit(1)).alias("rows_after"), F.sum(null_after).cast("long").alias("nulls_after"),
                           F.coalesce(F.sum(remain), F.lit(0)).cast("long").alias("outliers_after"),
                           F.count_if(col(f"{_HIDDEN}sl")).alias("straightliners_after"))
-        both = before.crossJoin(after)  # two single-row aggregates
+        both = before.withColumn("_one", F.lit(1)).join(after.withColumn("_one", F.lit(1)), "_one")  # 1 row each
         return both.select(
             "rows_before", "rows_after", (F.col("rows_after") - F.col("rows_before")).alias("rows_delta"),
             "nulls_before", "nulls_after", (F.col("nulls_after") - F.col("nulls_before")).alias("nulls_delta"),
