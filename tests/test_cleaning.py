@@ -131,3 +131,14 @@ def test_odd_column_names(spark):
     assert out.columns == ["unit price", "qty.sold", "seg ment"] and out.count() == 4
     assert P.profile_dict(df)["seg ment"]["kind"] == "categorical_low"
     assert E.fit_zscore(df).stats.keys() == {"unit price", "qty.sold"}
+
+
+def test_frequency_table_totals(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    t = Fq.frequency_table(ev, "value").orderBy("bin").collect()
+    n = ev.where("value is not null").count()
+    assert sum(r["frequency"] for r in t) == n
+    assert t[-1]["cumulative_frequency"] == n and math.isclose(t[-1]["cumulative_relative_frequency"], 1.0)
+    assert len(t) == Fq.sturges_bins(n)
+    cf = Fq.category_frequencies(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), "p_brand").collect()
+    assert cf[-1]["cumulative_frequency"] == sum(r["frequency"] for r in cf)

@@ -184,3 +184,10 @@ def test_composed_analyses(spark):
     assert fa["loadings"].count() == 3 * fa["n_factors"] and fa["scores"].count() == li.count()
     cr = cluster_report(li, ["l_quantity", "l_discount"], 3, method="hierarchical")
     assert cr["labelled"].count() == li.count() and cr["profiles"].count() == 6
+
+
+def test_elbow_decreases_from_one_cluster(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    prep = K.prepare_clusters(li, ["l_quantity", "l_discount"])
+    w = [r["wcss"] for r in K.elbow(prep, k_max=4).orderBy("k").collect()]
+    assert w[0] > w[1] > w[3] > 0
