@@ -34,13 +34,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only when unset
-    (local tests). On a cluster ``spark.checkpoint.dir`` names shared storage."""
+    """Return the cluster's checkpoint folder. On a cluster ``spark.checkpoint.dir``
+    must name shared storage (an error otherwise); only a local-mode session without
+    one (tests, bench) gets a scratch folder."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: point it at shared storage "
+                         "(a machine-local folder does not survive executor loss)")
     path = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
