@@ -39,9 +39,12 @@ class ImputePlan:
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df.where(all_not_null(self.drops)) if self.drops else df
+        types = {f.name: f.dataType for f in df.schema.fields}
         exprs = {}
         for c, v in self.fills.items():
-            filled = F.coalesce(F.col(f"`{c}`"), F.lit(v))
+            # modes are learnt as text: cast the fill back to the column's type
+            fill = F.lit(v) if isinstance(v, (int, float)) else F.lit(v).cast(types[c])
+            filled = F.coalesce(F.col(f"`{c}`"), fill)
             exprs[c] = F.bround(filled.cast("double")).cast("bigint") if c in self.round_to_int else filled
         return out.withColumns(exprs) if exprs else out
 

@@ -142,3 +142,13 @@ def test_frequency_table_totals(spark):
     assert len(t) == Fq.sturges_bins(n)
     cf = Fq.category_frequencies(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), "p_brand").collect()
     assert cf[-1]["cumulative_frequency"] == sum(r["frequency"] for r in cf)
+
+
+def test_impute_boolean_and_date_by_mode(spark):
+    import datetime
+    df = spark.createDataFrame([(1, True, datetime.date(2020, 1, 2)), (2, True, datetime.date(2020, 1, 2)),
+                                (3, None, None), (4, False, datetime.date(2021, 5, 1))],
+                               "id long, b boolean, d date")
+    out = {r["id"]: r for r in fit_impute(df, "mean").transform(df).collect()}
+    assert out[3]["b"] is True and out[3]["d"] == datetime.date(2020, 1, 2)
+    assert dict(fit_impute(df, "mean").transform(df).dtypes)["b"] == "boolean"
