@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import CSV_NULL_TOKENS, nan_to_null
 
 ROW_ID = "_row_id"
+# Text read as booleans by the CSV type inference.
+BOOL_TOKENS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 
 
 def read_csv(spark: SparkSession, path: str, infer_types: bool = True,
@@ -31,6 +33,7 @@ def read_csv(spark: SparkSession, path: str, infer_types: bool = True,
         s = F.trim(F.col(f"`{c}`"))
         checks.append(F.bool_and(F.col(f"`{c}`").isNull() | s.try_cast("bigint").isNotNull()).alias(f"i_{c}"))
         checks.append(F.bool_and(F.col(f"`{c}`").isNull() | s.try_cast("double").isNotNull()).alias(f"d_{c}"))
+        checks.append(F.bool_and(F.col(f"`{c}`").isNull() | s.isin(BOOL_TOKENS)).alias(f"b_{c}"))
         checks.append(F.count(F.col(f"`{c}`")).alias(f"n_{c}"))
     res = cleaned.agg(*checks).first().asDict()
     out = []
@@ -38,6 +41,8 @@ def read_csv(spark: SparkSession, path: str, infer_types: bool = True,
         s = F.trim(F.col(f"`{c}`"))
         if res[f"n_{c}"] == 0:
             out.append(F.lit(None).cast("double").alias(c))  # all-missing column reads as float
+        elif res[f"b_{c}"]:
+            out.append(F.when(F.col(f"`{c}`").isNotNull(), F.lower(s) == "true").alias(c))
         elif res[f"i_{c}"]:
             out.append(s.cast("bigint").alias(c))
         elif res[f"d_{c}"]:

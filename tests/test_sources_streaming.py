@@ -64,3 +64,13 @@ def test_windowed_quality_counts(spark):
     tot = spark.sql("select sum(rows) as r, sum(outlier_cells) as o from qc_test").first()
     assert tot["r"] == batch.count()
     assert tot["o"] == O.outlier_counts(batch, bounds).agg(F.sum("n_outliers")).first()[0]
+
+
+def test_read_csv_booleans(spark):
+    d = tempfile.mkdtemp(prefix="tessera-csv-")
+    path = os.path.join(d, "b.csv")
+    with open(path, "w") as fh:
+        fh.write("id,flag\n1,True\n2,\n3,false\n")
+    df = read_csv(spark, path)
+    assert dict(df.dtypes)["flag"] == "boolean"
+    assert [r["flag"] for r in df.orderBy("id").collect()] == [True, None, False]
