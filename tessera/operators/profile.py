@@ -85,12 +85,7 @@ def profile_dict(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     return {r["variable"]: r.asDict() for r in profile(df, columns, exact).collect()}
 
 
-def sample_values(df: DataFrame, order_col: str, columns: Sequence[str] | None = None,
-                  k: int = 10, sep: str = ", ") -> DataFrame:
-    """First ``k`` distinct non-null values of each column in order of appearance
-    -> ``(variable, sample_values)``. The per-variable top-k is a row_number filter,
-    planned as a partial WindowGroupLimit before the shuffle."""
-    cols = [c for c in (columns or df.columns) if c != order_col]
+def _first_values(df: DataFrame, order_col: str, cols: Sequence[str], k: int, sep: str) -> DataFrame:
     items = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("value"))
              for c in cols]
     long = (df.select(F.col(order_col).alias("_ord"), F.explode(F.array(*items)).alias("_kv"))
@@ -99,10 +94,32 @@ def sample_values(df: DataFrame, order_col: str, columns: Sequence[str] | None =
     w = Window.partitionBy("variable").orderBy("_first")
     top = first.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     return top.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("_found"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", "value"))),
                                  lambda s: s["value"]), sep).alias("sample_values"))
 
 
+def sample_values(df: DataFrame, order_col: str, columns: Sequence[str] | None = None,
+                  k: int = 10, sep: str = ", ", probes: Sequence[int] = (1_000, 100_000)) -> DataFrame:
+    """First ``k`` distinct non-null values of each column in order of appearance
+    -> ``(variable, sample_values)``.
+
+    The first ``k`` distinct values usually appear within the first few rows, so the
+    earliest ``probe`` rows (a distributed top-k on ``order_col``) are tried first;
+    when every column already shows ``k`` distinct values there, that is the exact
+    answer. Otherwise the whole table is used: distinct (column, value) pairs with
+    their first position, and a per-column row_number filter planned as a partial
+    WindowGroupLimit before the shuffle."""
+    cols = [c for c in (columns or df.columns) if c != order_col]
+    for probe in probes:
+        head = df.orderBy(order_col).limit(probe)
+        got = _first_values(head, order_col, cols, k, sep)
+        found = {r["variable"]: r["_found"] for r in got.select("variable", "_found").collect()}
+        if len(found) == len(cols) and min(found.values()) >= k:
+            return got.drop("_found")
+    return _first_values(df, order_col, cols, k, sep).drop("_found")
+
+
 def null_summary(df: DataFrame, columns: Sequence[str] | None = None,
                  only_with_nulls: bool = True) -> DataFrame:
     """``(variable, dtype, null_count, null_share, n_rows)`` from one aggregation."""

@@ -152,3 +152,15 @@ def test_impute_boolean_and_date_by_mode(spark):
     out = {r["id"]: r for r in fit_impute(df, "mean").transform(df).collect()}
     assert out[3]["b"] is True and out[3]["d"] == datetime.date(2020, 1, 2)
     assert dict(fit_impute(df, "mean").transform(df).dtypes)["b"] == "boolean"
+
+
+def test_sample_values_probe_matches_full_scan(spark):
+    from tessera.operators.profile import _first_values
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    cols = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+    probed = {r["variable"]: r["sample_values"] for r in P.sample_values(part, "p_partkey", cols, probes=(30,)).collect()}
+    full = {r["variable"]: r["sample_values"] for r in _first_values(part, "p_partkey", cols, 10, ", ").collect()}
+    assert probed == full
+    # a column with fewer than k distinct values forces the full scan and still works
+    few = P.sample_values(part.select("p_partkey", (F.col("p_size") % 3).alias("m")), "p_partkey", ["m"]).first()
+    assert len(few["sample_values"].split(", ")) == 3
