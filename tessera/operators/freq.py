@@ -106,7 +106,7 @@ def frequency_table(df: DataFrame, column: str, bins: int | None = None,
 
 
 def histogram(table: DataFrame) -> DataFrame:
-    return table.select("bin", "interval", "frequency")
+    return table.select("bin", "interval", "lower", "upper", "frequency")
 
 
 def polygon(table: DataFrame) -> DataFrame:

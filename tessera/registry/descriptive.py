@@ -74,8 +74,7 @@ def q_frequency_table(spark, sf_dir):
 
 @register("histogram", _FREQ_BASE + "select bin, round(lower, 6) as lower, round(upper, 6) as upper, frequency from ftc")
 def q_histogram(spark, sf_dir):
-    t = _ft(spark, sf_dir)
-    return rounded(Fq.histogram(t).join(t.select("bin", "lower", "upper"), "bin").drop("interval"))
+    return rounded(Fq.histogram(_ft(spark, sf_dir)).drop("interval"))
 
 
 @register("polygon", _FREQ_BASE + "select bin, round(class_mark, 6) as class_mark, frequency from ftc")
