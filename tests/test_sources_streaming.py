@@ -74,3 +74,28 @@ def test_read_csv_booleans(spark):
     df = read_csv(spark, path)
     assert dict(df.dtypes)["flag"] == "boolean"
     assert [r["flag"] for r in df.orderBy("id").collect()] == [True, None, False]
+
+
+def test_csv_to_cleaning_end_to_end(spark):
+    d = tempfile.mkdtemp(prefix="tessera-csv-")
+    path = os.path.join(d, "survey.csv")
+    rows = ["id,q1,q2,q3,amount,segment"]
+    flat = 0
+    for i in range(1, 41):
+        amount = "n/d" if i % 10 == 0 else (" 12 " if i % 7 == 0 else str(i * 1.5))
+        q = [str(1 + (i * k) % 5) for k in (1, 2, 3)]
+        if i % 9 == 0:
+            q = ["3", "3", "3"]  # straight-liner
+        flat += len(set(q)) == 1
+        seg = "" if i % 8 == 0 else ("a" if i % 2 else "b")
+        rows.append(",".join([str(i), *q, amount, seg]))
+    with open(path, "w") as fh:
+        fh.write("\n".join(rows) + "\n")
+    df = read_csv(spark, path)
+    assert dict(df.dtypes)["amount"] == "string"  # mixed text stays text until coerced
+    plan = fit_cleaning(df, CleaningConfig(id_columns=("id",)))
+    assert plan.coerce_cols == ["amount"]
+    out = plan.transform(df)
+    assert dict(out.dtypes)["amount"] == "double"
+    assert out.where("amount is null or segment is null").count() == 0
+    assert out.count() == 40 - flat  # every straight-line row is dropped
