@@ -70,7 +70,7 @@ def block_sizes(bits: int, blocks: int) -> list[int]:
 def cut(rows: DataFrame, fixed: int, distance: int) -> tuple[DataFrame, list[int]]:
     """Every row once for each block of its free bits (all but the ``fixed`` leading ones of
     ``turned``), that block turned to directly behind the fixed bits; ``trie`` tells the
-    tries apart, ``fixed`` counts the leading bits that a trie shares."""
+    tries apart, ``fixed`` counts the leading bits that a trie shares, ``root`` are those bits."""
     sizes = block_sizes(64 - fixed, distance + 1)
     free = 64 - fixed
     bits = F.col("turned")
@@ -83,10 +83,10 @@ def cut(rows: DataFrame, fixed: int, distance: int) -> tuple[DataFrame, list[int
         if fixed:
             turned = head.bitwiseOR(turned.bitwiseAND(F.lit((1 << free) - 1)))
         made.append(F.struct((F.col("trie") * (distance + 1) + k).alias("trie"), turned.alias("turned"),
-                             F.lit(fixed + size).alias("fixed")))
+                             F.lit(fixed + size).alias("fixed"), F.shiftrightunsigned(turned, free - size).alias("root")))
         at += size
     parts = rows.withColumn("part", F.explode(F.array(*made)))
-    return parts.select("fp", "part.trie", "part.turned", "part.fixed"), sizes
+    return parts.select("fp", "part.trie", "part.turned", "part.fixed", "part.root"), sizes
 
 
 def join_tries(turned: np.ndarray, roots: np.ndarray, fixed: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,13 +180,11 @@ def near_links(distinct: DataFrame, rows: int, distance: int) -> DataFrame:
     level = distinct.select("fp", F.lit(0).cast("long").alias("trie"), F.col("fp").alias("turned"))
     fixed, ready = [0], []
     while True:
-        made = [cut(level if f == 0 else level.filter(F.col("fixed") == f).drop("fixed"), f, distance) for f in fixed]
+        made = [cut(level if f == 0 else level.filter(F.col("fixed") == f), f, distance) for f in fixed]
         level = made[0][0]
         for part, _ in made[1:]:
             level = level.unionByName(part)
         fixed = sorted({f + s for f, (_, sizes) in zip(fixed, made) for s in sizes})
-        root = F.shiftrightunsigned("turned", (64 - F.col("fixed")).cast("int"))
-        level = level.withColumn("root", root)
         over = written(level.groupBy("trie", "fixed", "root").agg(F.count("*").alias("n")).filter(F.col("n") > MOST), "simhash-hot")
         if max(fixed) >= 64 - FEW_BITS or over.isEmpty():
             ready.append(level)

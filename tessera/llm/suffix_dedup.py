@@ -8,7 +8,7 @@ last one's end); a document has one for about every 85 bytes, and only (document
 windows, anchor, content hash) is shuffled for it. Then
 
 * a segment found twice or more, byte for byte, is covered as a whole;
-* anchors with one segment are done, nothing in them repeats;
+* an anchor with one segment, met at one place in it, is done: nothing in it repeats;
 * among the distinct segments of each other anchor, a task sorts suffixes: buckets of 8-byte
   grams are refined by sorting on pairs of bucket identifiers, an offset's own and that of a
   later offset, which doubles the compared length each time (8, 16, 32, 64, 128, 200); buckets
@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import join_by_key, slices, with_arrays, with_fields, written
 
 LENGTH, GRAM = 200, 32
+WIDTH = LENGTH - GRAM + 1
 #: Distinct segments of an anchor before further anchors deal them, and how many of those.
 MOST, FURTHER = 20_000, 3
 #: Bytes hashed at once, and bytes of segments whose suffixes are sorted together.
@@ -55,27 +56,45 @@ def grams(data: bytes, which: int = 0) -> np.ndarray:
     return h
 
 
-def anchors(data: bytes, length: int = LENGTH, which: int = 0) -> np.ndarray:
-    """Smallest gram hash of the window of ``length`` bytes at each offset."""
-    h, width = grams(data, which), length - GRAM + 1
-    n = len(h) - width + 1
-    rows = -(-len(h) // width)
-    padded = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:len(h)] = h
+def sliding(values: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
+    """``best`` of the ``width`` values from each offset on, by running bests of blocks."""
+    n = len(values) - width + 1
+    rows = -(-len(values) // width)
+    worst = np.iinfo(values.dtype).max if best is np.minimum else 0
+    padded = np.full(rows * width, worst, values.dtype)
+    padded[:len(values)] = values
     blocks = padded.reshape(rows, width)
-    front = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(back[:n], front[width - 1:width - 1 + n])
+    front = best.accumulate(blocks, axis=1).reshape(-1)
+    back = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return best(back[:n], front[width - 1:width - 1 + n])
 
 
-def segments_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, windows, anchor, content hash) of all segments of the texts."""
+def anchors(data: bytes, which: int = 0) -> np.ndarray:
+    """Smallest gram hash of the window at each offset."""
+    return sliding(grams(data, which), WIDTH)
+
+
+def repeats_inside(h: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether a run of windows meets its anchor at more than one place: only then can two of
+    its own windows be equal."""
+    edge = np.zeros(WIDTH - 1, np.uint64)
+    held = np.flatnonzero(h == sliding(np.r_[edge, anchor, edge], WIDTH, np.maximum))  # anchors of some window
+    lo, hi = np.searchsorted(held, first), np.searchsorted(held, last + WIDTH)
+    count = hi - lo
+    run = np.repeat(np.arange(len(first)), count)
+    at = held[np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + lo[run]]
+    return np.bincount(run[h[at] == anchor[first][run]], minlength=len(first)) > 1
+
+
+def segments_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, anchor, content hash, may repeat itself) of all segments of the texts."""
     data = b"".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
     if len(data) < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    anchor = anchors(data)
+        return (*(np.zeros(0, np.int64) for _ in range(5)), np.zeros(0, bool))
+    h = grams(data)
+    anchor = sliding(h, WIDTH)
     inside = np.zeros(len(anchor), bool)
     for s, n in zip(starts.tolist(), sizes.tolist()):
         if n >= LENGTH:
@@ -86,7 +105,8 @@ def segments_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     digest, view = xxhash.xxh3_64_intdigest, memoryview(data)
     content = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist())), np.uint64, len(first))
     text = np.searchsorted(starts, first, "right") - 1  # an empty text shares its start with the next, which is meant
-    return text, first - starts[text], last - first + 1, anchor[first].view(np.int64), content.view(np.int64)
+    return (text, first - starts[text], last - first + 1, anchor[first].view(np.int64), content.view(np.int64),
+            repeats_inside(h, anchor, first, last))
 
 
 def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -94,16 +114,16 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def segments(docs: DataFrame, text: str, row: str) -> DataFrame:
-    """(row, start, windows, anchor, content) of every segment of every text."""
+    """(row, start, windows, anchor, content, inner) of every segment of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, AT_ONCE):
-            which, start, windows, anchor, content = segments_of(raw_texts(batch, text))
+            which, start, windows, anchor, content, inner = segments_of(raw_texts(batch, text))
             rows = batch.column(row).to_numpy()[which]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor), pa.array(content)],
-                names=["row", "start", "windows", "anchor", "content"])
+                [pa.array(rows), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor), pa.array(content),
+                 pa.array(inner)], names=["row", "start", "windows", "anchor", "content", "inner"])
 
-    return docs.select(row, text).mapInArrow(run, "row long, start int, windows int, anchor long, content long")
+    return docs.select(row, text).mapInArrow(run, "row long, start int, windows int, anchor long, content long, inner boolean")
 
 
 def refine(data: bytes, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -225,14 +245,16 @@ def covered_spans(docs: DataFrame, text: str = "text", row: str = "row") -> Data
     """row, spans: the covered parts of each document that has any (they may overlap).
     ``docs`` has ``row`` (64 bits) and the texts, and may have other columns."""
     found = written(segments(docs, text, row), "suffix-segments")
-    anchors_of = written(found.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1"), "suffix-anchors")
-    shared = written(join_by_key(found, anchors_of, "anchor", "rows").select("row", "start", "windows", F.struct("anchor", "content").alias("seg")),
-                     "suffix-shared")
-    kinds = written(shared.groupBy("seg").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "windows")).alias("one")),
-                    "suffix-kinds")
+    anchors_of = written(found.groupBy("anchor").agg(F.count("*").alias("rows"), F.max("inner").alias("again"))
+                         .filter("rows > 1 or again").drop("again"), "suffix-anchors")
+    shared = written(join_by_key(found, anchors_of, "anchor", "rows").select(
+        "row", "start", "windows", "inner", F.struct("anchor", "content").alias("seg")), "suffix-shared")
+    kinds = written(shared.groupBy("seg").agg(F.count("*").alias("copies"), F.max("inner").alias("inner"),
+                                              F.min(F.struct("row", "start", "windows")).alias("one")), "suffix-kinds")
     whole = join_by_key(shared, kinds.filter("copies > 1").select("seg", F.col("copies").alias("rows")), "seg", "rows") \
         .select("row", F.col("start").alias("from"), (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("to"))
-    variants = kinds.groupBy(F.col("seg.anchor").alias("anchor")).agg(F.count("*").alias("rows")).filter("rows > 1")
+    variants = kinds.groupBy(F.col("seg.anchor").alias("anchor")).agg(F.count("*").alias("rows"), F.max("inner").alias("again")) \
+        .filter("rows > 1 or again").drop("again")
     open_ = kinds.select("copies", "one", F.col("seg.anchor").alias("anchor"))
     variants = written(variants.withColumn("many", F.col("rows") > MOST), "suffix-variants")
     picked = join_by_key(open_, variants, "anchor", "rows")

@@ -68,7 +68,8 @@ def test_refine_equals_brute_force():
 def test_segments_tile_the_windows():
     rng = random.Random(3)
     texts = [b"", bytes(rng.choices(b"abcdef ", k=900)), b"short", bytes(rng.choices(b"xyz ", k=200)), b"", b"q" * 700]
-    which, start, windows, anchor, content = sd.segments_of(texts)
+    which, start, windows, anchor, content, inner = sd.segments_of(texts)
+    assert inner[which == 5].all() and not inner[which == 1].any()
     places = [(k, s + i) for k, s, w in zip(which.tolist(), start.tolist(), windows.tolist()) for i in range(w)]
     assert sorted(places) == [(k, p) for k, t in enumerate(texts) for p in range(len(t) - 199)]
     assert len(places) == len(set(places))
