@@ -2,9 +2,9 @@
 marginals give each document its score and the offsets of the offending spans.
 
 Labels name documents, so tokens are labelled first: features of tokens (the word, its first
-four and five letters) that are significantly more frequent in toxic documents are taken one
-by one, the one that explains most toxic documents not yet explained first. Tokens of toxic
-documents with a taken feature are tagged, all other tokens are not.
+four and five letters) that stand almost only in toxic documents, by far more often than chance
+allows, tag the tokens of toxic documents; all other tokens are not tagged. Near-copies would
+pass for chance-proof evidence, so the sample keeps one document for each smallest shingle hash.
 
 The field has two states. With odds instead of probabilities both recursions are one number
 for each token: r = e (a01 + a11 r') / (a00 + a10 r') forward, and the mirror image backward.
@@ -33,8 +33,11 @@ from tessera.llm.common import slices, texts_of, with_arrays, with_fields, writt
 MOST_EACH = 4_000
 #: Hashed features, steps of the fit, parts of the sample, words remembered by a worker.
 SIZE, STEPS, PARTS, REMEMBER = 1 << 17, 30, 8, 300_000
-#: Standard deviations above chance, and share of toxic documents, that a feature needs.
-SURE, PURE = 5.0, 0.8
+#: Standard deviations above chance that a feature needs, and its rate in toxic documents as a share
+#: of its rates in both kinds.
+SURE, PURE = 6.0, 0.97
+#: Weights of the score before it is calibrated.
+PLAIN = (-4.0, 2.0, 4.0, 0.0)
 TOKENS = re.compile(r"\w+|[.!?\n]")
 ENDS = frozenset(".!?\n")
 SPANS = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()),
@@ -103,7 +106,19 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, flag: str,
     few = [learn.filter(F.col("toxic") == v).orderBy(F.xxhash64(key), key).limit(MOST_EACH) for v in (0, 1)]
     ids = written(few[0].unionByName(few[1]), "toxic-sample-ids").withColumnRenamed(key, "__key")
     chosen = docs.join(F.broadcast(ids), docs[key] == F.col("__key")).select("toxic", F.col(text).alias("text"))
-    return written(chosen.dropDuplicates(["text"]).repartition(PARTS, F.xxhash64("text")), "toxic-sample")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            least = []
+            for t in texts_of(batch, "text"):
+                words = t.split()
+                least.append(min((xxhash.xxh3_64_intdigest(" ".join(words[k:k + 3]).encode("utf-8", "surrogatepass")) >> 1
+                                  for k in range(max(len(words) - 2, 1))), default=0))
+            yield with_arrays(batch, {"least": pa.array(least, pa.int64())})
+
+    marked = chosen.mapInArrow(sketch, with_fields(chosen.schema, [T.StructField("least", T.LongType())]))
+    one = marked.groupBy("toxic", "least").agg(F.min("text").alias("text"))
+    return written(one.select("toxic", "text").repartition(PARTS, F.xxhash64("text")), "toxic-sample")
 
 
 def lexicon(sample: DataFrame) -> set[str]:
@@ -129,22 +144,8 @@ def lexicon(sample: DataFrame) -> set[str]:
         .agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
     n = F.col("bad") + F.col("fine")
     sure = (F.col("bad") - share * n) / F.sqrt(share * (1 - share) * n) >= SURE
-    names = {r[0] for r in counts.filter(sure & (F.col("bad") / bad >= PURE * (F.col("bad") / bad + F.col("fine") / fine))).collect()}
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows = [sorted({f for w in set(TOKENS.findall(lowered(t))) for f in tell(w)} & names) for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["features"])
-
-    rows = sample.filter("toxic = 1").mapInArrow(held, "features array<string>").collect()  # bounded by the sample
-    left, taken = [set(r[0]) for r in rows], set()
-    while True:
-        times = Counter(f for r in left for f in r)
-        best = max(times, key=lambda f: (times[f], -len(f), f), default=None)
-        if best is None or times[best] < 3:
-            return taken
-        taken.add(best)
-        left = [r for r in left if best not in r]
+    pure = F.col("bad") / bad >= PURE * (F.col("bad") / bad + F.col("fine") / fine)
+    return {r[0] for r in counts.filter(sure & pure).select("feature").collect()}  # bounded by the sample
 
 
 def lowered(text: str) -> str:
@@ -240,7 +241,7 @@ class Odds(dict):
 
 
 def tag(df: DataFrame, field: Field, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Append __sum and __max of the tokens' toxic probabilities and ``spans``: the tokens of
+    """Append __sum and __max of the tokens' toxic probabilities, __tokens and ``spans``: the tokens of
     probability 0.5 or more, from and to in characters of the text."""
     shared = df.sparkSession.sparkContext.broadcast(field)
 
@@ -260,21 +261,23 @@ def tag(df: DataFrame, field: Field, text: str = "text", spans: str = "spans") -
                 places = [m.span() for m in TOKENS.finditer(lowered(texts[k]))]
                 found[k] = [{"from": places[i][0], "to": places[i][1], "probability": float(q[i])} for i in np.flatnonzero(q >= 0.5).tolist()]
             kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("probability", pa.float64())]))
-            yield with_arrays(batch, {"__sum": pa.array(total), "__max": pa.array(most), spans: pa.array(found, kind)})
+            yield with_arrays(batch, {"__sum": pa.array(total), "__max": pa.array(most),
+                                      "__tokens": pa.array(sizes.astype(np.int64)), spans: pa.array(found, kind)})
 
-    fields = [T.StructField("__sum", T.DoubleType()), T.StructField("__max", T.DoubleType()), T.StructField(spans, SPANS)]
+    fields = [T.StructField("__sum", T.DoubleType()), T.StructField("__max", T.DoubleType()), T.StructField("__tokens", T.LongType()),
+              T.StructField(spans, SPANS)]
     return df.mapInArrow(run, with_fields(df.schema, fields))
 
 
-def calibrate(scored: list, steps: int = 500) -> np.ndarray:
-    """Logistic weights (constant, log of one plus the sum, maximum) on the sample's documents."""
-    x = np.array([[1.0, np.log1p(r["__sum"]), r["__max"]] for r in scored])
+def calibrate(scored: list, steps: int = 3000) -> np.ndarray:
+    """Logistic weights (constant, log of one plus the sum, maximum, log of one plus the tokens)
+    on the sample's documents."""
+    x = np.array([[1.0, np.log1p(r["__sum"]), r["__max"], np.log1p(r["__tokens"])] for r in scored])
     y = np.array([float(r["toxic"]) for r in scored])
-    balance = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w = np.array([-4.0, 2.0, 4.0])
+    w = np.array(PLAIN)
     for _ in range(steps):  # Newton steps would diverge where the labels separate; a prior keeps w finite
-        p = 1 / (1 + np.exp(-x @ w))
-        w += 2.0 * (x.T @ (balance * (y - p)) - 1e-4 * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += 0.2 * (x.T @ (y - p) / len(y) - 1e-4 * w)
     return w
 
 
@@ -291,8 +294,9 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     docs = docs.drop("score", "predicted", "spans")
     sample = sampled(docs, labels.filter(F.col(key).isNotNull()), key, text, flag, held_out)
     field = fit(prepare(sample, lexicon(sample)))
-    known = tag(sample, field).select("toxic", "__sum", "__max").collect()  # bounded by the sample
-    w = calibrate(known) if known else np.array([-4.0, 2.0, 4.0])
+    known = tag(sample, field).select("toxic", "__sum", "__max", "__tokens").collect()  # bounded by the sample
+    w = [float(v) for v in (calibrate(known) if known else PLAIN)]
     tagged = tag(docs, field, text).drop(text)
-    x = F.lit(float(w[0])) + float(w[1]) * F.log1p("__sum") + float(w[2]) * F.col("__max")
-    return tagged.withColumn("score", 1 / (1 + F.exp(-x))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("__sum", "__max")
+    x = F.lit(w[0]) + w[1] * F.log1p("__sum") + w[2] * F.col("__max") + w[3] * F.log1p("__tokens")
+    scored = tagged.withColumn("score", 1 / (1 + F.exp(-x))).drop("__sum", "__max", "__tokens")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
