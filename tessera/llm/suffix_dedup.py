@@ -275,9 +275,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", as_text: bool = False) -> DataFrame:
     """Append n_bytes, n_removed, n_spans (maximal removed runs), removed (array of from, to in
-    bytes) and kept (binary: the remaining bytes).
+    bytes) and kept (binary: the remaining bytes; with ``as_text`` a string, where characters that
+    lost a part of their bytes are left out).
 
     Null and empty texts have no bytes; texts shorter than 200 bytes stay whole; repeated rows
     count as places of their own, so they remove each other; an empty table stays empty; columns
@@ -290,7 +291,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     joined = narrow.join(spans, "row", "left")
     fields = [T.StructField(c, T.LongType()) for c in results[:3]] + [
         T.StructField("removed", T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))),
-        T.StructField("kept", T.BinaryType())]
+        T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -299,9 +300,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 gone = merged([(s["from"], s["to"]) for s in found or ()])
                 edges = [0, *(x for ab in gone for x in ab), len(raw)]
                 rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((len(raw), len(raw) - len(rest), len(gone), [{"from": a, "to": b} for a, b in gone], rest))
+                out.append((len(raw), len(raw) - len(rest), len(gone), [{"from": a, "to": b} for a, b in gone],
+                            rest.decode("utf-8", "ignore") if as_text else rest))
             arrays = dict(zip(results, (pa.array(c, k) for c, k in zip(zip(*out), [
-                pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])), pa.binary()]))))
+                pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])),
+                pa.string() if as_text else pa.binary()]))))
             yield with_arrays(batch, arrays)
 
     done = joined.mapInArrow(run, with_fields(joined.schema, fields))
