@@ -2,7 +2,7 @@
 curve, silhouette, a scalable hierarchical variant and cluster profiles.
 
 Hierarchical clustering is re-aimed at scale: MLlib k-means first summarises the
-rows into at most ``micro`` weighted centroids, those are merged on the driver
+rows into at most ``micro`` weighted centroids (exactly, where there are no more distinct rows), those are merged on the driver
 with Lance-Williams updates (ward / complete / average / single), and the
 micro-cluster -> cluster map (at most ``micro`` rows) is broadcast back so every
 row gets a label - nothing is sampled away."""
@@ -10,6 +10,7 @@ row gets a label - nothing is sampled away."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +18,18 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.columns import col, numeric_columns
 from tessera.operators.encode import ZScoreModel, fit_zscore
 
 K_MAX = 10            # fixed: elbow curve k = 1..10
+RESTARTS = 10         # fixed: runs from different seeds, the cheapest one counts
+MAX_ITER = 300        # fixed: iterations at most (they stop at the tolerance)
+TOLERANCE = 1e-4
 SEED = 42             # fixed: k-means seed
 MICRO_CLUSTERS = 200  # micro-clusters summarising the rows for hierarchical merging
 FEATURES = "_features"
@@ -35,6 +41,16 @@ class Prepared:
     scaler: ZScoreModel
     data: DataFrame        # complete rows, original columns + z-scored vector ``_features``
 
+    def release(self) -> None:
+        """Free the persisted rows (results that are computed later read the source again)."""
+        self.data.unpersist()
+
+    def require(self, k: int) -> None:
+        """Raise ``ValueError`` unless there are at least ``k`` distinct points."""
+        have = self.data.select(*map(col, self.columns)).distinct().limit(k).count()
+        if have < k:
+            raise ValueError(f"{k} clusters asked of {have} distinct row(s)")
+
 
 def prepare_clusters(df: DataFrame, columns: Sequence[str] | None = None, persist: bool = True) -> Prepared:
     """Rows complete in ``columns`` (default: all numeric), z-scored with the
@@ -42,16 +58,15 @@ def prepare_clusters(df: DataFrame, columns: Sequence[str] | None = None, persis
     cols = list(columns) if columns is not None else numeric_columns(df)
     clean = df.dropna(subset=cols)
     scaler = fit_zscore(clean, cols, skip_binary=False)
-    zcols = [F.coalesce(((F.col(f"`{c}`").cast("double") - F.lit(scaler.stats[c][0])) / F.lit(scaler.stats[c][1])),
+    zcols = [F.coalesce(((col(c).cast("double") - F.lit(scaler.stats[c][0])) / F.lit(scaler.stats[c][1])),
                         F.lit(0.0)).alias(f"_z{i}") for i, c in enumerate(cols)]
     data = clean.select("*", *zcols)
     data = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(cols))], outputCol=FEATURES).transform(data)
     data = data.drop(*[f"_z{i}" for i in range(len(cols))])
-    parallelism = data.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < parallelism:
-        # few large input splits (small tables): spread rows once so every core
-        # works on each k-means iteration; large inputs already have more splits
-        data = data.repartition(parallelism)
+    # the initialisation depends on how rows are partitioned: dealt by their values, the
+    # result does not depend on the machine
+    tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = data.repartition(tasks, *map(col, cols))
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     return Prepared(cols, scaler, data)
@@ -59,22 +74,23 @@ def prepare_clusters(df: DataFrame, columns: Sequence[str] | None = None, persis
 
 def total_sum_squares(prep: Prepared) -> float:
     """WCSS for k = 1: squared deviations from the mean in z units (one aggregation)."""
-    aggs = [F.sum((F.col(f"`{c}`").cast("double") - F.lit(m)) ** 2 / F.lit(s * s)).alias(f"t{i}")
+    aggs = [F.sum((col(c).cast("double") - F.lit(m)) ** 2 / F.lit(s * s)).alias(f"t{i}")
             for i, (c, (m, s)) in enumerate(prep.scaler.stats.items())]
     row = prep.data.agg(*aggs).first()
     return float(sum(row[f"t{i}"] for i in range(len(aggs))))
 
 
-def _fit(prep: Prepared, k: int, seed: int, restarts: int, max_iter: int = 20):
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=k, seed=seed + r, featuresCol=FEATURES, maxIter=max_iter).fit(prep.data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def _fit(prep: Prepared, k: int, seed: int, restarts: int, max_iter: int = MAX_ITER):
+    """Best of ``restarts`` runs (the first of equal ones); the runs share the executors."""
+    def run(r: int):
+        return KMeans(k=k, seed=seed + r, featuresCol=FEATURES, maxIter=max_iter, tol=TOLERANCE).fit(prep.data)
+
+    with ThreadPoolExecutor(max_workers=max(1, restarts)) as pool:
+        models = list(pool.map(run, range(restarts)))
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def elbow(prep: Prepared, k_max: int = K_MAX, seed: int = SEED, restarts: int = 1) -> DataFrame:
+def elbow(prep: Prepared, k_max: int = K_MAX, seed: int = SEED, restarts: int = RESTARTS) -> DataFrame:
     """``(k, wcss)`` for k = 1..k_max (k = 1 by aggregation; MLlib rejects k = 1)."""
     rows = [(1, total_sum_squares(prep))]
     for k in range(2, k_max + 1):
@@ -94,15 +110,16 @@ class KMeansResult:
         spark = spark or self.labelled.sparkSession
         rows = []
         for i, c in enumerate(self.centers):
-            for j, col in enumerate(self.prep.columns):
-                m, s = self.prep.scaler.stats[col]
-                rows.append((str(i + 1), col, float(c[j] * s + m)))
+            for j, name in enumerate(self.prep.columns):
+                m, s = self.prep.scaler.stats[name]
+                rows.append((str(i + 1), name, float(c[j] * s + m)))
         return spark.createDataFrame(rows, "cluster string, variable string, center double")
 
 
-def kmeans(prep: Prepared, k: int, seed: int = SEED, restarts: int = 1, label: str = "cluster") -> KMeansResult:
+def kmeans(prep: Prepared, k: int, seed: int = SEED, restarts: int = RESTARTS, label: str = "cluster") -> KMeansResult:
     """MLlib k-means (best of ``restarts`` seeds); clusters renumbered by sorted
     centre so labels are stable; label is the text "1".."k"."""
+    prep.require(k)
     model = _fit(prep, k, seed, restarts)
     centers = np.array([c for c in model.clusterCenters()])
     order = sorted(range(k), key=lambda i: tuple(np.round(centers[i], 12)))
@@ -183,18 +200,26 @@ def _agglomerate(centers: np.ndarray, sizes: np.ndarray, linkage: str):
 
 def hierarchical(prep: Prepared, k: int, linkage: str = "ward", micro: int = MICRO_CLUSTERS,
                  seed: int = SEED, label: str = "cluster") -> HierarchicalResult:
-    n = prep.data.count()
-    m = int(min(micro, n))
-    if m < k:
-        raise ValueError("fewer rows than clusters")
-    model = KMeans(k=m, seed=seed, featuresCol=FEATURES, maxIter=20).fit(prep.data)
-    micro_df = model.transform(prep.data)
+    prep.require(k)
+    few = prep.data.groupBy(FEATURES).agg(F.count(F.lit(1)).alias("size"))
+    if few.limit(micro + 1).count() <= micro:  # few distinct rows: they are the points themselves
+        points = sorted((tuple(r[FEATURES].toArray()), r["size"]) for r in few.collect())
+        m, centers = len(points), np.array([p for p, _ in points])
+        ids = prep.data.sparkSession.createDataFrame([(Vectors.dense(p), i) for i, (p, _) in enumerate(points)],
+                                                     T.StructType([T.StructField(FEATURES, VectorUDT()), T.StructField("prediction", T.IntegerType())]))
+        micro_df = prep.data.join(F.broadcast(ids), FEATURES)  # at most ``micro`` rows
+    else:
+        m = micro
+        model = KMeans(k=m, seed=seed, featuresCol=FEATURES, maxIter=MAX_ITER, tol=TOLERANCE).fit(prep.data)
+        micro_df, centers = model.transform(prep.data), np.array(model.clusterCenters())
+        m = len(centers)
     sizes_rows = micro_df.groupBy("prediction").count().collect()  # <= m rows
     sizes = np.zeros(m)
     for r in sizes_rows:
         sizes[int(r["prediction"])] = r["count"]
-    centers = np.array(model.clusterCenters())
     used = [i for i in range(m) if sizes[i] > 0]
+    if len(used) < k:
+        raise ValueError(f"{k} clusters asked of {len(used)} micro-clusters")
     merges, history = _agglomerate(centers[used], sizes[used], linkage)
     stage = history[len(used) - k]
     groups = sorted(stage.values(), key=lambda g: min(g))
@@ -211,6 +236,6 @@ def cluster_profiles(labelled: DataFrame, columns: Sequence[str], label: str = "
     cluster then variable: ``(cluster, variable, mean)``."""
     means = labelled.groupBy(label).agg(*[F.avg(col(c)).alias(c) for c in columns])
     long = means.select(F.col(label).cast("string").alias("cluster"),
-                        F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double")
+                        F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), col(c).cast("double")
                                                     .alias("mean")) for c in columns])))
     return long.orderBy(F.col("cluster").cast("int"), "variable")

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import col, numeric_columns, text_columns
+from tessera.functions.columns import all_not_null, col, numeric_columns, text_columns
 from tessera.operators.moments import moments
 from tessera.operators.quantiles import value_ranks
 
@@ -25,10 +25,11 @@ def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataF
     from tessera.session import ensure_checkpoint_dir
     from tessera.sources.io import ROW_ID, with_row_id
     ensure_checkpoint_dir(df.sparkSession)
-    levels = (df.select(F.col(column).alias("_lvl")).where(F.col("_lvl").isNotNull()).distinct()
+    levels = (df.select(col(column).alias("_lvl")).where(F.col("_lvl").isNotNull()).distinct()
                 .orderBy("_lvl").checkpoint(eager=True))
     codes = with_row_id(levels).withColumnRenamed(ROW_ID, "_code")
-    out = df.join(codes, df[column].eqNullSafe(codes["_lvl"]), "left")
+    # NULLs match nothing and stay where they are: no join key collects them
+    out = df.join(codes, col(column) == F.col("_lvl"), "left")
     return out.withColumn(name or column, F.coalesce(F.col("_code"), F.lit(-1)).cast("long")).drop("_lvl", "_code")
 
 
@@ -37,11 +38,11 @@ def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     distributed rank table, joined back per column (Spark broadcasts the small
     ones and shuffle-joins the large ones)."""
     ranks = value_ranks(df, columns)
-    out = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    for c in columns:
-        r = ranks.where(F.col("variable") == c).select(F.col("value").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
-        out = out.join(r, out[c] == r[f"_v_{c}"]).drop(c, f"_v_{c}").withColumnRenamed(f"_r_{c}", c)
-    return out.select(*columns)
+    out = df.select(*[col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        r = ranks.where(F.col("variable") == c).select(F.col("value").alias(f"_x{i}"), F.col("rank").alias(f"_r{i}"))
+        out = out.join(r, f"_x{i}").drop(f"_x{i}")
+    return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def _prepare(df: DataFrame, columns: Sequence[str] | None, include_categorical: bool) -> tuple[DataFrame, list[str]]:
@@ -51,7 +52,7 @@ def _prepare(df: DataFrame, columns: Sequence[str] | None, include_categorical:
                 df = category_codes(df, c)
     cols = list(columns) if columns is not None else numeric_columns(df)
     cols = [c for c in cols if c in numeric_columns(df)]
-    return df.select(*cols).dropna(), cols
+    return df.select(*map(col, cols)).where(all_not_null(cols)), cols
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson",
@@ -109,9 +110,9 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, single_task_limit: int | None =
     "values below" count (distributed, see ``grouped_below``). Work is
     O(n log(distinct x)) with one shuffle per level; tie corrections come from two
     group-bys."""
-    from tessera.operators.quantiles import SINGLE_TASK_LIMIT, grouped_below
-    lim = SINGLE_TASK_LIMIT if single_task_limit is None else single_task_limit
-    data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    from tessera.operators.quantiles import BUCKET_ROWS, grouped_below
+    lim = BUCKET_ROWS if single_task_limit is None else single_task_limit
+    data = df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y")).dropna()
     cells = data.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     # dense 0-based rank of x among distinct x values (distributed "below" count, cnt = 1)
     xs = cells.select(F.lit(0).alias("_g"), F.col("x").alias("value")).distinct().withColumn("cnt", F.lit(1))

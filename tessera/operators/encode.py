@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, is_numeric_type, numeric_columns
 
-MAX_DUMMY_LEVELS = 1000  # guard: one-hot is meant for low-cardinality columns
 
 
 @dataclass(frozen=True)
@@ -22,33 +21,34 @@ class OneHotModel:
         """Drop each encoded column and append ``col_value`` tinyint dummies (sorted
         categories, NULL -> all zeros) after the remaining columns."""
         cols = [c for c in self.levels if c in df.columns]
-        keep = [F.col(f"`{c}`") for c in df.columns if c not in cols]
+        keep = [col(c) for c in df.columns if c not in cols]
         dummies = []
         for c in cols:
             for v in self.levels[c]:
-                dummies.append(F.coalesce((F.col(f"`{c}`") == F.lit(v)).cast("tinyint"), F.lit(0).cast("tinyint"))
+                dummies.append(F.coalesce((col(c) == F.lit(v)).cast("tinyint"), F.lit(0).cast("tinyint"))
                                .alias(f"{c}_{v}"))
         return df.select(*keep, *dummies)
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> OneHotModel:
-    """Learn the sorted distinct values of each column: a size guard, then one
-    distributed ``distinct`` whose result is bounded by ``MAX_DUMMY_LEVELS`` per column."""
+def fit_one_hot(df: DataFrame, columns: Sequence[str], max_levels: int | None = None) -> OneHotModel:
+    """Learn the sorted distinct values of each column by one distributed ``distinct``;
+    every level becomes a column. ``max_levels`` (none by default) makes a column with more
+    distinct values an error, counted exactly before any level is collected."""
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return OneHotModel({})
-    guard = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in cols]).first().asDict()
-    big = [c for c, n in guard.items() if n > MAX_DUMMY_LEVELS]
-    if big:
-        raise ValueError(f"too many levels to one-hot encode: {big}")
     # distinct levels by a distributed group-by (a global collect_set would merge one
-    # set per partition in a single task); the result is bounded by the guard above
-    # levels travel as text with the typed value beside them (one row per level)
-    items = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("level"),
-                      F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias("typed"))
+    # set per partition in a single task); levels travel as text with the typed value beside them (one row per level)
+    items = [F.struct(F.lit(c).alias("variable"), col(c).cast("string").alias("level"),
+                      F.to_json(F.struct(col(c).alias("v"))).alias("typed"))
              for c in cols]
-    found = (df.select(F.explode(F.array(*items)).alias("_kv")).select("_kv.*")
-               .where(F.col("level").isNotNull()).distinct().collect())
+    distinct = (df.select(F.explode(F.array(*items)).alias("_kv")).select("_kv.*")
+                  .where(F.col("level").isNotNull()).distinct())
+    if max_levels is not None:
+        big = [r[0] for r in distinct.groupBy("variable").count().where(F.col("count") > max_levels).collect()]
+        if big:
+            raise ValueError(f"more than {max_levels} levels: {sorted(big)}")
+    found = distinct.collect()
     levels: dict[str, list] = {c: [] for c in cols}
     for r in found:
         levels[r["variable"]].append(json.loads(r["typed"])["v"])
@@ -75,7 +75,7 @@ class ZScoreModel:
     stats: Mapping[str, tuple[float, float]]  # column -> (mean, population std or 1)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: (F.col(f"`{c}`").cast("double") - F.lit(m)) / F.lit(s)
+        return df.withColumns({c: (col(c).cast("double") - F.lit(m)) / F.lit(s)
                                for c, (m, s) in self.stats.items()})
 
     def inverse(self, column: str, value: float) -> float:
@@ -97,7 +97,7 @@ def fit_zscore(df: DataFrame, columns: Sequence[str] | None = None, exclude: Seq
         return ZScoreModel({})
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
+        x = col(c).cast("double")
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"),
                  F.coalesce(F.bool_and(F.when(x.isNotNull(), x.isin(0.0, 1.0))), F.lit(True)).alias(f"b{i}")]
     row = df.agg(*aggs).first()

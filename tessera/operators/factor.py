@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import col, numeric_columns
 from tessera.functions.distributions import chi2_sf, normal_sf
 from tessera.operators.moments import SALTS, moments
+from tessera.operators.sampling import with_ordinals
 
 COLLINEAR = 0.95        # fixed: |r| above this drops the later column
 EDGE_THRESHOLD = 0.4    # fixed: path-diagram edges at |loading| >= 0.4
@@ -32,7 +33,7 @@ class PreparedInput:
     means: dict[str, float]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(self.means[c])).alias(c)
+        return df.select(*[F.coalesce(col(c).cast("double"), F.lit(self.means[c])).alias(c)
                            for c in self.columns])
 
 
@@ -50,7 +51,7 @@ def prepare_factor_input(df: DataFrame, columns: Sequence[str] | None = None) ->
         keep.append(c)
         means[c] = float(row[f"m{i}"])
     if len(keep) < 2:
-        raise ValueError("at least 2 varying numeric columns are needed")
+        raise ValueError("factor analysis: fewer than two numeric columns vary")
     return PreparedInput(keep, means)
 
 
@@ -81,10 +82,12 @@ def kmo_per_variable(r: np.ndarray) -> np.ndarray:
 
 
 def bartlett(r: np.ndarray, n: int) -> tuple[float, float, float]:
+    """Statistic, degrees of freedom, p. A singular matrix has an infinite statistic, p 0."""
     p = len(r)
-    stat = -(n - 1 - (2 * p + 5) / 6.0) * math.log(np.linalg.det(r))
+    sign, logdet = np.linalg.slogdet(r)  # no underflow with many columns
+    stat = -(n - 1 - (2 * p + 5) / 6.0) * (float(logdet) if sign > 0 else -math.inf)
     dof = p * (p - 1) / 2.0
-    return stat, dof, chi2_sf(stat, dof)
+    return stat, dof, chi2_sf(stat, dof) if math.isfinite(stat) else 0.0
 
 
 def minres(r: np.ndarray, k: int, tol: float = 1e-8, max_iter: int = 1000) -> np.ndarray:
@@ -175,7 +178,7 @@ class FactorResult:
         for f in range(self.n_factors):
             s = F.lit(0.0)
             for j, c in enumerate(self.columns):
-                z = (F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(self.fill[c])) - F.lit(self.means[c])) / F.lit(self.stds[c])
+                z = (F.coalesce(col(c).cast("double"), F.lit(self.fill[c])) - F.lit(self.means[c])) / F.lit(self.stds[c])
                 s = s + F.lit(float(w[j, f])) * z
             exprs.append(s.alias(f"factor_{f + 1}"))
         return df.select(*keep, *exprs)
@@ -237,15 +240,18 @@ def factor_analysis(df: DataFrame, columns: Sequence[str] | None = None, n_facto
 def bootstrap_moments(df: DataFrame, columns: Sequence[str], fill: dict, replicates: int, seed: int,
                       key: Sequence[str] | None = None) -> dict[int, np.ndarray]:
     """Poisson bootstrap in one job: every row gets a Poisson(1) weight per replicate
-    from a seeded hash of (row key, replicate); weighted sums are grouped by
-    replicate. Returns {replicate: correlation matrix}."""
+    from a seeded hash of (row key, replicate); weighted sums, shifted by the means in
+    ``fill``, are grouped by replicate. Without ``key`` equal rows are numbered first, so
+    each has a weight of its own. Returns {replicate: correlation matrix}."""
+    if not key:
+        df = with_ordinals(df)
     ids = list(key) if key else list(df.columns)
-    base = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(ids + list(columns))])
-    h = F.xxhash64(F.lit(seed), F.col("_b"), *[F.col(f"`{c}`") for c in ids])
+    base = df.select(*[col(c) for c in dict.fromkeys(ids + list(columns))])
+    h = F.xxhash64(F.lit(seed), F.col("_b"), *[col(c) for c in ids])
     u = (F.pmod(h, F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
     w = F.size(F.filter(F.array(*[F.lit(c) for c in _POISSON_CDF]), lambda c: c < u)).cast("double")
-    xs = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill[c])) for c in columns]
-    exploded = base.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], *[F.col(f"`{c}`") for c in ids],
+    xs = [F.coalesce(col(c).cast("double") - F.lit(fill[c]), F.lit(0.0)) for c in columns]
+    exploded = base.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], *[col(c) for c in ids],
                            F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
     exploded = exploded.withColumn("_w", w)
     p = len(columns)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns
+from tessera.functions.columns import all_not_null, col, numeric_columns
 from tessera.operators.quantiles import quantile_map
 
 OTHER_LABEL = "Other"          # fixed: label of the long-tail row
@@ -25,8 +25,8 @@ def category_frequencies(df: DataFrame, column: str, top_n: int = 20) -> DataFra
 
     Counting is a distributed group-by; the top ``top_n`` is a distributed top-k;
     the grand total is one scalar aggregate. The result has at most top_n + 1 rows."""
-    vc = (df.where(F.col(column).isNotNull())
-            .groupBy(F.col(column).cast("string").alias("category"))
+    vc = (df.where(col(column).isNotNull())
+            .groupBy(col(column).cast("string").alias("category"))
             .agg(F.count(F.lit(1)).alias("frequency")))
     st = vc.agg(F.sum("frequency").alias("total"), F.count(F.lit(1)).alias("levels")).first()
     total, levels = int(st["total"] or 0), int(st["levels"] or 0)
@@ -80,7 +80,7 @@ def frequency_table(df: DataFrame, column: str, bins: int | None = None,
     """Equal-width frequency distribution (empty bins kept).
     -> ``(bin, interval, lower, upper, class_mark, frequency, relative_frequency,
     cumulative_frequency, cumulative_relative_frequency)``"""
-    x = F.col(column).cast("double")
+    x = col(column).cast("double")
     st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(x).alias("n")).first()
     if not st["n"]:
         raise ValueError(f"column {column!r} has no values")
@@ -123,8 +123,8 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     whisker_low, whisker_high, n_outliers)``."""
     from tessera.operators.quantiles import quantiles
     by = list(by)
-    x = F.col(column).cast("double")
-    joined = df.where(x.isNotNull()).select(*by, x.alias("_x"))
+    x = col(column).cast("double")
+    joined = df.where(x.isNotNull()).select(*map(col, by), x.alias("_x"))
     if by:  # one fence row per group, joined on the group keys (broadcast when small)
         q = (quantiles(df, [column], [0.25, 0.5, 0.75], by=by)
              .groupBy(*by).pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value")))
@@ -153,8 +153,8 @@ def box_points(df: DataFrame, column: str, key: str) -> DataFrame:
     """All outlier points of the box (no display cap): ``(key, value)``."""
     q = quantile_map(df, [column], [0.25, 0.75])[column]
     lo, hi = q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])
-    x = F.col(column).cast("double")
-    return df.where((x < lo) | (x > hi)).select(key, x.alias("value"))
+    x = col(column).cast("double")
+    return df.where((x < lo) | (x > hi)).select(col(key), x.alias("value"))
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
@@ -166,7 +166,8 @@ def hash_sample(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None
 
 def scatter_sample(df: DataFrame, x: str, y: str, n: int = 3000, seed: int = 42,
                    key: Sequence[str] | None = None) -> DataFrame:
-    pts = df.select(*(list(key) if key else []), x, y).dropna(subset=[x, y])
+    names = list(dict.fromkeys([*(key or []), x, y]))
+    pts = df.select(*map(col, names)).where(all_not_null([x, y]))
     return hash_sample(pts, n, seed, key)
 
 
@@ -175,5 +176,5 @@ def scatter_matrix_sample(df: DataFrame, n: int = 2000, seed: int = 42,
     cols = [c for c in numeric_columns(df) if not key or c not in key]
     if len(cols) < 2:
         return None
-    pts = df.select(*(list(key) if key else []), *cols).dropna(subset=cols)
+    pts = df.select(*map(col, [*(key or []), *cols])).where(all_not_null(cols))
     return hash_sample(pts, n, seed, key)

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import col
+
 
 @dataclass
 class Moments:
@@ -44,7 +46,7 @@ def _sums(df: DataFrame, columns: Sequence[str], by: Sequence[str], shift: Seque
     reducers, then per group over at most ``SALTS`` rows. A plain global aggregate
     would send every partition's p(p+1)/2-wide buffer to a single task."""
     p = len(columns)
-    dx = [F.col(f"`{c}`").cast("double") - F.lit(float(s)) for c, s in zip(columns, shift)]
+    dx = [col(c).cast("double") - F.lit(float(s)) for c, s in zip(columns, shift)]
     base = df.select(*by, *[d.alias(f"_d{i}") for i, d in enumerate(dx)],
                      F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"))
     names = ["_n"] + [f"_s{i}" for i in range(p)] + [f"_q{i}_{j}" for i in range(p) for j in range(i, p)]
@@ -76,7 +78,7 @@ def _to_moments(row, columns: Sequence[str], shift: Sequence[float]) -> Moments:
 
 
 def _shift(clean: DataFrame, columns: Sequence[str]) -> list[float]:
-    row = clean.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    row = clean.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     return [row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i in range(len(columns))]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.columns import col
 from tessera.functions.distributions import normal_ppf, normal_sf
 
 SHAPIRO_MAX = 5000      # fixed: Shapiro-Wilk sample size cap
@@ -88,10 +89,9 @@ def shapiro_wilk(df: DataFrame, column: str, by: Sequence[str] = (), seed: int =
     itself runs per series on that bounded sample."""
     from tessera.operators.sampling import first_k
     by = list(by)
-    x = F.col(column).cast("double")
-    cols = list(key) if key else df.columns
-    base = df.where(x.isNotNull()).select(*dict.fromkeys(by + cols), x.alias("_x"))
-    sample = first_k(base, max_n, seed, cols, by).select(*by, "_x")
+    x = col(column).cast("double")
+    base = df.where(x.isNotNull()).select(*map(col, dict.fromkeys(by + list(key or []))), x.alias("_x"))
+    sample = first_k(base, max_n, seed, key, by).select(*by, "_x")
     schema = ", ".join([f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by] +
                        ["n_tested long", "shapiro_w double", "shapiro_p double"])
 
@@ -149,8 +149,8 @@ def ks_normal(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     from tessera.operators.quantiles import grouped_below
     by = list(by)
     keys = by if by else ["_series"]
-    x = F.col(column).cast("double")
-    base = df.where(x.isNotNull()).select(*by, x.alias("value"))
+    x = col(column).cast("double")
+    base = df.where(x.isNotNull()).select(*map(col, by), x.alias("value"))
     if not by:
         base = base.withColumn("_series", F.lit(0))
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),

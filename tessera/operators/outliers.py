@@ -28,7 +28,7 @@ class IqrBounds:
 
     def flag(self, column: str, value: Column | None = None) -> Column:
         """True when the value lies strictly outside the fences; NULL -> False."""
-        x = F.col(f"`{column}`") if value is None else value
+        x = col(column) if value is None else value
         if column not in self.bounds:
             return F.lit(False)
         _, _, lo, hi = self.bounds[column]
@@ -71,7 +71,7 @@ def outlier_cells(df: DataFrame, bounds: IqrBounds, id_col: str) -> DataFrame:
     """Long format of flagged cells -> ``(id, variable, value)``."""
     if not bounds.columns:
         return df.sparkSession.createDataFrame([], f"{id_col} long, variable string, value double")
-    items = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("value"),
+    items = [F.struct(F.lit(c).alias("variable"), col(c).cast("double").alias("value"),
                       bounds.flag(c).alias("_f")) for c in bounds.columns]
     long = df.select(F.col(id_col), F.explode(F.array(*items)).alias("_kv")).select(id_col, "_kv.*")
     return long.where("_f").drop("_f")
@@ -98,7 +98,7 @@ def neutralize_outliers(df: DataFrame, bounds: IqrBounds, rows: DataFrame | None
     if rows is not None:
         df = df.join(rows.select(F.col(id_col), F.lit(True).alias("_sel")), id_col, "left")
         selected = F.coalesce(F.col("_sel"), F.lit(False))
-    out = df.withColumns({c: F.when(selected & bounds.flag(c), F.lit(None)).otherwise(F.col(f"`{c}`"))
+    out = df.withColumns({c: F.when(selected & bounds.flag(c), F.lit(None)).otherwise(col(c))
                           for c in bounds.columns})
     return out.drop("_sel") if rows is not None else out
 
@@ -123,7 +123,7 @@ def apply_outliers(df: DataFrame, bounds: IqrBounds, default_action: str = "null
         act = F.lit(default_action)
     flagged = bounds.any_flag()
     df = df.where(~(flagged & (act == "drop")))
-    df = df.withColumns({c: F.when((act == "null") & bounds.flag(c), F.lit(None)).otherwise(F.col(f"`{c}`"))
+    df = df.withColumns({c: F.when((act == "null") & bounds.flag(c), F.lit(None)).otherwise(col(c))
                          for c in bounds.columns})
     return df.drop("_act") if actions is not None else df
 
@@ -155,7 +155,7 @@ def fit_groups_and_counts(df: DataFrame, columns: Sequence[str] | None = None,
     every = numeric_columns(df)
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=exclude)
     cols = [c for c in cols if c not in set(exclude)]
-    aggs = [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(every)]
+    aggs = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(every)]
     aggs += [F.min(col(c)).cast("double").alias(f"a{i}") for i, c in enumerate(cols)]
     aggs += [F.max(col(c)).cast("double").alias(f"b{i}") for i, c in enumerate(cols)]
     if not aggs:
@@ -175,7 +175,7 @@ def fit_groups_and_counts(df: DataFrame, columns: Sequence[str] | None = None,
 def row_variance_at_most(columns: Sequence[str], threshold: float = 0.0) -> Column:
     """Row-wise sample variance (ddof 1, NULLs skipped) <= threshold; fewer than two
     values -> not flagged. Threshold 0 is an exact min == max test."""
-    a = F.array_compact(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]))
+    a = F.array_compact(F.array(*[col(c).cast("double") for c in columns]))
     enough = F.size(a) >= 2
     if threshold == 0.0:
         return enough & (F.array_min(a) == F.array_max(a))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import is_numeric_type, is_text_type, to_number
+from tessera.functions.columns import col, is_numeric_type, is_text_type, to_number
 
 # Class labels and thresholds of the profiling rule.
 KIND_CONTINUOUS = "continuous"
@@ -41,7 +41,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
     fields = {f.name: f for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`")
+        x = col(c)
         aggs.append((F.count_distinct(x) if exact else F.approx_count_distinct(x)).alias(f"u{i}"))
         aggs.append(F.count(x).alias(f"c{i}"))
         fam = _family(fields[c].dataType)
@@ -86,7 +86,7 @@ def profile_dict(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
 
 
 def _first_values(df: DataFrame, order_col: str, cols: Sequence[str], k: int, sep: str) -> DataFrame:
-    items = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("value"))
+    items = [F.struct(F.lit(c).alias("variable"), col(c).cast("string").alias("value"))
              for c in cols]
     long = (df.select(F.col(order_col).alias("_ord"), F.explode(F.array(*items)).alias("_kv"))
               .select("_ord", "_kv.*").where(F.col("value").isNotNull()))
@@ -100,20 +100,16 @@ def _first_values(df: DataFrame, order_col: str, cols: Sequence[str], k: int, se
 
 
 def sample_values(df: DataFrame, order_col: str, columns: Sequence[str] | None = None,
-                  k: int = 10, sep: str = ", ", probes: Sequence[int] = (1_000, 100_000)) -> DataFrame:
+                  k: int = 10, sep: str = ", ", probes: Sequence[int] = ()) -> DataFrame:
     """First ``k`` distinct non-null values of each column in order of appearance
-    -> ``(variable, sample_values)``.
-
-    The first ``k`` distinct values usually appear within the first few rows, so the
-    earliest ``probe`` rows (a distributed top-k on ``order_col``) are tried first;
-    when every column already shows ``k`` distinct values there, that is the exact
-    answer. Otherwise the whole table is used: distinct (column, value) pairs with
-    their first position, and a per-column row_number filter planned as a partial
-    WindowGroupLimit before the shuffle."""
-    cols = [c for c in (columns or df.columns) if c != order_col]
+    -> ``(variable, sample_values)``: distinct (column, value) pairs with their first
+    position, and a per-column row_number filter planned as a partial WindowGroupLimit
+    before the shuffle. By default all columns but ``order_col``; name it in ``columns``
+    to have it too. ``probes`` are numbers of earliest rows to try first: where these
+    already show ``k`` values of every column, that is the answer for the whole table."""
+    cols = list(columns) if columns is not None else [c for c in df.columns if c != order_col]
     for probe in probes:
-        head = df.orderBy(order_col).limit(probe)
-        got = _first_values(head, order_col, cols, k, sep)
+        got = _first_values(df.orderBy(order_col).limit(probe), order_col, cols, k, sep)
         found = {r["variable"]: r["_found"] for r in got.select("variable", "_found").collect()}
         if len(found) == len(cols) and min(found.values()) >= k:
             return got.drop("_found")
@@ -126,7 +122,7 @@ def null_summary(df: DataFrame, columns: Sequence[str] | None = None,
     cols = list(columns or df.columns)
     dtypes = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
     one = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"z{i}") for i, c in enumerate(cols)])
+                 *[F.count_if(col(c).isNull()).alias(f"z{i}") for i, c in enumerate(cols)])
     items = [F.struct(F.lit(c).alias("variable"), F.lit(dtypes[c]).alias("dtype"),
                       F.col(f"z{i}").alias("null_count")) for i, c in enumerate(cols)]
     out = one.select(F.col("_n").alias("n_rows"), F.inline(F.array(*items)))
@@ -141,14 +137,14 @@ def null_totals(df: DataFrame) -> DataFrame:
     """One row: ``n_rows, n_null_cells``."""
     total = F.lit(0).cast("long")
     for c in df.columns:
-        total = total + F.col(f"`{c}`").isNull().cast("long")
+        total = total + col(c).isNull().cast("long")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(total).cast("long").alias("n_null_cells"))
 
 
 def rows_with_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     cond = F.lit(False)
     for c in columns or df.columns:
-        cond = cond | F.col(f"`{c}`").isNull()
+        cond = cond | col(c).isNull()
     return df.where(cond)
 
 
@@ -179,7 +175,7 @@ def mixed_type_columns(df: DataFrame, columns: Sequence[str] | None = None) -> D
             [], "variable string, n_non_null long, n_numeric long, success_rate double")
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}"), F.count(to_number(f"`{c}`")).alias(f"p{i}")]
+        aggs += [F.count(col(c)).alias(f"c{i}"), F.count(to_number(col(c))).alias(f"p{i}")]
     one = df.agg(*aggs)
     items = [F.struct(F.lit(c).alias("variable"), F.col(f"c{i}").alias("n_non_null"),
                       F.col(f"p{i}").alias("n_numeric")) for i, c in enumerate(cols)]
@@ -191,8 +187,8 @@ def mixed_type_columns(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 def mixed_type_rows(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
     """Cells that fail the numeric parse -> ``(id, variable, value)``."""
-    items = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("value"),
-                      to_number(f"`{c}`").alias("_num")) for c in columns]
+    items = [F.struct(F.lit(c).alias("variable"), col(c).cast("string").alias("value"),
+                      to_number(col(c)).alias("_num")) for c in columns]
     long = df.select(F.col(id_col), F.explode(F.array(*items)).alias("_kv")).select(id_col, "_kv.*")
     return long.where(F.col("value").isNotNull() & F.col("_num").isNull()).drop("_num")
 
@@ -227,7 +223,7 @@ def sample_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     columns hold one type, so each column has one row (none when all NULL)."""
     cols = list(columns or df.columns)
     fields = {f.name: f for f in df.schema.fields}
-    one = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
+    one = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
     items = [F.struct(F.lit(c).alias("variable"), F.lit(_type_name(fields[c].dataType)).alias("value_type"),
                       F.col(f"c{i}").alias("n")) for i, c in enumerate(cols)]
     return one.select(F.inline(F.array(*items))).where(F.col("n") > 0)
@@ -241,7 +237,7 @@ def structure_report(df: DataFrame) -> tuple[dict[str, str], list[str]]:
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"z{i}") for i, f in enumerate(fields)]
     for i, c in enumerate(text):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}"), F.count(to_number(f"`{c}`")).alias(f"p{i}")]
+        aggs += [F.count(col(c)).alias(f"c{i}"), F.count(to_number(col(c))).alias(f"p{i}")]
     row = df.agg(*aggs).first()
     n = row["_n"]
     issues = {}

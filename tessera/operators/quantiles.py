@@ -1,17 +1,16 @@
-"""Exact quantiles and modes that never funnel a whole column into one task.
+"""Exact quantiles, ranks and modes that never funnel a whole column into one task.
 
-Small inputs (every group/variable at most ``single_task_limit`` values) use Spark's
-exact ``percentile`` aggregate directly. Larger ones use a two-level plan:
+One plan for all sizes:
 
-1. one aggregation job learns per-variable split points with ``percentile_approx``
-   (a bounded sketch);
+1. the number of buckets follows from the number of values (one bucket for each
+   ``BUCKET_ROWS``); with more than one, an aggregation learns split points with
+   ``percentile_approx`` over a bounded sample (they only balance the buckets);
 2. rows are bucketed with ``Bucketizer`` (JVM binary search), reduced to distinct
    ``(keys, variable, bucket, value, cnt)`` with map-side combine (a hot value becomes
    one row), per-bucket totals give each bucket's rank offset, and only the buckets
    that contain a target rank are sorted (window partitioned by bucket).
 
-Both paths return the same exact values with linear interpolation between order
-statistics (the usual ``(n - 1) * p`` definition).
+Linear interpolation between order statistics (the usual ``(n - 1) * p`` definition).
 """
 
 from __future__ import annotations
@@ -25,18 +24,22 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import col
 
-SINGLE_TASK_LIMIT = 5_000_000
-MAX_BUCKETS = 4096
-TARGET_BUCKET_ROWS = 1_000_000
-SPLIT_SAMPLE_ROWS = 400_000   # rows sampled to place bucket boundaries (balance only)
+BUCKET_ROWS = 1_000_000       # values in a bucket, which one task sorts
+SPLIT_SAMPLE_ROWS = 400_000   # rows sampled to place bucket boundaries (balance only), or 20 a bucket
 
 
-def _split_sample(df: DataFrame, n_rows: int) -> DataFrame:
+def bucket_count(n: int, bucket_rows: int, most: int | None = None) -> int:
+    """Buckets for ``n`` values; ``most`` bounds them (tests)."""
+    wanted = max(1, math.ceil(n / max(1, bucket_rows)))
+    return min(wanted, most) if most else wanted
+
+
+def _split_sample(df: DataFrame, n_rows: int, buckets: int = 1) -> DataFrame:
     """Seeded Bernoulli sample of about ``SPLIT_SAMPLE_ROWS`` rows. Split points only
     balance the buckets (exactness never depends on them), and sketching a bounded
     sample keeps every partition's partial sketch tiny - a global sketch over the
     full data would merge one large buffer per partition in a single task."""
-    frac = min(1.0, SPLIT_SAMPLE_ROWS / max(1, n_rows))
+    frac = min(1.0, max(SPLIT_SAMPLE_ROWS, 20 * buckets) / max(1, n_rows))
     return df if frac >= 1.0 else df.sample(withReplacement=False, fraction=frac, seed=17)
 
 
@@ -49,13 +52,13 @@ def _as_exprs(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> d
 def _long(df: DataFrame, exprs: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
     """Wide -> ``(by..., variable, value)`` by exploding an array of structs (no shuffle)."""
     items = [F.struct(F.lit(name).alias("variable"), e.alias("value")) for name, e in exprs.items()]
-    return (df.select(*by, F.explode(F.array(*items)).alias("_kv"))
-              .select(*by, "_kv.*").where(F.col("value").isNotNull()))
+    return (df.select(*map(col, by), F.explode(F.array(*items)).alias("_kv"))
+              .select(*map(col, by), "_kv.*").where(F.col("value").isNotNull()))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float],
-              by: Sequence[str] = (), single_task_limit: int = SINGLE_TASK_LIMIT,
-              max_buckets: int = MAX_BUCKETS, counts: Mapping[str, int] | None = None) -> DataFrame:
+              by: Sequence[str] = (), single_task_limit: int = BUCKET_ROWS,
+              max_buckets: int | None = None, counts: Mapping[str, int] | None = None) -> DataFrame:
     """Exact quantiles -> DataFrame ``(by..., variable, prob, value)``.
 
     ``columns`` may map output names to column expressions (e.g. filtered views of a
@@ -65,56 +68,48 @@ def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], prob
     exprs = _as_exprs(df, columns)
     probs = list(dict.fromkeys(float(p) for p in probs))
     if counts is None:
-        counts = df.agg(*[F.count(e).alias(n) for n, e in exprs.items()]).first().asDict()
-    if max(counts.values(), default=0) <= single_task_limit:
-        return _quantiles_small(df, exprs, probs, by)
-    return _quantiles_bucketed(df, exprs, probs, by, counts, max_buckets)
+        counts = value_counts(df, exprs)
+    return _quantiles_from_counts(_bucketed_counts(df, exprs, by, counts, single_task_limit, max_buckets), by, probs)
 
 
-def _quantiles_small(df: DataFrame, exprs: Mapping[str, Column], probs: list[float],
-                     by: list[str]) -> DataFrame:
-    """Every variable fits one task: distinct values are counted by a codegen'd hash
-    aggregation, then ranked with one window per variable (one bucket)."""
-    vc = (_long(df, exprs, by).groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
-          .withColumn("bucket", F.lit(0)))
-    return _quantiles_from_counts(vc, by, probs, only_needed=False)
+def value_counts(df: DataFrame, exprs: Mapping[str, Column]) -> dict[str, int]:
+    """Non-null values of each expression (one job)."""
+    row = df.agg(*[F.count(e).alias(f"_n{i}") for i, e in enumerate(exprs.values())]).first()
+    return {n: row[i] for i, n in enumerate(exprs)}
 
 
-def _bucketed_counts(df: DataFrame, exprs: Mapping[str, Column], by: list[str],
-                     counts: Mapping[str, int], max_buckets: int) -> DataFrame:
+def _bucketed_counts(df: DataFrame, exprs: Mapping[str, Column], by: list[str], counts: Mapping[str, int],
+                     bucket_rows: int = BUCKET_ROWS, max_buckets: int | None = None) -> DataFrame:
     """Distinct ``(by..., variable, bucket, value, cnt)`` with buckets from per-variable
-    approximate split points (one sketch job; Bucketizer does a JVM binary search)."""
+    approximate split points (one sketch job; Bucketizer does a JVM binary search). A
+    variable without a split point (empty, constant, small) has the one bucket 0."""
     names = list(exprs)
-    n_max = max(counts.values())
-    buckets = int(min(max_buckets, max(2, math.ceil(n_max / TARGET_BUCKET_ROWS))))
-    grid = [i / buckets for i in range(1, buckets)]
-    sketch = _split_sample(df, n_max).agg(*[F.percentile_approx(e, grid, 4 * buckets).alias(n)
-                                            for n, e in exprs.items()]).first().asDict()
-    splits = []
-    for n in names:
-        inner = sorted(set(x for x in (sketch[n] or []) if x is not None and math.isfinite(x)))
-        splits.append([-math.inf] + inner + [math.inf])
-    wide = df.select(*by, *[exprs[n].alias(f"_v{i}") for i, n in enumerate(names)])
-    bucketizer = Bucketizer(splitsArray=splits, inputCols=[f"_v{i}" for i in range(len(names))],
-                            outputCols=[f"_b{i}" for i in range(len(names))], handleInvalid="keep")
-    wide = bucketizer.transform(wide)
+    n_max = max(counts.values(), default=0)
+    buckets = bucket_count(n_max, bucket_rows, max_buckets)
+    splits: dict[int, list[float]] = {}
+    if buckets > 1:
+        grid = [i / buckets for i in range(1, buckets)]
+        sketch = _split_sample(df, n_max, buckets).agg(*[F.percentile_approx(e, grid, 4 * buckets).alias(f"_s{i}")
+                                                         for i, e in enumerate(exprs.values())]).first()
+        for i in range(len(names)):
+            inner = sorted({x for x in (sketch[i] or []) if x is not None and math.isfinite(x)})
+            if inner:
+                splits[i] = [-math.inf, *inner, math.inf]
+    wide = df.select(*map(col, by), *[exprs[n].alias(f"_v{i}") for i, n in enumerate(names)])
+    if splits:
+        wide = Bucketizer(splitsArray=list(splits.values()), inputCols=[f"_v{i}" for i in splits],
+                          outputCols=[f"_b{i}" for i in splits], handleInvalid="keep").transform(wide)
     items = [F.struct(F.lit(n).alias("variable"), F.col(f"_v{i}").alias("value"),
-                      F.col(f"_b{i}").cast("int").alias("bucket")) for i, n in enumerate(names)]
-    long = (wide.select(*by, F.explode(F.array(*items)).alias("_kv")).select(*by, "_kv.*")
+                      (F.col(f"_b{i}").cast("int") if i in splits else F.lit(0)).alias("bucket"))
+             for i, n in enumerate(names)]
+    long = (wide.select(*map(col, by), F.explode(F.array(*items)).alias("_kv")).select(*map(col, by), "_kv.*")
                 .where(F.col("value").isNotNull()))
-    return long.groupBy(*by, "variable", "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def _quantiles_bucketed(df: DataFrame, exprs: Mapping[str, Column], probs: list[float],
-                        by: list[str], counts: Mapping[str, int], max_buckets: int) -> DataFrame:
-    # 1-2. distinct values with counts per (variable, bucket); map-side combine absorbs hot values
-    vc = _bucketed_counts(df, exprs, by, counts, max_buckets)
-    return _quantiles_from_counts(vc, by, probs, only_needed=True)
+    return long.groupBy(*map(col, by), "variable", "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _quantiles_from_counts(vc: DataFrame, by: list[str], probs: list[float], only_needed: bool) -> DataFrame:
-    """Exact quantiles from distinct ``(by..., variable, bucket, value, cnt)`` rows;
-    with ``only_needed`` only buckets holding a target rank are sorted."""
+def _quantiles_from_counts(vc: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles from distinct ``(by..., variable, bucket, value, cnt)`` rows; only
+    buckets holding a target rank are sorted."""
     keys = by + ["variable"]
     # 3. bucket totals -> rank offsets (at most variables x buckets rows per group)
     totals = vc.groupBy(*keys, "bucket").agg(F.sum("cnt").alias("bucket_n"))
@@ -133,7 +128,7 @@ def _quantiles_from_counts(vc: DataFrame, by: list[str], probs: list[float], onl
     needed = tg.select(*keys, "bucket").distinct()
     # 5. sort only the needed buckets
     # ``needed``/``tg`` have (groups x probs) rows: Spark broadcasts them when small (AQE)
-    part = vc.join(needed, keys + ["bucket"], "left_semi") if only_needed else vc
+    part = vc.join(needed, keys + ["bucket"], "left_semi")
     wb = Window.partitionBy(*keys, "bucket").orderBy("value")
     part = part.withColumn("below", F.coalesce(F.sum("cnt").over(
         wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -174,52 +169,46 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     return vc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def value_ranks(df: DataFrame, columns: Sequence[str], single_task_limit: int = SINGLE_TASK_LIMIT,
-                max_buckets: int = MAX_BUCKETS) -> DataFrame:
+def value_ranks(df: DataFrame, columns: Sequence[str], single_task_limit: int = BUCKET_ROWS,
+                max_buckets: int | None = None) -> DataFrame:
     """Average (tie-aware, 1-based) rank of every distinct value of each column
-    -> ``(variable, value, rank)``. Small columns: cumulative counts over a window
-    per variable. Large ones: the same per (variable, value bucket) plus bucket
-    offsets, so no task sorts a whole column."""
+    -> ``(variable, value, rank)``: cumulative counts over a window per (variable, value
+    bucket) plus bucket offsets, so no task sorts a whole column."""
     exprs = _as_exprs(df, columns)
-    counts = df.agg(*[F.count(e).alias(n) for n, e in exprs.items()]).first().asDict()
-    if max(counts.values(), default=0) <= single_task_limit:
-        vc = _long(df, exprs, []).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
-        w = Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("cnt").over(w), F.lit(0))
-        return vc.select("variable", "value", (below + (F.col("cnt") + 1) / 2.0).alias("rank"))
-    vb = _bucketed_counts(df, exprs, [], counts, max_buckets)
+    vb = _bucketed_counts(df, exprs, [], value_counts(df, exprs), single_task_limit, max_buckets)
     totals = vb.groupBy("variable", "bucket").agg(F.sum("cnt").alias("bucket_n"))
     wk = Window.partitionBy("variable").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("variable", "bucket", F.coalesce(F.sum("bucket_n").over(wk), F.lit(0)).alias("start"))
     wb = Window.partitionBy("variable", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (vb.join(F.broadcast(offsets), ["variable", "bucket"])  # <= variables x buckets rows
+    ranked = (vb.join(offsets, ["variable", "bucket"])
                 .withColumn("_below", F.col("start") + F.coalesce(F.sum("cnt").over(wb), F.lit(0))))
     return ranked.select("variable", "value", (F.col("_below") + (F.col("cnt") + 1) / 2.0).alias("rank"))
 
 
-def grouped_below(cells: DataFrame, keys: Sequence[str], single_task_limit: int = SINGLE_TASK_LIMIT,
-                  max_buckets: int = MAX_BUCKETS, largest_group: int | None = None) -> DataFrame:
+def grouped_below(cells: DataFrame, keys: Sequence[str], single_task_limit: int = BUCKET_ROWS,
+                  max_buckets: int | None = None, largest_group: int | None = None) -> DataFrame:
     """For distinct ``(keys..., value, cnt)`` rows add ``below`` = total ``cnt`` of
-    smaller values in the same key group. Groups are sorted whole when the largest
-    has at most ``single_task_limit`` distinct values; otherwise values are cut into
-    global buckets (approximate split points), each (group, bucket) is sorted on its
-    own and bucket offsets come from per-bucket totals."""
+    smaller values in the same key group. Values are cut into global buckets (as many as
+    the largest group needs; approximate split points), each (group, bucket) is sorted on
+    its own and bucket offsets come from per-bucket totals."""
     keys = list(keys)
     biggest = largest_group if largest_group is not None else (
-        cells.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
-    if biggest <= single_task_limit:
-        w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        cells.groupBy(*map(col, keys)).count().agg(F.max("count")).first()[0] or 0)
+    buckets = bucket_count(biggest, single_task_limit, max_buckets)
+    inner: list[float] = []
+    if buckets > 1:
+        grid = [i / buckets for i in range(1, buckets)]
+        sk = _split_sample(cells, biggest, buckets).agg(F.percentile_approx("value", grid, 4 * buckets)).first()[0] or []
+        inner = sorted({x for x in sk if x is not None and math.isfinite(x)})
+    if not inner:
+        w = Window.partitionBy(*map(col, keys)).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
         return cells.withColumn("below", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    buckets = int(min(max_buckets, max(2, math.ceil(biggest / TARGET_BUCKET_ROWS))))
-    grid = [i / buckets for i in range(1, buckets)]
-    sk = _split_sample(cells, biggest).agg(F.percentile_approx("value", grid, 4 * buckets)).first()[0] or []
-    splits = [-math.inf] + sorted(set(x for x in sk if x is not None and math.isfinite(x))) + [math.inf]
-    b = Bucketizer(splits=splits, inputCol="value", outputCol="_bk", handleInvalid="keep")
+    b = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="value", outputCol="_bk", handleInvalid="keep")
     vb = b.transform(cells)
-    totals = vb.groupBy(*keys, "_bk").agg(F.sum("cnt").alias("_bn"))
-    wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bk", F.coalesce(F.sum("_bn").over(wk), F.lit(0)).alias("_start"))
-    wb = Window.partitionBy(*keys, "_bk").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    totals = vb.groupBy(*map(col, keys), "_bk").agg(F.sum("cnt").alias("_bn"))
+    wk = Window.partitionBy(*map(col, keys)).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*map(col, keys), "_bk", F.coalesce(F.sum("_bn").over(wk), F.lit(0)).alias("_start"))
+    wb = Window.partitionBy(*map(col, keys), "_bk").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     return (vb.join(offsets, keys + ["_bk"])
               .withColumn("below", F.col("_start") + F.coalesce(F.sum("cnt").over(wb), F.lit(0)))
               .drop("_bk", "_start"))

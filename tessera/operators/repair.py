@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import all_not_null, is_numeric_type, to_number
+from tessera.functions.columns import all_not_null, col, is_numeric_type, to_number
 from tessera.operators.quantiles import modes, quantile_map
 
 ACTIONS = ("mean", "median", "drop", "leave", "default")
@@ -27,7 +27,7 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: to_number(f"`{c}`") for c in present}) if present else df
+    return df.withColumns({c: to_number(col(c)) for c in present}) if present else df
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,10 @@ class ImputePlan:
         for c, v in self.fills.items():
             # modes are learnt as text: cast the fill back to the column's type
             fill = F.lit(v) if isinstance(v, (int, float)) else F.lit(v).cast(types[c])
-            filled = F.coalesce(F.col(f"`{c}`"), fill)
-            exprs[c] = F.bround(filled.cast("double")).cast("bigint") if c in self.round_to_int else filled
+            if c in self.round_to_int:  # only the fill is rounded: cells that exist keep their value
+                exprs[c] = F.coalesce(col(c).cast("bigint"), F.bround(fill.cast("double")).cast("bigint"))
+            else:
+                exprs[c] = F.coalesce(col(c), fill)
         return out.withColumns(exprs) if exprs else out
 
 
@@ -78,9 +80,9 @@ def fit_impute(df: DataFrame, strategy: str = "mean", per_column: Mapping[str, s
             earlier_drops.append(c)
     fillable = [c for c in cols if actions[c] in ("mean", "median")]
     numeric = [c for c in fillable if is_numeric_type(kinds[c])]
-    aggs = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
+    aggs = [F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
     for i, c in enumerate(numeric):
-        x = F.when(alive[c], F.col(f"`{c}`").cast("double"))
+        x = F.when(alive[c], col(c).cast("double"))
         aggs.append(F.avg(x).alias(f"m{i}"))
         aggs.append(F.coalesce(F.bool_and(F.when(x.isNotNull(), x % 1 == 0)), F.lit(True)).alias(f"w{i}"))
     row = df.agg(*aggs).first()
@@ -96,12 +98,12 @@ def fit_impute(df: DataFrame, strategy: str = "mean", per_column: Mapping[str, s
         if row[f"w{i}"]:
             rounding.append(c)
     if median_cols:
-        med = quantile_map(df, {c: F.when(alive[c], F.col(f"`{c}`")) for c in median_cols}, [0.5])
+        med = quantile_map(df, {c: F.when(alive[c], col(c)) for c in median_cols}, [0.5])
         for c in median_cols:
             stats[c] = med[c][0]
     text = [c for c in fillable if c in order and c not in numeric]
     if text:
-        sel = df.select(*[F.when(alive[c], F.col(f"`{c}`")).alias(c) for c in text])
+        sel = df.select(*[F.when(alive[c], col(c)).alias(c) for c in text])
         found = {r["variable"]: r["value"] for r in modes(sel, text).collect()}
         for c in text:
             stats[c] = found.get(c)

@@ -16,34 +16,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import col
+
 OVERSAMPLE = 3.0
 _SCALE = float(1 << 31)
 
 
 def hash_key(seed: int, columns: Sequence[str]) -> Column:
     """Uniform [0, 1) key from a seeded 64-bit hash of the row's key columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in columns]), F.lit(1 << 31)) / F.lit(_SCALE)
+    return F.pmod(F.xxhash64(F.lit(seed), *map(col, columns)), F.lit(1 << 31)) / F.lit(_SCALE)
+
+
+def with_ordinals(df: DataFrame, name: str = "_ordinal") -> DataFrame:
+    """Tell equal rows apart: each group of equal rows is numbered 1..m. Without a key column
+    this is what makes a row hash a property of the row and not of its values."""
+    many = df.groupBy(*map(col, df.columns)).agg(F.count(F.lit(1)).alias("_m"))
+    return many.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m")
 
 
 def first_k(df: DataFrame, k: int, seed: int = 42, key: Sequence[str] | None = None,
             by: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``df`` that are among the first ``k`` of their group by hash key."""
-    by = list(by)
-    cols = list(key) if key else list(df.columns)
-    keyed = df.withColumn("_u", hash_key(seed, cols)).withColumn(
-        "_h", F.xxhash64(F.lit(seed + 1), *[F.col(f"`{c}`") for c in cols]))
+    """Rows of ``df`` that are among the first ``k`` of their group by row hash. ``key``
+    names columns that tell rows apart; without it equal rows are numbered first (one
+    shuffle of the table)."""
+    by, out = list(by), list(df.columns)
+    rows = df if key else with_ordinals(df)
+    cols = list(key) if key else rows.columns
+    keyed = rows.withColumns({"_u": hash_key(seed, cols), "_h": F.xxhash64(F.lit(seed + 1), *map(col, cols))})
+    if not key:
+        keyed = keyed.drop("_ordinal")
     if not by:
-        return keyed.orderBy("_u", "_h").limit(k).drop("_u", "_h")  # TakeOrderedAndProject
-    w = Window.partitionBy(*by).orderBy("_u", "_h")
-    counts = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        return keyed.orderBy("_u", "_h").limit(k).select(*map(col, out))  # TakeOrderedAndProject
+    w = Window.partitionBy(*map(col, by)).orderBy("_u", "_h")
+    counts = keyed.groupBy(*map(col, by)).agg(F.count(F.lit(1)).alias("_n"))
     thin = keyed.join(counts, by).where(F.col("_u") < F.least(F.lit(1.0), F.lit(OVERSAMPLE * k) / F.col("_n")))
     top = thin.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    got = top.groupBy(*by).agg(F.count(F.lit(1)).alias("_got"))
+    got = top.groupBy(*map(col, by)).agg(F.count(F.lit(1)).alias("_got"))
     short = counts.join(got, by, "left").where(F.coalesce(F.col("_got"), F.lit(0)) < F.least(F.col("_n"), F.lit(k)))
     if short.limit(1).count() == 0:
         return top.drop("_u", "_h", "_n", "_rn")
     # exact pass for the few groups whose thinning kept fewer than k rows
-    redo = (keyed.join(short.select(*by), by, "left_semi")
+    redo = (keyed.join(short.select(*map(col, by)), by, "left_semi")
                  .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k))
-    good = top.join(short.select(*by), by, "left_anti").drop("_n")
+    good = top.join(short.select(*map(col, by)), by, "left_anti").drop("_n")
     return good.unionByName(redo).drop("_u", "_h", "_rn")

@@ -8,18 +8,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.quantiles import (SINGLE_TASK_LIMIT, _as_exprs, _long, _quantiles_from_counts, modes,
-                                        quantiles)
+from tessera.functions.columns import col
+from tessera.operators.quantiles import _as_exprs, _bucketed_counts, _quantiles_from_counts, quantiles, value_counts
 
 DECILES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
-# Shape interpretation thresholds and labels.
+# Shape thresholds (fixed values) and result codes.
 SKEW_CUT = 0.5
-SKEW_RIGHT = "positively skewed (long right tail)"
-SKEW_LEFT = "negatively skewed (long left tail)"
-SKEW_NONE = "approximately symmetric"
-KURT_HEAVY = "heavy tails (leptokurtic), more extreme values"
-KURT_LIGHT = "light tails (platykurtic), fewer extreme values"
-KURT_NORMAL = "normal-like tails (mesokurtic)"
+SKEW_RIGHT = "right"
+SKEW_LEFT = "left"
+SKEW_NONE = "none"
+KURT_HEAVY = "heavy"
+KURT_LIGHT = "light"
+KURT_NORMAL = "normal"
 
 
 def _wide_to_long(df: DataFrame, columns: Sequence[str], by: Sequence[str],
@@ -28,7 +28,7 @@ def _wide_to_long(df: DataFrame, columns: Sequence[str], by: Sequence[str],
     in long form ``(by..., variable, measure columns...)``."""
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
+        x = col(c).cast("double")
         for m, fn in measures.items():
             aggs.append(fn(x).alias(f"{m}__{i}"))
     one = df.groupBy(*by).agg(*aggs)
@@ -41,25 +41,17 @@ def central_tendency(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     """``(by..., variable, mean, median, mode)`` over non-null values; the mode is
     the smallest of the most frequent values.
 
-    When every variable fits the single-task limit, median and mode both come from
-    one distinct-value count table (one shuffle, reused by both); otherwise the
-    median uses the bucketed exact-quantile plan."""
+    Median and mode both come from one table of distinct-value counts (one shuffle,
+    reused by both)."""
     by = list(by)
     means = _wide_to_long(df, columns, by, {"mean": F.avg})
     exprs = _as_exprs(df, columns)
-    counts = df.agg(*[F.count(e).alias(n) for n, e in exprs.items()]).first().asDict()
+    vc = _bucketed_counts(df, exprs, by, value_counts(df, exprs))
     keys = by + ["variable"]
-    if max(counts.values(), default=0) <= SINGLE_TASK_LIMIT:
-        vc = _long(df, exprs, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
-        med = (_quantiles_from_counts(vc.withColumn("bucket", F.lit(0)), by, [0.5], only_needed=False)
-               .select(*keys, F.col("value").alias("median")))
-        w = Window.partitionBy(*keys).orderBy(F.desc("cnt"), F.asc("value"))
-        mo = vc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*keys, F.col("value").alias("mode"))
-        return means.join(med, keys, "left").join(mo, keys, "left").select(*keys, "mean", "median", "mode")
-    med = (quantiles(df, columns, [0.5], by=by)
-           .select(*by, "variable", F.col("value").alias("median")))
-    mo = modes(df, columns, by=by, value_type="double").select(*by, "variable", F.col("value").alias("mode"))
-    return means.join(med, keys, "left").join(mo, keys, "left").select(*keys, "mean", "median", "mode")
+    med = _quantiles_from_counts(vc, by, [0.5]).select(*map(col, keys), F.col("value").alias("median"))
+    w = Window.partitionBy(*map(col, keys)).orderBy(F.desc("cnt"), F.asc("value"))
+    mo = vc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*map(col, keys), F.col("value").alias("mode"))
+    return means.join(med, keys, "left").join(mo, keys, "left").select(*map(col, keys), "mean", "median", "mode")
 
 
 def dispersion(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

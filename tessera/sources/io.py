@@ -7,48 +7,62 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.columns import CSV_NULL_TOKENS, nan_to_null
+from tessera.functions.columns import CSV_NULL_TOKENS, col, nan_to_null, to_number
 
 ROW_ID = "_row_id"
+OVERFLOW = "__beyond_header"
+WHOLE_PATTERN = r"^[+-]?[0-9]+$"
 # Text read as booleans by the CSV type inference.
 BOOL_TOKENS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 
 
 def read_csv(spark: SparkSession, path: str, infer_types: bool = True,
-             null_tokens: Sequence[str] = CSV_NULL_TOKENS) -> DataFrame:
+             null_tokens: Sequence[str] = CSV_NULL_TOKENS, multi_line: bool = True) -> DataFrame:
     """Header CSV read as text, missing tokens -> NULL, then types inferred per column
     from the cleaned text (a column is numeric when every non-null cell parses).
 
+    Quotes follow RFC 4180: a doubled quote is a quote, quoted cells may hold separators
+    and line ends (``multi_line``; without it large files can be split among tasks). A row
+    with fewer cells than the header is filled with NULL, one with more is an error.
+
     Type inference is one aggregation over the text; the typed frame is a lazy
     projection of the text frame."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    reader = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+              .option("multiLine", multi_line))
+    header = reader.csv(path)
+    wider = T.StructType([*header.schema.fields, T.StructField(OVERFLOW, T.StringType())])
+    too_long = F.raise_error(F.lit("CSV row with more cells than the header"))
+    raw = (reader.schema(wider).option("enforceSchema", True).csv(path)
+           .where(F.when(F.col(OVERFLOW).isNotNull(), too_long.cast("boolean")).otherwise(F.lit(True))).drop(OVERFLOW))
     tokens = list(null_tokens)
-    cleaned = raw.select(*[F.when(F.col(f"`{c}`").isin(tokens), F.lit(None))
-                           .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    cleaned = raw.select(*[F.when(col(c).isin(tokens), F.lit(None))
+                           .otherwise(col(c)).alias(c) for c in raw.columns])
     if not infer_types or not cleaned.columns:
         return cleaned
     checks = []
     for c in cleaned.columns:
-        s = F.trim(F.col(f"`{c}`"))
-        checks.append(F.bool_and(F.col(f"`{c}`").isNull() | s.try_cast("bigint").isNotNull()).alias(f"i_{c}"))
-        checks.append(F.bool_and(F.col(f"`{c}`").isNull() | s.try_cast("double").isNotNull()).alias(f"d_{c}"))
-        checks.append(F.bool_and(F.col(f"`{c}`").isNull() | s.isin(BOOL_TOKENS)).alias(f"b_{c}"))
-        checks.append(F.count(F.col(f"`{c}`")).alias(f"n_{c}"))
+        s = F.trim(col(c))
+        whole = s.rlike(WHOLE_PATTERN) & s.try_cast("bigint").isNotNull()
+        checks.append(F.bool_and(col(c).isNull() | whole).alias(f"i_{c}"))
+        checks.append(F.bool_and(col(c).isNull() | to_number(s).isNotNull()).alias(f"d_{c}"))
+        checks.append(F.bool_and(col(c).isNull() | s.isin(BOOL_TOKENS)).alias(f"b_{c}"))
+        checks.append(F.count(col(c)).alias(f"n_{c}"))
     res = cleaned.agg(*checks).first().asDict()
     out = []
     for c in cleaned.columns:
-        s = F.trim(F.col(f"`{c}`"))
+        s = F.trim(col(c))
         if res[f"n_{c}"] == 0:
             out.append(F.lit(None).cast("double").alias(c))  # all-missing column reads as float
         elif res[f"b_{c}"]:
-            out.append(F.when(F.col(f"`{c}`").isNotNull(), F.lower(s) == "true").alias(c))
+            out.append(F.when(col(c).isNotNull(), F.lower(s) == "true").alias(c))
         elif res[f"i_{c}"]:
             out.append(s.cast("bigint").alias(c))
         elif res[f"d_{c}"]:
             out.append(s.cast("double").alias(c))
         else:
-            out.append(F.col(f"`{c}`").alias(c))
+            out.append(col(c).alias(c))
     return nan_to_null(cleaned.select(*out))
 
 
@@ -70,7 +84,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     out = df.drop(ROW_ID) if ROW_ID in df.columns else df
     writer = out.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
 
@@ -84,12 +98,12 @@ def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     through Python. The id is stable as long as the input is deterministic (a file
     scan); checkpoint or write a non-deterministic input first."""
     if key is not None:
-        return df.withColumn(ROW_ID, F.col(key).cast("long"))
+        return df.withColumn(ROW_ID, col(key).cast("long"))
     tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_pid", "_base", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
-    out = tagged.join(F.broadcast(offsets), "_pid")  # bounded by the number of input partitions
+    out = tagged.join(offsets, "_pid")  # one row for each input partition: Spark broadcasts it when small
     return out.withColumn(ROW_ID, F.col("_start") + F.col("_mid") - F.col("_base")).drop(
         "_pid", "_mid", "_base", "_start")
 

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import col
 from tessera.operators.outliers import IqrBounds, ScaleGroups
 from tessera.plans.cleaning import CleaningPlan
 from tessera.session import ensure_checkpoint_dir
@@ -26,9 +27,10 @@ def parquet_stream(spark: SparkSession, path: str, schema, max_files_per_trigger
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if path.endswith(".parquet") and not os.path.isdir(path):
-        reader = reader.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # the path's own file system: local, hdfs, object store
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        reader = reader.option("pathGlobFilter", place.getName())
+        path = place.getParent().toString()
     return reader.parquet(path)
 
 
@@ -46,7 +48,7 @@ def quality_counts(stream: DataFrame, time_col: str, window: str, bounds: IqrBou
     cols = [c for c in (columns or stream.columns) if c != time_col]
     nulls = F.lit(0).cast("long")
     for c in cols:
-        nulls = nulls + F.col(f"`{c}`").isNull().cast("long")
+        nulls = nulls + col(c).isNull().cast("long")
     outs = F.lit(0).cast("long")
     for c in bounds.columns:
         outs = outs + bounds.flag(c).cast("long")
