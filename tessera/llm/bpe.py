@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +27,18 @@ from tessera.llm.common import slices, texts_of, with_arrays, with_fields
 
 #: Fixed value: the published pattern that cuts a text into pieces before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces remembered by a worker, and the longest piece it remembers.
-REMEMBER, LONGEST = 300_000, 64
+#: Pieces that a worker remembers newly before it lets the older half go; the longest it remembers.
+REMEMBER, LONGEST = 150_000, 64
+#: Texts of characters below this one are cut by the standard library's engine, which is faster.
+NARROW = 0x250
+
+
+def narrow_pieces() -> re.Pattern:
+    """``PIECES`` for texts of characters below ``NARROW``, their classes spelled out."""
+    letter, digit, blank = ("".join(re.escape(chr(c)) for c in range(NARROW) if regex.fullmatch(kind, chr(c)))
+                            for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(rf" ?[{letter}]+|'(?:[stmd]|re|ve|ll)| ?[{digit}]+| ?[^{blank}{letter}{digit}]+"
+                      rf"|[{blank}]+(?![^{blank}])|[{blank}]+")
 
 
 def byte_letters() -> list[str]:
@@ -61,10 +72,12 @@ class Vocabulary:
         known = {**{i: s for s, i in ids.items()}, **{i: s for s, i in self.special.items()}}
         self.strings = {i: bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
                         for i, s in known.items()}
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.narrow_pieces = regex.compile(PIECES), narrow_pieces()
+        self.narrow = re.compile(f"[\0-{chr(NARROW - 1)}]*")
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
@@ -93,24 +106,25 @@ class Vocabulary:
         return [s for s in symbol if s >= 0]
 
     def piece_ids(self, piece: str) -> bytes:
-        ids = np.asarray(self.merge(piece.encode()), "<u4").tobytes()
+        ids = self.older.get(piece) or np.asarray(self.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= LONGEST:
             if len(self.known) >= REMEMBER:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[piece] = ids
         return ids
 
     def plain(self, text: str) -> bytes:
-        known, out = self.known, []
-        for piece in self.pieces.findall(text):
-            ids = known.get(piece)
+        cut = self.narrow_pieces if self.narrow.fullmatch(text) else self.pieces
+        out = []
+        for piece in cut.findall(text):
+            ids = self.known.get(piece)
             out.append(ids if ids is not None else self.piece_ids(piece))
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. The strings of added tokens in a
         text are those tokens."""
-        if not self.marks or not self.marks.search(text):
+        if not any(mark in text for mark in self.special):
             return self.plain(text)
         return b"".join(np.asarray([self.special[t]], "<u4").tobytes() if i % 2 else self.plain(t)
                         for i, t in enumerate(self.marks.split(text)))
@@ -145,13 +159,23 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
     return df.mapInArrow(run, with_fields(df.schema, [T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
+def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """Each row's ids; a null row and null ids have none."""
+    for at in range(len(column)):
+        row = column[at].values
+        if row is None:
+            yield []
+        else:
+            yield (row if not row.null_count else row.drop_null()).to_numpy().tolist()
+
+
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Append ``out``: the text of each array of ids. A null array gives the empty text, null or
     unknown ids give nothing, bytes that are no UTF-8 become U+FFFD."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for batch in slices(batches, ids):
-            texts = [voc.decode(r) if r else "" for r in batch.column(ids).to_pylist()]
+            texts = [voc.decode(r) for r in id_lists(batch.column(ids))]
             yield with_arrays(batch, {out: pa.array(texts, pa.string())})
 
     return df.mapInArrow(run, with_fields(df.schema, [T.StructField(out, T.StringType())]))
