@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import col, numeric_columns
+from tessera.functions.columns import all_not_null, col, numeric_columns
 from tessera.operators.encode import ZScoreModel, fit_zscore
 
 K_MAX = 10            # fixed: elbow curve k = 1..10
@@ -56,7 +56,7 @@ def prepare_clusters(df: DataFrame, columns: Sequence[str] | None = None, persis
     """Rows complete in ``columns`` (default: all numeric), z-scored with the
     population std, assembled into a vector. Persisted because k-means iterates."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    clean = df.dropna(subset=cols)
+    clean = df.where(all_not_null(cols))
     scaler = fit_zscore(clean, cols, skip_binary=False)
     zcols = [F.coalesce(((col(c).cast("double") - F.lit(scaler.stats[c][0])) / F.lit(scaler.stats[c][1])),
                         F.lit(0.0)).alias(f"_z{i}") for i, c in enumerate(cols)]

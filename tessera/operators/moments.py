@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import col
+from tessera.functions.columns import all_not_null, col
 
 
 @dataclass
@@ -85,7 +85,7 @@ def _shift(clean: DataFrame, columns: Sequence[str]) -> list[float]:
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Moments over rows complete in ``columns`` (two jobs: a mean shift for accuracy,
     then the shifted sums)."""
-    clean = df.dropna(subset=list(columns))
+    clean = df.where(all_not_null(list(columns)))
     shift = _shift(clean, columns)
     row = _sums(clean, columns, [], shift).first()
     if row is None or not row["_n"]:
@@ -96,7 +96,7 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
 def grouped_moments(df: DataFrame, columns: Sequence[str], by: str) -> dict:
     """``{group: Moments}`` over rows complete in ``columns`` and ``by`` (the result
     has one row per group)."""
-    clean = df.dropna(subset=list(columns) + [by])
+    clean = df.where(all_not_null([*columns, by]))
     shift = _shift(clean, columns)
     rows = _sums(clean, columns, [by], shift).collect()
     return {r[by]: _to_moments(r, columns, shift) for r in rows}

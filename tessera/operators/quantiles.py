@@ -138,7 +138,8 @@ def _quantiles_from_counts(vc: DataFrame, by: list[str], probs: list[float]) ->
     res = hit.groupBy(*keys, "prob").agg(
         F.min_by("value", "rank").alias("v_lo"), F.max_by("value", "rank").alias("v_hi"),
         F.first("h").alias("h"))
-    value = F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))
+    between = F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))
+    value = F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(between)  # infinities stay
     return res.select(*keys, "prob", value.alias("value"))
 
 
@@ -209,6 +210,10 @@ def grouped_below(cells: DataFrame, keys: Sequence[str], single_task_limit: int
     wk = Window.partitionBy(*map(col, keys)).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*map(col, keys), "_bk", F.coalesce(F.sum("_bn").over(wk), F.lit(0)).alias("_start"))
     wb = Window.partitionBy(*map(col, keys), "_bk").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return (vb.join(offsets, keys + ["_bk"])
+    same = F.col("_bk") == F.col("_obk")
+    for i, k in enumerate(keys):  # a NULL key is a group like any other
+        offsets = offsets.withColumnRenamed(k, f"_o{i}")
+        same = same & col(k).eqNullSafe(F.col(f"_o{i}"))
+    return (vb.join(offsets.withColumnRenamed("_bk", "_obk"), same).drop("_obk", *[f"_o{i}" for i in range(len(keys))])
               .withColumn("below", F.col("_start") + F.coalesce(F.sum("cnt").over(wb), F.lit(0)))
               .drop("_bk", "_start"))
