@@ -40,6 +40,14 @@ def q_category_frequencies(spark, sf_dir):
     return _cat(spark, sf_dir)
 
 
+@register("frequencies_odd_names", _CAT_SQL)
+def q_frequencies_odd_names(spark, sf_dir):
+    """Column names with dots, spaces and backticks are plain names."""
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "Q1. br`and")
+    t = Fq.category_frequencies(part, "Q1. br`and", top_n=20)
+    return rounded(t.withColumn("position", F.col("position").cast("bigint")))
+
+
 @register("bar_data", "select position, category, frequency from (" + _CAT_SQL + ") z")
 def q_bar_data(spark, sf_dir):
     return Fq.bar_data(_cat(spark, sf_dir))

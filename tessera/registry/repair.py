@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 
 from tessera.operators import encode as E
 from tessera.operators import profile as P
 from tessera.operators.repair import fit_impute
 from tessera.plans.cleaning import CleaningConfig, fit_cleaning
-from tessera.registry.base import ORACLE, fixture, register, rounded, table, with_fixtures
+from tessera.registry.base import ORACLE, fixture, register, rounded, table, views, with_fixtures
 from tessera.registry.cleaning import _flag_sql, _iqr_sql
-from tessera.sources.io import page
+from tessera.session import ensure_checkpoint_dir
+from tessera.sources.io import page, read_csv, write_table
 
 HOLES_KEEP = ["o_orderkey", "price", "qty", "status", "sparse_col", "flag01"]
 _HK = "select o_orderkey, price, qty, status, sparse_col, flag01 from orders_holes"
@@ -223,3 +225,29 @@ def q_stream_clean_events(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     stream = parquet_stream(spark, path, spark.read.parquet(path).schema).select(*cols)
     return run_to_table(clean_stream(plan, stream), name="clean-events")
+
+
+_BIG = """select o_orderkey, case when o_orderkey%7=0 then null
+       else 9007199254740993 + 2*(o_orderkey%1000) end as v from orders"""
+
+
+@register("impute_bigint", f"""with h as ({_BIG})
+select o_orderkey, coalesce(v, (select cast(round_even(quantile_cont(cast(v as double), 0.5), 0) as bigint) from h)) as v
+from h""")
+def q_impute_bigint(spark, sf_dir):
+    """Integers beyond 2^53 keep their value; only NULL cells are filled."""
+    views(spark, sf_dir, "orders")
+    h = spark.sql(_BIG)
+    return fit_impute(h, "median").transform(h)
+
+
+_QUOTED = """select c_custkey, concat('say "', c_name, '", x', {end}, c_custkey) as note, c_mktsegment from customer"""
+
+
+@register("csv_roundtrip", _QUOTED.format(end="chr(10)"))
+def q_csv_roundtrip(spark, sf_dir):
+    """A table with quotes, separators and line ends written as CSV and read back."""
+    views(spark, sf_dir, "customer")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-roundtrip-{uuid.uuid4().hex}"
+    write_table(spark.sql(_QUOTED.format(end="char(10)")), path, "csv")
+    return read_csv(spark, path)
