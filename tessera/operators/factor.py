@@ -71,16 +71,6 @@ def kmo(r: np.ndarray) -> float:
     return r2 / (r2 + a2)
 
 
-def kmo_per_variable(r: np.ndarray) -> np.ndarray:
-    inv = np.linalg.pinv(r)
-    d = np.sqrt(np.outer(np.diag(inv), np.diag(inv)))
-    partial = -inv / d
-    np.fill_diagonal(partial, 0.0)
-    rr = r.copy()
-    np.fill_diagonal(rr, 0.0)
-    return np.sum(rr ** 2, 0) / (np.sum(rr ** 2, 0) + np.sum(partial ** 2, 0))
-
-
 def bartlett(r: np.ndarray, n: int) -> tuple[float, float, float]:
     """Statistic, degrees of freedom, p. A singular matrix has an infinite statistic, p 0."""
     p = len(r)

@@ -93,9 +93,20 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     return _to_moments(row, columns, shift)
 
 
+MAX_LEVELS = 1_000  # levels of a grouping column whose statistics may come to the driver
+
+
+def require_few_levels(df: DataFrame, by: str, most: int = MAX_LEVELS) -> None:
+    """Raise ``ValueError`` if column ``by`` has more than ``most`` levels (an id passed as the
+    target, for instance), before anything of them is collected."""
+    if df.select(col(by)).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"{by!r} has more than {most} levels")
+
+
 def grouped_moments(df: DataFrame, columns: Sequence[str], by: str) -> dict:
     """``{group: Moments}`` over rows complete in ``columns`` and ``by`` (the result
-    has one row per group)."""
+    has one row per group, ``MAX_LEVELS`` at most)."""
+    require_few_levels(df, by)
     clean = df.where(all_not_null([*columns, by]))
     shift = _shift(clean, columns)
     rows = _sums(clean, columns, [by], shift).collect()

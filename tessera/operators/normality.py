@@ -177,7 +177,9 @@ def normality(df: DataFrame, column: str, by: Sequence[str] = (), alpha: float =
     if by:
         out = ks.join(sw, by, "inner")
     else:  # one row each
-        out = ks.withColumn("_one", F.lit(1)).join(sw.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        tested = sw.first()
+        types = {"n_tested": "long", "shapiro_w": "double", "shapiro_p": "double"}
+        out = ks.withColumns({n: F.lit(tested[n] if tested else None).cast(t) for n, t in types.items()})
     normal_sw = F.coalesce(F.col("shapiro_p") > alpha, F.lit(False))
     normal_ks = F.coalesce(F.col("ks_p") > alpha, F.lit(False))
     return out.select(*by, "n", "shapiro_w", "shapiro_p", "ks_statistic", "ks_p",

@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.columns import all_not_null, col, is_numeric_type, to_number
 from tessera.operators.quantiles import modes, quantile_map
@@ -119,7 +118,3 @@ def fit_impute(df: DataFrame, strategy: str = "mean", per_column: Mapping[str, s
 
 def impute(df: DataFrame, strategy: str = "mean", per_column: Mapping[str, str] | None = None) -> DataFrame:
     return fit_impute(df, strategy, per_column).transform(df)
-
-
-def column_types(df: DataFrame) -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in df.schema.fields}

@@ -27,6 +27,8 @@ class CleaningConfig:
     drop_sparse: bool = True
     coerce_mixed: bool = True
     extra_drop: tuple[str, ...] = ()
+    keep_sparse: tuple[str, ...] = ()     # sparse columns that stay
+    keep_mixed: tuple[str, ...] = ()      # mixed-type columns that stay text
     outliers: bool = True
     outlier_action: str = "null"          # null | drop | ignore
     straightline: bool = True
@@ -36,6 +38,9 @@ class CleaningConfig:
     strategy: str = "mean"                # mean | median
     per_column: Mapping[str, str] = field(default_factory=dict)
     id_columns: tuple[str, ...] = ()      # never part of scale groups
+    row_id: str | None = None             # unique column that the two tables below refer to
+    row_actions: DataFrame | None = None  # (row_id, action): null | drop | ignore, instead of outlier_action
+    keep_rows: DataFrame | None = None    # (row_id): straight-liners that stay
 
 
 @dataclass
@@ -64,21 +69,30 @@ class CleaningPlan:
     def _apply(self, df: DataFrame) -> DataFrame:
         cfg = self.config
         out = self._marked(df)
-        if cfg.outliers and cfg.outlier_action != "ignore":
-            if cfg.outlier_action == "drop":
-                out = out.where(~col(f"{_HIDDEN}any"))
-            else:
-                out = out.withColumns({c: F.when(col(f"{_HIDDEN}f_{c}"), F.lit(None)).otherwise(col(c))
-                                       for c in self.bounds.columns})
+        if cfg.outliers and (cfg.outlier_action != "ignore" or cfg.row_actions is not None):
+            act = F.lit(cfg.outlier_action)
+            if cfg.row_actions is not None:
+                chosen = cfg.row_actions.select(col(cfg.row_id), F.col("action").alias(f"{_HIDDEN}act"))
+                out = out.join(chosen, cfg.row_id, "left")
+                act = F.coalesce(col(f"{_HIDDEN}act"), act)
+            out = out.where(~(col(f"{_HIDDEN}any") & (act == "drop")))
+            out = out.withColumns({c: F.when(col(f"{_HIDDEN}f_{c}") & (act == "null"), F.lit(None)).otherwise(col(c))
+                                   for c in self.bounds.columns})
         if cfg.straightline and cfg.straightline_action == "drop":
-            out = out.where(~col(f"{_HIDDEN}sl"))
+            gone = col(f"{_HIDDEN}sl")
+            if cfg.keep_rows is not None:
+                kept = cfg.keep_rows.select(col(cfg.row_id)).distinct().withColumn(f"{_HIDDEN}keep", F.lit(True))
+                out = out.join(kept, cfg.row_id, "left")
+                gone = gone & col(f"{_HIDDEN}keep").isNull()
+            out = out.where(~gone)
         if cfg.impute and self.impute_plan is not None:
             out = self.impute_plan.transform(out)
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self._apply(df)
-        return out.select(*[col(c) for c in out.columns if not c.startswith(_HIDDEN)])
+        shown = [c for c in df.columns if c in out.columns]  # a join on the row id moves it in front
+        return out.select(*map(col, shown))
 
     # -- reporting ------------------------------------------------------------
     def report(self, df: DataFrame) -> DataFrame:
@@ -108,10 +122,11 @@ class CleaningPlan:
                 continue
             same = F.coalesce(col(c).cast("double") == col(f"{_HIDDEN}o_{c}").cast("double"), F.lit(False))
             remain = remain + (col(f"{_HIDDEN}f_{c}") & same).cast("long")
+        first = before.first()
         after = final.agg(F.count(F.lit(1)).alias("rows_after"), F.sum(null_after).cast("long").alias("nulls_after"),
                           F.coalesce(F.sum(remain), F.lit(0)).cast("long").alias("outliers_after"),
                           F.count_if(col(f"{_HIDDEN}sl")).alias("straightliners_after"))
-        both = before.withColumn("_one", F.lit(1)).join(after.withColumn("_one", F.lit(1)), "_one")  # 1 row each
+        both = after.withColumns({n: F.lit(first[n]).cast("long") for n in before.columns})
         return both.select(
             "rows_before", "rows_after", (F.col("rows_after") - F.col("rows_before")).alias("rows_delta"),
             "nulls_before", "nulls_after", (F.col("nulls_after") - F.col("nulls_before")).alias("nulls_delta"),
@@ -120,11 +135,12 @@ class CleaningPlan:
             "straightliners_before", "straightliners_after",
             (F.col("straightliners_after") - F.col("straightliners_before")).alias("straightliners_delta"))
 
-    def cell_flags(self, df: DataFrame, id_col: str) -> DataFrame:
+    def cell_flags(self, df: DataFrame, id_col: str, include_id: bool = True) -> DataFrame:
         """``(id, variable, state)`` for cells shown as null / outlier / straightline
-        in the cleaned frame (later rule wins: straightline < outlier < null)."""
+        in the cleaned frame (later rule wins: straightline < outlier < null); the id
+        column's own cells too unless ``include_id`` is off."""
         final = self._apply(df)
-        visible = [c for c in final.columns if not c.startswith(_HIDDEN) and c != id_col]
+        visible = [c for c in df.columns if c in final.columns and (include_id or c != id_col)]
         items = []
         for c in visible:
             state = F.when(col(c).isNull(), F.lit("null"))
@@ -140,13 +156,15 @@ class CleaningPlan:
 
 def fit_cleaning(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> CleaningPlan:
     cfg = config
+    if cfg.row_id is None and (cfg.row_actions is not None or cfg.keep_rows is not None):
+        raise ValueError("row actions and rows to keep need row_id")
     drop_cols: list[str] = list(cfg.extra_drop)
     coerce_cols: list[str] = []
     if cfg.structural:  # job 1: empty / sparse / mixed-type columns
         issues, mixed = P.structure_report(df)
-        drop_cols += [c for c, i in issues.items() if i == "empty" or (i == "sparse" and cfg.drop_sparse)]
+        drop_cols += [c for c, i in issues.items() if i == "empty" or (i == "sparse" and cfg.drop_sparse and c not in cfg.keep_sparse)]
         if cfg.coerce_mixed:
-            coerce_cols = [c for c in mixed if c not in drop_cols]
+            coerce_cols = [c for c in mixed if c not in drop_cols and c not in cfg.keep_mixed]
     plan = CleaningPlan(cfg, list(df.columns), drop_cols, coerce_cols, O.IqrBounds({}), O.ScaleGroups({}), None)
     st = plan.structural(df)
     # job 2: scale groups + value counts; job 3: exact quartiles of every numeric column

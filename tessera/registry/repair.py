@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from tessera.operators import encode as E
 from tessera.operators import profile as P
 from tessera.operators.repair import fit_impute
@@ -180,7 +182,26 @@ def q_cell_flags(spark, sf_dir):
     sv = fixture(spark, sf_dir, "survey")
     cfg = CleaningConfig(id_columns=("user_id",), outlier_action="ignore", straightline_action="ignore",
                          impute=False)
-    return fit_cleaning(sv, cfg).cell_flags(sv, "user_id")
+    return fit_cleaning(sv, cfg).cell_flags(sv, "user_id", include_id=False)
+
+
+_RA_CELLS = ", ".join(f"case when user_id%3=2 and {_flag_sql(c)} then null else {c} end as {c}" for c in _SV_NUM)
+_RA_ANY = " or ".join(f"coalesce({_flag_sql(c)}, false)" for c in _SV_NUM)
+
+
+@register("clean_row_actions", _cte(f"""
+, b as ({_iqr_sql('survey', _SV_NUM)}),
+fl as (select *, ({_SL}) as sl, ({_RA_ANY}) as hit from survey)
+select {', '.join(_SV_NUM)}, segment from (
+  select {_RA_CELLS}, segment from fl
+  where not (hit and user_id%3=0) and not (coalesce(sl, false) and user_id%2<>0)) t""", "survey"))
+def q_clean_row_actions(spark, sf_dir):
+    """Outlier rows dropped, ignored or neutralised one by one; some straight-liners kept."""
+    sv = fixture(spark, sf_dir, "survey")
+    acts = sv.select("user_id", F.when(F.col("user_id") % 3 == 0, "drop").otherwise("ignore").alias("action")).where("user_id % 3 < 2")
+    cfg = CleaningConfig(id_columns=("user_id",), structural=False, impute=False, row_id="user_id", row_actions=acts,
+                         keep_rows=sv.select("user_id").where("user_id % 2 = 0"))
+    return fit_cleaning(sv, cfg).transform(sv)
 
 
 # ---------------------------------------------------------------- encoding and paging
