@@ -48,15 +48,19 @@ SCOPES = frozenset("html body table ul ol dl div section article main select but
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 OFF_NAMES = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar
 navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe
-subscription signup login comment comments respond replies disqus social share sharing related recommended search pagination pager
-toolbar widget masthead topbar""".split())
+subscription signup login comment comments respond responses replies discussion disqus social share sharing related recommended
+search pagination pager toolbar widget masthead topbar topnav sidenav notification notifications announcement adbox adslot adsense
+adbanner""".split())
 TOP_NAMES = frozenset(("header", "head"))
-READERS = frozenset(("comment", "comments", "reply", "replies", "respond"))
+READERS = frozenset("comment comments reply replies respond responses discussion".split())
 
-TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|=\s*"[^"]*"|=\s*'[^']*'|["'])*)>|<[!?/][^>]*>""", re.S)
+TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'<>]+)""")
 
 
+WORDS = re.compile(r"([a-z0-9])([A-Z])")  # cookieNotice is cookie-notice
+
+
 class Node:
     __slots__ = ("tag", "names", "role", "off", "kids", "label")
 
@@ -65,7 +69,8 @@ class Node:
         if attributes and not attributes.isspace():
             for m in ATTRIBUTE.finditer(attributes):
                 found.setdefault((m[1] or m[5]).lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
-        marks = (found.get("class", "") + " " + found.get("id", "")).lower().strip()
+        marks = (found.get("class", "") + " " + found.get("id", "")).strip()
+        marks = WORDS.sub(r"\1-\2", marks).lower()
         self.tag = tag
         self.names = frozenset(re.split(r"[^a-z0-9]+", marks)) if marks else frozenset()
         self.role = found.get("role", "").lower()
@@ -80,8 +85,9 @@ def parse(page: str) -> Node:
     are implied, stray ones ignored; the contents of scripts and the like are no text."""
     root = Node("#root", "")
     stack, at, n = [root], 0, len(page)
+    last = max(page.rfind(">"), page.rfind("<!--"))  # no tag begins behind it
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         if not m:
             stack[-1].kids.append(entities.unescape(page[at:]))
             break
@@ -106,7 +112,7 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < DEPTH:
+        elif tag not in VOID and len(stack) < DEPTH:
             stack.append(node)
     return root
 

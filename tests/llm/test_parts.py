@@ -198,6 +198,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 def test_article_text():
     text = " ".join(t for _, t in hx.blocks_of(hx.roots(hx.parse(PAGE)), {}))
     assert text == "Big & small One bold Two three x y"
+    marked = PAGE.replace('class="cookie-notice"', 'id="cookieNotice"').replace('class="comments"', 'class="readerComments"')
+    assert " ".join(t for _, t in hx.blocks_of(hx.roots(hx.parse(marked)), {})) == text
+    quoted = """<body><a title="a > b" data-x='>'>x</a> y <br/>z<p title="open</body>"""
+    assert " ".join(t for _, t in hx.blocks_of(hx.roots(hx.parse(quoted)), {})).startswith("x y z")
     for odd in ("", "plain", "<p>a<p>b", "<div" * 50, "<!-- x", "<script>x", "</p>", "<a href='>'>q</a>", "<div>" * 3000 + "deep"):
         hx.blocks_of(hx.roots(hx.parse(odd)), {})
     assert " ".join(t for _, t in hx.blocks_of(hx.roots(hx.parse("<div>" * 3000 + "deep")), {})) == "deep"
