@@ -10,6 +10,7 @@ before are looked up in a table of bounded size in the worker (it only saves tim
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -20,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import slices, texts_of, with_arrays, with_fields
@@ -181,26 +181,23 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     return df.mapInArrow(run, with_fields(df.schema, [T.StructField(out, T.StringType())]))
 
 
-def ids_sha256(df: DataFrame, ids: str = "token_ids", out: str = "ids_sha256") -> DataFrame:
-    """Append the SHA-256 (lowercase hex) of the ids as little-endian unsigned 32-bit integers."""
-    import hashlib
+def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``df``'s columns but ``text``, with n_tokens, ids_sha256 (of the ids as little-endian
+    unsigned 32-bit integers) and decoded_sha256 (of the text decoded from the ids), both in
+    lowercase hex. Encoding and decoding run in one pass: one worker process for each task."""
+    kinds = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    rest = with_fields(df.drop(text).schema, [T.StructField(n, k) for n, k in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(ids)
-            ends = column.offsets.to_numpy()
-            flat = column.values.to_numpy(zero_copy_only=False).astype("<u4")
-            yield with_arrays(batch, {out: pa.array(
-                [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string())})
-
-    return df.mapInArrow(run, with_fields(df.schema, [T.StructField(out, T.StringType())]))
-
-
-def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``df``'s columns but ``text``, with n_tokens, ids_sha256 and decoded_sha256 of the ids and of
-    the text decoded from them."""
-    coded = ids_sha256(decode(encode(df, path, text).drop(text), path))
-    return coded.withColumns({
-        "n_tokens": F.size("token_ids").cast("long"),
-        "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256),
-    }).drop("token_ids", "decoded")
+        voc = vocabulary(path)
+        for batch in slices(batches, text):
+            sizes, ids, decoded = [], [], []
+            for t in texts_of(batch, text):
+                coded = voc.encode(t)
+                sizes.append(len(coded) // 4)
+                ids.append(hashlib.sha256(coded).hexdigest())
+                decoded.append(hashlib.sha256(voc.decode(np.frombuffer(coded, "<u4").tolist()).encode()).hexdigest())
+            yield with_arrays(batch, {"n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
+                                      "decoded_sha256": pa.array(decoded, pa.string())}).select(rest.names)
+
+    return df.mapInArrow(run, rest)

@@ -75,6 +75,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
         step = max(1, most // size)
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # the worker process lives on
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

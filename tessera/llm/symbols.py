@@ -76,6 +76,18 @@ def count_keys(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.col(f"`{text}`").alias(text)).mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+class Tables:
+    """The table of logarithms that a worker used last: one is kept, whatever models it meets."""
+    last: tuple[str, np.ndarray] | None = None
+
+
+def kept_table(name: str, make) -> np.ndarray:
+    if Tables.last is None or Tables.last[0] != name:
+        Tables.last = None  # free the former table before the new one is made
+        Tables.last = (name, make())
+    return Tables.last[1]
+
+
 def mean_log(table: np.ndarray, texts: list[str]) -> np.ndarray:
     """Mean of the table's logarithms over each text's characters; NaN for an empty text."""
     keys, bounds = keys_of(texts)

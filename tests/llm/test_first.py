@@ -40,6 +40,17 @@ def test_bpe_equals_library(spark):
         assert voc.decode(ids) == t.decode(ids, skip_special_tokens=False)
 
 
+def test_encode_and_decode_round_trip(spark):
+    path = queries.tokenizer_path()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd_texts()[:80])] + [(0, None)], "doc_id long, text string")
+    coded = bpe.encode(df, path)
+    for r in bpe.decode(coded, path).collect():
+        assert r.decoded == (r.text or "") and r.token_ids is not None
+    odd = spark.createDataFrame([(None,), ([],), ([464, None, 999_999],)], "token_ids array<int>")
+    assert sorted(r.decoded for r in bpe.decode(odd, path).collect()) == ["", "", "The"]
+    assert bpe.decode(bpe.encode(df.limit(0), path), path).count() == 0
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 5, 1000, 4097):
         p = sharding.permute(np.arange(n), n, 3)
