@@ -3,15 +3,18 @@ marginals give each document its score and the offsets of the offending spans.
 
 Labels name documents, so tokens are labelled first: features of tokens (the word, its first
 four and five letters) that stand almost only in toxic documents, by far more often than chance
-allows, tag the tokens of toxic documents; all other tokens are not tagged. Near-copies would
-pass for chance-proof evidence, so the sample keeps one document for each smallest shingle hash.
+allows, tag the tokens of toxic documents; all other tokens are not tagged. They are counted over
+all learnable documents. Near-copies would pass for chance-proof evidence, so one document is kept
+for each smallest shingle hash.
 
 The field has two states. With odds instead of probabilities both recursions are one number
 for each token: r = e (a01 + a11 r') / (a00 + a10 r') forward, and the mirror image backward.
 Ends of sentences are tokens that are never toxic, so sentences run side by side as vectors.
 
-Only fitting uses a sample, of at most ``MOST_EACH`` labelled documents of either label by the
-hash of their ids; its gradients are added up by Spark. Every document is scored, whole."""
+Only the field and the score are fitted on a sample, of at most ``MOST_EACH`` documents of either
+label by the hash of their texts; its gradients are added up by Spark. A sampled document weighs as many documents
+as it stands for, in units of a toxic one, so the shares of the labels are those of all learnable
+documents however few are sampled. Every document is scored, whole."""
 
 from __future__ import annotations
 
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import slices, texts_of, with_arrays, with_fields, written
 
-#: Labelled documents of either label fitted on at most.
+#: Learnable documents of either label fitted on at most.
 MOST_EACH = 4_000
 #: Hashed features, steps of the fit, parts of the sample, words remembered by a worker.
 SIZE, STEPS, PARTS, REMEMBER = 1 << 17, 30, 8, 300_000
@@ -100,12 +103,17 @@ def marginals(odds: np.ndarray, step: np.ndarray) -> np.ndarray:
     return r * b / (1 + r * b)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, flag: str, held_out) -> DataFrame:
-    """toxic, text of the fitted sample. Its ids are bounded, so they are broadcast."""
-    learn = labels.filter(F.col(flag).isin(0, 1) & ~held_out).groupBy(key).agg(F.max(flag).alias("toxic"))
-    few = [learn.filter(F.col("toxic") == v).orderBy(F.xxhash64(key), key).limit(MOST_EACH) for v in (0, 1)]
-    ids = written(few[0].unionByName(few[1]), "toxic-sample-ids").withColumnRenamed(key, "__key")
-    chosen = docs.join(F.broadcast(ids), docs[key] == F.col("__key")).select("toxic", F.col(text).alias("text"))
+def weights(totals: dict[int, int]) -> dict[int, float]:
+    """Inverse sampling rate of a document of each label, in units of a toxic one's, from the
+    learnable documents of each label."""
+    inverse = {v: max(totals.get(v, 0) / MOST_EACH, 1.0) for v in (0, 1)}
+    return {0: inverse[0] / inverse[1], 1: 1.0}
+
+
+def learnable(docs: DataFrame, labels: DataFrame, key: str, text: str, flag: str, held_out) -> DataFrame:
+    """toxic, hash, text of all documents that may be learned from, one for each smallest shingle hash."""
+    learn = labels.filter(F.col(flag).isin(0, 1) & ~held_out).groupBy(F.col(key).alias("__key")).agg(F.max(flag).alias("toxic"))
+    chosen = docs.join(learn, docs[key] == F.col("__key")).select("toxic", F.col(text).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -118,34 +126,56 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, flag: str,
 
     marked = chosen.mapInArrow(sketch, with_fields(chosen.schema, [T.StructField("least", T.LongType())]))
     one = marked.groupBy("toxic", "least").agg(F.min("text").alias("text"))
-    return written(one.select("toxic", "text").repartition(PARTS, F.xxhash64("text")), "toxic-sample")
+    return written(one.select("toxic", F.xxhash64("text").alias("hash"), "text"), "toxic-learnable")
 
 
-def lexicon(sample: DataFrame) -> set[str]:
-    """The features that mark tokens as toxic."""
-    totals = dict(sample.groupBy("toxic").count().collect())
-    bad, fine = totals.get(1, 0), totals.get(0, 0)
-    if not bad or not fine:
-        return set()
+def sampled(learned: DataFrame) -> DataFrame:
+    """toxic, weight, text of the fitted sample. Its hashes are bounded, so they are broadcast."""
+    weight = weights(dict(learned.groupBy("toxic").count().collect()))
+    few = [learned.filter(F.col("toxic") == v).select("toxic", "hash").orderBy("hash").limit(MOST_EACH).withColumn("weight", F.lit(weight[v]))
+           for v in (0, 1)]
+    hashes = written(few[0].unionByName(few[1]), "toxic-sample-hashes").dropDuplicates(["toxic", "hash"])
+    return written(learned.join(F.broadcast(hashes), ["toxic", "hash"]).select("toxic", "weight", "text")
+                   .repartition(PARTS, F.xxhash64("text")), "toxic-sample")
+
 
+def told(docs: DataFrame) -> DataFrame:
+    """feature, bad, fine: in how many toxic and other documents each feature stands."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            names = list(found[0].keys() | found[1].keys())
+            for at in range(0, len(names), 50_000):
+                part = names[at:at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([found[1][n] for n in part], pa.int64()),
+                                                  pa.array([found[0][n] for n in part], pa.int64())], names=["feature", "bad", "fine"])
+            found[0].clear()
+            found[1].clear()
+
         for batch in slices(batches, "text"):
             for text, toxic in zip(texts_of(batch, "text"), batch.column("toxic").to_pylist()):
                 found[toxic].update({f for w in set(TOKENS.findall(lowered(text))) - ENDS for f in tell(w)})
-        names = list(found[0].keys() | found[1].keys())
-        for at in range(0, len(names), 50_000):
-            part = names[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([found[1][n] for n in part], pa.int64()),
-                                              pa.array([found[0][n] for n in part], pa.int64())], names=["feature", "bad", "fine"])
+            if len(found[0]) + len(found[1]) > REMEMBER:
+                yield from counted()
+        yield from counted()
 
-    share = bad / (bad + fine)
-    counts = sample.mapInArrow(count, "feature string, bad long, fine long").groupBy("feature") \
+    return docs.select("toxic", "text").mapInArrow(count, "feature string, bad long, fine long").groupBy("feature") \
         .agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
+
+
+def lexicon(learned: DataFrame, sample: DataFrame) -> set[str]:
+    """The features of the sample that mark tokens as toxic, by their counts over all learnable documents."""
+    totals = dict(learned.groupBy("toxic").count().collect())
+    bad, fine = totals.get(1, 0), totals.get(0, 0)
+    if not bad or not fine:
+        return set()
+    share = bad / (bad + fine)
     n = F.col("bad") + F.col("fine")
     sure = (F.col("bad") - share * n) / F.sqrt(share * (1 - share) * n) >= SURE
     pure = F.col("bad") / bad >= PURE * (F.col("bad") / bad + F.col("fine") / fine)
-    return {r[0] for r in counts.filter(sure & pure).select("feature").collect()}  # bounded by the sample
+    found = told(learned).filter(sure & pure).select("feature")
+    return {r[0] for r in found.join(told(sample.filter("toxic = 1")), "feature", "left_semi").collect()}  # bounded by the sample
 
 
 def lowered(text: str) -> str:
@@ -160,17 +190,20 @@ def tokens_of(text: str) -> list[str]:
 
 def prepare(sample: DataFrame, taken: set[str]) -> DataFrame:
     """One blob for each part of the sample: features of its word types, the tokens' types
-    (-1: an end) and tags."""
+    (-1: an end), tags and weights."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types: dict[str, int] = {}
-        ids, tags = [], []
+        ids, tags, heavy = [], [], []
         for batch in slices(batches, "text"):
-            for text, toxic in zip(texts_of(batch, "text"), batch.column("toxic").to_pylist()):
-                for w in tokens_of(text):
+            for text, toxic, weight in zip(texts_of(batch, "text"), batch.column("toxic").to_pylist(), batch.column("weight").to_pylist()):
+                tokens = tokens_of(text)
+                heavy.append(np.full(len(tokens), weight, np.float32))
+                for w in tokens:
                     ids.append(-1 if w in ENDS else types.setdefault(w, len(types)))
                     tags.append(bool(toxic) and w not in ENDS and not taken.isdisjoint(tell(w)))
         if ids:
-            blob = pickle.dumps((np.array([hashed(w) for w in types], np.int32).reshape(-1, 7), np.array(ids, np.int32), np.array(tags)))
+            blob = pickle.dumps((np.array([hashed(w) for w in types], np.int32).reshape(-1, 7), np.array(ids, np.int32), np.array(tags),
+                                 np.concatenate(heavy)))
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
     return written(sample.mapInArrow(run, "blob binary"), "toxic-tokens")
@@ -178,21 +211,22 @@ def prepare(sample: DataFrame, taken: set[str]) -> DataFrame:
 
 def gradient(blob: bytes, field: Field) -> tuple[np.ndarray, np.ndarray, int]:
     """Gradient of the log likelihood: features and bias, transitions; and the tokens."""
-    features, ids, tags = pickle.loads(blob)
+    features, ids, tags, *heavy = pickle.loads(blob)
+    weight = heavy[0] if heavy else np.ones(len(ids), np.float32)
     word = ids >= 0
     score = np.clip(field.weight[features].sum(1) + field.bias, -30, 30)
     odds = np.zeros(len(ids))
     odds[word] = np.exp(score[ids[word]])
     r, b = forward_backward(odds, field.step)
     p = r * b / (1 + r * b)
-    by_type = np.bincount(ids[word], weights=(tags - p)[word], minlength=len(features))
+    by_type = np.bincount(ids[word], weights=((tags - p) * weight)[word], minlength=len(features))
     g = np.bincount(features.reshape(-1), weights=np.repeat(by_type, features.shape[1]), minlength=SIZE)
     a01, a10, a11 = np.exp(field.step)
     before, after = r[:-1], odds[1:] * b[1:]
     all_ = 1 + a01 * after + a10 * before + a11 * before * after
-    was, now = tags[:-1], tags[1:]
-    steps = np.array([((~was & now) - a01 * after / all_).sum(), ((was & ~now) - a10 * before / all_).sum(),
-                      ((was & now) - a11 * before * after / all_).sum()])
+    was, now, w = tags[:-1], tags[1:], weight[1:]  # pairs of two documents are pairs of ends, which add nothing
+    steps = np.array([(w * ((~was & now) - a01 * after / all_)).sum(), (w * ((was & ~now) - a10 * before / all_)).sum(),
+                      (w * ((was & now) - a11 * before * after / all_)).sum()])
     return np.r_[g, by_type.sum()], steps, int(word.sum())
 
 
@@ -271,13 +305,15 @@ def tag(df: DataFrame, field: Field, text: str = "text", spans: str = "spans") -
 
 def calibrate(scored: list, steps: int = 3000) -> np.ndarray:
     """Logistic weights (constant, log of one plus the sum, maximum, log of one plus the tokens)
-    on the sample's documents."""
+    on the sample's documents, weighted."""
     x = np.array([[1.0, np.log1p(r["__sum"]), r["__max"], np.log1p(r["__tokens"])] for r in scored])
     y = np.array([float(r["toxic"]) for r in scored])
+    share = np.array([r["weight"] for r in scored])
+    share /= share.sum()
     w = np.array(PLAIN)
     for _ in range(steps):  # Newton steps would diverge where the labels separate; a prior keeps w finite
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += 0.2 * (x.T @ (y - p) / len(y) - 1e-4 * w)
+        w += 0.2 * (x.T @ (share * (y - p)) - 1e-4 * w)
     return w
 
 
@@ -292,9 +328,10 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     weights; columns named like a result are replaced."""
     held_out = F.lit(False) if held_out is None else held_out
     docs = docs.drop("score", "predicted", "spans")
-    sample = sampled(docs, labels.filter(F.col(key).isNotNull()), key, text, flag, held_out)
-    field = fit(prepare(sample, lexicon(sample)))
-    known = tag(sample, field).select("toxic", "__sum", "__max", "__tokens").collect()  # bounded by the sample
+    learned = learnable(docs, labels.filter(F.col(key).isNotNull()), key, text, flag, held_out)
+    sample = sampled(learned)
+    field = fit(prepare(sample, lexicon(learned, sample)))
+    known = tag(sample, field).select("toxic", "weight", "__sum", "__max", "__tokens").collect()  # bounded by the sample
     w = [float(v) for v in (calibrate(known) if known else PLAIN)]
     tagged = tag(docs, field, text).drop(text)
     x = F.lit(w[0]) + w[1] * F.log1p("__sum") + w[2] * F.col("__max") + w[3] * F.log1p("__tokens")
