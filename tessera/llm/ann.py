@@ -9,8 +9,9 @@ ranked again by exact distances, the others are not.
 
 Every row is indexed. Only the cells' centres are fitted on a bounded sample. A query scans the
 codes of all cells or of the nearest ones; a cell with more than ``BLOCK`` rows is split into blocks by a hash of the
-id, and each (cell, block) is one group of a co-grouped join, so no group grows with the table.
-Queries meet a block in parts of ``QUERIES_AT_ONCE``."""
+id, a cell with more than ``ASKED`` queries asks them in parts by a hash of theirs, and each
+(cell, block, part) is one group of a co-grouped join, so no group grows with the table. Queries
+meet a block in slices of ``QUERIES_AT_ONCE``."""
 
 from __future__ import annotations
 
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-#: Rows the centres are fitted on at most (those with the smallest id hashes), rows of a block.
-SAMPLE, BLOCK, QUERIES_AT_ONCE = 20_000, 50_000, 256
+#: Rows the centres are fitted on at most (those with the smallest id hashes), rows of a block,
+#: queries of a part, queries compared at once.
+SAMPLE, BLOCK, ASKED, QUERIES_AT_ONCE = 20_000, 50_000, 4_000, 256
 #: Error bound in standard deviations of the estimate.
 EPSILON = 4.0
 
@@ -79,6 +81,18 @@ def estimates(query: np.ndarray, centre: np.ndarray, turn: np.ndarray, code: np.
     return q_length[:, None] ** 2 + length[None, :] ** 2 - scale * cosine, scale * error[None, :]
 
 
+def dealt(indexed: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The codes and the queries with the block and the part they meet in."""
+    blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    groups = F.broadcast(written(blocks.join(parts, "cell"), "ann-groups"))  # one row for each cell
+    placed = indexed.join(groups, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    posed = asked.join(groups, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+    return placed, posed
+
+
 def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", is_query: "F.Column | None" = None, k: int = 10,
             cells: int = 16, visits: int | None = None, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that ``is_query`` chooses its ``k``
@@ -115,7 +129,6 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", is_
                                 "length": length, "inner": inner, "v": pdf["v"]})
 
     indexed = written(table.mapInPandas(index, "cell int, id long, code binary, length double, inner double, v array<double>"), "ann-index")
-    blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
 
     def visit(batches):
         centre, _ = shared.value
@@ -127,10 +140,8 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", is_
                                 "q": [x for x in pdf["v"] for _ in range(n)]})
 
     asked = table.filter(is_query) if is_query is not None else table
-    asked = asked.mapInPandas(visit, "cell int, query_id long, q array<double>")
-    # one row for each cell in ``blocks``: at most ``cells``
-    placed = indexed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    posed = asked.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = written(asked.mapInPandas(visit, "cell int, query_id long, q array<double>"), "ann-asked")
+    placed, posed = dealt(indexed, asked)
 
     def search(where, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -155,7 +166,7 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", is_
                     out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[near[best]], "score": exact[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    hits = posed.groupBy("cell", "block").cogroup(placed.select("cell", "block", "id", "code", "length", "inner", "v")
-                                                  .groupBy("cell", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    key = ["cell", "block", "part"]
+    hits = posed.groupBy(*key).cogroup(placed.select(*key, "id", "code", "length", "inner", "v").groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

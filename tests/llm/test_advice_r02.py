@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from tessera.llm import toxicity
+from pyspark.sql import functions as F
+
+from tessera.llm import ann, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -18,3 +20,21 @@ def test_toxicity_keeps_its_verdicts_on_a_small_sample(spark, monkeypatch):
     assert abs(np.mean([few[i].score for i in clean]) - np.mean([whole[i].score for i in clean])) < 0.02
     assert np.mean([few[i].predicted for i in clean]) < 0.01
     assert np.mean([few[i].predicted == whole[i].predicted for i in few]) > 0.99
+
+
+def test_neighbours_deal_the_queries_too(spark, monkeypatch):
+    """No group grows with the number of queries, and parts do not change the neighbours."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 300")
+    whole = sorted(map(tuple, ann.nearest(rows, k=3, cells=2).collect()))
+    sizes = []
+
+    def watched(indexed, asked, deal=ann.dealt):
+        placed, posed = deal(indexed, asked)
+        sizes.extend(r["count"] for df in (placed, posed) for r in df.groupBy("cell", "block", "part").count().collect())
+        return placed, posed
+
+    monkeypatch.setattr(ann, "dealt", watched)
+    monkeypatch.setattr(ann, "ASKED", 20)
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    assert sorted(map(tuple, ann.nearest(rows, k=3, cells=2).collect())) == whole
+    assert max(sizes) < 100
