@@ -4,7 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, toxicity
+from tessera.llm import ann, quality_classifier, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,3 +38,12 @@ def test_neighbours_deal_the_queries_too(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 50)
     assert sorted(map(tuple, ann.nearest(rows, k=3, cells=2).collect())) == whole
     assert max(sizes) < 100
+
+
+def test_classifier_trusts_all_trusted_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "MOST_TRUSTED", 30, raising=False)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    want = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    got = quality_classifier.classify(docs, labels)
+    assert got.columns == [c for c in docs.columns if c != "text"] + ["trusted", "log_perplexity", "lower", "upper", "kept"]
+    assert {r.doc_id for r in got.filter("trusted").collect()} == want
