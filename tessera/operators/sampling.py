@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import col
 
 OVERSAMPLE = 3.0
+#: Copies of equal rows that one row and task numbers.
+CHUNK = 10_000
 _SCALE = float(1 << 31)
 
 
@@ -29,9 +31,15 @@ def hash_key(seed: int, columns: Sequence[str]) -> Column:
 
 def with_ordinals(df: DataFrame, name: str = "_ordinal") -> DataFrame:
     """Tell equal rows apart: each group of equal rows is numbered 1..m. Without a key column
-    this is what makes a row hash a property of the row and not of its values."""
+    this is what makes a row hash a property of the row and not of its values. Copies are made in
+    chunks of ``CHUNK``, dealt among the tasks where a group has several."""
     many = df.groupBy(*map(col, df.columns)).agg(F.count(F.lit(1)).alias("_m"))
-    return many.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m")
+    chunks = many.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_m - 1) div {CHUNK}"))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small chunk rows are not coalesced
+    dealt = chunks.repartition(tasks, *map(col, df.columns), "_c")
+    first = F.col("_c") * CHUNK
+    copies = F.sequence(first + 1, F.least(first + CHUNK, F.col("_m")))
+    return dealt.withColumn(name, F.explode(copies)).drop("_m", "_c")
 
 
 def first_k(df: DataFrame, k: int, seed: int = 42, key: Sequence[str] | None = None,

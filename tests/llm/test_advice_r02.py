@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, quality_classifier, toxicity
+from tessera.operators import sampling
 
 SF = "/root/testdata/sf0.01"
 
@@ -47,3 +48,12 @@ def test_classifier_trusts_all_trusted_documents(spark, monkeypatch):
     got = quality_classifier.classify(docs, labels)
     assert got.columns == [c for c in docs.columns if c != "text"] + ["trusted", "log_perplexity", "lower", "upper", "kept"]
     assert {r.doc_id for r in got.filter("trusted").collect()} == want
+
+
+def test_equal_rows_are_numbered_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "CHUNK", 500, raising=False)
+    rows = spark.range(20_250).select(F.lit(7.0).alias("x"))
+    got = sampling.with_ordinals(rows).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(r["_ordinal"] for r in got) == list(range(1, 20_251))
+    sizes = np.bincount([r.p for r in got])
+    assert max(sizes) < 20_250 / 2
