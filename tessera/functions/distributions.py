@@ -102,3 +102,42 @@ def chi2_sf(x: float, df: float) -> float:
 
 def chi2_cdf(x: float, df: float) -> float:
     return 1.0 - chi2_sf(x, df)
+
+
+# Cody's (1969) rational approximations of erf and erfc, highest order last but for
+# the leading coefficients, which stand at the end of A, C and P.
+_A = [3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1]
+_B = [2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03]
+_C = [5.64188496988670089e-1, 8.88314979438837594e00, 6.61191906371416295e01, 2.98635138197400131e02, 8.81952221241769090e02,
+      1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03, 2.15311535474403846e-8]
+_D = [1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03,
+      4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03]
+_P = [3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4,
+      1.63153871373020978e-2]
+_Q = [2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3]
+
+
+def _nested(lead: float | None, coefficients: list[float], x: str) -> str:
+    out = x if lead is None else f"{lead!r}D * {x}"
+    for c in coefficients[:-1]:
+        out = f"({out} + {c!r}D) * {x}"
+    return f"({out} + {coefficients[-1]!r}D)"
+
+
+def erfc_sql(x: str) -> str:
+    """erfc of the double column or expression ``x`` as SQL, to double precision (for Spark; other
+    engines take it without the suffix D of its numbers)."""
+    y = f"abs({x})"
+    square = f"({x}) * ({x})"
+    small = f"1D - ({x}) * {_nested(_A[-1], _A[:-1], square)} / {_nested(None, _B, square)}"
+    middle = f"exp(-{square}) * {_nested(_C[-1], _C[:-1], y)} / {_nested(None, _D, y)}"
+    inverse = f"(1D / ({square}))"
+    large = (f"exp(-{square}) * ({1 / math.sqrt(math.pi)!r}D - {inverse} * {_nested(_P[-1], _P[:-1], inverse)} / "
+             f"{_nested(None, _Q, inverse)}) / {y}")
+    positive = f"case when {y} <= 4D then {middle} when {y} < 27D then {large} else 0D end"
+    return f"case when {y} <= 0.46875D then {small} when {x} < 0 then 2D - {positive} else {positive} end"
+
+
+def normal_cdf_sql(z: str) -> str:
+    """Standard normal distribution function of a double expression as SQL."""
+    return f"0.5D * ({erfc_sql(f'(-({z}) / {math.sqrt(2.0)!r}D)')})"

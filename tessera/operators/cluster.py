@@ -1,37 +1,39 @@
-"""Clustering on z-scored columns: k-means (MLlib, k-means|| init), the elbow
-curve, silhouette, a scalable hierarchical variant and cluster profiles.
+"""Clustering on z-scored columns: k-means (all k and restarts in one shared scan per
+iteration, see ``kmeans_scan``), the elbow curve, silhouette, a scalable hierarchical variant
+and cluster profiles.
 
-Hierarchical clustering is re-aimed at scale: MLlib k-means first summarises the
+Hierarchical clustering is re-aimed at scale: k-means first summarises the
 rows into at most ``micro`` weighted centroids (exactly, where there are no more distinct rows), those are merged on the driver
-with Lance-Williams updates (ward / complete / average / single), and the
-micro-cluster -> cluster map (at most ``micro`` rows) is broadcast back so every
-row gets a label - nothing is sampled away."""
+with Lance-Williams updates (ward / complete / average / single), and every row takes the
+cluster of its nearest centroid (at most ``micro`` of them, as literals) - nothing is sampled away."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.columns import all_not_null, col, numeric_columns
+from tessera.operators import kmeans_scan
 from tessera.operators.encode import ZScoreModel, fit_zscore
+from tessera.operators.sampling import first_k
 
 K_MAX = 10            # fixed: elbow curve k = 1..10
 RESTARTS = 10         # fixed: runs from different seeds, the cheapest one counts
 MAX_ITER = 300        # fixed: iterations at most (they stop at the tolerance)
-TOLERANCE = 1e-4
+TOLERANCE = 1e-4      # fixed: of the summed squared movements of a model's centres, in variances
 SEED = 42             # fixed: k-means seed
+SILHOUETTE_ROWS = 10_000          # fixed: sample of the Euclidean silhouette of k-means
+SILHOUETTE_ROWS_HIERARCHICAL = 2_500  # fixed: of hierarchical clustering
 MICRO_CLUSTERS = 200  # micro-clusters summarising the rows for hierarchical merging
+MICRO_ROUNDS = 5      # passes that draw their starting centres
 FEATURES = "_features"
 
 
@@ -39,11 +41,27 @@ FEATURES = "_features"
 class Prepared:
     columns: list[str]
     scaler: ZScoreModel
-    data: DataFrame        # complete rows, original columns + z-scored vector ``_features``
+    data: DataFrame        # complete rows, original columns + z-scored array ``_features``
+    persist: bool = False
+    _blocks: DataFrame | None = field(default=None, repr=False)
+
+    def points(self) -> DataFrame:
+        """The distinct rows in packed blocks, kept until :meth:`release`."""
+        if self._blocks is None:
+            self._blocks = kmeans_scan.pack(self.data, [F.col(FEATURES)[j] for j in range(len(self.columns))])
+            self._blocks = self._blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        return self._blocks
 
     def release(self) -> None:
-        """Free the persisted rows (results that are computed later read the source again)."""
-        self.data.unpersist()
+        """Free the packed rows."""
+        if self._blocks is not None:
+            self._blocks.unpersist()
+            self._blocks = None
+
+    def done(self) -> None:
+        """After a fit: the packed rows stay only if asked for."""
+        if not self.persist:
+            self.release()
 
     def require(self, k: int) -> None:
         """Raise ``ValueError`` unless there are at least ``k`` distinct points."""
@@ -52,24 +70,15 @@ class Prepared:
             raise ValueError(f"{k} clusters asked of {have} distinct row(s)")
 
 
-def prepare_clusters(df: DataFrame, columns: Sequence[str] | None = None, persist: bool = True) -> Prepared:
-    """Rows complete in ``columns`` (default: all numeric), z-scored with the
-    population std, assembled into a vector. Persisted because k-means iterates."""
+def prepare_clusters(df: DataFrame, columns: Sequence[str] | None = None, persist: bool = False) -> Prepared:
+    """Rows complete in ``columns`` (default: all numeric), z-scored with the population std as an
+    array. Fits work on packed distinct rows; ``persist`` keeps those for several fits until
+    ``release()``."""
     cols = list(columns) if columns is not None else numeric_columns(df)
     clean = df.where(all_not_null(cols))
     scaler = fit_zscore(clean, cols, skip_binary=False)
-    zcols = [F.coalesce(((col(c).cast("double") - F.lit(scaler.stats[c][0])) / F.lit(scaler.stats[c][1])),
-                        F.lit(0.0)).alias(f"_z{i}") for i, c in enumerate(cols)]
-    data = clean.select("*", *zcols)
-    data = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(cols))], outputCol=FEATURES).transform(data)
-    data = data.drop(*[f"_z{i}" for i in range(len(cols))])
-    # the initialisation depends on how rows are partitioned: dealt by their values, the
-    # result does not depend on the machine
-    tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = data.repartition(tasks, *map(col, cols))
-    if persist:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    return Prepared(cols, scaler, data)
+    scaled = [(col(c).cast("double") - F.lit(scaler.stats[c][0])) / F.lit(scaler.stats[c][1]) if c in scaler.stats else F.lit(0.0) for c in cols]
+    return Prepared(cols, scaler, clean.withColumn(FEATURES, F.array(*scaled)), persist)
 
 
 def total_sum_squares(prep: Prepared) -> float:
@@ -77,25 +86,17 @@ def total_sum_squares(prep: Prepared) -> float:
     aggs = [F.sum((col(c).cast("double") - F.lit(m)) ** 2 / F.lit(s * s)).alias(f"t{i}")
             for i, (c, (m, s)) in enumerate(prep.scaler.stats.items())]
     row = prep.data.agg(*aggs).first()
-    return float(sum(row[f"t{i}"] for i in range(len(aggs))))
-
-
-def _fit(prep: Prepared, k: int, seed: int, restarts: int, max_iter: int = MAX_ITER):
-    """Best of ``restarts`` runs (the first of equal ones); the runs share the executors."""
-    def run(r: int):
-        return KMeans(k=k, seed=seed + r, featuresCol=FEATURES, maxIter=max_iter, tol=TOLERANCE).fit(prep.data)
-
-    with ThreadPoolExecutor(max_workers=max(1, restarts)) as pool:
-        models = list(pool.map(run, range(restarts)))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    return float(sum(row[f"t{i}"] or 0.0 for i in range(len(aggs))))
 
 
 def elbow(prep: Prepared, k_max: int = K_MAX, seed: int = SEED, restarts: int = RESTARTS) -> DataFrame:
-    """``(k, wcss)`` for k = 1..k_max (k = 1 by aggregation; MLlib rejects k = 1)."""
-    rows = [(1, total_sum_squares(prep))]
-    for k in range(2, k_max + 1):
-        rows.append((k, float(_fit(prep, k, seed, restarts).summary.trainingCost)))
-    return prep.data.sparkSession.createDataFrame(rows, "k int, wcss double")
+    """``(k, wcss)`` for k = 1..k_max, all models in one shared scan per iteration. With fewer
+    distinct rows than k the extra centres have nothing left to explain."""
+    try:
+        best = kmeans_scan.fit(prep.points(), range(1, k_max + 1), restarts, seed, TOLERANCE, MAX_ITER)
+    finally:
+        prep.done()
+    return prep.data.sparkSession.createDataFrame([(k, cost) for k, (_, cost) in best.items()], "k int, wcss double")
 
 
 @dataclass
@@ -117,25 +118,87 @@ class KMeansResult:
 
 
 def kmeans(prep: Prepared, k: int, seed: int = SEED, restarts: int = RESTARTS, label: str = "cluster") -> KMeansResult:
-    """MLlib k-means (best of ``restarts`` seeds); clusters renumbered by sorted
+    """K-means (cheapest of ``restarts``); clusters renumbered by sorted
     centre so labels are stable; label is the text "1".."k"."""
     prep.require(k)
-    model = _fit(prep, k, seed, restarts)
-    centers = np.array([c for c in model.clusterCenters()])
+    try:
+        centers, cost = kmeans_scan.fit(prep.points(), [k], restarts, seed, TOLERANCE, MAX_ITER)[k]
+    finally:
+        prep.done()
     order = sorted(range(k), key=lambda i: tuple(np.round(centers[i], 12)))
-    relabel = {old: new for new, old in enumerate(order)}
-    mapping = F.create_map(*[x for old, new in relabel.items() for x in (F.lit(old), F.lit(str(new + 1)))])
-    pred = model.transform(prep.data).withColumn(label, mapping[F.col("prediction")]).drop("prediction")
-    return KMeansResult(prep, centers[order], pred, float(model.summary.trainingCost))
-
-
-def silhouette(labelled: DataFrame, label: str = "cluster") -> float:
-    """Mean silhouette with squared Euclidean distance (MLlib's exact distributed
-    form: per-cluster sums, no pairwise distances)."""
-    data = labelled.withColumn("_lbl", F.col(label).cast("double"))
-    ev = ClusteringEvaluator(featuresCol=FEATURES, predictionCol="_lbl", metricName="silhouette",
-                             distanceMeasure="squaredEuclidean")
-    return float(ev.evaluate(data))
+    centers = centers[order]
+    labelled = prep.data.withColumn(label, kmeans_scan.label(F.col(FEATURES), centers).cast("string"))
+    return KMeansResult(prep, centers, labelled, float(cost))
+
+
+def silhouette(labelled: DataFrame, label: str = "cluster", metric: str = "euclidean", sample_size: int | None = SILHOUETTE_ROWS,
+               seed: int = SEED, key: Sequence[str] | None = None) -> float:
+    """Mean silhouette. ``euclidean``: over the first ``sample_size`` rows by seeded row hash (``key``
+    names columns that tell rows apart), all distances among those; a row alone in its cluster
+    counts 0. ``squared``: MLlib's exact form for squared distances over all rows, without a sample."""
+    if metric == "squared":
+        data = labelled.select(array_to_vector(FEATURES).alias(FEATURES), F.col(label).cast("double").alias("_lbl"))
+        ev = ClusteringEvaluator(featuresCol=FEATURES, predictionCol="_lbl", metricName="silhouette",
+                                 distanceMeasure="squaredEuclidean")
+        return float(ev.evaluate(data))
+    if metric != "euclidean":
+        raise ValueError(f"unsupported metric {metric!r}")
+    row = silhouette_samples(labelled, label, sample_size, seed, key).agg(F.avg("silhouette")).first()
+    return float(row[0])
+
+
+#: Rows of a tile: a task measures this many rows against as many others at once.
+TILE = 500
+
+
+def silhouette_samples(labelled: DataFrame, label: str = "cluster", sample_size: int = SILHOUETTE_ROWS, seed: int = SEED,
+                       key: Sequence[str] | None = None) -> DataFrame:
+    """``(row, cluster, silhouette)`` of the sampled rows. The sample (bounded by ``sample_size``) is
+    cut into tiles; a task gets pairs of tiles, adds up the distances of each row to each cluster
+    of the other tile, and Spark adds those sums."""
+    spark = labelled.sparkSession
+    names = list(key or [])
+    rows = labelled.select(*map(col, names), F.col(label).cast("string").alias("_label"), F.col(FEATURES).alias("_point")).where(F.col("_label").isNotNull())
+    drawn = [(r["_label"], tuple(r["_point"])) for r in first_k(rows, sample_size, seed, names or None).collect()]  # sample_size rows at most
+    drawn.sort()
+    sizes: dict[str, int] = {}
+    for c, _ in drawn:
+        sizes[c] = sizes.get(c, 0) + 1
+    if not 2 <= len(sizes) < max(len(drawn), 3):
+        raise ValueError(f"a silhouette needs 2 clusters at least and fewer than rows: {len(sizes)} of {len(drawn)} rows")
+    number = {c: i for i, c in enumerate(sorted(sizes))}
+    points = np.array([x for _, x in drawn], float)
+    labels = np.array([number[c] for c, _ in drawn])
+    sample = spark.sparkContext.broadcast((points, labels))  # sample_size rows at most
+    tiles = -(-len(drawn) // TILE)
+    pairs = [(a, b) for a in range(tiles) for b in range(tiles)]
+    tasks = min(len(pairs), spark.sparkContext.defaultParallelism * 4)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, cs = sample.value
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y, c = xs[a * TILE:(a + 1) * TILE], xs[b * TILE:(b + 1) * TILE], cs[b * TILE:(b + 1) * TILE]
+                d = np.zeros((len(x), len(y)))
+                for j in range(xs.shape[1]):
+                    d += (x[:, j, None] - y[None, :, j]) ** 2
+                d = np.sqrt(d, out=d)
+                for other in np.unique(c):
+                    yield pa.RecordBatch.from_arrays([pa.array(a * TILE + np.arange(len(x)), pa.int32()), pa.array(np.full(len(x), other), pa.int32()),
+                                                      pa.array(d[:, c == other].sum(1))], names=["row", "other", "distance"])
+
+    sums = (spark.createDataFrame(pairs, "a int, b int").repartition(tasks).mapInArrow(measured, "row int, other int, distance double")
+            .groupBy("row", "other").agg(F.sum("distance").alias("distance")))
+    own = spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "row int, own int")
+    named = spark.createDataFrame([(i, c, sizes[c]) for c, i in number.items()], "other int, cluster string, size int")
+    met = sums.join(F.broadcast(own), "row").join(F.broadcast(named), "other")  # sample_size rows; clusters
+    mine = F.col("other") == F.col("own")
+    each = met.groupBy("row").agg(
+        F.max(F.when(mine, F.col("cluster"))).alias("cluster"), F.max(F.when(mine, F.col("size"))).alias("size"),
+        F.max(F.when(mine & (F.col("size") > 1), F.col("distance") / (F.col("size") - 1))).alias("a"),
+        F.min(F.when(~mine, F.col("distance") / F.col("size"))).alias("b"))
+    value = F.when(F.col("size") == 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return each.select("row", "cluster", value.alias("silhouette"))
 
 
 @dataclass
@@ -201,34 +264,26 @@ def _agglomerate(centers: np.ndarray, sizes: np.ndarray, linkage: str):
 def hierarchical(prep: Prepared, k: int, linkage: str = "ward", micro: int = MICRO_CLUSTERS,
                  seed: int = SEED, label: str = "cluster") -> HierarchicalResult:
     prep.require(k)
-    few = prep.data.groupBy(FEATURES).agg(F.count(F.lit(1)).alias("size"))
-    if few.limit(micro + 1).count() <= micro:  # few distinct rows: they are the points themselves
-        points = sorted((tuple(r[FEATURES].toArray()), r["size"]) for r in few.collect())
-        m, centers = len(points), np.array([p for p, _ in points])
-        ids = prep.data.sparkSession.createDataFrame([(Vectors.dense(p), i) for i, (p, _) in enumerate(points)],
-                                                     T.StructType([T.StructField(FEATURES, VectorUDT()), T.StructField("prediction", T.IntegerType())]))
-        micro_df = prep.data.join(F.broadcast(ids), FEATURES)  # at most ``micro`` rows
-    else:
-        m = micro
-        model = KMeans(k=m, seed=seed, featuresCol=FEATURES, maxIter=MAX_ITER, tol=TOLERANCE).fit(prep.data)
-        micro_df, centers = model.transform(prep.data), np.array(model.clusterCenters())
-        m = len(centers)
-    sizes_rows = micro_df.groupBy("prediction").count().collect()  # <= m rows
-    sizes = np.zeros(m)
-    for r in sizes_rows:
-        sizes[int(r["prediction"])] = r["count"]
-    used = [i for i in range(m) if sizes[i] > 0]
+    try:
+        few = prep.data.select(FEATURES).distinct().limit(micro + 1).collect()
+        if len(few) <= micro:  # few distinct rows: they are the points themselves
+            centers = np.array(sorted(tuple(x) for (x,) in few))
+        else:
+            centers, _ = kmeans_scan.fit(prep.points(), [micro], 1, seed, TOLERANCE, MAX_ITER, at_once=-(-micro // MICRO_ROUNDS))[micro]
+        sizes = kmeans_scan.scan(prep.points(), [centers])[0][0]
+    finally:
+        prep.done()
+    used = np.flatnonzero(sizes > 0)
     if len(used) < k:
         raise ValueError(f"{k} clusters asked of {len(used)} micro-clusters")
-    merges, history = _agglomerate(centers[used], sizes[used], linkage)
-    stage = history[len(used) - k]
-    groups = sorted(stage.values(), key=lambda g: min(g))
-    # label clusters "1".."k" by their first micro-cluster, map micro id -> label
-    pairs = [(int(used[pt]), str(gi + 1)) for gi, g in enumerate(groups) for pt in g]
-    spark = prep.data.sparkSession
-    mapping = spark.createDataFrame(pairs, "prediction int, " + label + " string")
-    labelled = micro_df.join(F.broadcast(mapping), "prediction").drop("prediction")  # <= m-row map
-    return HierarchicalResult(labelled, merges, sizes[used])
+    centers, sizes = centers[used], sizes[used]
+    merges, history = _agglomerate(centers, sizes, linkage)
+    # "1".."k" by their sorted centres, as in k-means
+    groups = sorted(history[len(used) - k].values(), key=lambda g: tuple(np.round(np.average(centers[g], axis=0, weights=sizes[g]), 12)))
+    cluster_of = {pt: str(g + 1) for g, members in enumerate(groups) for pt in members}
+    names = F.array(*[F.lit(cluster_of[i]) for i in range(len(used))])
+    labelled = prep.data.withColumn(label, F.element_at(names, kmeans_scan.label(F.col(FEATURES), centers)))
+    return HierarchicalResult(labelled, merges, sizes)
 
 
 def cluster_profiles(labelled: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:

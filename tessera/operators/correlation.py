@@ -1,6 +1,6 @@
-"""Correlation matrices (Pearson from one moments job; Spearman as Pearson of
-average ranks from a distributed rank table; Kendall tau-b by distributed
-inversion counting) and category codes."""
+"""Correlation matrices (Pearson from one moments job; Spearman as Pearson of average ranks
+that are written beside each row; Kendall tau-b by distributed inversion counting, all pairs
+of columns in one table) and category codes."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import all_not_null, col, numeric_columns, text_columns
 from tessera.operators.moments import moments
-from tessera.operators.quantiles import value_ranks
+from tessera.operators.quantiles import BUCKET_ROWS, dense_codes, row_ranks
 
 
 def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -34,15 +34,9 @@ def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataF
 
 
 def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column by its average rank (ties share the mean rank): one
-    distributed rank table, joined back per column (Spark broadcasts the small
-    ones and shuffle-joins the large ones)."""
-    ranks = value_ranks(df, columns)
-    out = df.select(*[col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
-    for i, c in enumerate(columns):
-        r = ranks.where(F.col("variable") == c).select(F.col("value").alias(f"_x{i}"), F.col("rank").alias(f"_r{i}"))
-        out = out.join(r, f"_x{i}").drop(f"_x{i}")
-    return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
+    """Replace each column by its average rank (ties share the mean rank); see
+    ``quantiles.row_ranks``."""
+    return row_ranks(df, columns)
 
 
 def _prepare(df: DataFrame, columns: Sequence[str] | None, include_categorical: bool) -> tuple[DataFrame, list[str]]:
@@ -73,16 +67,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, meth
         finally:
             ranked.unpersist()
     if method == "kendall":
-        m = np.eye(len(cols))
-        sd = data.agg(*[F.stddev_pop(col(c)).alias(c) for c in cols]).first()
-        for i in range(len(cols)):
-            for j in range(i + 1, len(cols)):
-                m[i, j] = m[j, i] = kendall_tau_b(data, cols[i], cols[j])
-        for i, c in enumerate(cols):
-            if not sd[c]:
-                m[i, :] = np.nan
-                m[:, i] = np.nan
-        return cols, m
+        return cols, kendall_matrix(data, cols)
     raise ValueError(f"unsupported correlation method {method!r}")
 
 
@@ -100,54 +85,59 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None, method: str
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
+def kendall_matrix(data: DataFrame, columns: Sequence[str], bucket: int = BUCKET_ROWS) -> np.ndarray:
+    """Exact Kendall tau-b of all pairs of columns over rows complete in them, without forming
+    pairs of rows and in a number of jobs that does not depend on the number of columns.
+
+    With dense codes a of x and b of y, S = sum over pairs of rows of sign(da) sign(db) is added
+    up over the dyadic levels of a: at level l the rows whose bit l of a is 1 meet the rows of the
+    sibling block (same a >> (l + 1), bit l = 0), which all have a smaller a. All (pair of columns,
+    level, node) are keys of one table of counts by b. Running totals over blocks of ``bucket``
+    codes of b carry from one block to the next, so no task sorts more than a block."""
+    columns = list(columns)
+    p, bucket = len(columns), max(1, bucket)
+    m = np.full((p, p), np.nan)
+    names = {c: i for i, c in enumerate(columns)}
+    number = F.create_map(*[F.lit(x) for c, i in names.items() for x in (c, i)])
+    codes = dense_codes(data, columns).select(number[F.col("variable")].alias("v"), "value", "cnt", "code").persist(StorageLevel.MEMORY_AND_DISK)
+    wide = "decimal(38, 0)"
+    ties = F.sum((F.col("cnt").cast(wide) * (F.col("cnt") - 1)))
+    facts = {r["v"]: r for r in codes.groupBy("v").agg(F.sum("cnt").alias("n"), F.max("code").alias("last"), ties.alias("t")).collect()}  # p rows
+    n = max((int(r["n"]) for r in facts.values()), default=0)
+    if n < 2:
+        codes.unpersist()
+        return m
+    levels = max(1, int(max(r["last"] for r in facts.values())).bit_length())
+    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), col(columns[i]).cast("double").alias("x"), col(columns[j]).cast("double").alias("y"))
+             for i in range(p) for j in range(i + 1, p)]
+    cells = data.select(F.explode(F.array(*pairs)).alias("_c")).select("_c.*").groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    cells = (cells.join(codes.select(F.col("v").alias("i"), F.col("value").alias("x"), F.col("code").alias("a")), ["i", "x"])
+                  .join(codes.select(F.col("v").alias("j"), F.col("value").alias("y"), F.col("code").alias("b")), ["j", "y"]))
+    spread = cells.select("i", "j", "a", "b", "c", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("l"))
+    half = F.expr("shiftright(a, l) & 1")
+    counts = (spread.select("i", "j", "l", F.expr("shiftright(a, l + 1)").alias("node"), F.expr(f"b div {bucket}").alias("block"), "b",
+                            F.when(half == 0, F.col("c")).otherwise(0).alias("c0"), F.when(half == 1, F.col("c")).otherwise(0).alias("c1"))
+                    .groupBy("i", "j", "l", "node", "block", "b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    node = ["i", "j", "l", "node"]
+    sums = counts.groupBy(*node, "block").agg(F.sum("c0").alias("s0"))
+    run = Window.partitionBy(*node).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*node, "block", F.coalesce(F.sum("s0").over(run), F.lit(0)).alias("start"), F.sum("s0").over(Window.partitionBy(*node)).alias("all0"))
+    inside = Window.partitionBy(*node, "block").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    met = counts.join(sums.where("all0 > 0"), [*node, "block"]).withColumn("below", F.col("start") + F.coalesce(F.sum("c0").over(inside), F.lit(0)))
+    gain = F.col("c1").cast(wide) * (2 * F.col("below") + F.col("c0") - F.col("all0")).cast("decimal(20, 0)")
+    totals = {(r["i"], r["j"]): int(r["s"]) for r in met.groupBy("i", "j").agg(F.sum(gain.cast(wide)).alias("s")).collect()}
+    codes.unpersist()
+    free = [n * (n - 1) - int(facts[i]["t"]) for i in range(p)]  # twice the pairs of rows that differ in column i
+    for i in range(p):
+        if free[i]:
+            m[i, i] = 1.0
+        for j in range(i + 1, p):
+            if free[i] and free[j]:
+                m[i, j] = m[j, i] = 2 * totals.get((i, j), 0) / (float(free[i]) ** 0.5 * float(free[j]) ** 0.5)
+    return m
+
+
 def kendall_tau_b(df: DataFrame, x: str, y: str, single_task_limit: int | None = None) -> float:
-    """Exact Kendall tau-b over rows complete in x and y, without forming pairs.
-
-    S = sum over pairs of sign(dx) * sign(dy) is accumulated over dyadic levels of
-    the dense x rank a: at level l every point whose bit l of a is 1 is compared with
-    the points of its sibling block (same a >> (l + 1), bit l = 0), which all have a
-    smaller x. "How many sibling points have a smaller / equal y" is a grouped
-    "values below" count (distributed, see ``grouped_below``). Work is
-    O(n log(distinct x)) with one shuffle per level; tie corrections come from two
-    group-bys."""
-    from tessera.operators.quantiles import BUCKET_ROWS, grouped_below
-    lim = BUCKET_ROWS if single_task_limit is None else single_task_limit
+    """Exact Kendall tau-b over rows complete in x and y (NaN below two rows or for a constant)."""
     data = df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y")).dropna()
-    cells = data.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    # dense 0-based rank of x among distinct x values (distributed "below" count, cnt = 1)
-    xs = cells.select(F.lit(0).alias("_g"), F.col("x").alias("value")).distinct().withColumn("cnt", F.lit(1))
-    xr = grouped_below(xs, ["_g"], lim, largest_group=None).select(F.col("value").alias("x"), F.col("below").alias("a"))
-    cells = cells.join(xr, "x").persist(StorageLevel.MEMORY_AND_DISK)  # reused by every level
-    st = cells.agg(F.sum("c").alias("n"), F.max("a").alias("amax")).first()
-    n = int(st["n"] or 0)
-    if n < 2:
-        return float("nan")
-    tx = cells.groupBy("x").agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
-    ty = cells.groupBy("y").agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
-    n0 = n * (n - 1) / 2
-    big = n  # every group holds at most n values: sizes the path without a count job per level
-    parts = []
-    levels = max(1, int(st["amax"]).bit_length())
-    for lvl in range(levels):
-        node = F.shiftright(F.col("a"), lvl + 1)
-        half = F.shiftright(F.col("a"), lvl).bitwiseAND(1)
-        lv = cells.select(node.alias("node"), half.alias("half"), F.col("y").alias("value"), F.col("c"))
-        by_node = lv.groupBy("node", "value").agg(F.sum("c").alias("cnt"))
-        by_half = lv.groupBy("node", "half", "value").agg(F.sum("c").alias("cnt"))
-        rn = grouped_below(by_node, ["node"], lim, largest_group=big).select("node", "value", F.col("below").alias("bn"),
-                                                          F.col("cnt").alias("cn"))
-        rh = grouped_below(by_half.where("half = 1"), ["node", "half"], lim, largest_group=big).select(
-            "node", "value", F.col("below").alias("bh"), F.col("cnt").alias("ch"))
-        left = by_half.where("half = 0").groupBy("node").agg(F.sum("cnt").alias("nl"))
-        j = rh.join(rn, ["node", "value"]).join(left, "node")
-        lt = F.col("bn") - F.col("bh")                       # sibling points with smaller y
-        eq = F.col("cn") - F.col("ch")                       # sibling points with equal y
-        gt = F.col("nl") - lt - eq
-        parts.append(j.agg(F.sum(F.col("ch") * (lt - gt)).alias("s")))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    s_total = int(total.agg(F.sum("s")).first()[0] or 0)  # one job for all levels
-    cells.unpersist()
-    denom = ((n0 - float(tx)) * (n0 - float(ty))) ** 0.5
-    return s_total / denom if denom > 0 else float("nan")
+    return float(kendall_matrix(data, ["x", "y"], BUCKET_ROWS if single_task_limit is None else single_task_limit)[0, 1])

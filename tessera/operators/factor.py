@@ -8,21 +8,23 @@ column expressions."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, numeric_columns
 from tessera.functions.distributions import chi2_sf, normal_sf
-from tessera.operators.moments import SALTS, moments
-from tessera.operators.sampling import with_ordinals
+from tessera.operators.moments import moments
+from tessera.operators.sampling import row_hash, with_ordinals
 
 COLLINEAR = 0.95        # fixed: |r| above this drops the later column
 EDGE_THRESHOLD = 0.4    # fixed: path-diagram edges at |loading| >= 0.4
 BOOTSTRAP = 50          # fixed: bootstrap replicates
+ROWS_AT_ONCE = 2_000    # rows whose weights and products are in memory at once
 # Poisson(1) cumulative probabilities for k = 0..11 (Poisson bootstrap weights).
 _POISSON_CDF = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
@@ -80,7 +82,7 @@ def bartlett(r: np.ndarray, n: int) -> tuple[float, float, float]:
     return stat, dof, chi2_sf(stat, dof) if math.isfinite(stat) else 0.0
 
 
-def minres(r: np.ndarray, k: int, tol: float = 1e-8, max_iter: int = 1000) -> np.ndarray:
+def minres(r: np.ndarray, k: int, tol: float = 1e-12, max_iter: int = 1000) -> np.ndarray:
     """Unweighted least-squares (minres) loadings by iterated principal-axis
     factoring from squared multiple correlations; Heywood cases are clamped."""
     p = len(r)
@@ -216,7 +218,9 @@ def factor_analysis(df: DataFrame, columns: Sequence[str] | None = None, n_facto
     k_stat = kmo(r)
     chi2, dof, pval = bartlett(r, n)
     eig = np.sort(np.linalg.eigvalsh(r))[::-1]
-    k = n_factors if n_factors else max(int(np.sum(eig > 1)), 1)
+    if n_factors is not None and not 1 <= n_factors <= len(cols):
+        raise ValueError(f"{n_factors} factors asked of {len(cols)} columns")
+    k = n_factors if n_factors is not None else max(int(np.sum(eig > 1)), 1)
     lo = fit_loadings(r, k, rotation)
     means = {c: float(m.mean[prep.columns.index(c)]) for c in cols}
     sd = {c: float(math.sqrt(m.cov[prep.columns.index(c), prep.columns.index(c)] * (n - 1) / n)) for c in cols}
@@ -227,46 +231,72 @@ def factor_analysis(df: DataFrame, columns: Sequence[str] | None = None, n_facto
     return res
 
 
+def poisson_weights(hashed: np.ndarray, replicates: int) -> np.ndarray:
+    """(replicates, rows) Poisson(1) weights: the row's 32-bit hash and the replicate's number are
+    mixed to a uniform number, which the cumulative probabilities turn into a count."""
+    mask = np.uint64(0xFFFFFFFF)
+    x = (hashed.astype(np.uint64)[None, :] + np.arange(replicates, dtype=np.uint64)[:, None] * np.uint64(2654435769)) & mask
+    x ^= x >> np.uint64(16)
+    x = (x * np.uint64(2246822507)) & mask
+    x ^= x >> np.uint64(13)
+    x = (x * np.uint64(3266489909)) & mask
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(_POISSON_CDF, (x + 0.5) / 2.0 ** 32, side="left").astype(float)
+
+
 def bootstrap_moments(df: DataFrame, columns: Sequence[str], fill: dict, replicates: int, seed: int,
                       key: Sequence[str] | None = None) -> dict[int, np.ndarray]:
     """Poisson bootstrap in one job: every row gets a Poisson(1) weight per replicate
-    from a seeded hash of (row key, replicate); weighted sums, shifted by the means in
-    ``fill``, are grouped by replicate. Without ``key`` equal rows are numbered first, so
+    from a seeded hash of its key; a task multiplies the weights of a batch (replicates x rows)
+    by the rows' cross-products (rows x p(p+3)/2), shifted by the means in ``fill``, and adds up,
+    so rows are never multiplied. Without ``key`` equal rows are numbered first, so
     each has a weight of its own. Returns {replicate: correlation matrix}."""
     if not key:
         df = with_ordinals(df)
     ids = list(key) if key else list(df.columns)
-    base = df.select(*[col(c) for c in dict.fromkeys(ids + list(columns))])
-    h = F.xxhash64(F.lit(seed), F.col("_b"), *[col(c) for c in ids])
-    u = (F.pmod(h, F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
-    w = F.size(F.filter(F.array(*[F.lit(c) for c in _POISSON_CDF]), lambda c: c < u)).cast("double")
-    xs = [F.coalesce(col(c).cast("double") - F.lit(fill[c]), F.lit(0.0)) for c in columns]
-    exploded = base.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], *[col(c) for c in ids],
-                           F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
-    exploded = exploded.withColumn("_w", w)
     p = len(columns)
-    aggs = [F.sum("_w").alias("n")]
-    aggs += [F.sum(F.col("_w") * F.col(f"_x{i}")).alias(f"s{i}") for i in range(p)]
-    aggs += [F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"q{i}_{j}")
-             for i in range(p) for j in range(i, p)]
-    # two levels (replicate x partition salt, then replicate) so no single task
-    # receives every partition's partial buffer for a replicate
-    exploded = exploded.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    level1 = exploded.groupBy("_b", "_salt").agg(*aggs)
-    rows = level1.groupBy("_b").agg(*[F.sum(c).alias(c) for c in level1.columns if c not in ("_b", "_salt")]).collect()
+    hashed = F.conv(F.substring(row_hash(seed, ids), 1, 8), 16, 10).cast("long").alias("h")
+    xs = [F.coalesce(col(c).cast("double") - F.lit(fill[c]), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)]
+    first, second = np.triu_indices(p)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((replicates, 1 + p + len(first)))
+        for batch in batches:
+            for part in (batch.slice(at, ROWS_AT_ONCE) for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                x = np.array([part.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(p)]).T.reshape(-1, p)
+                products = np.concatenate([np.ones((len(x), 1)), x, x[:, first] * x[:, second]], axis=1)
+                total += poisson_weights(part.column("h").to_numpy(zero_copy_only=False), replicates) @ products
+        for b in range(replicates):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(total.shape[1], b), pa.int32()), pa.array(np.arange(total.shape[1]), pa.int32()),
+                                              pa.array(total[b])], names=["b", "k", "v"])
+
+    added = df.select(hashed, *xs).mapInArrow(sums, "b int, k int, v double").groupBy("b", "k").agg(F.sum("v").alias("v"))
+    totals = np.zeros((replicates, 1 + p + len(first)))
+    for r in added.collect():  # replicates x p(p+3)/2 numbers
+        totals[r["b"], r["k"]] = r["v"]
     out = {}
-    for r in rows:
-        n = r["n"]
-        mean = np.array([r[f"s{i}"] / n for i in range(p)])
+    for b, row in enumerate(totals):
+        if not row[0]:
+            continue
+        mean = row[1:1 + p] / row[0]
         cov = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / n - mean[i] * mean[j]
+        cov[first, second] = cov[second, first] = row[1 + p:] / row[0]
+        cov -= np.outer(mean, mean)
         sd = np.sqrt(np.diag(cov))
-        out[int(r["_b"])] = cov / np.outer(sd, sd)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[b] = cov / np.outer(sd, sd)
     return out
 
 
+def bootstrap_correlations(df: DataFrame, columns: Sequence[str] | None = None, replicates: int = BOOTSTRAP, seed: int = 42,
+                           key: Sequence[str] | None = None) -> DataFrame:
+    """``(replicate, x, y, r)`` for the pairs of prepared columns."""
+    prep = prepare_factor_input(df, columns)
+    mats = bootstrap_moments(df, prep.columns, prep.means, replicates, seed, key)
+    rows = [(b, x, y, float(m[i, j])) for b, m in sorted(mats.items()) for i, x in enumerate(prep.columns) for j, y in enumerate(prep.columns) if i < j]
+    return df.sparkSession.createDataFrame(rows, "replicate int, x string, y string, r double")
+
+
 def _align(target: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Reorder and flip factors of ``lo`` to best match ``target`` (greedy by |r|)."""
     k = target.shape[1]

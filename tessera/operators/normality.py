@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import col
-from tessera.functions.distributions import normal_ppf, normal_sf
+from tessera.functions.distributions import normal_cdf_sql, normal_ppf, normal_sf
 
 SHAPIRO_MAX = 5000      # fixed: Shapiro-Wilk sample size cap
 ALPHA = 0.05            # fixed: significance level of the verdict
@@ -106,11 +106,49 @@ def shapiro_wilk(df: DataFrame, column: str, by: Sequence[str] = (), seed: int =
     return sample.groupBy(F.lit(0).alias("_g")).applyInPandas(_test, schema)
 
 
+EXACT_MAX = 10_000  # fixed: longest series whose KS p-value is the exact one
+
+
+def ks_exact(d: float, n: int) -> float:
+    """P(D_n >= d) of the two-sided statistic by Durbin's matrix in the scaled powers of
+    Marsaglia, Tsang and Wang."""
+    s = d * d * n
+    if s > 18.0:  # below 1e-15
+        return 0.0
+    k = int(n * d) + 1
+    m, h = 2 * k - 1, k - n * d
+    i, j = np.indices((m, m))
+    power = np.where(i - j + 1 >= 0, 1.0, 0.0)
+    hs = h ** np.arange(1, m + 1)
+    power[:, 0] -= hs
+    power[-1, :] -= hs[::-1]
+    power[-1, 0] += max(2 * h - 1, 0.0) ** m
+    factor = np.array([math.lgamma(v + 1) for v in range(m + 1)])
+    below = np.maximum(i - j + 1, 0)
+    power = np.where(i - j + 1 > 0, power * np.exp(-factor[below]), power)
+    result, scale, base, e = np.eye(m), 0, 0, n
+    while e:
+        if e & 1:
+            result, scale = result @ power, scale + base
+            if result[k - 1, k - 1] > 1e140:
+                result, scale = result * 1e-140, scale + 140
+        e >>= 1
+        if e:
+            power, base = power @ power, 2 * base
+            if power[k - 1, k - 1] > 1e140:
+                power, base = power * 1e-140, base + 140
+    q = result[k - 1, k - 1]
+    log = math.log(q) + scale * math.log(10.0) + math.lgamma(n + 1) - n * math.log(n) if q > 0 else -math.inf
+    return min(1.0, max(0.0, 1.0 - math.exp(log)))
+
+
 def ks_pvalue(d: float, n: int) -> float:
-    """Two-sided KS p-value, asymptotic Kolmogorov distribution with Stephens'
-    small-sample scaling of the statistic."""
+    """Two-sided KS p-value: exact up to ``EXACT_MAX`` values, beyond that the asymptotic Kolmogorov
+    distribution with Stephens' scaling of the statistic."""
     if d is None or n is None or n < 1 or math.isnan(d):
         return float("nan")
+    if n <= EXACT_MAX:
+        return ks_exact(d, n)
     sq = math.sqrt(n)
     lam = (sq + 0.12 + 0.11 / sq) * d
     if lam < 1e-3:
@@ -124,17 +162,9 @@ def ks_pvalue(d: float, n: int) -> float:
     return min(1.0, max(0.0, total))
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal_cdf(z: pd.Series) -> pd.Series:
-    """Standard normal CDF on an Arrow batch (Spark SQL has no erf)."""
-    return pd.Series(0.5 * _erfc(-z.to_numpy(dtype=float) / math.sqrt(2.0)))
-
-
-_erfc = np.vectorize(math.erfc, otypes=[float])
-
-
 @F.pandas_udf(T.DoubleType())
 def _ks_p(d: pd.Series, n: pd.Series) -> pd.Series:
+    """One value for each series, not for each row."""
     return pd.Series([ks_pvalue(a, int(b)) for a, b in zip(d, n)], dtype=float)
 
 
@@ -157,7 +187,8 @@ def ks_normal(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
                                     F.stddev_samp("value").alias("std"))
     cells = base.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = grouped_below(cells, keys).join(stats, keys)
-    cdf = _normal_cdf(F.try_divide(F.col("value") - F.col("mean"), F.col("std")))  # std 0 / NULL -> NULL
+    ranked = ranked.withColumn("_z", F.try_divide(F.col("value") - F.col("mean"), F.col("std")))  # std 0 / NULL -> NULL
+    cdf = F.expr(normal_cdf_sql("_z"))
     gaps = ranked.select(*keys, "n", "mean", "std",
                          F.greatest((F.col("below") + F.col("cnt")) / F.col("n") - cdf,
                                     cdf - F.col("below") / F.col("n")).alias("_gap"))

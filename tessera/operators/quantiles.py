@@ -186,6 +186,65 @@ def value_ranks(df: DataFrame, columns: Sequence[str], single_task_limit: int =
     return ranked.select("variable", "value", (F.col("_below") + (F.col("cnt") + 1) / 2.0).alias("rank"))
 
 
+def row_ranks(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS, max_buckets: int | None = None) -> DataFrame:
+    """Each row's average (tie-aware, 1-based) ranks beside one another, for rows complete in
+    ``columns``; nothing is joined on a value.
+
+    Every (row, column, value) goes to a place: the value range it lies in, and apart from the
+    rest of that range if the value is heavy, that is, a quantile split point that repeats (it
+    holds more than a bucket's rows). Places are in value order, so their totals give the rank
+    each begins at; a heavy place has one rank and is never sorted, the others are ranked on
+    their own. One shuffle by place, one back to the rows."""
+    columns = list(columns)
+    n = df.count()
+    buckets = bucket_count(n, bucket_rows, max_buckets)
+    values = [col(c).cast("double") for c in columns]
+    splits: list[list[float]] = [[] for _ in columns]
+    heavy: list[list[float]] = [[] for _ in columns]
+    if buckets > 1:
+        grid = [i / buckets for i in range(1, buckets)]
+        row = _split_sample(df, n, buckets).agg(*[F.percentile_approx(v, grid, 4 * buckets) for v in values]).first()
+        for i in range(len(columns)):
+            found = [x for x in (row[i] or []) if x is not None and math.isfinite(x)]
+            splits[i] = sorted(set(found))
+            heavy[i] = sorted({x for x in found if found.count(x) > 1})
+    wide = df.select(F.monotonically_increasing_id().alias("_id"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+    cut = [i for i in range(len(columns)) if splits[i]]
+    if cut:
+        wide = Bucketizer(splitsArray=[[-math.inf, *splits[i], math.inf] for i in cut], inputCols=[f"_v{i}" for i in cut],
+                          outputCols=[f"_b{i}" for i in cut], handleInvalid="keep").transform(wide)
+    items = []
+    for i in range(len(columns)):
+        bucket = F.col(f"_b{i}").cast("int") if i in cut else F.lit(0)
+        own = F.col(f"_v{i}").isin(heavy[i]) if heavy[i] else F.lit(False)  # a split point begins its bucket
+        items.append(F.struct(F.lit(i).alias("v"), F.col(f"_v{i}").alias("value"), (bucket * 2 + F.when(own, 0).otherwise(1)).alias("place")))
+    long = wide.select("_id", F.explode(F.array(*items)).alias("_kv")).select("_id", "_kv.*")
+    totals = long.groupBy("v", "place").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("v").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    placed = long.join(starts, ["v", "place"])
+    light = F.col("place") % 2 == 1
+    sorted_ = Window.partitionBy("v", "place").orderBy("value")
+    tied = F.count(F.lit(1)).over(Window.partitionBy("v", "place", "value"))
+    ranked = placed.where(light).select("_id", "v", (F.col("start") + F.rank().over(sorted_) + (tied - 1) / 2.0).alias("rank"))
+    if any(heavy):
+        ranked = ranked.unionByName(placed.where(~light).select("_id", "v", (F.col("start") + (F.col("size") + 1) / 2.0).alias("rank")))
+    back = ranked.groupBy("_id").agg(*[F.max(F.when(F.col("v") == i, F.col("rank"))).alias(f"_r{i}") for i in range(len(columns))])
+    return back.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def dense_codes(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Distinct values of each column with their count and their number in value order, from 0:
+    ``(variable, value, cnt, code)``."""
+    exprs = _as_exprs(df, columns)
+    counted = _bucketed_counts(df, exprs, [], value_counts(df, exprs), bucket_rows)
+    sizes = counted.groupBy("variable", "bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy("variable").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("variable", "bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("variable", "bucket").orderBy("value"))
+    return counted.join(starts, ["variable", "bucket"]).select("variable", "value", "cnt", (F.col("_start") + place - 1).alias("code"))
+
+
 def grouped_below(cells: DataFrame, keys: Sequence[str], single_task_limit: int = BUCKET_ROWS,
                   max_buckets: int | None = None, largest_group: int | None = None) -> DataFrame:
     """For distinct ``(keys..., value, cnt)`` rows add ``below`` = total ``cnt`` of

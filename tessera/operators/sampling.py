@@ -21,12 +21,18 @@ from tessera.functions.columns import col
 OVERSAMPLE = 3.0
 #: Copies of equal rows that one row and task numbers.
 CHUNK = 10_000
-_SCALE = float(1 << 31)
+_SCALE = float(1 << 32)
 
 
-def hash_key(seed: int, columns: Sequence[str]) -> Column:
-    """Uniform [0, 1) key from a seeded 64-bit hash of the row's key columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *map(col, columns)), F.lit(1 << 31)) / F.lit(_SCALE)
+def row_hash(seed: int, columns: Sequence[str]) -> Column:
+    """The hex md5 of ``seed|value|value...`` (nulls are left out): any engine with md5 draws the
+    same sample where the values print alike (integers, texts, dates)."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in columns]))
+
+
+def unit(hashed: Column) -> Column:
+    """A number in [0, 1) from the first eight digits of a hex hash."""
+    return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / F.lit(_SCALE)
 
 
 def with_ordinals(df: DataFrame, name: str = "_ordinal") -> DataFrame:
@@ -50,12 +56,13 @@ def first_k(df: DataFrame, k: int, seed: int = 42, key: Sequence[str] | None = N
     by, out = list(by), list(df.columns)
     rows = df if key else with_ordinals(df)
     cols = list(key) if key else rows.columns
-    keyed = rows.withColumns({"_u": hash_key(seed, cols), "_h": F.xxhash64(F.lit(seed + 1), *map(col, cols))})
+    keyed = rows.withColumn("_h", row_hash(seed, cols))
     if not key:
         keyed = keyed.drop("_ordinal")
     if not by:
-        return keyed.orderBy("_u", "_h").limit(k).select(*map(col, out))  # TakeOrderedAndProject
-    w = Window.partitionBy(*map(col, by)).orderBy("_u", "_h")
+        return keyed.orderBy("_h").limit(k).select(*map(col, out))  # TakeOrderedAndProject
+    keyed = keyed.withColumn("_u", unit(F.col("_h")))
+    w = Window.partitionBy(*map(col, by)).orderBy("_h")
     counts = keyed.groupBy(*map(col, by)).agg(F.count(F.lit(1)).alias("_n"))
     thin = keyed.join(counts, by).where(F.col("_u") < F.least(F.lit(1.0), F.lit(OVERSAMPLE * k) / F.col("_n")))
     top = thin.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)

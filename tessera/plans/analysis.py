@@ -66,9 +66,9 @@ def factor_report(df: DataFrame, columns: Sequence[str] | None = None, n_factors
 
 
 def cluster_report(df: DataFrame, columns: Sequence[str] | None, k: int, method: str = "kmeans",
-                   linkage: str = "ward", with_elbow: bool = False) -> dict:
+                   linkage: str = "ward", with_elbow: bool = False, key: Sequence[str] | None = None) -> dict:
     """Prepare (complete rows, z-scores), cluster, and describe the clusters."""
-    prep = K.prepare_clusters(df, columns)
+    prep = K.prepare_clusters(df, columns, persist=with_elbow)
     out = {"prepared": prep}
     if with_elbow:
         out["elbow"] = K.elbow(prep)
@@ -82,7 +82,8 @@ def cluster_report(df: DataFrame, columns: Sequence[str] | None, k: int, method:
         labelled = h.labelled
     else:
         raise ValueError(f"unknown clustering method {method!r}")
+    prep.release()
     out["labelled"] = labelled.drop(K.FEATURES)
-    out["silhouette"] = K.silhouette(labelled)
+    out["silhouette"] = K.silhouette(labelled, sample_size=K.SILHOUETTE_ROWS if method == "kmeans" else K.SILHOUETTE_ROWS_HIERARCHICAL, key=key)
     out["profiles"] = K.cluster_profiles(labelled, prep.columns)
     return out

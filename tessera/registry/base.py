@@ -40,6 +40,15 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
+#: Columns that tell the rows of ``lineitem`` apart, and the SQL of the sample that takes the first rows
+#: by the hash of ``sampling.row_hash``.
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def sample_order(keys: list[str], seed: int = 42) -> str:
+    return f"md5(concat_ws('|', '{seed}', {', '.join(keys)}))"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column (both engines sum in different orders)."""
     fixes = {f.name: F.round(F.col(f.name), digits) for f in df.schema.fields
@@ -74,6 +83,27 @@ from customer
 """
 
 
+# Three far groups of lines (two of them nearer to each other), and a point for each line number.
+ISLANDS_SQL = """
+select l_orderkey, l_linenumber, l_linenumber % 3 as island, 1000.0 * (l_linenumber % 3) + cast(l_quantity as double) as x,
+       700.0 * (l_linenumber % 3) * (l_linenumber % 3) - cast(l_discount as double) as y
+from lineitem
+"""
+
+# Three columns with one common factor, a copy of the first with little else in it, a constant, and
+# holes in the third.
+COMMON_SQL = """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 50 + 6 * l_discount as a, l_quantity / 50 + 8 * l_tax as b,
+       l_quantity / 50 + 6.1 * l_discount as near_a, 7.5 as fixed,
+       case when l_partkey % 10 = 3 then null else l_quantity / 50 + (l_linenumber % 4) / 4.0 end as c
+from lineitem
+"""
+
+STEPS_SQL = """
+select l_orderkey, l_linenumber, cast(power(2, l_linenumber) as double) as x from lineitem
+"""
+
+
 def emb_sql(base: int) -> str:
     """Embedding fan-out to e0..e7 (Spark arrays are 0-based, DuckDB lists 1-based)."""
     cols = ", ".join(f"cast(embedding[{i + base}] as double) as e{i}" for i in range(8))
@@ -90,6 +120,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "mixed_text":
         views(spark, sf_dir, "customer")
         return spark.sql(MIXED_SQL)
+    if name in ("islands", "steps", "common"):
+        views(spark, sf_dir, "lineitem")
+        return spark.sql({"islands": ISLANDS_SQL, "steps": STEPS_SQL, "common": COMMON_SQL}[name])
     if name == "emb_wide":
         views(spark, sf_dir, "embeddings")
         return spark.sql(emb_sql(0))
@@ -98,7 +131,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_fixtures(sql: str, *names: str) -> str:
     defs = {"survey": SURVEY_SQL, "orders_holes": HOLES_SQL, "mixed_text": MIXED_SQL,
-            "emb_wide": emb_sql(1)}
+            "emb_wide": emb_sql(1), "islands": ISLANDS_SQL, "steps": STEPS_SQL, "common": COMMON_SQL}
     ctes = ",\n".join(f"{n} as ({defs[n]})" for n in names)
     return f"with {ctes}\n{sql}"
 

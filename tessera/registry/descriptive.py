@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import freq as Fq
 from tessera.operators import summary as S
-from tessera.registry.base import register, rounded, table
+from tessera.registry.base import LINE_KEYS, register, rounded, sample_order, table
 
 LI_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -131,16 +131,20 @@ def q_box_points(spark, sf_dir):
     return Fq.box_points(table(spark, sf_dir, "events"), "value", "event_id")
 
 
-# Samples: deterministic, but the hash differs between engines -> rows-only check.
-@register("scatter_sample")
+# Samples: the first rows by md5 of the seed and the key, which both engines compute alike.
+@register("scatter_sample", f"""
+select {', '.join(LINE_KEYS)}, l_quantity, l_extendedprice from lineitem
+where l_quantity is not null and l_extendedprice is not null order by {sample_order(LINE_KEYS)} limit 3000""")
 def q_scatter_sample(spark, sf_dir):
-    return Fq.scatter_sample(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", n=3000)
+    return Fq.scatter_sample(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", n=3000, key=LINE_KEYS)
 
 
-@register("scatter_matrix_sample")
+@register("scatter_matrix_sample", f"""
+select {', '.join(LINE_KEYS)}, {', '.join(LI_COLS)} from lineitem
+where {' and '.join(f'{c} is not null' for c in LI_COLS)} order by {sample_order(LINE_KEYS)} limit 2000""")
 def q_scatter_matrix_sample(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(*LI_COLS)
-    return Fq.scatter_matrix_sample(li, n=2000)
+    """All numeric columns of the table but its key."""
+    return Fq.scatter_matrix_sample(table(spark, sf_dir, "lineitem"), n=2000, key=LINE_KEYS)
 
 
 # ---------------------------------------------------------------- numeric summaries

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import discriminant as D
-from tessera.registry.base import fixture, register, rounded, table
+from tessera.registry.base import LINE_KEYS, fixture, register, rounded, sample_order, table
 
 TARGET = "l_returnflag"
 PRED = ["l_quantity", "l_discount"]
@@ -164,10 +164,12 @@ def q_predictor_importance(spark, sf_dir):
     return model.importance(spark)
 
 
-@register("stratified_sample")
+@register("stratified_sample", f"""
+select {', '.join(LINE_KEYS)}, {TARGET}, {', '.join(PRED)} from lineitem
+qualify row_number() over (partition by {TARGET} order by {sample_order(LINE_KEYS)}) <= (select 1500 // count(distinct {TARGET}) from lineitem)""")
 def q_stratified_sample(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(*KEYS, TARGET, *PRED)
-    return D.stratified_sample(li, TARGET, 1500, key=KEYS)
+    li = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, TARGET, *PRED)
+    return D.stratified_sample(li, TARGET, 1500, key=LINE_KEYS)
 
 
 @register("box_m_embeddings")
