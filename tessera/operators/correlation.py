@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import all_not_null, col, numeric_columns, text_columns
 from tessera.operators.moments import moments
-from tessera.operators.quantiles import BUCKET_ROWS, dense_codes, row_ranks
+from tessera.operators.quantiles import BUCKET_ROWS, row_ranks, value_places
 
 
 def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def kendall_matrix(data: DataFrame, columns: Sequence[str], bucket: int = BUCKET
     """Exact Kendall tau-b of all pairs of columns over rows complete in them, without forming
     pairs of rows and in a number of jobs that does not depend on the number of columns.
 
-    With dense codes a of x and b of y, S = sum over pairs of rows of sign(da) sign(db) is added
+    With codes a of x and b of y in value order, S = sum over pairs of rows of sign(da) sign(db) is added
     up over the dyadic levels of a: at level l the rows whose bit l of a is 1 meet the rows of the
     sibling block (same a >> (l + 1), bit l = 0), which all have a smaller a. All (pair of columns,
     level, node) are keys of one table of counts by b. Running totals over blocks of ``bucket``
@@ -99,15 +99,18 @@ def kendall_matrix(data: DataFrame, columns: Sequence[str], bucket: int = BUCKET
     m = np.full((p, p), np.nan)
     names = {c: i for i, c in enumerate(columns)}
     number = F.create_map(*[F.lit(x) for c, i in names.items() for x in (c, i)])
-    codes = dense_codes(data, columns).select(number[F.col("variable")].alias("v"), "value", "cnt", "code").persist(StorageLevel.MEMORY_AND_DISK)
+    places = value_places(data, columns).select(number[F.col("variable")].alias("v"), "value", "cnt", "bucket", "place").persist(StorageLevel.MEMORY_AND_DISK)
     wide = "decimal(38, 0)"
     ties = F.sum((F.col("cnt").cast(wide) * (F.col("cnt") - 1)))
-    facts = {r["v"]: r for r in codes.groupBy("v").agg(F.sum("cnt").alias("n"), F.max("code").alias("last"), ties.alias("t")).collect()}  # p rows
+    facts = {r["v"]: r for r in places.groupBy("v").agg(F.sum("cnt").alias("n"), F.max("place").alias("place"), F.max("bucket").alias("bucket"),
+                                                         ties.alias("t")).collect()}  # p rows
     n = max((int(r["n"]) for r in facts.values()), default=0)
     if n < 2:
-        codes.unpersist()
+        places.unpersist()
         return m
-    levels = max(1, int(max(r["last"] for r in facts.values())).bit_length())
+    low = int(max(r["place"] for r in facts.values())).bit_length()
+    levels = max(1, low + int(max(r["bucket"] for r in facts.values())).bit_length())
+    codes = places.select("v", "value", (F.shiftleft(F.col("bucket").cast("long"), low) + F.col("place")).alias("code"))
     pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), col(columns[i]).cast("double").alias("x"), col(columns[j]).cast("double").alias("y"))
              for i in range(p) for j in range(i + 1, p)]
     cells = data.select(F.explode(F.array(*pairs)).alias("_c")).select("_c.*").groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("c"))
@@ -126,7 +129,7 @@ def kendall_matrix(data: DataFrame, columns: Sequence[str], bucket: int = BUCKET
     met = counts.join(sums.where("all0 > 0"), [*node, "block"]).withColumn("below", F.col("start") + F.coalesce(F.sum("c0").over(inside), F.lit(0)))
     gain = F.col("c1").cast(wide) * (2 * F.col("below") + F.col("c0") - F.col("all0")).cast("decimal(20, 0)")
     totals = {(r["i"], r["j"]): int(r["s"]) for r in met.groupBy("i", "j").agg(F.sum(gain.cast(wide)).alias("s")).collect()}
-    codes.unpersist()
+    places.unpersist()
     free = [n * (n - 1) - int(facts[i]["t"]) for i in range(p)]  # twice the pairs of rows that differ in column i
     for i in range(p):
         if free[i]:

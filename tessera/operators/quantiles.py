@@ -233,16 +233,13 @@ def row_ranks(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_R
     return back.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def dense_codes(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Distinct values of each column with their count and their number in value order, from 0:
-    ``(variable, value, cnt, code)``."""
+def value_places(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Distinct values of each column with their count, value range and number within it, from 0:
+    ``(variable, value, cnt, bucket, place)``; (bucket, place) is in value order."""
     exprs = _as_exprs(df, columns)
     counted = _bucketed_counts(df, exprs, [], value_counts(df, exprs), bucket_rows)
-    sizes = counted.groupBy("variable", "bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy("variable").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("variable", "bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy("variable", "bucket").orderBy("value"))
-    return counted.join(starts, ["variable", "bucket"]).select("variable", "value", "cnt", (F.col("_start") + place - 1).alias("code"))
+    return counted.select("variable", "value", "cnt", "bucket", (place - 1).alias("place"))
 
 
 def grouped_below(cells: DataFrame, keys: Sequence[str], single_task_limit: int = BUCKET_ROWS,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import CSV_NULL_TOKENS, col, nan_to_null, to_number
+from tessera.sources.csv_split import records
 
 ROW_ID = "_row_id"
 OVERFLOW = "__beyond_header"
@@ -24,18 +25,24 @@ def read_csv(spark: SparkSession, path: str, infer_types: bool = True,
     from the cleaned text (a column is numeric when every non-null cell parses).
 
     Quotes follow RFC 4180: a doubled quote is a quote, quoted cells may hold separators
-    and line ends (``multi_line``; without it large files can be split among tasks). A row
+    and line ends. Large files are split among tasks all the same (``csv_split``; a record that
+    crosses splits comes behind the others). ``multi_line=False`` saves the pass that this takes
+    where no cell holds a line end. A row
     with fewer cells than the header is filled with NULL, one with more is an error.
 
     Type inference is one aggregation over the text; the typed frame is a lazy
     projection of the text frame."""
-    reader = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-              .option("multiLine", multi_line))
+    reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", multi_line)
     header = reader.csv(path)
-    wider = T.StructType([*header.schema.fields, T.StructField(OVERFLOW, T.StringType())])
     too_long = F.raise_error(F.lit("CSV row with more cells than the header"))
-    raw = (reader.schema(wider).option("enforceSchema", True).csv(path)
-           .where(F.when(F.col(OVERFLOW).isNotNull(), too_long.cast("boolean")).otherwise(F.lit(True))).drop(OVERFLOW))
+    if multi_line:
+        wider = ", ".join(f"c{i} string" for i in range(len(header.columns) + 1))
+        cells = records(spark, path).where(~F.col("first")).select(F.from_csv("record", wider, {"escape": '"'}).alias("c")).select("c.*")
+        raw = cells.toDF(*header.columns, OVERFLOW)
+    else:
+        wider = T.StructType([*header.schema.fields, T.StructField(OVERFLOW, T.StringType())])
+        raw = reader.schema(wider).option("enforceSchema", True).csv(path)
+    raw = raw.where(F.when(F.col(OVERFLOW).isNotNull(), too_long.cast("boolean")).otherwise(F.lit(True))).drop(OVERFLOW)
     tokens = list(null_tokens)
     cleaned = raw.select(*[F.when(col(c).isin(tokens), F.lit(None))
                            .otherwise(col(c)).alias(c) for c in raw.columns])

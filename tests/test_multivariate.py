@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import cluster as K
 from tessera.operators import discriminant as D
@@ -154,11 +155,11 @@ def test_moments_exact_zero_variance_for_awkward_constant(spark):
 def test_first_k_thinning_is_exact(spark):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
-    from tessera.operators.sampling import first_k, hash_key
+    from tessera.operators.sampling import first_k, row_hash
     df = spark.range(0, 5000).select("id", (F.col("id") % 3).alias("g"))
     got = first_k(df, 700, 42, ["id"], by=["g"])
-    keyed = df.withColumn("_u", hash_key(42, ["id"])).withColumn("_h", F.xxhash64(F.lit(43), F.col("id")))
-    w = Window.partitionBy("g").orderBy("_u", "_h")
+    keyed = df.withColumn("_h", row_hash(42, ["id"]))
+    w = Window.partitionBy("g").orderBy("_h")
     want = keyed.withColumn("rn", F.row_number().over(w)).where("rn <= 700").select("id", "g")
     assert sorted(map(tuple, got.select("id", "g").collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == 2100
@@ -191,3 +192,192 @@ def test_elbow_decreases_from_one_cluster(spark):
     prep = K.prepare_clusters(li, ["l_quantity", "l_discount"])
     w = [r["wcss"] for r in K.elbow(prep, k_max=4).orderBy("k").collect()]
     assert w[0] > w[1] > w[3] > 0
+
+
+# ---------------------------------------------------------------- shared-scan k-means
+
+def _blobs(spark, n=600, seed=3):
+    rng = np.random.default_rng(seed)
+    centers = np.array([[0.0, 0.0], [8.0, 1.0], [1.0, 9.0], [-7.0, 4.0]])
+    rows = [(i, *(centers[i % 4] + rng.normal(size=2)).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, x double, y double"), np.array([r[1:] for r in rows])
+
+
+def _lloyd(x, w, centers, tolerance, most):
+    """Plain iterations on the driver."""
+    for _ in range(most):
+        d = ((x[:, None] - centers[None]) ** 2).sum(2)
+        own = d.argmin(1)
+        new = np.array([np.average(x[own == c], axis=0, weights=w[own == c]) if (own == c).any() else centers[c] for c in range(len(centers))])
+        moved = ((new - centers) ** 2).sum()
+        centers = new
+        if moved <= tolerance:
+            break
+    return centers, (w * ((x[:, None] - centers[None]) ** 2).sum(2).min(1)).sum()
+
+
+def test_shared_scan_equals_plain_iterations(spark):
+    """All models advance as if each were fitted on its own."""
+    from tessera.operators import kmeans_scan as S
+    df, _ = _blobs(spark)
+    df = df.unionByName(df.limit(50)).unionByName(df.limit(10))  # weights
+    prep = K.prepare_clusters(df, ["x", "y"])
+    x = np.array([r[0] for r in prep.data.select(K.FEATURES).collect()])
+    blocks = prep.points()
+    begun = S.starts(blocks, 5, 4, 42)
+    assert [c.shape for c in begun] == [(5, 2)] * 4
+    points = {tuple(np.round(p, 9)) for p in x}
+    assert all(tuple(np.round(p, 9)) in points for c in begun for p in c)
+    models = [c[:k] for k in (1, 3, 5) for c in begun]
+    passes = []
+    ended = S.advance(blocks, models, 1e-4, 300, lambda step, n: passes.append(n))
+    assert passes[0] == 12 and passes == sorted(passes, reverse=True) and len(passes) < 80
+    got = S.costs(blocks, ended)
+    for model, centers, cost in zip(models, ended, got):
+        want, at = _lloyd(x, np.ones(len(x)), model.copy(), 1e-4, 300)
+        assert np.allclose(centers, want, atol=1e-9) and math.isclose(cost, at, rel_tol=1e-9)
+    prep.release()
+
+
+@pytest.mark.parametrize("parts", [1, 3, 17])
+def test_kmeans_does_not_depend_on_partitions(spark, parts):
+    df, _ = _blobs(spark, 900, 8)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    want = K.kmeans(K.prepare_clusters(df.coalesce(1), ["x", "y"]), 4)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = K.kmeans(K.prepare_clusters(df.repartition(parts), ["x", "y"]), 4)
+        assert np.array_equal(got.centers, want.centers)
+        assert sorted(map(tuple, got.labelled.select("id", "cluster").collect())) == sorted(map(tuple, want.labelled.select("id", "cluster").collect()))
+        assert {r["cluster"]: r["count"] for r in got.labelled.groupBy("cluster").count().collect()} == {c: 225 for c in "1234"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_kmeans_hot_value_and_few_distinct_rows(spark):
+    hot = spark.range(30_000).select(F.when(F.col("id") < 20_000, 1.0).otherwise(F.col("id") % 3 * 10.0).alias("x"))
+    prep = K.prepare_clusters(hot, ["x"])
+    sizes = prep.points().select(F.sum("n")).first()[0]
+    assert sizes <= 4 + 20_000 // 4096 + 3 * 2  # a hot value is a few points
+    prep.release()
+    res = K.kmeans(prep, 3)
+    assert res.cost < 1.5 * 20_000 and {r[0] for r in res.labelled.select("cluster").distinct().collect()} == {"1", "2", "3"}
+    few = K.elbow(K.prepare_clusters(spark.createDataFrame([(1.0,), (2.0,), (2.0,)], "x double"), ["x"]), k_max=4)
+    costs = {r["k"]: r["wcss"] for r in few.collect()}
+    assert math.isclose(costs[1], 3.0, rel_tol=1e-9) and all(abs(costs[k]) < 1e-12 for k in (2, 3, 4))
+    with pytest.raises(ValueError):
+        K.kmeans(K.prepare_clusters(spark.createDataFrame([(1.0,)], "x double"), ["x"]), 2)
+
+
+def test_fits_leave_no_cached_rows(spark):
+    df, _ = _blobs(spark, 200)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    prep = K.prepare_clusters(df, ["x", "y"])
+    K.kmeans(prep, 2).labelled.count()
+    K.elbow(prep, k_max=2).count()
+    K.hierarchical(prep, 2).labelled.count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def _silhouette(x, labels):
+    out = []
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        own = labels == labels[i]
+        if own.sum() == 1:
+            out.append(0.0)
+            continue
+        a = d[own].sum() / (own.sum() - 1)
+        b = min(d[labels == c].mean() for c in set(labels) if c != labels[i])
+        out.append((b - a) / max(a, b))
+    return np.mean(out)
+
+
+def test_euclidean_silhouette_equals_brute_force(spark, monkeypatch):
+    df, _ = _blobs(spark, 300)
+    labelled = K.kmeans(K.prepare_clusters(df, ["x", "y"]), 5).labelled
+    rows = labelled.select(K.FEATURES, "cluster").collect()
+    want = _silhouette(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    assert math.isclose(K.silhouette(labelled, key=["id"]), want, rel_tol=1e-9)
+    monkeypatch.setattr(K, "TILE", 37)
+    assert math.isclose(K.silhouette(labelled, key=["id"]), want, rel_tol=1e-9)
+    assert -1 <= K.silhouette(labelled, sample_size=50, key=["id"]) <= 1
+    assert math.isclose(K.silhouette(labelled, metric="squared"), K.silhouette(labelled, metric="squared"))
+    with pytest.raises(ValueError):
+        K.silhouette(labelled.withColumn("cluster", F.lit("1")), key=["id"])
+    with pytest.raises(ValueError):
+        K.silhouette(labelled, metric="cosine")
+    alone = spark.createDataFrame([([0.0], "1"), ([1.0], "1"), ([9.0], "2")], f"{K.FEATURES} array<double>, cluster string")
+    assert math.isclose(K.silhouette(alone), ((9 - 1) / 9 + (8 - 1) / 8 + 0) / 3, rel_tol=1e-12)
+
+
+# ---------------------------------------------------------------- ranks, Kendall, bootstrap
+
+def _ranks(values):
+    order = sorted(values)
+    return [(2 * order.index(v) + order.count(v) + 1) / 2 for v in values]
+
+
+@pytest.mark.parametrize("rows", [10 ** 9, 40, 7])
+def test_row_ranks_are_average_ranks_beside_the_row(spark, rows):
+    """Small buckets: heavy values get places of their own, and ranks carry over bucket edges."""
+    from tessera.operators.quantiles import row_ranks
+    rng = np.random.default_rng(2)
+    x = [3.0] * 120 + rng.integers(-5, 9, 150).astype(float).tolist() + rng.normal(size=90).tolist()
+    y = rng.permutation(360).astype(float).tolist()
+    df = spark.createDataFrame(list(zip(x, y)), "x double, y double").repartition(5)
+    got = sorted(map(tuple, row_ranks(df, ["x", "y"], bucket_rows=rows).collect()))
+    assert got == sorted(zip(_ranks(x), _ranks(y)))
+
+
+def test_kendall_of_many_columns_takes_a_fixed_number_of_jobs(spark):
+    rng = np.random.default_rng(4)
+    rows = [tuple(float(v) for v in r) for r in rng.integers(0, 6, (80, 5))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(names):
+        spark.sparkContext.setJobGroup(f"kendall-{len(names)}", "")
+        cols, m = correlation_matrix(df, names, "kendall")
+        done = len(tracker.getJobIdsForGroup(f"kendall-{len(names)}"))
+        spark.sparkContext.setJobGroup("", "")
+        return m, done
+
+    m2, two = jobs(["a", "b"])
+    m5, five = jobs(list("abcde"))
+    assert five <= two + 3 and five <= 20
+    columns = list(zip(*rows))
+    for i in range(5):
+        for j in range(5):
+            assert math.isclose(m5[i, j], 1.0 if i == j else _kendall_brute(columns[i], columns[j]), rel_tol=1e-12)
+
+
+def test_bootstrap_weights_are_poisson_and_rows_are_not_multiplied(spark):
+    w = A.poisson_weights(np.arange(20_000) * 7919 % (1 << 32), 20)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.03
+    df, x = _blobs(spark, 400)
+    mats = A.bootstrap_moments(df, ["x", "y"], {"x": 1.0, "y": 2.0}, 6, 42, ["id"])
+    hashed = np.array([int(__import__("hashlib").md5(f"42|{i}".encode()).hexdigest()[:8], 16) for i in range(400)])
+    weights = A.poisson_weights(hashed, 6)
+    for b in range(6):
+        assert np.allclose(mats[b], np.corrcoef(np.repeat(x, weights[b].astype(int), axis=0).T), atol=1e-9)
+
+
+def test_number_of_factors_is_checked(spark):
+    df, _ = _blobs(spark, 100)
+    for wrong in (0, 3):
+        with pytest.raises(ValueError):
+            A.factor_analysis(df, ["x", "y"], n_factors=wrong)
+
+
+def test_exact_ks_tail_and_normal_column(spark):
+    from tessera.functions.distributions import erfc_sql, normal_cdf_sql
+    from tessera.operators.normality import ks_exact, ks_pvalue
+    assert math.isclose(1 - ks_exact(0.274, 10), 0.6284796154565043, rel_tol=1e-12)  # published value
+    assert ks_exact(0.5, 1) == 1.0 and math.isclose(ks_exact(0.75, 1), 0.5) and ks_exact(0.9, 100) == 0.0
+    assert abs(ks_pvalue(0.0136, 10_000) - ks_pvalue(0.0136, 10_001)) < 2e-3  # exact and asymptotic meet
+    xs = [0.0, 1e-9, 0.3, 0.46875, 0.469, 1.0, 3.9, 4.0, 4.1, 9.0, 26.0, 28.0]
+    rows = spark.createDataFrame([(s * x,) for x in xs for s in (1, -1)], "x double")
+    for r in rows.select("x", F.expr(erfc_sql("x")).alias("e"), F.expr(normal_cdf_sql("x")).alias("p")).collect():
+        assert math.isclose(r["e"], math.erfc(r["x"]), rel_tol=1e-13, abs_tol=1e-300)
+        assert math.isclose(r["p"], 0.5 * math.erfc(-r["x"] / math.sqrt(2)), rel_tol=1e-13, abs_tol=1e-300)
