@@ -9,6 +9,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,33 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, rows: str, how: str
     return left.join(few, key, "inner").unionByName(rest.join(cold, key, how), allowMissingColumns=True)
 
 
+#: Bits of a sieve at most: a broadcast of 16 MB, whatever the number of keys.
+MOST_BITS = 1 << 27
+
+
+def sieve(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``df`` whose columns ``on`` may be a row of ``keys``: a Bloom filter with a bit
+    set in Spark for two hashes of every key. It lets a few strangers through (all, if the keys
+    are very many), so an exact join has to follow; what it keeps out is not shuffled."""
+    spark = df.sparkSession
+    bits = 1 << 10
+    while bits < min(12 * keys.count(), MOST_BITS):
+        bits *= 2
+    places = [F.pmod(F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in on]), F.lit(bits)) for k in (1, 2, 3)]
+    at = keys.select(F.explode(F.array(*places)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    mark = np.zeros(bits // 64, np.int64)  # the driver sees this many words at most
+    mark[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(mark.astype("<i8").tobytes())
+
+    def known(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        held = np.frombuffer(shared.value, np.uint8)
+        for columns in batches:
+            yield pd.Series(np.logical_and.reduce([(held[(x := c.to_numpy(np.int64)) >> 3] >> (x & 7).astype(np.uint8)) & 1 for c in columns]).astype(bool))
+
+    return df.filter(F.pandas_udf(known, "boolean")(*places))
+
+
 def with_fields(schema: T.StructType, fields: Iterable[T.StructField]) -> T.StructType:
     """``schema`` with ``fields`` appended; columns of the same name are replaced."""
     fields = list(fields)

@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, texts_of, with_arrays, with_fields, written
+from tessera.llm.common import sieve, slices, texts_of, with_arrays, with_fields, written
 
 #: Learnable documents of either label fitted on at most.
 MOST_EACH = 4_000
 #: Hashed features, steps of the fit, parts of the sample, words remembered by a worker.
 SIZE, STEPS, PARTS, REMEMBER = 1 << 17, 30, 8, 300_000
+#: Bytes of text tagged at once.
+AT_ONCE = 2 << 20
 #: Standard deviations above chance that a feature needs, and its rate in toxic documents as a share
 #: of its rates in both kinds.
 SURE, PURE = 6.0, 0.97
@@ -110,23 +112,39 @@ def weights(totals: dict[int, int]) -> dict[int, float]:
     return {0: inverse[0] / inverse[1], 1: 1.0}
 
 
-def learnable(docs: DataFrame, labels: DataFrame, key: str, text: str, flag: str, held_out) -> DataFrame:
-    """toxic, hash, text of all documents that may be learned from, one for each smallest shingle hash."""
-    learn = labels.filter(F.col(flag).isin(0, 1) & ~held_out).groupBy(F.col(key).alias("__key")).agg(F.max(flag).alias("toxic"))
-    chosen = docs.join(learn, docs[key] == F.col("__key")).select("toxic", F.col(text).alias("text"))
+#: Smallest shingle hashes that two documents must share to count as copies.
+MINIMA = 4
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, hash, text) with the column sign, a hash of the smallest ``MINIMA`` hashes of three-word
+    shingles, in place of the text."""
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + [T.StructField("sign", T.LongType())])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            least = []
+            signs = []
             for t in texts_of(batch, "text"):
-                words = t.split()
-                least.append(min((xxhash.xxh3_64_intdigest(" ".join(words[k:k + 3]).encode("utf-8", "surrogatepass")) >> 1
-                                  for k in range(max(len(words) - 2, 1))), default=0))
-            yield with_arrays(batch, {"least": pa.array(least, pa.int64())})
+                words = t.encode("utf-8", "surrogatepass").split()
+                hashes = {xxhash.xxh3_64_intdigest(b" ".join(words[k:k + 3])) for k in range(max(len(words) - 2, 1))}
+                signs.append(xxhash.xxh3_64_intdigest(repr(sorted(hashes)[:MINIMA]).encode()) >> 1)
+            yield with_arrays(batch.drop_columns(["text"]), {"sign": pa.array(signs, pa.int64())})
+
+    return docs.mapInArrow(sketch, schema)
 
-    marked = chosen.mapInArrow(sketch, with_fields(chosen.schema, [T.StructField("least", T.LongType())]))
-    one = marked.groupBy("toxic", "least").agg(F.min("text").alias("text"))
-    return written(one.select("toxic", F.xxhash64("text").alias("hash"), "text"), "toxic-learnable")
+
+def learnable(docs: DataFrame, labels: DataFrame, key: str, text: str, flag: str, held_out) -> DataFrame:
+    """toxic, hash, text of the documents that may be learned from, one for each signature: copies
+    and near-copies share theirs, documents that share a passage don't. Documents are chosen by
+    id, hash and signature alone; only the texts chosen move, once, behind a sieve."""
+    learn = written(labels.filter(F.col(flag).isin(0, 1) & ~held_out).groupBy(F.col(key).alias("id")).agg(F.max(flag).alias("toxic")), "toxic-labels")
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("hash"),
+                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    signed = signatures(sieve(texts, learn, ["id"])).join(learn.hint("merge"), "id")
+    one = signed.groupBy("toxic", "sign").agg(F.min(F.struct("id", "hash")).alias("of")).select("of.id", "of.hash", "toxic")
+    one = written(one, "toxic-chosen")
+    found = sieve(texts, one, ["id", "hash"]).join(one.hint("merge"), ["id", "hash"])
+    return written(found.groupBy("id", "hash", "toxic").agg(F.first("text").alias("text")).drop("id"), "toxic-learnable")
 
 
 def sampled(learned: DataFrame) -> DataFrame:
@@ -274,29 +292,61 @@ class Odds(dict):
         return value
 
 
+#: Kind of each code point: 1 in words (``\\w``), 2 an end, 0 neither.
+class Kinds:
+    table: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, code: np.ndarray) -> np.ndarray:
+        if cls.table is None:
+            every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000))
+            cls.table = np.zeros(0x110000, np.uint8)
+            for m in re.finditer(r"\w+", every):
+                cls.table[m.start():m.end()] = 1
+            cls.table[[ord(c) for c in ENDS]] = 2
+        return cls.table[code]
+
+
+def located(texts: list[str]) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts as by ``tokens_of``, as UTF-32 bytes: the tokens, their start and end in
+    the joined texts, the first token of each text, and where each text starts."""
+    code = np.frombuffer("".join(f"\n{lowered(t)}\n" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = Kinds.of(code)
+    word = kind == 1
+    edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    stop = np.flatnonzero(kind == 2)
+    start, end = np.concatenate([np.flatnonzero(edge == 1), stop]), np.concatenate([np.flatnonzero(edge == -1), stop + 1])
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(4 * (end - start), out=offsets[1:])
+    tokens = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(code[kind > 0].tobytes())])
+    size = np.array([len(t) + 2 for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    return tokens, start, end, np.searchsorted(start, begin), begin
+
+
 def tag(df: DataFrame, field: Field, text: str = "text", spans: str = "spans") -> DataFrame:
     """Append __sum and __max of the tokens' toxic probabilities, __tokens and ``spans``: the tokens of
     probability 0.5 or more, from and to in characters of the text."""
     shared = df.sparkSession.sparkContext.broadcast(field)
+    kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("probability", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Odds(shared.value)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, AT_ONCE):
             texts = texts_of(batch, text)
-            tokens = [tokens_of(t) for t in texts]
-            sizes = np.array([len(t) for t in tokens])
-            odds = np.fromiter((known[w] for t in tokens for w in t), np.float64, int(sizes.sum()))
+            tokens, start, end, first, begin = located(texts)
+            coded = tokens.dictionary_encode()
+            odds = np.array([known[w.decode("utf-32-le", "surrogatepass")] for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy(zero_copy_only=False)]
             p = marginals(odds, known.field.step)
-            start = np.cumsum(sizes) - sizes
-            total, most = np.add.reduceat(p, start), np.maximum.reduceat(p, start)
+            total, most = np.add.reduceat(p, first), np.maximum.reduceat(p, first)
             found = [[] for _ in texts]
-            for k in np.flatnonzero(most >= 0.5).tolist():
-                q = p[start[k] + 1:start[k] + sizes[k] - 1]
-                places = [m.span() for m in TOKENS.finditer(lowered(texts[k]))]
-                found[k] = [{"from": places[i][0], "to": places[i][1], "probability": float(q[i])} for i in np.flatnonzero(q >= 0.5).tolist()]
-            kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("probability", pa.float64())]))
+            for i in np.flatnonzero(p >= 0.5).tolist():
+                k = int(np.searchsorted(first, i, side="right")) - 1
+                found[k].append({"from": int(start[i] - begin[k]) - 1, "to": int(end[i] - begin[k]) - 1, "probability": float(p[i])})
             yield with_arrays(batch, {"__sum": pa.array(total), "__max": pa.array(most),
-                                      "__tokens": pa.array(sizes.astype(np.int64)), spans: pa.array(found, kind)})
+                                      "__tokens": pa.array(np.diff(np.append(first, len(start))).astype(np.int64)), spans: pa.array(found, kind)})
 
     fields = [T.StructField("__sum", T.DoubleType()), T.StructField("__max", T.DoubleType()), T.StructField("__tokens", T.LongType()),
               T.StructField(spans, SPANS)]
