@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import all_not_null, col, numeric_columns
+from tessera.session import pinned
 from tessera.operators.quantiles import quantile_map
 
 OTHER_LABEL = "Other"          # fixed: label of the long-tail row
@@ -117,36 +118,38 @@ def ogive(table: DataFrame) -> DataFrame:
     return table.select("bin", "class_mark", "cumulative_relative_frequency")
 
 
-def box_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+def boxes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, fences, whiskers (most extreme values inside the fences) and the
-    outlier count per group -> ``(by..., n, q1, median, q3, lower_fence, upper_fence,
-    whisker_low, whisker_high, n_outliers)``."""
-    from tessera.operators.quantiles import quantiles
+    outlier count of every (group, column) -> ``(variable, by..., n, q1, median, q3, lower_fence,
+    upper_fence, whisker_low, whisker_high, n_outliers)``. One table of distinct-value counts, made
+    in one pass over the rows, gives all of it."""
+    from tessera.operators.quantiles import _as_exprs, _bucketed_counts, _quantiles_from_counts, value_counts
     by = list(by)
-    x = col(column).cast("double")
-    joined = df.where(x.isNotNull()).select(*map(col, by), x.alias("_x"))
-    if by:  # one fence row per group, joined on the group keys (broadcast when small)
-        q = (quantiles(df, [column], [0.25, 0.5, 0.75], by=by)
-             .groupBy(*by).pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value")))
-        q = q.toDF(*by, "q1", "median", "q3")
-        iqr = F.col("q3") - F.col("q1")
-        q = q.withColumn("lower_fence", F.col("q1") - 1.5 * iqr).withColumn("upper_fence", F.col("q3") + 1.5 * iqr)
-        joined = joined.join(q, by, "inner")
-    else:  # three scalars: literals
-        q1, med, q3 = quantile_map(df, [column], [0.25, 0.5, 0.75])[column]
-        if q1 is None:
-            raise ValueError(f"column {column!r} has no values")
-        joined = joined.select("_x", F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"),
-                               F.lit(q1 - 1.5 * (q3 - q1)).alias("lower_fence"),
-                               F.lit(q3 + 1.5 * (q3 - q1)).alias("upper_fence"))
-    inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
-    agg = joined.groupBy(*by, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"))
-    return agg.select(*by, "n", "q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low",
-                      "whisker_high", "n_outliers")
+    keys = [*by, "variable"]
+    exprs = _as_exprs(df, columns)
+    counted = pinned(_bucketed_counts(df, exprs, by, value_counts(df, exprs)), "value-counts")
+    quartile = {name: F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    q = _quantiles_from_counts(counted, by, [0.25, 0.5, 0.75]).groupBy(*map(col, keys)).agg(*quartile.values())
+    iqr = F.col("q3") - F.col("q1")
+    q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * iqr, "upper_fence": F.col("q3") + 1.5 * iqr})
+    for i, k in enumerate(keys):  # a NULL group is a group like any other
+        q = q.withColumnRenamed(k, f"_k{i}")
+    same = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
+    facts = ["q1", "median", "q3", "lower_fence", "upper_fence"]
+    agg = counted.join(q, same).groupBy(*map(col, keys), *facts).agg(
+        F.sum("cnt").alias("n"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).alias("n_outliers"))
+    return agg.select("variable", *map(col, by), "n", *facts, "whisker_low", "whisker_high", "n_outliers")
+
+
+def box_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`boxes` of one column -> ``(by..., n, q1, ...)``; a column without values is an error
+    when there are no groups."""
+    out = boxes(df, [column], by).drop("variable")
+    if not by and out.isEmpty():
+        raise ValueError(f"column {column!r} has no values")
+    return out
 
 
 def box_points(df: DataFrame, column: str, key: str) -> DataFrame:

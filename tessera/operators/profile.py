@@ -33,16 +33,41 @@ def _family(dt: T.DataType) -> str:
     return "other"
 
 
+def _as_text(x: Column, dt: T.DataType) -> Column:
+    """A text that is equal for equal values of a column and different for different ones."""
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return (x + F.lit(0.0)).cast("string")  # both zeros are one value
+    if isinstance(dt, T.BinaryType):
+        return F.hex(x)
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+        return F.when(x.isNotNull(), F.to_json(F.struct(x.alias("v"))))
+    return x.cast("string")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(variable, n_unique)`` by long rows of two columns: (column number, value) pairs are made
+    distinct before and after one shuffle, however many columns there are, where an aggregate of
+    many ``count(distinct)`` would multiply rows as wide as the table. Columns without values
+    are absent."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    items = [F.struct(F.lit(i).alias("v"), _as_text(col(c), kinds[c]).alias("value")) for i, c in enumerate(columns)]
+    long = df.select(F.explode(F.array(*items)).alias("_kv")).select("_kv.*").where(F.col("value").isNotNull())
+    per = long.groupBy("v", "value").agg(F.lit(1).alias("one")).groupBy("v").agg(F.count(F.lit(1)).alias("n_unique"))
+    return per.select(F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("v") + 1).alias("variable"), "n_unique")
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """One row per column: ``variable, dtype, kind, n_unique, unique_ratio, n_rows,
-    n_non_null, all_integral``. One aggregation job; classification is a lazy
-    ``case when`` over its single result row."""
+    n_non_null, all_integral``. One aggregation and, for exact distinct counts, one table of
+    long rows (:func:`distinct_counts`); ``exact=False`` takes sketches instead. Classification is
+    a lazy ``case when`` over the result rows."""
     cols = list(columns or df.columns)
     fields = {f.name: f for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         x = col(c)
-        aggs.append((F.count_distinct(x) if exact else F.approx_count_distinct(x)).alias(f"u{i}"))
+        if not exact:
+            aggs.append(F.approx_count_distinct(x).alias(f"u{i}"))
         aggs.append(F.count(x).alias(f"c{i}"))
         fam = _family(fields[c].dataType)
         if fam == "numeric":
@@ -54,11 +79,13 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
     items = [F.struct(F.lit(c).alias("variable"),
                       F.lit(fields[c].dataType.simpleString()).alias("dtype"),
                       F.lit(_family(fields[c].dataType)).alias("family"),
-                      F.col(f"u{i}").cast("long").alias("n_unique"),
+                      (F.lit(0) if exact else F.col(f"u{i}")).cast("long").alias("n_unique"),
                       F.col(f"c{i}").alias("n_non_null"),
                       F.col(f"w{i}").alias("all_integral"))
              for i, c in enumerate(cols)]
     out = one.select(F.col("_n").alias("n_rows"), F.inline(F.array(*items)))
+    if exact:
+        out = out.drop("n_unique").join(distinct_counts(df, cols), "variable", "left").fillna(0, ["n_unique"])
     ratio = F.when(F.col("n_rows") > 0, F.col("n_unique") / F.col("n_rows")).otherwise(F.lit(0.0))
     out = out.withColumn("unique_ratio", ratio)
     out = out.withColumn("kind", classify(F.col("family"), F.col("n_unique"), F.col("unique_ratio"),
@@ -100,19 +127,13 @@ def _first_values(df: DataFrame, order_col: str, cols: Sequence[str], k: int, se
 
 
 def sample_values(df: DataFrame, order_col: str, columns: Sequence[str] | None = None,
-                  k: int = 10, sep: str = ", ", probes: Sequence[int] = ()) -> DataFrame:
+                  k: int = 10, sep: str = ", ") -> DataFrame:
     """First ``k`` distinct non-null values of each column in order of appearance
     -> ``(variable, sample_values)``: distinct (column, value) pairs with their first
     position, and a per-column row_number filter planned as a partial WindowGroupLimit
     before the shuffle. By default all columns but ``order_col``; name it in ``columns``
-    to have it too. ``probes`` are numbers of earliest rows to try first: where these
-    already show ``k`` values of every column, that is the answer for the whole table."""
+    to have it too."""
     cols = list(columns) if columns is not None else [c for c in df.columns if c != order_col]
-    for probe in probes:
-        got = _first_values(df.orderBy(order_col).limit(probe), order_col, cols, k, sep)
-        found = {r["variable"]: r["_found"] for r in got.select("variable", "_found").collect()}
-        if len(found) == len(cols) and min(found.values()) >= k:
-            return got.drop("_found")
     return _first_values(df, order_col, cols, k, sep).drop("_found")
 
 
@@ -126,6 +147,8 @@ def null_summary(df: DataFrame, columns: Sequence[str] | None = None,
     items = [F.struct(F.lit(c).alias("variable"), F.lit(dtypes[c]).alias("dtype"),
                       F.col(f"z{i}").alias("null_count")) for i, c in enumerate(cols)]
     out = one.select(F.col("_n").alias("n_rows"), F.inline(F.array(*items)))
+    if exact:
+        out = out.drop("n_unique").join(distinct_counts(df, cols), "variable", "left").fillna(0, ["n_unique"])
     out = out.withColumn("null_share", F.when(F.col("n_rows") > 0, F.col("null_count") / F.col("n_rows"))
                          .otherwise(F.lit(0.0)))
     if only_with_nulls:

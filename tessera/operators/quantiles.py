@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col
+from tessera.session import pinned
 
 BUCKET_ROWS = 1_000_000       # values in a bucket, which one task sorts
 SPLIT_SAMPLE_ROWS = 400_000   # rows sampled to place bucket boundaries (balance only), or 20 a bucket
@@ -69,7 +70,8 @@ def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], prob
     probs = list(dict.fromkeys(float(p) for p in probs))
     if counts is None:
         counts = value_counts(df, exprs)
-    return _quantiles_from_counts(_bucketed_counts(df, exprs, by, counts, single_task_limit, max_buckets), by, probs)
+    counted = pinned(_bucketed_counts(df, exprs, by, counts, single_task_limit, max_buckets), "value-counts")
+    return _quantiles_from_counts(counted, by, probs)
 
 
 def value_counts(df: DataFrame, exprs: Mapping[str, Column]) -> dict[str, int]:

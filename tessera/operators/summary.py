@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import col
 from tessera.operators.quantiles import _as_exprs, _bucketed_counts, _quantiles_from_counts, quantiles, value_counts
+from tessera.session import pinned
 
 DECILES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 # Shape thresholds (fixed values) and result codes.
@@ -31,22 +32,21 @@ def _wide_to_long(df: DataFrame, columns: Sequence[str], by: Sequence[str],
         x = col(c).cast("double")
         for m, fn in measures.items():
             aggs.append(fn(x).alias(f"{m}__{i}"))
-    one = df.groupBy(*by).agg(*aggs)
+    one = df.groupBy(*map(col, by)).agg(*aggs)
     items = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{m}__{i}").alias(m) for m in measures])
              for i, c in enumerate(columns)]
-    return one.select(*by, F.inline(F.array(*items)))
+    return one.select(*map(col, by), F.inline(F.array(*items)))
 
 
 def central_tendency(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(by..., variable, mean, median, mode)`` over non-null values; the mode is
     the smallest of the most frequent values.
 
-    Median and mode both come from one table of distinct-value counts (one shuffle,
-    reused by both)."""
+    Median and mode both come from one table of distinct-value counts, made once."""
     by = list(by)
     means = _wide_to_long(df, columns, by, {"mean": F.avg})
     exprs = _as_exprs(df, columns)
-    vc = _bucketed_counts(df, exprs, by, value_counts(df, exprs))
+    vc = pinned(_bucketed_counts(df, exprs, by, value_counts(df, exprs)), "value-counts")
     keys = by + ["variable"]
     med = _quantiles_from_counts(vc, by, [0.5]).select(*map(col, keys), F.col("value").alias("median"))
     w = Window.partitionBy(*map(col, keys)).orderBy(F.desc("cnt"), F.asc("value"))
@@ -60,7 +60,7 @@ def dispersion(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     out = _wide_to_long(df, columns, by, {
         "_max": F.max, "_min": F.min, "variance": F.var_samp, "std": F.stddev_samp, "_mean": F.avg})
     cv = F.when(F.col("_mean") != 0, F.col("std") / F.col("_mean") * 100)
-    return out.select(*by, "variable", (F.col("_max") - F.col("_min")).alias("range"), "variance", "std",
+    return out.select(*map(col, by), "variable", (F.col("_max") - F.col("_min")).alias("range"), "variance", "std",
                       cv.alias("cv_percent"))
 
 
@@ -70,13 +70,13 @@ def position(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), deci
     by = list(by)
     probs = [0.25, 0.5, 0.75] + DECILES
     q = quantiles(df, columns, probs, by=by)
-    g = q.groupBy(*by, "variable").agg(
+    g = q.groupBy(*map(col, by), "variable").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("q2"),
         F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"),
         F.array_sort(F.collect_list(F.when(F.col("prob").isin(DECILES),
                                            F.struct("prob", F.round("value", decimals).alias("v"))))).alias("_d"))
-    return g.select(*by, "variable", "q1", "q2", "q3", F.transform("_d", lambda s: s["v"]).alias("deciles"))
+    return g.select(*map(col, by), "variable", "q1", "q2", "q3", F.transform("_d", lambda s: s["v"]).alias("deciles"))
 
 
 def shape(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -96,7 +96,7 @@ def interpret_shape(skewness: Column, kurtosis: Column) -> tuple[Column, Column]
 def shape_interpretation(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     s = shape(df, columns, by)
     sk, ku = interpret_shape(F.col("skewness"), F.col("kurtosis"))
-    return s.select(*by, "variable", sk.alias("skew_label"), ku.alias("tail_label"))
+    return s.select(*map(col, by), "variable", sk.alias("skew_label"), ku.alias("tail_label"))
 
 
 def grouped_summary(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:

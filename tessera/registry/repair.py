@@ -13,7 +13,7 @@ from tessera.plans.cleaning import CleaningConfig, fit_cleaning
 from tessera.registry.base import ORACLE, fixture, register, rounded, table, views, with_fixtures
 from tessera.registry.cleaning import _flag_sql, _iqr_sql
 from tessera.session import ensure_checkpoint_dir
-from tessera.sources.io import page, read_csv, write_table
+from tessera.sources.io import ROW_ID, page, read_csv, read_page, write_paged, write_table
 
 HOLES_KEEP = ["o_orderkey", "price", "qty", "status", "sparse_col", "flag01"]
 _HK = "select o_orderkey, price, qty, status, sparse_col, flag01 from orders_holes"
@@ -233,6 +233,14 @@ def q_page(spark, sf_dir):
     return page(fixture(spark, sf_dir, "survey"), 3, 200, order_by="user_id")
 
 
+@register("page_indexed", with_fixtures("select * from survey order by user_id limit 200 offset 1400", "survey"))
+def q_page_indexed(spark, sf_dir):
+    """A page of the table written for paging: only the folder that holds it is read."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera/pages-{uuid.uuid4().hex}"
+    write_paged(fixture(spark, sf_dir, "survey"), path, order_by=["user_id"], rows_per_part=1_000)
+    return read_page(spark, path, 8, 200).drop(ROW_ID)
+
+
 # ---------------------------------------------------------------- streaming
 
 @register("stream_clean_events", ORACLE["neutralize_outliers"])

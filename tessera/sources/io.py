@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import CSV_NULL_TOKENS, col, nan_to_null, to_number
+from tessera.session import ensure_checkpoint_dir
 from tessera.sources.csv_split import records
 
 ROW_ID = "_row_id"
@@ -130,3 +131,44 @@ def page(df: DataFrame, number: int, size: int = 200, order_by: str = ROW_ID,
 def page_count(n_rows: int, size: int = 200) -> int:
     return max(1, (n_rows - 1) // size + 1)
 
+
+
+PART = "_part"
+INDEX = "_pages"
+SCHEMA = "_schema"
+
+
+def write_paged(df: DataFrame, path: str, order_by: Sequence[str] = (), rows_per_part: int = 100_000) -> None:
+    """Write a table for paging: rows get dense ids in the order of ``order_by`` (else of the table's
+    files) and lie in folders of ``rows_per_part`` rows; beside them the index (part, first id, rows)."""
+    if order_by:  # the bounds of a range sort come from sampling: its order is pinned before it is numbered
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.orderBy(*map(col, order_by)).checkpoint(eager=True)
+    numbered = with_row_id(df).withColumn(PART, F.expr(f"{ROW_ID} div {rows_per_part}"))
+    numbered.repartition(PART).sortWithinPartitions(PART, ROW_ID).write.mode("overwrite").partitionBy(PART).parquet(f"{path}/rows")
+    numbered.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/{SCHEMA}")  # an empty table has no folders
+    written = paged_rows(df.sparkSession, path)
+    index = written.groupBy(PART).agg(F.min(ROW_ID).alias("first_id"), F.count(F.lit(1)).alias("rows"))
+    index.coalesce(1).write.mode("overwrite").parquet(f"{path}/{INDEX}")  # one row for each part
+
+
+def paged_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}/{SCHEMA}").schema).parquet(f"{path}/rows")
+
+
+def read_page(spark: SparkSession, path: str, number: int, size: int = 200) -> DataFrame:
+    """Page ``number`` (from 1) of a table of :func:`write_paged`. The index names the folders that
+    hold the page's ids; only these are read, however deep the page lies."""
+    if number < 1 or size < 1:
+        raise ValueError("page number and size must be >= 1")
+    first = (number - 1) * size
+    last = first + size - 1
+    held = spark.read.parquet(f"{path}/{INDEX}").where((F.col("first_id") <= last) & (F.col("first_id") + F.col("rows") > first))
+    parts = [r[0] for r in held.select(PART).collect()]  # the parts of one page
+    rows = paged_rows(spark, path)
+    return rows.where(F.col(PART).isin(parts) & F.col(ROW_ID).between(first, last)).drop(PART).orderBy(ROW_ID)
+
+
+def paged_count(spark: SparkSession, path: str) -> int:
+    """Rows of a table of :func:`write_paged`, from its index."""
+    return spark.read.parquet(f"{path}/{INDEX}").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]

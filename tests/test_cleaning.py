@@ -154,13 +154,32 @@ def test_impute_boolean_and_date_by_mode(spark):
     assert dict(fit_impute(df, "mean").transform(df).dtypes)["b"] == "boolean"
 
 
-def test_sample_values_probe_matches_full_scan(spark):
-    from tessera.operators.profile import _first_values
+def test_sample_values_of_few_distinct_values(spark):
     part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
-    cols = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
-    probed = {r["variable"]: r["sample_values"] for r in P.sample_values(part, "p_partkey", cols, probes=(30,)).collect()}
-    full = {r["variable"]: r["sample_values"] for r in _first_values(part, "p_partkey", cols, 10, ", ").collect()}
-    assert probed == full
-    # a column with fewer than k distinct values forces the full scan and still works
     few = P.sample_values(part.select("p_partkey", (F.col("p_size") % 3).alias("m")), "p_partkey", ["m"]).first()
     assert len(few["sample_values"].split(", ")) == 3
+
+
+def test_distinct_counts_of_all_kinds_of_columns(spark):
+    rows = [(1, 0.0, "a", True, [1], {"k": 1}, bytearray(b"x")), (2, -0.0, "b", None, [1], {"k": 1}, bytearray(b"y")),
+            (9007199254740993, 1.5, None, True, [2], None, bytearray(b"x")), (9007199254740992, None, "a", False, None, {"k": 2}, None)]
+    df = spark.createDataFrame(rows, "i long, d double, `s. t` string, b boolean, l array<int>, m map<string,int>, x binary")
+    got = {r["variable"]: r["n_unique"] for r in P.profile(df).collect()}
+    assert got == {"i": 4, "d": 2, "s. t": 2, "b": 2, "l": 2, "m": 2, "x": 2}
+    assert {r["n_unique"] for r in P.profile(df.limit(0)).collect()} == {0}
+
+
+def test_pages_read_their_own_folder(spark, tmp_path):
+    from tessera.sources.io import paged_count, read_page, write_paged
+    df = spark.range(1_050).select((F.lit(5_000) - F.col("id")).alias("k"), (F.col("id") % 7).alias("v")).repartition(5)
+    write_paged(df, str(tmp_path / "t"), order_by=["k"], rows_per_part=100)
+    assert paged_count(spark, str(tmp_path / "t")) == 1_050
+    for number, size in ((1, 30), (4, 30), (35, 30), (36, 30), (2, 333)):
+        got = read_page(spark, str(tmp_path / "t"), number, size)
+        assert [r["k"] for r in got.collect()] == [3_951 + i for i in range((number - 1) * size, min(number * size, 1_050))]
+    assert len(read_page(spark, str(tmp_path / "t"), 4, 30).inputFiles()) >= 1
+    plan = read_page(spark, str(tmp_path / "t"), 4, 30)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [" in plan and "_part" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    write_paged(df.limit(0), str(tmp_path / "e"))
+    assert paged_count(spark, str(tmp_path / "e")) == 0
