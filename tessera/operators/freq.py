@@ -29,6 +29,7 @@ def category_frequencies(df: DataFrame, column: str, top_n: int = 20) -> DataFra
     vc = (df.where(col(column).isNotNull())
             .groupBy(col(column).cast("string").alias("category"))
             .agg(F.count(F.lit(1)).alias("frequency")))
+    vc = pinned(vc, "category-counts")  # counted once for the totals and the top
     st = vc.agg(F.sum("frequency").alias("total"), F.count(F.lit(1)).alias("levels")).first()
     total, levels = int(st["total"] or 0), int(st["levels"] or 0)
     top = vc.orderBy(F.desc("frequency"), F.asc("category")).limit(top_n)  # TakeOrderedAndProject

@@ -21,6 +21,8 @@ from tessera.functions.columns import col
 OVERSAMPLE = 3.0
 #: Copies of equal rows that one row and task numbers.
 CHUNK = 10_000
+#: Rows that a task rebuilds.
+TASK_ROWS = 1_000_000
 _SCALE = float(1 << 32)
 
 
@@ -41,7 +43,9 @@ def with_ordinals(df: DataFrame, name: str = "_ordinal") -> DataFrame:
     chunks of ``CHUNK``, dealt among the tasks where a group has several."""
     many = df.groupBy(*map(col, df.columns)).agg(F.count(F.lit(1)).alias("_m"))
     chunks = many.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_m - 1) div {CHUNK}"))))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small chunk rows are not coalesced
+    # by number: small chunk rows are not coalesced; a task makes about a million rows
+    rows = many.agg(F.sum("_m")).first()[0] or 0
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     dealt = chunks.repartition(tasks, *map(col, df.columns), "_c")
     first = F.col("_c") * CHUNK
     copies = F.sequence(first + 1, F.least(first + CHUNK, F.col("_m")))

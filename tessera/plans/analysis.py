@@ -12,7 +12,22 @@ from pyspark.sql import functions as F
 from tessera.operators import cluster as K
 from tessera.operators import discriminant as D
 from tessera.operators import factor as A
+from tessera.operators.encode import one_hot, zscore
+from tessera.operators.profile import profile_dict
 from tessera.operators.summary import grouped_summary
+from tessera.plans.cleaning import CleaningConfig, fit_cleaning
+from tessera.session import pinned
+
+
+def confirm(df: DataFrame, config: CleaningConfig) -> dict[str, DataFrame]:
+    """The confirm step: the raw table's profile, then ``clean`` (by a plan fitted on it), ``encoded``
+    (its columns profiled as low categorical, one-hot) and ``scaled`` (z-scores of the rest; the
+    id columns and 0/1 columns stay). The cleaned table is written once for all three."""
+    profile = profile_dict(df)
+    clean = pinned(fit_cleaning(df, config).transform(df), "confirmed")
+    encoded = one_hot(clean, profile=profile)
+    scaled = zscore(encoded, profile=profile, exclude=config.id_columns)
+    return {"clean": clean, "encoded": encoded, "scaled": scaled}
 
 
 def discriminant_analysis(df: DataFrame, target: str, predictors: Sequence[str],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import encode as E
 from tessera.operators import profile as P
 from tessera.operators.repair import fit_impute
+from tessera.plans.analysis import confirm
 from tessera.plans.cleaning import CleaningConfig, fit_cleaning
 from tessera.registry.base import ORACLE, fixture, register, rounded, table, views, with_fixtures
 from tessera.registry.cleaning import _flag_sql, _iqr_sql
@@ -217,6 +218,19 @@ def q_one_hot(spark, sf_dir):
     return E.one_hot(cust, profile=P.profile_dict(cust))
 
 
+_STATUSES = ["F", "O", "P"]  # order statuses of the table
+
+
+@register("clean_confirm", _cte(_HOLES_STAGE + """
+select o_orderkey, round((price - (select avg(price) from final)) / (select stddev_pop(price) from final), 6) + 0.0 as price,
+       round((qty - (select avg(qty) from final)) / (select stddev_pop(qty) from final), 6) + 0.0 as qty, flag01, """ + ", ".join(
+    f"cast(status = '{v}' as tinyint) as status_{v}" for v in _STATUSES) + " from final", "orders_holes"))
+def q_clean_confirm(spark, sf_dir):
+    """The confirm step end to end: cleaned, one-hot by the raw profile, z-scored."""
+    scaled = rounded(confirm(fixture(spark, sf_dir, "orders_holes"), _HOLES_CFG)["scaled"])
+    return scaled.withColumns({c: F.col(c) + 0.0 for c in ("price", "qty")})  # no negative zeros
+
+
 @register("zscore", """
 select p_partkey, p_name, p_brand, p_type,
   round((p_size - (select avg(p_size) from part)) / (select stddev_pop(p_size) from part), 6) as p_size,

@@ -83,7 +83,7 @@ def test_simhash_edges(spark):
     zero = {r.doc_id: r for r in got}
     assert zero[1].fingerprint == "0" * 16 and zero[1].component_id == zero[2].component_id == zero[6].component_id == 1
     assert simhash.near_duplicates(edge(spark).limit(0)).count() == 0
-    assert sorted(r.doc_id for r in simhash.keep_one(edge(spark)).collect() if r.doc_id in (1, 2, 3, 6)) == [1, 3, 3]
+    assert sorted(r.doc_id for r in simhash.keep_one(edge(spark)).collect() if r.doc_id in (1, 2, 3, 6)) == [1, 3]  # of equal rows one stays
 
 
 def test_suffix_equals_brute_force(spark):
