@@ -381,3 +381,22 @@ def test_exact_ks_tail_and_normal_column(spark):
     for r in rows.select("x", F.expr(erfc_sql("x")).alias("e"), F.expr(normal_cdf_sql("x")).alias("p")).collect():
         assert math.isclose(r["e"], math.erfc(r["x"]), rel_tol=1e-13, abs_tol=1e-300)
         assert math.isclose(r["p"], 0.5 * math.erfc(-r["x"] / math.sqrt(2)), rel_tol=1e-13, abs_tol=1e-300)
+
+
+def test_wide_moments_equal_the_aggregate_expressions(spark, monkeypatch):
+    from tessera.operators import moments as M
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6)) * [1, 10, 1e-3, 5, 0, 1] + [1e6, 0, 3, -2, 0.1, 0]
+    rows = [(f"g{i % 3}" if i % 7 else None, *(float(v) for v in r[:5]), None if i % 11 == 0 else float(r[5])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double, d double, `e.f` double, h double").repartition(4)
+    names = ["a", "b", "c", "d", "e.f", "h"]
+    narrow, by = M.moments(df, names), M.grouped_moments(df, names, "g")
+    monkeypatch.setattr(M, "WIDE", 2)
+    monkeypatch.setattr(M, "HELD", 40)
+    monkeypatch.setattr(M, "ROWS_AT_ONCE", 17)
+    wide, wide_by = M.moments(df, names), M.grouped_moments(df, names, "g")
+    assert wide.n == narrow.n and np.allclose(wide.mean, narrow.mean, rtol=1e-12) and np.allclose(wide.cov, narrow.cov, rtol=1e-9, atol=1e-12)
+    assert set(wide_by) == set(by) == {"g0", "g1", "g2"} and wide.cov[4, 4] == 0.0
+    for g in by:
+        assert wide_by[g].n == by[g].n and np.allclose(wide_by[g].cov, by[g].cov, rtol=1e-9, atol=1e-12)
+    assert M.moments(df.limit(0), names).n == 0
