@@ -15,8 +15,10 @@ windows, anchor, content hash) is shuffled for it. Then
   of one offset drop out.
 
 Hot anchors: equal segments are counted by partial aggregation and found again by a join that
-splits hot keys; the distinct segments of an anchor with more than ``MOST`` of them are dealt
-again by three more anchors of other hash functions, which equal windows share too."""
+splits hot keys. The distinct segments of an anchor with more than ``MOST`` of them never come
+together: there the bucket identifiers are 128-bit hashes, which all tasks refine alike (an
+offset's own and that of a later offset give the next, 8, 16, 32, 64, 128, 200), and the buckets of
+the last round are counted as rows by Spark, with partial sums."""
 
 from __future__ import annotations
 
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import join_by_key, slices, with_arrays, with_fields, written
+from tessera.llm.common import join_by_key, sieve, slices, with_arrays, with_fields, written
 
 LENGTH, GRAM = 200, 32
 WIDTH = LENGTH - GRAM + 1
-#: Distinct segments of an anchor before further anchors deal them, and how many of those.
-MOST, FURTHER = 20_000, 3
+#: Distinct segments of an anchor that a task sorts at most; segments dealt to a task.
+MOST, TASK_ROWS = 2_000, 100_000
 #: Bytes hashed at once, and bytes of segments whose suffixes are sorted together.
 AT_ONCE, SORTED_AT_ONCE = 1 << 18, 3 << 20
 #: Odd multipliers of the gram hashes: the powers of one odd number.
@@ -172,55 +174,83 @@ def repeated_parts(rows: list[tuple[bytes, int]]) -> list[list[tuple[int, int]]]
     return out
 
 
-def sub_segments(piece: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """A segment's windows dealt by further anchors: (key, offset, bytes)."""
-    keys = np.zeros(len(piece) - LENGTH + 1, np.uint64)
-    for which in range(1, FURTHER + 1):
-        keys = keys * np.uint64(MULTIPLIERS[which]) + anchors(piece, which=which)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    last = np.r_[first[1:], len(keys)] - 1
-    for a, b in zip(first.tolist(), last.tolist()):
-        yield int(keys[a].astype(np.int64)), a, piece[a:b + LENGTH]
+def bucket_ids(piece: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit bucket identifiers of the string of ``length`` bytes at each offset of a segment,
+    refined by pairs of identifiers as in :func:`refine`; equal strings share them everywhere."""
+    word = np.ndarray((len(piece) - 7,), "<u8", buffer=piece, strides=(1,))
+    out = []
+    for which in (1, 2):
+        odd, other = np.uint64(MULTIPLIERS[which]), np.uint64(MULTIPLIERS[which + 4])
+        mixed = lambda x, y: (h := (x * odd) ^ ((y + other) * other), (h ^ (h >> np.uint64(31))) * odd)[1]  # noqa: B023, E731
+        bucket, height = mixed(word, np.uint64(which) ^ (word >> np.uint64(29))), 8
+        while height < length:
+            ahead = min(height, length - height)
+            bucket = mixed(bucket[:-ahead] ^ (bucket[:-ahead] >> np.uint64(33)), bucket[ahead:])
+            height += ahead
+        out.append(bucket ^ (bucket >> np.uint64(32)))
+    return out[0], out[1]
+
+
+PIECE = "anchor long, row long, start int, alone boolean, piece binary"
+SPAN = "row long, `from` int, `to` int"
+WINDOW = "row long, `from` int, alone boolean, bucket binary"
 
 
-PIECE = "anchor long, deal long, row long, start int, alone boolean, piece binary"
-SPAN = "row long, `from` int, `to` int"
+def picks_of(kinds: DataFrame, variants: DataFrame) -> DataFrame:
+    """row, picks: for each document the segments that stand first for their content and whose anchor
+    is among ``variants`` (anchor, rows)."""
+    open_ = kinds.select("copies", "one", F.col("seg.anchor").alias("anchor"))
+    return join_by_key(open_, variants, "anchor", "rows").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct(
+        F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), "anchor", (F.col("copies") == 1).alias("alone"))).alias("picks"))
+
 
+def picked_pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(anchor, row, start, alone, bytes) of the segments listed in ``picks`` of each document."""
+    for row, raw, picks in zip(batch.column("row").to_pylist(), raw_texts(batch, "text"), batch.column("picks").to_pylist()):
+        for p in picks:
+            yield p["anchor"], row, p["start"], p["alone"], raw[p["start"]:p["start"] + p["windows"] + LENGTH - 1]
 
-def pieces(picked: DataFrame, text: str) -> DataFrame:
-    """The bytes of the segments listed in ``picks`` of each document (start, windows, anchor,
-    alone, many), those of crowded anchors dealt again."""
+
+def pieces(picked: DataFrame) -> DataFrame:
+    """The bytes of the segments of uncrowded anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            rows = []
-            for row, raw, picks in zip(batch.column("row").to_pylist(), raw_texts(batch, text), batch.column("picks").to_pylist()):
-                for p in picks:
-                    piece = raw[p["start"]:p["start"] + p["windows"] + LENGTH - 1]
-                    if p["many"]:
-                        rows += [(p["anchor"], deal, row, p["start"] + at, p["alone"], part) for deal, at, part in sub_segments(piece)]
-                    else:
-                        rows.append((p["anchor"], 0, row, p["start"], p["alone"], piece))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["anchor", "deal", "row", "start", "alone", "piece"])
+        for batch in slices(batches, "text"):
+            rows = list(picked_pieces(batch))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)],
+                                             names=["anchor", "row", "start", "alone", "piece"])
 
     return picked.mapInArrow(run, PIECE)
 
 
-def sorted_spans(dealt: DataFrame) -> DataFrame:
-    """Spans covered by repeats among the distinct segments of each (anchor, deal). The rows of a
-    partition come sorted by it and are cut between keys."""
+def windows(picked: DataFrame) -> DataFrame:
+    """A row for each window of the segments of crowded anchors: its place and its bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for _, row, start, alone, piece in picked_pieces(batch):
+                ids = np.stack(bucket_ids(piece), axis=1)
+                n = len(ids)
+                offsets = np.arange(0, 16 * n + 1, 16, dtype=np.int32)
+                buckets = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row, np.int64)), pa.array(start + np.arange(n, dtype=np.int32)),
+                                                  pa.array(np.full(n, alone)), buckets], names=["row", "from", "alone", "bucket"])
+
+    return picked.mapInArrow(run, WINDOW)
+
+
+def crowded_spans(picked: DataFrame) -> DataFrame:
+    """Spans of the windows of crowded anchors that are found twice or more."""
+    every = written(windows(picked), "suffix-windows")
+    found = written(every.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1"), "suffix-buckets")
+    hits = join_by_key(every, found, "bucket", "rows").filter("alone")
+    return hits.select("row", "from", (F.col("from") + LENGTH).cast("int").alias("to"))
+
+
+def sorted_spans(dealt: DataFrame, tasks: int) -> DataFrame:
+    """Spans covered by repeats among the distinct segments of each anchor. The rows of a
+    partition come sorted by it and are cut between anchors."""
     def spans(rows: list) -> pa.RecordBatch:
-        # sub-segments of different segments may be equal: one stands for all, and all are covered
-        at: dict[bytes, list] = {}
-        for r in rows:
-            at.setdefault(r[5], []).append(r)
-        parts = repeated_parts([(p, 0) for p in at])
-        out = []
-        for (piece, same), found in zip(at.items(), parts):
-            cover = [(0, len(piece))] if len(same) > 1 else found
-            out += [(r[2], r[3] + a, r[3] + b) for r in same if r[4] for a, b in cover]
+        out = [(r[1], r[2] + a, r[2] + b) for r, found in zip(rows, repeated_parts([(r[4], 0) for r in rows])) if r[3] for a, b in found]
         columns = list(zip(*out)) if out else [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
                                            pa.array(columns[2], pa.int32())], names=["row", "from", "to"])
@@ -229,16 +259,15 @@ def sorted_spans(dealt: DataFrame) -> DataFrame:
         held, size, last = [], 0, None
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= SORTED_AT_ONCE and r[:2] != last:
+                if size >= SORTED_AT_ONCE and r[0] != last:
                     yield spans(held)
                     held, size = [], 0
                 held.append(r)
-                size, last = size + len(r[5]), r[:2]
+                size, last = size + len(r[4]), r[0]
         if held:
             yield spans(held)
 
-    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks, "anchor", "deal").sortWithinPartitions("anchor", "deal").mapInArrow(run, SPAN)
+    return dealt.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
 
 
 def covered_spans(docs: DataFrame, text: str = "text", row: str = "row") -> DataFrame:
@@ -253,15 +282,15 @@ def covered_spans(docs: DataFrame, text: str = "text", row: str = "row") -> Data
                                               F.min(F.struct("row", "start", "windows")).alias("one")), "suffix-kinds")
     whole = join_by_key(shared, kinds.filter("copies > 1").select("seg", F.col("copies").alias("rows")), "seg", "rows") \
         .select("row", F.col("start").alias("from"), (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("to"))
-    variants = kinds.groupBy(F.col("seg.anchor").alias("anchor")).agg(F.count("*").alias("rows"), F.max("inner").alias("again")) \
-        .filter("rows > 1 or again").drop("again")
-    open_ = kinds.select("copies", "one", F.col("seg.anchor").alias("anchor"))
-    variants = written(variants.withColumn("many", F.col("rows") > MOST), "suffix-variants")
-    picked = join_by_key(open_, variants, "anchor", "rows")
-    picks = picked.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct(
-        F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), "anchor",
-        (F.col("copies") == 1).alias("alone"), "many")).alias("picks"))
-    parts = sorted_spans(pieces(docs.join(picks, row), text))
+    variants = written(kinds.groupBy(F.col("seg.anchor").alias("anchor")).agg(F.count("*").alias("rows"), F.max("inner").alias("again"))
+                       .filter("rows > 1 or again").drop("again"), "suffix-variants")
+    texts = docs.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    few, many = variants.filter(F.col("rows") <= MOST), variants.filter(F.col("rows") > MOST)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(few.agg(F.sum("rows")).first()[0] or 0) // TASK_ROWS))
+    parts = sorted_spans(pieces(texts.join(picks_of(kinds, few), "row")), tasks)
+    if not many.isEmpty():
+        picks = written(picks_of(kinds, many), "suffix-crowded")
+        parts = parts.unionByName(crowded_spans(sieve(texts, picks, ["row"]).join(picks.hint("merge"), "row")))
     return whole.unionByName(parts).groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
