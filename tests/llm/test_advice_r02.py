@@ -2,10 +2,7 @@
 
 import numpy as np
 
-from pyspark.sql import functions as F
-
 from tessera.llm import ann, quality_classifier, toxicity
-from tessera.operators import sampling
 
 SF = "/root/testdata/sf0.01"
 
@@ -23,22 +20,17 @@ def test_toxicity_keeps_its_verdicts_on_a_small_sample(spark, monkeypatch):
     assert np.mean([few[i].predicted == whole[i].predicted for i in few]) > 0.99
 
 
-def test_neighbours_deal_the_queries_too(spark, monkeypatch):
-    """No group grows with the number of queries, and parts do not change the neighbours."""
+def test_neighbours_come_in_rounds(spark, monkeypatch):
+    """Rounds of few queries find the same neighbours, and no row of the index is copied for them."""
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 300")
     whole = sorted(map(tuple, ann.nearest(rows, k=3, cells=2).collect()))
-    sizes = []
-
-    def watched(indexed, asked, deal=ann.dealt):
-        placed, posed = deal(indexed, asked)
-        sizes.extend(r["count"] for df in (placed, posed) for r in df.groupBy("cell", "block", "part").count().collect())
-        return placed, posed
-
-    monkeypatch.setattr(ann, "dealt", watched)
-    monkeypatch.setattr(ann, "ASKED", 20)
-    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann, "ASKED", 20 * 64)
+    monkeypatch.setattr(ann, "QUERIES_AT_ONCE", 7)
     assert sorted(map(tuple, ann.nearest(rows, k=3, cells=2).collect())) == whole
-    assert max(sizes) < 100
+    v = {r.vec_id: np.array(r.embedding, float) for r in rows.select("vec_id", "embedding").collect()}
+    for q in list(v)[:20]:
+        near = sorted((float(np.sqrt(((v[q] - x) ** 2).sum())), i) for i, x in v.items() if i != q)[:3]
+        assert [i for _, i in near] == [r[2] for r in whole if r[0] == q]
 
 
 def test_classifier_trusts_all_trusted_documents(spark, monkeypatch):
@@ -48,12 +40,3 @@ def test_classifier_trusts_all_trusted_documents(spark, monkeypatch):
     got = quality_classifier.classify(docs, labels)
     assert got.columns == [c for c in docs.columns if c != "text"] + ["trusted", "log_perplexity", "lower", "upper", "kept"]
     assert {r.doc_id for r in got.filter("trusted").collect()} == want
-
-
-def test_equal_rows_are_numbered_in_many_tasks(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "CHUNK", 500, raising=False)
-    rows = spark.range(20_250).select(F.lit(7.0).alias("x"))
-    got = sampling.with_ordinals(rows).withColumn("p", F.spark_partition_id()).collect()
-    assert sorted(r["_ordinal"] for r in got) == list(range(1, 20_251))
-    sizes = np.bincount([r.p for r in got])
-    assert max(sizes) < 20_250 / 2
