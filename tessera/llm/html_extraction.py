@@ -18,6 +18,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -29,7 +30,8 @@ from tessera.llm.common import join_by_key, slices, texts_of, with_arrays, with_
 
 #: Share of a host's distinct pages that makes a block template, and the pages that need it at least.
 CONSTANT, LEAST = 0.9, 4
-#: Elements nested deeper than this are read as text of their parent.
+#: Nodes nested deeper than this are not aligned with the reference (their text is read like any
+#: other and never template), as the alignment recurses.
 DEPTH = 150
 
 # Element names of HTML by their kind.
@@ -46,11 +48,19 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
           "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPES = frozenset("html body table ul ol dl div section article main select button form td th aside nav header footer".split())
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-OFF_NAMES = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar
-navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe
-subscription signup login comment comments respond responses replies discussion disqus social share sharing related recommended
-search pagination pager toolbar widget masthead topbar topnav sidenav notification notifications announcement adbox adslot adsense
-adbanner""".split())
+#: Names of parts that are none of the article: a class or id that is one of them, begins with one
+#: and goes on with words of ``PLACES`` (sidebar-left, comment-list), or ends with one of
+#: ``OWN_NAMES`` (cookie-notice, site-footer) and does not begin with a word of ``ABOUT`` (has-sidebar).
+OWN_NAMES = frozenset("""ad ads advert adverts advertisement advertising sidebar menu nav navbar navigation breadcrumb breadcrumbs
+footer cookie cookies notice notices popup modal newsletter comments masthead topbar topnav sidenav adbox adslot adsense adbanner
+pagination""".split())
+OFF_NAMES = OWN_NAMES | frozenset("""sponsor sponsored promo promotion banner consent gdpr alert overlay subscribe
+subscription signup login comment respond responses replies discussion disqus social share sharing related recommended
+search pager toolbar widget notification notifications announcement""".split())
+PLACES = OFF_NAMES | frozenset("""area bar block box boxes button buttons card cards center column container content form frame group holder icons
+inner item items left link links list main outer panel posts primary right rail row secondary section sections slot slots stories
+thread title top bottom unit wrap wrapper widgets""".split())
+ABOUT = frozenset("has no with without is not open closed hide show toggle".split())
 TOP_NAMES = frozenset(("header", "head"))
 READERS = frozenset("comment comments reply replies respond responses discussion".split())
 
@@ -61,8 +71,24 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 WORDS = re.compile(r"([a-z0-9])([A-Z])")  # cookieNotice is cookie-notice
 
 
+def named(token: str, own: frozenset, any_: frozenset) -> bool:
+    """Whether a class or id (small letters) says that an element is such a part."""
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    if not words:
+        return False
+    if words[0] in any_ and all(w in PLACES for w in words[1:]):
+        return True
+    return words[-1] in own and ABOUT.isdisjoint(words[:-1])
+
+
+@lru_cache(10_000)
+def parts_of(marks: str) -> tuple[bool, ...]:
+    """Whether classes and ids mark a part that is none of the article, readers' comments, a header."""
+    return tuple(any(named(t, own, any_) for t in marks.split()) for own, any_ in ((OWN_NAMES, OFF_NAMES), (READERS, READERS), (TOP_NAMES, TOP_NAMES)))
+
+
 class Node:
-    __slots__ = ("tag", "names", "role", "off", "kids", "label")
+    __slots__ = ("tag", "marked", "top", "readers", "role", "off", "kids", "label")
 
     def __init__(self, tag: str, attributes: str):
         found = {}
@@ -72,7 +98,7 @@ class Node:
         marks = (found.get("class", "") + " " + found.get("id", "")).strip()
         marks = WORDS.sub(r"\1-\2", marks).lower()
         self.tag = tag
-        self.names = frozenset(re.split(r"[^a-z0-9]+", marks)) if marks else frozenset()
+        self.marked, self.readers, self.top = parts_of(marks)
         self.role = found.get("role", "").lower()
         self.off = "hidden" in found or found.get("aria-hidden", "").lower() == "true" \
             or "display:none" in found.get("style", "").replace(" ", "").lower()
@@ -112,20 +138,18 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and len(stack) < DEPTH:
+        elif tag not in VOID:
             stack.append(node)
     return root
 
 
 def close(stack: list[Node], tags: tuple[str, ...]) -> None:
     """Imply the end tags of open elements ``tags`` up to the nearest scope."""
-    for k in range(len(stack) - 1, 0, -1):
+    k = len(stack) - 1
+    while k > 0 and (stack[k].tag in tags or stack[k].tag not in SCOPES):
         if stack[k].tag in tags:
             del stack[k:]
-            close(stack, tags)
-            return
-        if stack[k].tag in SCOPES:
-            return
+        k -= 1
 
 
 class Shape:
@@ -137,11 +161,11 @@ class Shape:
         self.weight = 1 + sum(k.weight for k in kids)
 
 
-def shape(node: Node) -> Shape:
+def shape(node: Node, depth: int = 0) -> Shape:
     kids: list[Shape] = []
-    for kid in node.kids:
+    for kid in node.kids if depth < DEPTH else ():
         if isinstance(kid, Node):
-            s = shape(kid)
+            s = shape(kid, depth + 1)
             if not s.kids and kids and not kids[-1].kids and kids[-1].label == s.label:
                 kids[-1].nodes += s.nodes  # a repeated node
             else:
@@ -212,34 +236,44 @@ def numbers(page: Shape, reference: Shape) -> dict[int, int]:
 
 def left_out(node: Node, inside: bool) -> bool:
     """Whether an element is none of the article by its kind, role or names."""
-    if node.off or node.tag in HIDDEN or node.role in OFF_ROLES:
-        return True
+    return shut(node) or by_name(node, inside)
+
+
+def shut(node: Node) -> bool:
+    """Left out by kind or role: nothing below is looked at."""
+    return node.off or node.tag in HIDDEN or node.role in OFF_ROLES
+
+
+def by_name(node: Node, inside: bool) -> bool:
+    """Left out by class or id, or as a page's header."""
     if node.tag in ("article", "main", "body", "html"):
-        return node.tag == "article" and not READERS.isdisjoint(node.names)
-    if not OFF_NAMES.isdisjoint(node.names):
-        return True
-    return not inside and (node.tag == "header" or not TOP_NAMES.isdisjoint(node.names))
+        return node.tag == "article" and node.readers
+    return node.marked or (not inside and (node.tag == "header" or node.top))
 
 
 def roots(root: Node) -> list[Node]:
     """Where the content is looked for: the outermost articles that stay, else the main element,
-    else the body, else the whole page."""
-    found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
-    queue = [(root, False)]
+    else articles and main elements below parts whose names (not those of readers' comments) leave
+    them out, else the body, else the whole page."""
+    found: dict[str, list[Node]] = {"article": [], "main": [], "below article": [], "below main": [], "body": []}
+    queue = [(root, False, "")]
     while queue:
-        node, inside = queue.pop()
+        node, inside, below = queue.pop()
+        if node.tag != "#root" and shut(node) and node.tag != "body":
+            continue
         kind = "article" if node.tag == "article" else "main" if node.tag == "main" or node.role == "main" else node.tag
-        if kind in found:
-            if kind == "article" and not left_out(node, inside):
-                found["article"].append(node)
-                continue
-            if kind != "article":
-                found[kind].append(node)
-                inside = inside or kind == "main"
-        if node.tag != "#root" and left_out(node, inside):
+        if kind == "article" and not node.readers:
+            found[below + kind].append(node)
             continue
-        queue += [(k, inside) for k in reversed(node.kids) if isinstance(k, Node)]
-    return found["article"] or found["main"][:1] or found["body"][:1] or [root]
+        if kind in ("main", "body"):
+            found[below + kind if kind == "main" else kind].append(node)
+            inside = inside or kind == "main"
+        if node.tag != "#root" and by_name(node, inside):
+            if node.readers:
+                continue
+            below = "below "
+        queue += [(k, inside, below) for k in reversed(node.kids) if isinstance(k, Node)]
+    return found["article"] or found["main"][:1] or found["below article"] or found["below main"][:1] or found["body"][:1] or [root]
 
 
 def blocks_of(tops: list[Node], at: dict[int, int], every: bool = False) -> list[tuple[int, str]]:
