@@ -147,8 +147,6 @@ def null_summary(df: DataFrame, columns: Sequence[str] | None = None,
     items = [F.struct(F.lit(c).alias("variable"), F.lit(dtypes[c]).alias("dtype"),
                       F.col(f"z{i}").alias("null_count")) for i, c in enumerate(cols)]
     out = one.select(F.col("_n").alias("n_rows"), F.inline(F.array(*items)))
-    if exact:
-        out = out.drop("n_unique").join(distinct_counts(df, cols), "variable", "left").fillna(0, ["n_unique"])
     out = out.withColumn("null_share", F.when(F.col("n_rows") > 0, F.col("null_count") / F.col("n_rows"))
                          .otherwise(F.lit(0.0)))
     if only_with_nulls:
