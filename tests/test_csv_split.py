@@ -24,7 +24,7 @@ def write(path, text):
 
 @pytest.fixture()
 def small_splits(spark):
-    names = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "0"}
+    names = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
     held = {k: spark.conf.get(k) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
