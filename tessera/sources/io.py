@@ -66,9 +66,9 @@ def read_csv(spark: SparkSession, path: str, infer_types: bool = True,
         elif res[f"b_{c}"]:
             out.append(F.when(col(c).isNotNull(), F.lower(s) == "true").alias(c))
         elif res[f"i_{c}"]:
-            out.append(s.cast("bigint").alias(c))
+            out.append(s.try_cast("bigint").alias(c))  # every row parses; filters may meet the header first
         elif res[f"d_{c}"]:
-            out.append(s.cast("double").alias(c))
+            out.append(s.try_cast("double").alias(c))
         else:
             out.append(col(c).alias(c))
     return nan_to_null(cleaned.select(*out))
