@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import join_by_key, slices, texts_of, with_arrays, with_fields, written
+from tessera.llm.common import join_by_key, sieve, slices, texts_of, with_arrays, with_fields, written
 from tessera.llm.components import components
 
 SEED = 42
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     rows stay and share a component; null keys take no part in the smallest key (a component of
     null keys alone has none); an empty table stays empty; columns named like a result are
     replaced."""
-    docs = docs.drop("fingerprint", "component_id", "copies")
+    docs = docs.drop("fingerprint", "component_id", "copies", "group")
     marked = written(fingerprints(docs, text, words, "__fp").drop(text), "simhash-fingerprints")
     distinct = written(marked.groupBy(F.col("__fp").alias("fp")).agg(F.count("*").alias("n"), F.min(key).alias("first")),
                        "simhash-distinct")
@@ -232,18 +232,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     groups = written(components(links, "simhash-links"), "simhash-groups")
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
-    linked = named.join(least, "component").select("fp", "least")
+    linked = named.join(least, "component").select("fp", "least", "component")
     classes = written(distinct.join(linked, "fp", "left").select(
         F.col("fp").alias("__fp"), F.col("n").alias("__rows"), F.col("n").alias("copies"),
-        F.coalesce("least", "first").alias("component_id")), "simhash-classes")
+        F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "fp").alias("group")), "simhash-classes")
     out = join_by_key(marked, classes, "__fp", "__rows")
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("__fp"), 16, "0"))).drop("__fp")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose ``key`` is its group's smallest: one document of each group of
-    near-duplicates. Keys are taken to be unique; rows that repeat the smallest key all stay,
-    rows without a key go unless their whole group has none."""
-    judged = near_duplicates(docs.select(key, text), text, key, words, distance)
-    gone = judged.filter((F.col(key) != F.col("component_id")) | (F.col(key).isNull() & F.col("component_id").isNotNull()))
-    return docs.join(gone.select(F.col(key).alias("__gone")).distinct(), F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of ``docs`` of each group of near-duplicates: that of the smallest ``key`` (a null key
+    comes last), and of the smallest text hash among rows of that key.
+
+    Rows are told apart by key and text, not by key alone: rows that share a key and have other
+    texts are judged each with its own group, of rows equal in both one stays."""
+    names = ["__h1", "__h2"]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    marked = docs.withColumns({"__h1": F.xxhash64(body), "__h2": F.xxhash64(F.lit(1), body)})
+    judged = written(near_duplicates(marked.select(key, text, *names), text, key, words, distance).select(key, *names, "group"), "simhash-judged")
+    first = judged.groupBy("group").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias(key), *names)).alias("of")) \
+        .select(F.col(f"of.{key}").alias("__key"), F.col("of.__h1").alias("__k1"), F.col("of.__h2").alias("__k2"))
+    rows = judged.groupBy(F.col(key).alias("__key"), F.col("__h1").alias("__k1"), F.col("__h2").alias("__k2")).agg(F.count("*").alias("__n"))
+    same = [F.col("f.__key").eqNullSafe(F.col("r.__key")), F.col("f.__k1") == F.col("r.__k1"), F.col("f.__k2") == F.col("r.__k2")]
+    first = written(first.alias("f").join(rows.alias("r"), same).select("f.*", "__n"), "simhash-first")
+    held = [F.col(key).eqNullSafe(F.col("__key")), F.col("__h1") == F.col("__k1"), F.col("__h2") == F.col("__k2")]
+    kept = marked.join(first.filter("__n = 1").hint("merge"), held, "left_semi")
+    repeated = first.filter("__n > 1")
+    if not repeated.isEmpty():  # of equal rows one stays; copies meet in partial aggregates first
+        some = sieve(marked, repeated.select(F.col("__key").alias(key), F.col("__k1").alias("__h1"), F.col("__k2").alias("__h2")), [key, *names])
+        kept = kept.unionByName(some.join(repeated.hint("merge"), held, "left_semi").dropDuplicates([key, *names]))
+    return kept.drop(*names)
