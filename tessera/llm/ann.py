@@ -8,23 +8,27 @@ order 1/sqrt(dimensions); candidates whose lower distance bound reaches the k-th
 ranked again by exact distances, the others are not.
 
 Every row is indexed. Only the cells' centres are fitted on a bounded sample. A query scans the
-codes of all cells or of the nearest ones; a cell with more than ``BLOCK`` rows is split into blocks by a hash of the
-id, a cell with more than ``ASKED`` queries asks them in parts by a hash of theirs, and each
-(cell, block, part) is one group of a co-grouped join, so no group grows with the table. Queries
-meet a block in slices of ``QUERIES_AT_ONCE``."""
+codes of all cells or of the nearest ones. The index stays where it lies: queries come to it in
+rounds of about ``ASKED`` (a broadcast of bounded size), each task keeps the best of its rows for every
+query of the round, and only those results are shuffled. So no row of the index is copied, however many
+queries there are, and what a task holds is bounded. Queries meet rows in slices of ``QUERIES_AT_ONCE``."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
+from tessera.session import ensure_checkpoint_dir
 
-#: Rows the centres are fitted on at most (those with the smallest id hashes), rows of a block,
-#: queries of a part, queries compared at once.
-SAMPLE, BLOCK, ASKED, QUERIES_AT_ONCE = 20_000, 50_000, 4_000, 256
+#: Rows the centres are fitted on at most (those with the smallest id hashes), numbers (queries x
+#: dimensions) of a round, queries compared at once.
+SAMPLE, ASKED, QUERIES_AT_ONCE = 20_000, 1 << 20, 256
 #: Error bound in standard deviations of the estimate.
 EPSILON = 4.0
 
@@ -81,16 +85,37 @@ def estimates(query: np.ndarray, centre: np.ndarray, turn: np.ndarray, code: np.
     return q_length[:, None] ** 2 + length[None, :] ** 2 - scale * cosine, scale * error[None, :]
 
 
-def dealt(indexed: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The codes and the queries with the block and the part they meet in."""
-    blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
-    groups = F.broadcast(written(blocks.join(parts, "cell"), "ann-groups"))  # one row for each cell
-    placed = indexed.join(groups, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    posed = asked.join(groups, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-    return placed, posed
+class Best:
+    """The k nearest of each query among the rows met so far: distances and ids, nearest first,
+    ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.d, self.id = np.full((queries, k), np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, i: int, d: np.ndarray, ids: np.ndarray) -> None:
+        k = self.d.shape[1]
+        d, ids = np.concatenate([self.d[i], d]), np.concatenate([self.id[i], ids])
+        best = np.lexsort((ids, d))[:k]
+        self.d[i], self.id[i] = d[best], ids[best]
+
+
+def meet(best: Best, asked: np.ndarray, q: np.ndarray, own: np.ndarray, centre: np.ndarray, turn: np.ndarray, rows: tuple) -> None:
+    """Rows of one cell (ids, vectors, codes, lengths, inner products) against the queries numbered
+    ``asked``: the codes choose what is measured."""
+    ids, v, code, length, inner = rows
+    k = best.d.shape[1]
+    for at in range(0, len(asked), QUERIES_AT_ONCE):
+        part = asked[at:at + QUERIES_AT_ONCE]
+        guess, error = estimates(q[part], centre, turn, code, length, inner)
+        guess[own[part][:, None] == ids[None, :]] = np.inf
+        upper = guess + error
+        limit = best.d[part, -1] ** 2
+        if len(ids) >= k:
+            limit = np.minimum(limit, np.partition(upper, k - 1, axis=1)[:, k - 1])
+        worth = (guess - error <= limit[:, None]) & np.isfinite(guess)
+        for i in np.flatnonzero(worth.any(1)).tolist():
+            near = np.flatnonzero(worth[i])
+            best.add(part[i], np.sqrt(((v[near] - q[part[i]]) ** 2).sum(1)), ids[near])
 
 
 def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", is_query: "F.Column | None" = None, k: int = 10,
@@ -128,45 +153,42 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", is_
             yield pd.DataFrame({"cell": cell.astype(np.int32), "id": pdf["id"], "code": [c.tobytes() for c in code],
                                 "length": length, "inner": inner, "v": pdf["v"]})
 
-    indexed = written(table.mapInPandas(index, "cell int, id long, code binary, length double, inner double, v array<double>"), "ann-index")
-
-    def visit(batches):
+    index_schema = "cell int, id long, code binary, length double, inner double, v array<double>"
+    indexed = written(table.mapInPandas(index, index_schema).sortWithinPartitions("cell"), "ann-index")
+    asked = written(table.filter(is_query) if is_query is not None else table, "ann-asked")
+    total, most = asked.count(), max(ASKED // dim, 1)
+    rounds = -(-total // most)
+    hits = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera-llm/ann-hits-{uuid.uuid4().hex}"
+    for r in range(rounds):
+        some = asked.filter(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(rounds)) == r).toArrow()  # about ``most`` queries
+        if not len(some):
+            continue
+        own, q = some["id"].to_numpy(), some["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         centre, _ = shared.value
         n = min(visits or len(centre), len(centre))
-        for pdf in batches:
-            v = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, dim))
-            near = np.argsort((centre ** 2).sum(1) - 2 * v @ centre.T, axis=1, kind="stable")[:, :n]
-            yield pd.DataFrame({"cell": near.reshape(-1).astype(np.int32), "query_id": np.repeat(pdf["id"].to_numpy(), n),
-                                "q": [x for x in pdf["v"] for _ in range(n)]})
+        cells_of = np.argsort((centre ** 2).sum(1) - 2 * q @ centre.T, axis=1, kind="stable")[:, :n]
+        round_ = spark.sparkContext.broadcast((own, q, cells_of))
 
-    asked = table.filter(is_query) if is_query is not None else table
-    asked = written(asked.mapInPandas(visit, "cell int, query_id long, q array<double>"), "ann-asked")
-    placed, posed = dealt(indexed, asked)
-
-    def search(where, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(rows):
+        def search(batches, round_=round_):
             centre, turn = shared.value
-            c = centre[int(where[0])]
-            ids, v = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
-            code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            length, inner = rows["length"].to_numpy(), rows["inner"].to_numpy()
-            for at in range(0, len(queries), QUERIES_AT_ONCE):
-                part = queries.iloc[at:at + QUERIES_AT_ONCE]
-                q, own = np.stack(part["q"].to_numpy()), part["query_id"].to_numpy()
-                guess, error = estimates(q, c, turn, code, length, inner)
-                guess[own[:, None] == ids[None, :]] = np.inf
-                upper = guess + error
-                limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)
-                worth = (guess - error <= limit[:, None]) & np.isfinite(guess)
-                for i in range(len(q)):
-                    near = np.flatnonzero(worth[i])
-                    exact = np.sqrt(((v[near] - q[i]) ** 2).sum(1))
-                    best = np.lexsort((ids[near], exact))[:k]
-                    out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[near[best]], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    key = ["cell", "block", "part"]
-    hits = posed.groupBy(*key).cogroup(placed.select(*key, "id", "code", "length", "inner", "v").groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+            own, q, cells_of = round_.value
+            best = Best(len(own), k)
+            for batch in batches:
+                cell = batch.column("cell").to_numpy()
+                ids, length, inner = (batch.column(c).to_numpy() for c in ("id", "length", "inner"))
+                v = batch.column("v").flatten().to_numpy().reshape(-1, dim)
+                code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+                for c in np.unique(cell).tolist():
+                    at = np.flatnonzero(cell == c)
+                    queries = np.flatnonzero((cells_of == c).any(1))
+                    meet(best, queries, q, own, centre[c], turn, (ids[at], v[at], code[at], length[at], inner[at]))
+            i, j = np.nonzero(np.isfinite(best.d))
+            yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(best.id[i, j]), pa.array(best.d[i, j])], names=["query_id", "vec_id", "score"])
+
+        indexed.mapInArrow(search, "query_id long, vec_id long, score double").write.mode("append").parquet(hits)
+        round_.unpersist()
+    if not rounds:
+        return spark.createDataFrame([], result)
+    found = spark.read.schema("query_id long, vec_id long, score double").parquet(hits)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
