@@ -4,16 +4,19 @@ of columns in one table) and category codes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import all_not_null, col, numeric_columns, text_columns
 from tessera.operators.moments import moments
-from tessera.operators.quantiles import BUCKET_ROWS, row_ranks, value_places
+from tessera.operators.quantiles import BUCKET_ROWS, row_ranks
+from tessera.session import pinned
 
 
 def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -85,58 +88,112 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None, method: str
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
+def weighted_inversions(order: np.ndarray, weight: np.ndarray) -> int:
+    """Sum over positions p < q with ``order[p]`` > ``order[q]`` of the product of their weights: bit by bit
+    from the highest on, the numbers that agree above a bit meet where they differ in it."""
+    code = np.unique(order, return_inverse=True)[1]
+    total, w = 0, weight.astype(np.int64)
+    for bit in range(int(code.max()).bit_length() - 1 if len(code) else -1, -1, -1):
+        one = (code >> bit) & 1 == 1
+        node = code >> (bit + 1)  # non-decreasing: codes are kept in order of their higher bits
+        ones = np.cumsum(np.where(one, w, 0))
+        first = np.flatnonzero(np.r_[True, np.diff(node) > 0])
+        before = np.repeat(np.r_[0, ones][first], np.diff(np.r_[first, len(code)]))
+        met = w[~one] * (ones - before)[~one]
+        total += int(met.sum()) if len(met) < 2 or float(w.sum()) ** 2 < 2.0 ** 62 else sum(met.astype(object))
+        where = np.argsort(2 * node + one, kind="stable")
+        code, w = code[where], w[where]
+    return total
+
+
+RANGES = "i int, j int, x double, y double, c long, g int, inside decimal(38, 0)"
+MEETINGS = "i int, j int, g int, h int, c long, inside decimal(38, 0)"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a sorted partition, all of one pair of columns at a time."""
+    held = list(batches)  # about ``bucket`` rows
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    i, j = table["i"].to_numpy(), table["j"].to_numpy()
+    edges = [*np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(j) != 0)]).tolist(), len(i)]
+    for at, end in zip(edges[:-1], edges[1:], strict=True):
+        yield table.slice(at, end - at).combine_chunks()
+
+
 def kendall_matrix(data: DataFrame, columns: Sequence[str], bucket: int = BUCKET_ROWS) -> np.ndarray:
     """Exact Kendall tau-b of all pairs of columns over rows complete in them, without forming
     pairs of rows and in a number of jobs that does not depend on the number of columns.
 
-    With codes a of x and b of y in value order, S = sum over pairs of rows of sign(da) sign(db) is added
-    up over the dyadic levels of a: at level l the rows whose bit l of a is 1 meet the rows of the
-    sibling block (same a >> (l + 1), bit l = 0), which all have a smaller a. All (pair of columns,
-    level, node) are keys of one table of counts by b. Running totals over blocks of ``bucket``
-    codes of b carry from one block to the next, so no task sorts more than a block."""
+    The cells (distinct values x and y with their count) of all pairs of columns are cut into ranges g of
+    about ``bucket`` cells in the order of (x, y), then into ranges h in the order of (y, x). Two cells are
+    discordant where the first by (x, y) has the larger y. Those in one range g are counted in its sorted
+    partition, those of other ranges g in one range h are the inversions of g in the order of (y, x), and
+    those that differ in both follow from the totals of (g, h). Pairs that are tied in x, y or both are counted by
+    value. Every cell is shuffled three times, whatever the number of rows."""
     columns = list(columns)
     p, bucket = len(columns), max(1, bucket)
     m = np.full((p, p), np.nan)
-    names = {c: i for i, c in enumerate(columns)}
-    number = F.create_map(*[F.lit(x) for c, i in names.items() for x in (c, i)])
-    places = value_places(data, columns).select(number[F.col("variable")].alias("v"), "value", "cnt", "bucket", "place").persist(StorageLevel.MEMORY_AND_DISK)
     wide = "decimal(38, 0)"
-    ties = F.sum((F.col("cnt").cast(wide) * (F.col("cnt") - 1)))
-    facts = {r["v"]: r for r in places.groupBy("v").agg(F.sum("cnt").alias("n"), F.max("place").alias("place"), F.max("bucket").alias("bucket"),
-                                                         ties.alias("t")).collect()}  # p rows
+    ties = F.sum(F.col("c").cast(wide) * (F.col("c") - 1))
+    every = data.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("double").alias("x")) for i, c in enumerate(columns)])).alias("_c")).select("_c.*")
+    facts = {r["i"]: r for r in every.groupBy("i", "x").agg(F.count(F.lit(1)).alias("c")).groupBy("i").agg(
+        F.sum("c").alias("n"), ties.alias("t")).collect()}  # p rows
     n = max((int(r["n"]) for r in facts.values()), default=0)
     if n < 2:
-        places.unpersist()
         return m
-    low = int(max(r["place"] for r in facts.values())).bit_length()
-    levels = max(1, low + int(max(r["bucket"] for r in facts.values())).bit_length())
-    codes = places.select("v", "value", (F.shiftleft(F.col("bucket").cast("long"), low) + F.col("place")).alias("code"))
     pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), col(columns[i]).cast("double").alias("x"), col(columns[j]).cast("double").alias("y"))
              for i in range(p) for j in range(i + 1, p)]
     cells = data.select(F.explode(F.array(*pairs)).alias("_c")).select("_c.*").groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    cells = (cells.join(codes.select(F.col("v").alias("i"), F.col("value").alias("x"), F.col("code").alias("a")), ["i", "x"])
-                  .join(codes.select(F.col("v").alias("j"), F.col("value").alias("y"), F.col("code").alias("b")), ["j", "y"]))
-    spread = cells.select("i", "j", "a", "b", "c", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("l"))
-    half = F.expr("shiftright(a, l) & 1")
-    counts = (spread.select("i", "j", "l", F.expr("shiftright(a, l + 1)").alias("node"), F.expr(f"b div {bucket}").alias("block"), "b",
-                            F.when(half == 0, F.col("c")).otherwise(0).alias("c0"), F.when(half == 1, F.col("c")).otherwise(0).alias("c1"))
-                    .groupBy("i", "j", "l", "node", "block", "b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    node = ["i", "j", "l", "node"]
-    sums = counts.groupBy(*node, "block").agg(F.sum("c0").alias("s0"))
-    run = Window.partitionBy(*node).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*node, "block", F.coalesce(F.sum("s0").over(run), F.lit(0)).alias("start"), F.sum("s0").over(Window.partitionBy(*node)).alias("all0"))
-    inside = Window.partitionBy(*node, "block").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    met = counts.join(sums.where("all0 > 0"), [*node, "block"]).withColumn("below", F.col("start") + F.coalesce(F.sum("c0").over(inside), F.lit(0)))
-    gain = F.col("c1").cast(wide) * (2 * F.col("below") + F.col("c0") - F.col("all0")).cast("decimal(20, 0)")
-    totals = {(r["i"], r["j"]): int(r["s"]) for r in met.groupBy("i", "j").agg(F.sum(gain.cast(wide)).alias("s")).collect()}
-    places.unpersist()
+    cells = pinned(cells, "kendall-cells")
+    both = {(r["i"], r["j"]): r for r in cells.groupBy("i", "j").agg(F.count(F.lit(1)).alias("cells"), ties.alias("t")).collect()}  # pairs of columns
+    tasks = -(-sum(r["cells"] for r in both.values()) // bucket)
+
+    def by_xy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = TaskContext.get().partitionId()
+        for t in _segments(batches):
+            found = weighted_inversions(t["y"].to_numpy(), t["c"].to_numpy())
+            yield from t.append_column("g", pa.array(np.full(len(t), g, np.int32))).append_column(
+                "inside", pa.array([Decimal(found), *[None] * (len(t) - 1)], pa.decimal128(38, 0))).to_batches()
+
+    def by_yx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = TaskContext.get().partitionId()
+        for t in _segments(batches):
+            g, c = t["g"].to_numpy(), t["c"].to_numpy()
+            found = weighted_inversions(g, c)
+            kinds, which = np.unique(g, return_inverse=True)
+            added = np.zeros(len(kinds), np.int64)
+            np.add.at(added, which, c)
+            size = len(kinds)
+            same = [pa.array(np.full(size, v, np.int32)) for v in (t["i"][0].as_py(), t["j"][0].as_py(), h)]
+            yield pa.RecordBatch.from_arrays([*same[:2], pa.array(kinds.astype(np.int32)), same[2], pa.array(added),
+                                              pa.array([Decimal(found), *[None] * (size - 1)], pa.decimal128(38, 0))], names=["i", "j", "g", "h", "c", "inside"])
+
+    ranged = pinned(cells.repartitionByRange(tasks, "i", "j", "x", "y").sortWithinPartitions("i", "j", "x", "y").mapInArrow(by_xy, RANGES), "kendall-ranges")
+    met = ranged.repartitionByRange(tasks, "i", "j", "y", "x").sortWithinPartitions("i", "j", "y", "x").mapInArrow(by_yx, MEETINGS)
+    totals = ranged.groupBy("i", "j").agg(F.sum("inside").alias("s")).collect()
+    discordant = {(r["i"], r["j"]): int(r["s"]) for r in totals}
+    grids: dict[tuple[int, int], list] = {}
+    for r in met.collect():  # (cells / bucket) ** 2 rows at most
+        grids.setdefault((r["i"], r["j"]), []).append((r["g"], r["h"], r["c"]))
+        discordant[r["i"], r["j"]] += int(r["inside"] or 0)
+    for pair, rows in grids.items():
+        g, h = np.unique([r[0] for r in rows], return_inverse=True)[1], np.unique([r[1] for r in rows], return_inverse=True)[1]
+        grid = np.zeros((g.max() + 1, h.max() + 1), object)
+        grid[g, h] = [int(r[2]) for r in rows]
+        upto = grid.cumsum(0).cumsum(1)  # rows in ranges up to g and h
+        earlier = upto[:-1, -1:] - upto[:-1, :]  # in ranges up to g, beyond h
+        discordant[pair] += int((grid[1:] * earlier).sum())
     free = [n * (n - 1) - int(facts[i]["t"]) for i in range(p)]  # twice the pairs of rows that differ in column i
     for i in range(p):
         if free[i]:
             m[i, i] = 1.0
         for j in range(i + 1, p):
             if free[i] and free[j]:
-                m[i, j] = m[j, i] = 2 * totals.get((i, j), 0) / (float(free[i]) ** 0.5 * float(free[j]) ** 0.5)
+                # concordant less discordant pairs: all that differ in both columns less twice the discordant
+                apart = (free[i] - int(facts[j]["t"]) + int(both[i, j]["t"])) // 2
+                m[i, j] = m[j, i] = 2 * (apart - 2 * discordant[i, j]) / (float(free[i]) ** 0.5 * float(free[j]) ** 0.5)
     return m
 
 
