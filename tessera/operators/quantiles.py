@@ -26,6 +26,8 @@ from tessera.functions.columns import col
 from tessera.session import pinned
 
 BUCKET_ROWS = 1_000_000       # values in a bucket, which one task sorts
+RANK_ROWS = 250_000           # values in a range that row_ranks sorts
+RANK_TASK_ROWS = 1_000_000    # values of a task of row_ranks
 SPLIT_SAMPLE_ROWS = 400_000   # rows sampled to place bucket boundaries (balance only), or 20 a bucket
 
 
@@ -188,7 +190,7 @@ def value_ranks(df: DataFrame, columns: Sequence[str], single_task_limit: int =
     return ranked.select("variable", "value", (F.col("_below") + (F.col("cnt") + 1) / 2.0).alias("rank"))
 
 
-def row_ranks(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS, max_buckets: int | None = None) -> DataFrame:
+def row_ranks(df: DataFrame, columns: Sequence[str], bucket_rows: int = RANK_ROWS, max_buckets: int | None = None) -> DataFrame:
     """Each row's average (tie-aware, 1-based) ranks beside one another, for rows complete in
     ``columns``; nothing is joined on a value.
 
@@ -196,7 +198,8 @@ def row_ranks(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_R
     rest of that range if the value is heavy, that is, a quantile split point that repeats (it
     holds more than a bucket's rows). Places are in value order, so their totals give the rank
     each begins at; a heavy place has one rank and is never sorted, the others are ranked on
-    their own. One shuffle by place, one back to the rows."""
+    their own. One shuffle by place (rows of heavy places stay), one back to the rows, both to as many
+    tasks as the number of values asks for, so that a task's share does not grow with the table."""
     columns = list(columns)
     n = df.count()
     buckets = bucket_count(n, bucket_rows, max_buckets)
@@ -224,14 +227,15 @@ def row_ranks(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_R
     totals = long.groupBy("v", "place").agg(F.count(F.lit(1)).alias("size"))
     before = Window.partitionBy("v").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    placed = long.join(starts, ["v", "place"])
+    placed = long.join(F.broadcast(starts), ["v", "place"])  # columns x places rows
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(columns) // RANK_TASK_ROWS))
     light = F.col("place") % 2 == 1
     sorted_ = Window.partitionBy("v", "place").orderBy("value")
     tied = F.count(F.lit(1)).over(Window.partitionBy("v", "place", "value"))
-    ranked = placed.where(light).select("_id", "v", (F.col("start") + F.rank().over(sorted_) + (tied - 1) / 2.0).alias("rank"))
+    ranked = placed.where(light).repartition(tasks, "v", "place").select("_id", "v", (F.col("start") + F.rank().over(sorted_) + (tied - 1) / 2.0).alias("rank"))
     if any(heavy):
         ranked = ranked.unionByName(placed.where(~light).select("_id", "v", (F.col("start") + (F.col("size") + 1) / 2.0).alias("rank")))
-    back = ranked.groupBy("_id").agg(*[F.max(F.when(F.col("v") == i, F.col("rank"))).alias(f"_r{i}") for i in range(len(columns))])
+    back = ranked.repartition(tasks, "_id").groupBy("_id").agg(*[F.max(F.when(F.col("v") == i, F.col("rank"))).alias(f"_r{i}") for i in range(len(columns))])
     return back.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
 
 
