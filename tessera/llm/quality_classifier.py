@@ -1,74 +1,34 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model trained on trusted
 text gives each document's perplexity; quantiles of each language set the threshold.
 
-Counts, contexts and continuation counts are DataFrames sharded by n-gram key. The
-probability of every distinct n-gram of the corpus comes from joins of those shards, order by
-order; unseen n-grams fall back through the context weights. The table that results is
-bounded by the key space (2^24 entries, :mod:`tessera.llm.symbols`), so the documents look it
-up in place and no text is shuffled."""
+The n-grams are four true characters (:mod:`tessera.llm.ngrams`). Counts, contexts and
+continuation counts are DataFrames sharded by n-gram. The probability of every distinct n-gram of
+the corpus comes from windows and joins of those shards, order by order; unseen n-grams fall back
+through the context weights. The documents' n-grams meet the probabilities by hash and are summed
+for each document, so no text is shuffled for it."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tessera.llm import ngrams
 from tessera.llm.common import join_by_key, sieve, with_arrays, with_fields, written
-from tessera.llm.symbols import BITS, ORDER, SIZE, count_keys, kept_table, mean_log, text_blocks
+from tessera.llm.symbols import BITS, ORDER, SIZE, text_blocks
 
 STEP = 0.001
 
 
-def discount(counts: DataFrame) -> "F.Column":
-    """Modified Kneser-Ney discount of column n, from the counts of counts of the table."""
-    n = counts.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first()
-    d = [0.5, 0.5, 0.5]
-    if n[0] and n[1]:
-        y = n[0] / (n[0] + 2 * n[1])
-        for k in (1, 2, 3):
-            if n[k - 1] and n[k]:
-                d[k - 1] = min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.01), k - 0.01)
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-
-
 def log_probabilities(trusted: DataFrame, keys: DataFrame) -> DataFrame:
     """key, p: natural logarithm of the interpolated probability of each of ``keys`` (distinct
-    keys of the corpus) under the counts ``trusted`` (key, n)."""
-    scored = keys.select("key").withColumn("p", F.lit(1.0 / SIZE))
-    counts, tables = trusted, []
-    for n in range(ORDER, 0, -1):
-        taken = counts.withColumn("d", discount(counts)).withColumn("context", F.shiftright("key", BITS))
-        contexts = taken.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
-        alphas = taken.join(contexts, "context").select(F.col("key").alias("part"), ((F.col("n") - F.col("d")) / F.col("total")).alias("alpha"))
-        tables.insert(0, (n, alphas, contexts.select("context", "weight")))
-        counts = counts.groupBy(F.col("key").bitwiseAND(F.lit(SIZE ** (n - 1) - 1)).alias("key")).agg(F.count("*").alias("n"))
-    for n, alphas, contexts in tables:
-        scored = scored.withColumn("part", F.col("key").bitwiseAND(F.lit(SIZE ** n - 1))) \
-            .withColumn("context", F.shiftright("part", BITS)) \
-            .join(alphas, "part", "left").join(contexts, "context", "left") \
-            .select("key", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
-    return scored.select("key", F.log("p").alias("p"))
-
-
-class Scores:
-    """Sorted keys and their logarithms; a worker lays them out as one table."""
-
-    def __init__(self, keys: np.ndarray, logs: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.logs, self.name = keys[order].astype(np.int32), logs[order].astype(np.float32), uuid.uuid4().hex
-
-    def table(self) -> np.ndarray:
-        return kept_table(self.name, self.laid_out)
-
-    def laid_out(self) -> np.ndarray:
-        table = np.zeros(SIZE ** ORDER, np.float32)
-        table[self.keys] = self.logs
-        return table
+    coarse keys of :mod:`tessera.llm.symbols`) under the counts ``trusted`` (key, n), by the joins
+    that the n-grams of true characters go through."""
+    return ngrams.kneser_ney(trusted.select(F.col("key").alias("gram"), "n"), keys.select(F.col("key").alias("gram")), ORDER,
+                             lambda c, m: F.shiftright(c, BITS), lambda c, m: c.bitwiseAND(F.lit(SIZE ** (m - 1) - 1)), 1.0 / SIZE) \
+        .withColumnRenamed("gram", "key")
 
 
 def trusted_ids(labels: DataFrame, key: str, flag: str) -> DataFrame:
@@ -77,28 +37,25 @@ def trusted_ids(labels: DataFrame, key: str, flag: str) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", flag: str = "quality") -> DataFrame:
-    """Append trusted (boolean) and log_perplexity (per character; null for an empty text).
-    The ids grow with the labels. Of the texts only those of trusted documents are shuffled, by
-    the same plan at every size: a sieve in front, then an exact join by shuffle."""
+    """``docs`` without its text, with trusted (boolean) and log_perplexity (per character; null for
+    an empty text). The ids grow with the labels. Of the texts only those of trusted documents are
+    shuffled, by the same plan at every size: a sieve in front, then an exact join by shuffle."""
     ids = written(trusted_ids(labels, key, flag), "classifier-trusted")
     likely = sieve(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)), ids, [key])
-    learned = written(count_keys(likely.join(ids.hint("merge"), key, "left_semi"), text), "classifier-counts")
-    seen = written(count_keys(docs, text), "classifier-keys")
-    table = log_probabilities(learned, seen).toArrow()  # at most 2^24 rows, by the key space
-    shared = docs.sparkSession.sparkContext.broadcast(
-        Scores(table["key"].to_numpy().astype(np.int64), table["p"].to_numpy()))
+    learned = written(ngrams.count_grams(likely.join(ids.hint("merge"), key, "left_semi"), text), "classifier-counts")
+    seen = written(ngrams.count_grams(docs, text), "classifier-grams")
+    few, rest = ngrams.placed(ngrams.model(learned, seen))
+    shared = docs.sparkSession.sparkContext.broadcast(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value.table()
         for batch, texts in text_blocks(batches, text):
-            score = -mean_log(logs, texts)
-            yield with_arrays(batch, {"log_perplexity": pa.array(score, pa.float64(), mask=np.isnan(score))})
+            yield with_arrays(batch, ngrams.logs_of(texts, shared.value))
 
-    docs = docs.drop("trusted", "log_perplexity")
-    scored = docs.mapInArrow(run, with_fields(docs.schema, [T.StructField("log_perplexity", T.DoubleType())]))
-    # joined after scoring: a caller that drops the text shuffles none of it here
+    docs = docs.drop("trusted", "log_perplexity").withColumn("__row", F.monotonically_increasing_id())
+    scored = docs.mapInArrow(run, with_fields(docs.schema, ngrams.LOGS)).drop(text)
+    scored = ngrams.with_perplexity(written(scored, "classifier-logs"), rest)
     return scored.join(ids.withColumn("trusted", F.lit(True)).hint("merge"), key, "left") \
-        .select(*[scored[f"`{c}`"] for c in docs.columns], F.coalesce("trusted", F.lit(False)).alias("trusted"), "log_perplexity")
+        .select(*[scored[f"`{c}`"] for c in scored.columns if c != "log_perplexity"], F.coalesce("trusted", F.lit(False)).alias("trusted"), "log_perplexity")
 
 
 def quantiles(scored: DataFrame, key: str, shares: dict[str, float]) -> DataFrame:
@@ -124,7 +81,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
     results = ["trusted", "log_perplexity", "lower", "upper", "kept"]
     name = F.col(f"`{lang}`")
     docs = docs.drop(*results).withColumn("__lang", F.concat_ws("", F.when(name.isNull(), "n").otherwise("l"), name))
-    scored = written(perplexities(docs, labels, text, key, flag).drop(text), "classifier-scores")
+    scored = written(perplexities(docs, labels, text, key, flag), "classifier-scores")
     known = scored.filter(F.col("trusted") & F.col("log_perplexity").isNotNull()).select("__lang", "log_perplexity")
     shares = {"low": 0.1, "middle": 0.5, "high": 0.9}
     own = quantiles(known, "__lang", shares)

@@ -1,6 +1,7 @@
 """Symbol n-grams of texts: every character is one of 64 classes, an n-gram of four symbols
 is a 24-bit key. The key space, and so every table of n-grams, is bounded by 2^24 entries
-whatever the corpus; the counts in it come from all of the corpus."""
+whatever the corpus; the counts in it come from all of the corpus. The queries count n-grams of
+true characters instead (:mod:`tessera.llm.ngrams`)."""
 
 from __future__ import annotations
 
@@ -86,12 +87,3 @@ def kept_table(name: str, make) -> np.ndarray:
         Tables.last = None  # free the former table before the new one is made
         Tables.last = (name, make())
     return Tables.last[1]
-
-
-def mean_log(table: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Mean of the table's logarithms over each text's characters; NaN for an empty text."""
-    keys, bounds = keys_of(texts)
-    sums = np.concatenate([[0.0], np.cumsum(table[keys], dtype=np.float64)])
-    n = np.diff(bounds)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(n > 0, (sums[bounds[1:]] - sums[bounds[:-1]]) / n, np.nan)
