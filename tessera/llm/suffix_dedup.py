@@ -18,7 +18,8 @@ Hot anchors: equal segments are counted by partial aggregation and found again b
 splits hot keys. The distinct segments of an anchor with more than ``MOST`` of them never come
 together: there the bucket identifiers are 128-bit hashes, which all tasks refine alike (an
 offset's own and that of a later offset give the next, 8, 16, 32, 64, 128, 200), and the buckets of
-the last round are counted as rows by Spark, with partial sums."""
+the last round are counted as rows by Spark, with partial sums. Only windows that are alone in
+their bucket come back to their documents: the others of a segment are its repeats."""
 
 from __future__ import annotations
 
@@ -238,12 +239,30 @@ def windows(picked: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, WINDOW)
 
 
-def crowded_spans(picked: DataFrame) -> DataFrame:
-    """Spans of the windows of crowded anchors that are found twice or more."""
-    every = written(windows(picked), "suffix-windows")
-    found = written(every.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1"), "suffix-buckets")
-    hits = join_by_key(every, found, "bucket", "rows").filter("alone")
-    return hits.select("row", "from", (F.col("from") + LENGTH).cast("int").alias("to"))
+def crowded_spans(picked: DataFrame, picks: DataFrame) -> DataFrame:
+    """Spans of the windows of crowded anchors that are found twice or more, in maximal runs. Buckets
+    are counted with partial sums; the windows alone in theirs go back to their documents, and what the
+    segments of ``picks`` have besides is repeated."""
+    buckets = windows(picked).groupBy("bucket").agg(F.count("*").alias("rows"), *[F.min(c).alias(c) for c in ("row", "from", "alone")])
+    lone = buckets.filter("rows = 1 and alone").groupBy("row").agg(F.collect_list("from").alias("lone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "lone"):
+            out = []
+            for row, found, at in zip(batch.column("row").to_pylist(), batch.column("picks").to_pylist(), batch.column("lone")):
+                once = np.sort(at.values.to_numpy()) if at.is_valid else np.zeros(0, np.int32)
+                for p in found:
+                    if p["alone"]:
+                        stop = p["start"] + p["windows"]
+                        lo, hi = np.searchsorted(once, (p["start"], stop))
+                        edges = np.r_[p["start"] - 1, once[lo:hi], stop]
+                        some = np.flatnonzero(np.diff(edges) > 1)
+                        out += zip([row] * len(some), (edges[some] + 1).tolist(), (edges[some + 1] - 1 + LENGTH).tolist())
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
+                                              pa.array(columns[2], pa.int32())], names=["row", "from", "to"])
+
+    return written(picks.join(lone, "row", "left").mapInArrow(run, SPAN), "suffix-windows")
 
 
 def sorted_spans(dealt: DataFrame, tasks: int) -> DataFrame:
@@ -290,7 +309,7 @@ def covered_spans(docs: DataFrame, text: str = "text", row: str = "row") -> Data
     parts = sorted_spans(pieces(texts.join(picks_of(kinds, few), "row")), tasks)
     if not many.isEmpty():
         picks = written(picks_of(kinds, many), "suffix-crowded")
-        parts = parts.unionByName(crowded_spans(sieve(texts, picks, ["row"]).join(picks.hint("merge"), "row")))
+        parts = parts.unionByName(crowded_spans(sieve(texts, picks, ["row"]).join(picks.hint("merge"), "row"), picks))
     return whole.unionByName(parts).groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
