@@ -1,7 +1,8 @@
-"""Windows of crowded anchors against brute force."""
+"""Windows of crowded anchors against brute force; the pipeline's first stage and true characters (round 3)."""
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -53,3 +54,14 @@ def test_no_crowd_has_windows_alone_only(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST", 0)
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.n_removed for r in got] == [0] * 30
+
+
+def test_pipelines_quality_stage_tells_characters_apart(spark):
+    """A text that the 64 classes of characters took for like the others: other digits, capitals and letters."""
+    rng = random.Random(4)
+    words = ["In", "1918", "Ada", "met", "Bob", "漢字", "at", "Rome", "and", "1980", "was", "kind", "to", "her"]
+    usual = [" ".join(rng.choices(words, k=120)) for _ in range(60)]
+    odd = usual[0].translate(str.maketrans("1980ABIR漢字", "2765XQZW" + "".join(chr(ord(c) + 23) for c in "漢字")))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*usual, odd])]
+    kept = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert {r.doc_id for r in kept.collect()} == set(range(60))
